@@ -39,7 +39,7 @@ SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 p AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
 h AS (SELECT r, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS k FROM p),

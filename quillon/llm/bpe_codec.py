@@ -13,6 +13,7 @@ on them. Null and empty texts give no ids and an empty decoded text. Rows and
 their other columns pass through; columns named like an output are replaced.
 """
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -26,8 +27,9 @@ from quillon.llm._text import Powers, batch_bytes, windows_hash, with_columns
 ROLL, CHUNK = 16, 128
 MAX_WORDS, MAX_CHUNKS, MAX_BORROWED = 250_000, 40_000, 50_000
 OUT_BYTES = 4 << 20
-#: What only an unusual chunk holds: a word with this text is encoded by itself.
-SEPARATOR = b"<|endoftext|>"
+TOGETHER = 256
+#: Words with characters beyond U+02FF, or with what may be a special token, are encoded alone.
+ODD = re.compile(rb"[\xcc-\xff]|<\|").search
 
 
 class Codec:
@@ -45,7 +47,6 @@ class Codec:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
-        self.separator = self.tokenizer.token_to_id(SEPARATOR.decode())
         self.joined = self.tokenizer.decoder is None
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.borrowed: dict[bytes, tuple[bytes, bytes]] = {}
@@ -58,16 +59,21 @@ class Codec:
         return ids.tobytes(), b" ".join([pieces[i] for i in ids.tolist()])
 
     def learn(self, missing: list[bytes]) -> None:
-        """Encode new words together, parted by a special token, and store them."""
-        odd = [w for w in missing if SEPARATOR in w] if self.separator is not None else missing
-        plain = [w for w in missing if SEPARATOR not in w] if odd and self.separator is not None else [] if odd else missing
-        found = [(w, self.entry(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)) for w in odd]
-        if plain:
-            ids = np.asarray(self.tokenizer.encode(SEPARATOR.join(plain).decode(), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == self.separator)
-            starts, ends = np.concatenate([[0], at + 1]).tolist(), np.concatenate([at, [len(ids)]]).tolist()
-            raw, every, pieces = ids.tobytes(), ids.tolist(), self.pieces
-            found += [(w, (raw[4 * s : 4 * e], b" ".join([pieces[i] for i in every[s:e]]))) for w, s, e in zip(plain, starts, ends, strict=True)]
+        """Encode new words, plain ones many at a time (offsets tell whose an id is), and store them."""
+        found = [(w, self.entry(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)) for w in missing if ODD(w)]
+        plain = [w for w in missing if not ODD(w)] if found else missing
+        pieces = self.pieces
+        for k in range(0, len(plain), TOGETHER):
+            part = plain[k : k + TOGETHER]
+            text = b" ".join(part).decode()
+            encoded = self.tokenizer.encode(text, add_special_tokens=False)
+            starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32) + 1])
+            begin = np.array([o[0] for o in encoded.offsets], np.int64)
+            at = [*np.searchsorted(begin, starts).tolist(), len(begin)]
+            every = encoded.ids
+            raw = np.asarray(every, "<u4").tobytes()
+            words = [pieces[i] for i in every]
+            found += [(w, (raw[4 * s : 4 * e], b" ".join(words[s:e]))) for w, s, e in zip(part, at, at[1:], strict=False)]
         room = MAX_WORDS - len(self.words)
         self.words.update(found[:room] if room > 0 else [])
         self.borrowed.update(found[max(0, room) :])
@@ -98,7 +104,8 @@ class Codec:
             else:
                 head = parts.pop(0) if parts and raw.startswith(parts[0]) else b""
                 tail = parts.pop() if parts and raw.endswith(parts[-1]) else b""
-                got = [self.of(w) for w in parts]
+                words, of = self.words, self.of
+                got = [words.get(w) or of(w) for w in parts]
                 known = head, b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]]), tail
             if len(self.chunks) < MAX_CHUNKS:
                 self.chunks[raw] = known

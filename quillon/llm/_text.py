@@ -130,3 +130,43 @@ def with_columns(batch: pa.RecordBatch, drop: set[str], new: dict[str, pa.Array]
     """batch without the columns in drop and with the new ones at its end."""
     names = [n for n in batch.schema.names if n not in drop and n not in new]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new.values()], names=[*names, *new])
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def hash_heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: tuple[int, ...], kept: Powers, limit: int = SLICE) -> list[np.ndarray]:
+    """Hashes of the whole runs, then of their first n bytes for each n in heads (of the whole run again where it is shorter)."""
+    out = [np.empty(len(starts), np.uint64) for _ in range(1 + len(heads))]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
+        a = starts[i]
+        sums = prefix_sums(data[a : ends[j - 1]].astype(np.uint64) + np.uint64(1), kept)
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[0][i:j] = spans_hash(sums, s, e, kept)
+        for k, n in enumerate(heads, 1):
+            out[k][i:j] = spans_hash(sums, s, np.minimum(s + n, e), kept)
+        i = j
+    return out
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted vocabulary, most misses settled by a small table."""
+
+    BITS = 20
+
+    def __init__(self, sorted_hashes: np.ndarray) -> None:
+        self.sorted = sorted_hashes
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[(sorted_hashes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places among hashes, places in the vocabulary) of those found."""
+        at = np.flatnonzero(self.table[(hashes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
+        if not len(at) or not len(self.sorted):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        found = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
+        hit = self.sorted[found] == hashes[at]
+        return at[hit], found[hit]

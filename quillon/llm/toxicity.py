@@ -165,21 +165,20 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def least_rows(toxic: int) -> float:
-    """Toxic examples, near copies apart, that must hold a term of the vocabulary."""
-    return max(3, 0.008 * toxic)
+def evidence(t: int, c: int, toxic: int, clean: int) -> float:
+    """Log-likelihood ratio (G squared) of a term's counts against no bond with the label; 0 unless it goes with label 1."""
+    total, n = toxic + clean, t + c
+    if not n or t * total <= n * toxic:
+        return 0.0
+    cells = ((t, n * toxic), (c, n * clean), (toxic - t, (total - n) * toxic), (clean - c, (total - n) * clean))
+    return 2 * sum(o * np.log(o * total / e) for o, e in cells if o > 0 and e > 0)
 
 
-def choose_terms(stats: list[tuple[int, int, int]], toxic: int, clean: int) -> list[int]:
-    """Hashes of the terms that go with the label: (term, toxic rows, clean rows) of each candidate."""
-    least = least_rows(toxic)
-    kept = []
-    for term, t, c in stats:
-        p, q = t / max(1, toxic), c / max(1, clean)
-        both = (t + c) / max(1, toxic + clean)
-        if t >= least and p > 3 * q and (p - q) / (both / max(1, toxic)) ** 0.5 > 4.5:
-            kept.append(((p - q) / both**0.5, term))
-    return [term for _, term in sorted(kept, reverse=True)[:MAX_TERMS]]
+def choose_terms(stats: list[tuple[int, int, int]], toxic: int, clean: int, tried: int) -> list[int]:
+    """Hashes of the terms that go with the label beyond what chance gives among so many tried: from (term, toxic rows, clean rows)."""
+    least = 2 * np.log(max(tried, 1)) + 4
+    found = [(evidence(t, c, toxic, clean), term) for term, t, c in stats]
+    return [term for g, term in sorted(found, reverse=True)[:MAX_TERMS] if g > least]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Index:
@@ -189,11 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     examples = cut(rows.mapInArrow(_term_lists, "doc_id long, label int, terms array<long>, counts array<int>, copy long"))
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    least = least_rows(toxic)
     copies = F.when(F.col("copy") == 0, F.col("doc_id")).otherwise(F.col("copy"))  # near copies are one piece of evidence
-    stats = examples.select("label", copies.alias("copy"), F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct(F.when(F.col("label") == 1, F.col("copy"))).alias("t"), F.countDistinct(F.when(F.col("label") == 0, F.col("copy"))).alias("c")).where(F.col("t") >= least)
-    stats = stats.where(F.col("t") / max(1, toxic) > 3 * F.col("c") / max(1, clean)).orderBy(F.desc(F.col("t") / F.sqrt(F.col("t") + F.col("c"))), "term").limit(4 * MAX_TERMS)
-    vocabulary = np.sort(np.array(choose_terms([(r["term"], r["t"], r["c"]) for r in stats.collect()], toxic, clean), np.int64).view(np.uint64))
+    stats = cut(examples.select("label", copies.alias("copy"), F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct(F.when(F.col("label") == 1, F.col("copy"))).alias("t"), F.countDistinct(F.when(F.col("label") == 0, F.col("copy"))).alias("c")))
+    # A term that can pass is in several toxic examples; the strongest candidates come to the driver.
+    able = stats.where((F.col("t") >= 3) & (F.col("t") / max(1, toxic) > 2 * F.col("c") / max(1, clean))).orderBy(F.desc(F.col("t") / F.sqrt(F.col("t") + F.col("c"))), "term").limit(4 * MAX_TERMS)
+    chosen = choose_terms([(r["term"], r["t"], r["c"]) for r in able.collect()], toxic, clean, stats.count())
+    vocabulary = np.sort(np.array(chosen, np.int64).view(np.uint64))
     found = examples.mapInArrow(_restrict(vocabulary), "doc_id long, label int, terms array<int>, counts array<int>").collect()
     data = [(r["doc_id"], r["label"], list(zip(r["terms"], r["counts"], strict=True))) for r in sorted(found, key=lambda r: r["doc_id"])]
     n = np.zeros(len(vocabulary) + 1, np.int64)

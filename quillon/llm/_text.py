@@ -7,6 +7,7 @@ mix, so equal byte sequences have equal hashes on every executor.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -170,3 +171,11 @@ class Lookup:
         found = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
         hit = self.sorted[found] == hashes[at]
         return at[hit], found[hit]
+
+
+def lowered(column: pa.Array) -> pa.Array:
+    """The texts in lower case; unchanged where they are not valid UTF-8 (A-Z is then lowered by LOWER alone)."""
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        return column

@@ -9,6 +9,17 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5))
 
 
+def hash_sample(rows: DataFrame, most: int, total: int, *key: str) -> DataFrame:
+    """At most `most` rows, those least by a hash of the key columns.
+
+    A share of the hash range that holds about three times as many is taken
+    first, so that what meets in one place to be ordered is bounded too.
+    """
+    if total > 3 * most:
+        rows = rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int(3 * most / total * (1 << 30)))
+    return rows.orderBy(F.xxhash64(*key), *key).limit(most)
+
+
 def fit_rows(labels: DataFrame, label: str, per_class: int, doc_id: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
     """(doc_id long, label int) with at most per_class rows of each class, and how many rows of each class there are to learn from.
 
@@ -18,5 +29,5 @@ def fit_rows(labels: DataFrame, label: str, per_class: int, doc_id: str = "doc_i
     usable = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (fold(doc_id) != 0))
     usable = usable.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
-    chosen = [usable.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    chosen = [hash_sample(usable.where(F.col("label") == c), per_class, counts.get(c, 0), "doc_id") for c in (0, 1)]
     return chosen[0].union(chosen[1]), {c: counts.get(c, 0) for c in (0, 1)}

@@ -22,7 +22,12 @@ def pending_job(source: DataFrame, out: str, checkpoint: str, work: Callable[[Da
 
 
 def stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A stream of the files in a folder; of a path that is one file, of that file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).parquet(str(p.getParent()))
+    return reader.parquet(path)
 
 
 def vectorize(spark: SparkSession, path: str, out: str, checkpoint: str, schema: T.StructType) -> None:

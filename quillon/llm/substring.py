@@ -237,10 +237,10 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__rk": F.xxhash64(doc_id, text)})
     filed = rows.select("__id", "__rk", text).mapInArrow(_file(window, gram), "key long, id long, rk long, first int, n int, many boolean, hashes binary")
     matched = filed.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(_match(), "id long, rk long, first int, n int")
-    spans = matched.groupBy("id", "rk").agg(F.collect_set(F.struct("first", "n")).alias("__spans"))
+    spans = matched.groupBy(F.col("id").alias("__sid"), F.col("rk").alias("__srk")).agg(F.collect_set(F.struct("first", "n")).alias("__spans"))
     new = ["kept_text", "n_words", "n_removed", "factors"]
     keep = [f for f in docs.schema.fields if f.name != text and f.name not in new]
-    joined = rows.join(spans, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__rk") == F.col("rk")), "left").select(*(f.name for f in keep), text, "__spans")
+    joined = rows.join(spans, F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__rk") == F.col("__srk")), "left").select(*(f.name for f in keep), text, "__spans")
     factor = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType())]))
     schema = T.StructType([*keep, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("factors", factor)])
     return joined.mapInArrow(_cutter(text, window, layout), schema)

@@ -34,7 +34,7 @@ SENTENCES = {
     "gpl_hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl_see": "See the GNU General Public License for more details.",
     "lgpl_short": "Licensed under the GNU Lesser General Public License.",
-    "mpl2_form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2_form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "mpl2_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/ under that license.",
     "bsd_use": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -82,8 +82,8 @@ RULES = [
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Each known sentence has one of these, in lower case.
 WORDS = ["licens", "rights reserved", "permission", "copyright", "warrant", "redistribut"]
-#: Ends of sentences; a list mark or number before one is no sentence of its own.
-BREAK, BREAK_WRAPPED = r"[.!?:]+(?:[ \t\r\f\v]|$)|\n", r"[.!?:]+(?:[ \t\r\n\f\v]|$)|\n[ \t\r]*\n"
+#: Ends of sentences. What has no letter (a list's number, say) is no sentence.
+BREAK, BREAK_WRAPPED = r"[.!?]+(?:[ \t\r\f\v]|$)|\n", r"[.!?]+(?:[ \t\r\n\f\v]|$)|\n[ \t\r]*\n"
 JUNK = "[^a-z0-9]+"
 
 
@@ -99,10 +99,10 @@ def known(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
 
 
 def identifiers(low: Column, breaks: str, table: dict[str, str]) -> Column:
-    """Identifiers of the sentences of a lower-case text in order, "?" for others; blank ones are left out."""
+    """Identifiers of the sentences of a lower-case text in order, "?" for others; those without a letter are left out."""
     ids = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
     normal = F.transform(F.split(low, breaks), lambda s: F.trim(F.regexp_replace(s, JUNK, " ")))
-    return F.transform(F.filter(normal, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("?")))
+    return F.transform(F.filter(normal, lambda s: s.rlike("[a-z]")), lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("?")))
 
 
 def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
@@ -143,7 +143,7 @@ def scan_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = known()
     ids = f"MAP {{{', '.join(f'{quote(k)}: {quote(v)}' for k, v in table.items())}}}"
-    cut = lambda b: f"list_transform(list_filter(list_transform(string_split_regex(low, {quote(b)}), lambda s: trim(regexp_replace(s, '{JUNK}', ' ', 'g'))), lambda s: s <> ''), lambda s: coalesce(ids[s], '?'))"
+    cut = lambda b: f"list_transform(list_filter(list_transform(string_split_regex(low, {quote(b)}), lambda s: trim(regexp_replace(s, '{JUNK}', ' ', 'g'))), lambda s: regexp_matches(s, '[a-z]')), lambda s: coalesce(ids[s], '?'))"
     likely = " OR ".join(f"contains(low, {quote(w)})" for w in WORDS)
     steps = [
         f"l AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}') AS low FROM documents)",

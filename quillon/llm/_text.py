@@ -14,7 +14,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: ASCII letters, digits and every byte of a multi-byte character.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15
 SLICE = 1 << 20
 
 
@@ -37,14 +37,15 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Powers:
-    """powers() kept, and lengthened as needed."""
+    """powers() of a base kept, and lengthened as needed."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = BASE) -> None:
+        self.base = base
         self.up = self.down = np.empty(0, np.uint64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            self.up, self.down = powers(max(n, 2 * len(self.up)))
+            self.up, self.down = powers(max(n, 2 * len(self.up)), self.base)
         return self.up, self.down
 
 

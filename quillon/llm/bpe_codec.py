@@ -1,20 +1,21 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the UTF-8 bytes cuts every text into chunks whose borders
-depend on content alone, so passages shared by documents give equal chunks. A
-chunk is encoded once and kept. A border may fall inside a word: the text
-between the last white space before it and the first after it is encoded anew,
-and since no merge, normalisation or special token reaches over ASCII white
-space, the join then agrees exactly with encoding the whole text. Inside
-chunks, words are the unit that is encoded once.
-
-Stores are bounded per Python worker and only save time; results never depend
-on them. Null and empty texts give no ids and an empty decoded text. Rows and
-their other columns pass through; columns named like an output are replaced.
+depend on content alone, so passages shared by documents give equal chunks.
+Of equal chunks in a run of documents one is encoded and the others take its
+ids. A border may fall inside a word: the text from the last white space
+before it to the first after it is encoded anew as a whole, and since no
+merge, normalisation or special token reaches over ASCII white space, the
+join then agrees exactly with encoding the whole text. Inside chunks, words
+are the unit that is encoded once and kept.
+
+The store is bounded per Python worker and only saves time; results never
+depend on it. Equal means equal in two independent 64-bit hashes and length.
+Null and empty texts give no ids and an empty decoded text. Rows and their
+other columns pass through; columns named like an output are replaced.
 """
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +23,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm._text import Powers, batch_bytes, windows_hash, with_columns
+from quillon.llm._text import SPACE, Powers, hash_runs, mix, prefix_sums, runs, slices, spans_hash, windows_hash, with_columns
 
 ROLL, CHUNK = 16, 128
-MAX_WORDS, MAX_CHUNKS, MAX_BORROWED = 250_000, 40_000, 50_000
-OUT_BYTES = 4 << 20
-TOGETHER = 256
+MAX_WORDS, TOGETHER, RUN_BYTES = 300_000, 256, 2 << 20
+OTHER_BASE = 0xC2B2AE3D27D4EB4F
 #: Words with characters beyond U+02FF, or with what may be a special token, are encoded alone.
 ODD = re.compile(rb"[\xcc-\xff]|<\|").search
 
 
+def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, .. of each range in turn."""
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    return np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])
+
+
+def first_of_equal(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first of each kind, kind of each), for values equal in both hashes."""
+    _, place, kind = np.unique(first, return_index=True, return_inverse=True)
+    if (second[place][kind] != second).any():
+        _, place, kind = np.unique(np.stack([first, second], axis=1), axis=0, return_index=True, return_inverse=True)
+    return place, kind.ravel()
+
+
 class Codec:
-    """One tokenizer and its stores in one Python worker."""
+    """One tokenizer and its store of words in one Python worker."""
 
     def __init__(self, path: str | None) -> None:
         from tokenizers import Tokenizer
@@ -46,112 +60,113 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+        pieces = [(self.tokenizer.id_to_token(i) or "").encode() + b" " for i in range(size)]
+        self.pieces, self.lengths = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces], np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
         self.joined = self.tokenizer.decoder is None
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.borrowed: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple] = {}
-        self.powers = Powers()
-
-    def entry(self, ids) -> tuple[bytes, bytes]:
-        ids = np.asarray(ids, "<u4")
-        pieces = self.pieces
-        return ids.tobytes(), b" ".join([pieces[i] for i in ids.tolist()])
-
-    def learn(self, missing: list[bytes]) -> None:
-        """Encode new words, plain ones many at a time (offsets tell whose an id is), and store them."""
-        found = [(w, self.entry(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)) for w in missing if ODD(w)]
-        plain = [w for w in missing if not ODD(w)] if found else missing
-        pieces = self.pieces
-        for k in range(0, len(plain), TOGETHER):
-            part = plain[k : k + TOGETHER]
-            text = b" ".join(part).decode()
+        self.words: dict[bytes, bytes] = {}
+        self.powers, self.others = Powers(), Powers(OTHER_BASE)
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, how many each has): plain words many at a time, offsets telling whose an id is."""
+        odd = [k for k, w in enumerate(words) if ODD(w)]
+        alone = {k: self.tokenizer.encode(words[k].decode(), add_special_tokens=False).ids for k in odd}
+        plain = np.delete(np.arange(len(words)), odd)
+        parts, n = [], np.zeros(len(words), np.int64)
+        for a in range(0, len(plain), TOGETHER):
+            own = plain[a : a + TOGETHER]
+            text = b" ".join([words[k] for k in own.tolist()]).decode()
             encoded = self.tokenizer.encode(text, add_special_tokens=False)
             starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32) + 1])
-            begin = np.array([o[0] for o in encoded.offsets], np.int64)
-            at = [*np.searchsorted(begin, starts).tolist(), len(begin)]
-            every = encoded.ids
-            raw = np.asarray(every, "<u4").tobytes()
-            words = [pieces[i] for i in every]
-            found += [(w, (raw[4 * s : 4 * e], b" ".join(words[s:e]))) for w, s, e in zip(part, at, at[1:], strict=False)]
-        room = MAX_WORDS - len(self.words)
-        self.words.update(found[:room] if room > 0 else [])
-        self.borrowed.update(found[max(0, room) :])
-
-    def ready(self, texts: list[bytes]) -> None:
-        """See that every word of the texts is known until the next call."""
-        if len(self.borrowed) > MAX_BORROWED:
-            self.borrowed = {}
-            self.chunks = {}
-        words, borrowed = self.words, self.borrowed
-        new = {w for t in texts for w in t.split() if w not in words and w not in borrowed}
-        if new:
-            self.learn(sorted(new))
-
-    def of(self, word: bytes) -> tuple[bytes, bytes]:
-        if (found := self.words.get(word) or self.borrowed.get(word)) is None:
-            self.learn([word])
-            found = self.words.get(word) or self.borrowed[word]
-        return found
-
-    def chunk(self, raw: bytes) -> tuple:
-        """(head, ids, decoded pieces, tail): head and tail are cut words; a chunk within one word is (raw, None, None, b"")."""
-        if (known := self.chunks.get(raw)) is None:
-            parts = raw.split()
-            inside = bool(parts) and len(parts[0]) == len(raw)
-            if inside:
-                known = raw, None, None, b""
-            else:
-                head = parts.pop(0) if parts and raw.startswith(parts[0]) else b""
-                tail = parts.pop() if parts and raw.endswith(parts[-1]) else b""
-                words, of = self.words, self.of
-                got = [words.get(w) or of(w) for w in parts]
-                known = head, b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]]), tail
-            if len(self.chunks) < MAX_CHUNKS:
-                self.chunks[raw] = known
-        return known
-
-    def cuts(self, text: bytes) -> list[int]:
-        """Chunk borders: where the rolling hash says so and a character begins."""
-        data = np.frombuffer(text, np.uint8)
-        at = np.flatnonzero((windows_hash(data.astype(np.uint64) + np.uint64(1), ROLL, self.powers) & np.uint64(CHUNK - 1)) == 0) + ROLL
-        at = at[at < len(data)]
-        return at[(data[at] & 0xC0) != 0x80].tolist()
-
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        ids, pieces, open_word = [], [], b""
-        a = 0
-        for b in [*self.cuts(text), len(text)]:
-            if a == b:
-                continue
-            head, body, decoded, tail = self.chunk(text[a:b])
-            a = b
-            if body is None:
-                open_word += head
-                continue
-            if open_word or head:  # the join: what the border has cut, encoded whole
-                got = self.of(open_word + head)
-                ids.append(got[0])
-                pieces.append(got[1])
-            ids.append(body)
-            pieces.append(decoded)
-            open_word = tail
-        if open_word:
-            got = self.of(open_word)
-            ids.append(got[0])
-            pieces.append(got[1])
-        out = b"".join(ids)
+            begin = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            n[own] = np.diff(np.append(np.searchsorted(begin, starts), len(begin)))
+            parts.append(np.array(encoded.ids, "<u4"))
+        ids = np.concatenate(parts) if parts else np.empty(0, "<u4")
+        if odd:
+            ends = np.cumsum(n)
+            ids = np.insert(ids, np.repeat(ends[odd], [len(alone[k]) for k in odd]), [i for k in odd for i in alone[k]])
+            n[odd] = [len(alone[k]) for k in odd]
+        return ids, n
+
+    def entries(self, words: list[bytes], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin in them, how many it has). While there is room all words are kept, later those that come more than once here."""
+        found = [self.words.get(w) for w in words]
+        missing = np.flatnonzero([f is None for f in found])
+        known = [f or b"" for f in found]
+        n = np.array([len(f) >> 2 for f in known], np.int64)
+        places = np.cumsum(n) - n
+        ids = np.frombuffer(b"".join(known), "<u4")
+        if len(missing):
+            own = [words[k] for k in missing.tolist()]
+            new, count = self.learn(own)
+            n[missing], places[missing] = count, len(ids) + np.cumsum(count) - count
+            ids = np.concatenate([ids, new])
+            if len(self.words) < MAX_WORDS:
+                raw, at = new.tobytes(), np.concatenate([[0], np.cumsum(count)]) * 4
+                some = range(len(own)) if len(self.words) < MAX_WORDS // 2 else np.flatnonzero(often[missing]).tolist()
+                self.words.update((own[k], raw[at[k] : at[k + 1]]) for k in some)
+        return ids, places, n
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Chunk borders: where the rolling hash says so inside a row, and the rows' own."""
+        at = np.flatnonzero((windows_hash(data.astype(np.uint64) + np.uint64(1), ROLL, self.powers) & np.uint64(CHUNK - 1)) == 0)
+        inside = at + ROLL <= offsets[np.searchsorted(offsets, at, "right")] if len(at) else np.empty(0, bool)
+        return np.unique(np.concatenate([at[inside] + ROLL, offsets]))
+
+    def sources(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """For each word the word whose encoding it takes: in a repeated chunk that of the first such chunk, else itself."""
+        cuts = self.cuts(data, offsets)
+        chunk = np.searchsorted(cuts, starts, "right")
+        cut_word = np.searchsorted(cuts, ends, "left") > chunk
+        source = np.arange(len(starts))
+        begin = np.flatnonzero(~cut_word & np.concatenate([[True], (chunk[1:] != chunk[:-1]) | cut_word[:-1]]))
+        end = np.flatnonzero(~cut_word & np.concatenate([(chunk[1:] != chunk[:-1]) | cut_word[1:], [True]])) + 1
+        if len(begin):
+            hashes = [spans_hash(prefix_sums(h, p), begin, end, p) for h, p in ((one, self.powers), (two, self.others))]
+            place, kind = first_of_equal(hashes[0], hashes[1])
+            lead = place[kind]
+            again = np.flatnonzero((lead != np.arange(len(begin))) & (end - begin == end[lead] - begin[lead]))
+            source[expand(begin[again], (end - begin)[again])] = expand(begin[lead[again]], (end - begin)[again])
+        return source
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each row's begin, decoded bytes, where each row's begin) of rows in one buffer."""
+        starts, ends = runs(~SPACE[data], offsets)
+        rows = np.searchsorted(starts, offsets)
+        if not len(starts):
+            return np.empty(0, "<u4"), rows, np.empty(0, np.uint8), rows
+        one, two = hash_runs(data, starts, ends, self.powers), hash_runs(data, starts, ends, self.others)
+        source = self.sources(data, offsets, starts, ends, one, two)
+        need = np.unique(source)
+        place, kind = first_of_equal(one[need], mix(two[need] + (ends - starts)[need].astype(np.uint64)))
+        raw, at = data.tobytes(), need[place]
+        words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        kept, first, n = self.entries(words, np.bincount(kind, minlength=len(at)) > 1)
+        of = kind[np.searchsorted(need, source)]
+        ids = kept[expand(first[of], n[of])]
+        id_rows = np.concatenate([[0], np.cumsum(n[of])])[rows]
+        text = self.pieces[expand(self.places[ids], self.lengths[ids])]
+        text_rows = np.concatenate([[0], np.cumsum(self.lengths[ids])])[id_rows]
+        some = text_rows[1:] > text_rows[:-1]
+        keep = np.ones(len(text), bool)
+        keep[text_rows[1:][some] - 1] = False  # the space after a row's last piece
+        return ids, id_rows, text[keep], text_rows - np.concatenate([[0], np.cumsum(some)])
+
+    def columns(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
+        ids, id_rows, text, text_rows = self.encode(data, offsets)
+        n = len(offsets) - 1
+        packed = lambda kind, at, values: pa.Array.from_buffers(kind, n, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
         if self.joined:
-            return out, b" ".join([p for p in pieces if p])
-        return out, self.tokenizer.decode(np.frombuffer(out, "<u4").tolist(), skip_special_tokens=False).encode()
+            decoded = packed(pa.string(), text_rows, text)
+        else:
+            decoded = pa.array([self.tokenizer.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(id_rows, id_rows[1:], strict=False)], pa.string())
+        return {"n_tokens": pa.array(np.diff(id_rows)), "ids": packed(pa.binary(), 4 * id_rows, ids), "decoded": decoded}
 
 
 def _codec(path: str | None) -> Codec:
-    kept = sys.modules["tokenizers"].__dict__.setdefault("_quillon_codecs", {}) if "tokenizers" in sys.modules else None
-    if kept is None:
-        import tokenizers
+    import tokenizers
 
-        kept = tokenizers.__dict__.setdefault("_quillon_codecs", {})
+    kept = tokenizers.__dict__.setdefault("_quillon_codecs", {})  # for as long as the worker lives
     if path not in kept:
         kept[path] = Codec(path)
     return kept[path]
@@ -161,25 +176,8 @@ def _encoder(text: str, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch in batches:
-            texts = batch_bytes(batch.column(batch.schema.get_field_index(text)))
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < OUT_BYTES // 4):
-                    size += len(texts[j])
-                    j += 1
-                codec.ready(texts[i:j])
-                got = [codec.encode(t) for t in texts[i:j]]
-                yield with_columns(
-                    batch.slice(i, j - i),
-                    {text},
-                    {
-                        "n_tokens": pa.array([len(g[0]) // 4 for g in got], pa.int64()),
-                        "ids": pa.array([g[0] for g in got], pa.binary()),
-                        "decoded": pa.array([g[1].decode() for g in got], pa.string()),
-                    },
-                )
-                i = j
+            for i, j, data, offsets in slices(batch.column(batch.schema.get_field_index(text)), RUN_BYTES):
+                yield with_columns(batch.slice(i, j - i), {text}, codec.columns(data, offsets))
 
     return run
 

@@ -31,21 +31,22 @@ def test_bpe_agrees_with_the_tokenizer(docs, empty, clashing, texts):
     assert bpe_codec(clashing).agg(F.sum("n_tokens")).first()[0] == bpe_codec(docs).agg(F.sum("n_tokens")).first()[0]
 
 
-def test_bpe_chunk_borders_inside_words(texts):
-    """Borders fall inside words and characters; joins are repaired whatever the chunk size."""
+def test_bpe_chunk_borders_inside_words(texts, monkeypatch):
+    """Borders fall inside words; joins are repaired and repeated chunks reused, whatever the chunk size."""
     from quillon.llm import bpe_codec as B
 
-    codec, raw = B.Codec(None), (" ".join(t or "" for t in texts) * 2).encode()
-    codec.ready([raw])
-    whole = codec.encode(raw)
-    old = B.CHUNK
-    try:
-        for size in (2, 8, 4096):
-            B.CHUNK, codec.chunks = size, {}
-            assert codec.encode(raw) == whole
-    finally:
-        B.CHUNK = old
-    assert len(codec.cuts(raw)) > 5
+    codec = B.Codec(None)
+    raw = [(t or "").encode() for t in texts] * 2 + [" ".join(t or "" for t in texts).encode()]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    want = [codec.tokenizer.encode(r.decode(), add_special_tokens=False).ids for r in raw]
+    for size in (2, 8, 128, 4096):
+        monkeypatch.setattr(B, "CHUNK", size)
+        ids, rows, _, _ = codec.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:], strict=False)] == want
+        starts, ends = B.runs(~B.SPACE[data], offsets)
+        one, two = (B.hash_runs(data, starts, ends, p) for p in (codec.powers, codec.others))
+        source = codec.sources(data, offsets, starts, ends, one, two)
+        assert (source != np.arange(len(source))).sum() > 1000 and (one[source] == one).all()
 
 
 def brute_fingerprint(t):

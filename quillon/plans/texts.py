@@ -292,3 +292,34 @@ def stream_dedup(t: Tables) -> DataFrame:
     rows = incremental_dedup(stream(spark, f"{t.sf_dir}/documents.parquet", t.documents.schema).select("doc_id", "text"))
     rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("doc_id", "duplicate_of")
+
+
+_ML = f"k AS (SELECT doc_id, text, {tok_sql(clean_sql('text'))} AS k FROM documents), h AS (SELECT doc_id, len(k) AS token_count, length(text) AS char_count, sha1(array_to_string(k, ' ')) AS clean_hash FROM k)"
+
+
+@query(f"WITH {_ML} SELECT doc_id, token_count, char_count, token_count BETWEEN 20 AND 400 AS within_target_window, doc_id <> min(doc_id) OVER w AS is_duplicate, min(doc_id) OVER w AS duplicate_group FROM h WINDOW w AS (PARTITION BY clean_hash)")
+def ml_features(t: Tables) -> DataFrame:
+    from quillon.plans.pipelines import ml_features as features
+
+    return features(t.documents.select("doc_id", "text")).select("doc_id", F.col("token_count").cast("long").alias("token_count"), F.col("char_count").cast("long").alias("char_count"), "within_target_window", "is_duplicate", "duplicate_group")
+
+
+@query("SELECT o_orderpriority AS nombre, count(*) AS sentencias FROM orders GROUP BY 1")
+def decompose_3nf(t: Tables) -> DataFrame:
+    from quillon.plans.pipelines import decompose, parse_records
+
+    tables = decompose(parse_records(_cards(t)))
+    return tables["sentencias"].join(tables["tipo_proceso"].withColumnRenamed("id", "tipo_proceso_id"), "tipo_proceso_id").groupBy("nombre").agg(F.count(F.lit(1)).alias("sentencias"))
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark")
+def catalog_counts(t: Tables) -> DataFrame:
+    parts = [getattr(t, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in ("documents", "pages", "benchmark")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def pending_rows(t: Tables) -> DataFrame:
+    from quillon.sources.readers import pending
+
+    return pending(t.documents, t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id").agg(F.count(F.lit(1)).alias("n"))

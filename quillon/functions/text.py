@@ -6,6 +6,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The Spanish stop words that tokenisation can leave out.
 STOPWORDS_ES = (
@@ -17,12 +18,12 @@ STOPWORDS_ES = (
 ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC; Spark has no built-in for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

@@ -142,7 +142,7 @@ def build_context(df: DataFrame, order: list[Column], text: str, source: str, li
     return ranked.select("n", block.alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
 
 
-def ivf_topk(corpus: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6, sample: int = 20_000, id_col: str = "vec_id", embedding: str = "embedding", seed: int = 42) -> DataFrame:
+def ivf_topk(corpus: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 13, sample: int = 20_000, id_col: str = "vec_id", embedding: str = "embedding", seed: int = 42) -> DataFrame:
     """Approximate knn: k-means cells fitted on a bounded hash sample index every row; a query searches its nearest cells only."""
     rows = corpus.select(id_col, embedding).where(F.col(embedding).isNotNull())
     fit = np.array([r[0] for r in rows.orderBy(F.xxhash64(id_col, F.lit(seed))).limit(sample).select(embedding).toLocalIterator()], np.float64)

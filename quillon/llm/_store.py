@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -37,3 +38,15 @@ def written(df: DataFrame) -> DataFrame:
 
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def reduced(parts: DataFrame, step, key: str, keys: int) -> DataFrame:
+    """parts added up by key with a mapInArrow step that streams and returns rows of the same kind.
+
+    A task a key adds the rows of many tasks as they stream in; where there are
+    many tasks, groups of them are added first, so no task reads them all.
+    """
+    groups = max(1, shuffles(parts.sparkSession) // 16)
+    salted = parts.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    first = salted.repartition(keys * groups, key, "__salt").drop("__salt").mapInArrow(step, parts.schema)
+    return first if groups == 1 else first.repartition(keys, key).mapInArrow(step, parts.schema)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm._labels import fit_rows
+from quillon.llm._store import reduced
 from quillon.llm._text import LETTER, SPACE, Powers, hash_runs, mix, slices, with_columns
 
 BUCKETS, DIMS, MARKS, PART = 8192, 32, 2, 256
@@ -80,13 +81,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             now = np.frombuffer(sums, np.int64)
             total[part] = total[part] + now if part in total else now
+    if not total:
+        return
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """BUCKETS x DIMS word vectors; neighbour sums over all documents, added up where they are made."""
     kind = "part int, sums binary"
-    parts = docs.select(text).mapInArrow(_contexts, kind).repartition(BUCKETS // PART, "part").mapInArrow(_add, kind).collect()
+    parts = reduced(docs.select(text).mapInArrow(_contexts, kind), _add, "part", BUCKETS // PART).collect()
     context = np.zeros((BUCKETS // PART, PART * DIMS))
     for r in parts:
         context[r["part"]] += np.frombuffer(r["sums"], np.int64)

@@ -8,7 +8,10 @@ and a posting needs 32 equal bits: postings stay short as the corpus grows.
 Each posting tallies shared bytes, keeps pairs with the minimum, and verifies
 the differing bits. Postings give spanning links, not all pairs: a search from
 one fingerprint compares only those not reached yet, so a large group of near
-copies costs about one pass over it.
+copies costs about one pass over it. What meets in a posting is distinct
+fingerprints of 16 bytes that agree in 32 bits, not documents: copies of a
+text are one of them, and near copies within six differing bits that also
+share those 32 can be about a million at most.
 
 Rows with equal fingerprints are one entry. A null, empty or blank text has
 fingerprint zero. component_id is the smallest non-null doc_id of the

@@ -21,6 +21,15 @@ def multi_hot(df: DataFrame, column: str, categories: list[str], prefix: str) ->
     return df.select("*", *(F.coalesce(F.array_contains(column, c), F.lit(False)).cast("byte").alias(f"{prefix}__{c}") for c in categories))
 
 
+def weighted_blocks(*blocks: tuple[Column, float]) -> Column:
+    """Arrays one after the other, each times its weight."""
+
+    def scaled(block: Column, weight: float) -> Column:
+        return F.transform(block, lambda x: x.cast("double") * weight)
+
+    return F.concat(*(scaled(c, w) for c, w in blocks))
+
+
 def seeded_order(seed: str, id_col: str) -> Column:
     """A random-looking order that any engine can repeat."""
     return F.sha1(F.concat(F.lit(seed), F.col(id_col).cast("string")))

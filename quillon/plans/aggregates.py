@@ -292,3 +292,23 @@ def smote(t: Tables) -> DataFrame:
 @query()
 def hash_embed(t: Tables) -> DataFrame:
     return M.hash_embed(t.documents.select("doc_id", "text"))
+
+
+_MARKS = ["licensed", "zzzz", "the"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS section, sum((NOT contains(lower(text), '{m}'))::INT)::BIGINT AS missing, round(100 * avg((NOT contains(lower(text), '{m}'))::INT), 4) AS percent FROM documents" for m in _MARKS))
+def audit_missing_sections(t: Tables) -> DataFrame:
+    """Texts without each expected section mark, all marks in one pass."""
+    low = F.lower("text")
+    one = t.documents.agg(F.count("text").alias("n"), *(F.count_if(~F.contains(low, F.lit(m))).alias(m) for m in _MARKS))
+    each = one.select("n", F.explode(F.array(*(F.struct(F.lit(m).alias("section"), F.col(m).alias("missing")) for m in _MARKS))).alias("x"))
+    return each.select("x.section", "x.missing", F.round(100 * F.col("x.missing") / F.col("n"), 4).alias("percent"))
+
+
+@query("SELECT vec_id, len(v) AS dims, round(list_sum(v), 5) AS total FROM (SELECT vec_id, list_concat(list_transform(embedding::DOUBLE[], lambda x: 3 * x), [2 * (label = 1)::INT, 2 * (label = 2)::INT]::DOUBLE[]) AS v FROM embeddings)")
+def weighted_blocks(t: Tables) -> DataFrame:
+    """One feature vector from blocks with weights of their own."""
+    hot = F.array(*((F.col("label") == k).cast("double") for k in (1, 2)))
+    v = M.weighted_blocks((F.col("embedding"), 3.0), (hot, 2.0))
+    return t.embeddings.select("vec_id", v.alias("v")).select("vec_id", F.size("v").cast("long").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))

@@ -21,13 +21,14 @@ class Tables:
         return table(self.spark, self.sf_dir, name)
 
 
-def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    """Register a plan under its function's name."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Register a plan under its function's name, or under another."""
 
     def add(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[plan.__name__] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
+        key = name or plan.__name__
+        QUERIES[key] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
         if sql:
-            SQL[plan.__name__] = sql
+            SQL[key] = sql
         return plan
 
     return add

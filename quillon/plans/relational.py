@@ -147,7 +147,8 @@ def delete_rows(t: Tables) -> DataFrame:
 
 @query(
     "WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS up, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier), "
-    "p AS (SELECT id, 0 AS depth, name AS path FROM n WHERE up IS NULL UNION ALL SELECT n.id, depth + 1, path || ' > ' || name FROM n JOIN p ON n.up = p.id) SELECT id, depth, path FROM p"
+    "p AS (SELECT id, 0 AS depth, name AS path FROM n WHERE up IS NULL UNION ALL SELECT n.id, depth + 1, path || ' > ' || name FROM n JOIN p ON n.up = p.id) SELECT id, depth, path FROM p",
+    name="tree_paths",
 )
 def tree_paths_all(t: Tables) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))

@@ -85,12 +85,12 @@ def hybrid_search(t: Tables) -> DataFrame:
 OVERLAP = f"len(list_intersect({TERM_SQL}, list_distinct({tok_sql('text')}))) / 4.0"
 
 
-@query(f"SELECT doc_id, round({OVERLAP}, 6) AS overlap FROM documents")
+@query(f"SELECT doc_id, round({OVERLAP}, 6) AS overlap FROM documents", name="lexical_overlap")
 def lexical_overlap_score(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(lexical_overlap(TERMS, tokens(F.col("text"))), 6).alias("overlap"))
 
 
-@query("SELECT item_id, round((contains(lower(text), 'tion')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'zzz')::INT) / 3.0, 6) AS coverage FROM benchmark")
+@query("SELECT item_id, round((contains(lower(text), 'tion')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'zzz')::INT) / 3.0, 6) AS coverage FROM benchmark", name="keyword_coverage")
 def keyword_coverage_score(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.round(keyword_coverage(["tion", "the", "zzz"], F.col("text")), 6).alias("coverage"))
 
@@ -175,3 +175,26 @@ def ivf_topk(t: Tables) -> DataFrame:
 def query_intent(t: Tables) -> DataFrame:
     asked = t.benchmark.select("item_id", F.when(F.col("item_id") % 3 == 0, "Acción de nulidad").when(F.col("item_id") % 3 == 1, "ha lugar").otherwise("sin nada").alias("q"))
     return asked.select("item_id", intent(F.lower(latin_fold(F.col("q"))))["fallo_macro"].alias("outcome"))
+
+
+_BASIS = """t AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3),
+b AS (SELECT o_orderkey, string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS basis, min(l_partkey) AS first_part FROM t JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1)"""
+
+
+@query(f"WITH {_BASIS} SELECT t.o_orderkey, coalesce(basis, 'sin base') AS basis, p_name AS norm FROM t LEFT JOIN b USING (o_orderkey) LEFT JOIN part ON p_partkey = first_part")
+def expert_query(t: Tables) -> DataFrame:
+    """The three best judgments, each with its distinct legal bases in one string and the norm looked up for the first of them (the smallest key, so the choice is fixed)."""
+    top = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3).select("o_orderkey")
+    links = top.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part.select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    basis = links.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), "; ").alias("basis"), F.min("l_partkey").alias("first_part"))
+    norms = t.part.select(F.col("p_partkey").alias("first_part"), F.col("p_name").alias("norm"))
+    return top.join(basis, "o_orderkey", "left").join(norms, "first_part", "left").select("o_orderkey", F.coalesce("basis", F.lit("sin base")).alias("basis"), "norm")
+
+
+@query(f"WITH {Q}, {FRAGMENTS}, g AS (SELECT source, lang, max(sim) AS s FROM f GROUP BY ALL), m AS (SELECT source, lang, s FROM g ORDER BY s DESC, source, lang LIMIT 3) SELECT m.source, m.lang, f.doc_id, f.sim FROM m JOIN f ON m.source = f.source AND m.lang = f.lang QUALIFY row_number() OVER (PARTITION BY m.source, m.lang ORDER BY f.sim DESC, f.doc_id) <= 2")
+def two_level_search(t: Tables) -> DataFrame:
+    """Chapters (source and language) by their best passage, then the best passages in each."""
+    rows = S.with_similarity(_fragments(t), vector_of(t)).select("source", "lang", "doc_id", "sim")
+    chapters = rows.groupBy("source", "lang").agg(F.max("sim").alias("s")).orderBy(F.desc("s"), "source", "lang").limit(3).select("source", "lang")
+    w = Window.partitionBy("source", "lang").orderBy(F.desc("sim"), "doc_id")
+    return rows.join(F.broadcast(chapters), ["source", "lang"]).withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")

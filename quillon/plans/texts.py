@@ -213,6 +213,7 @@ def _chunks(preset: str):
 
 for _preset in C.PRESETS:
     query()(_chunks(_preset))
+query(name="chunk_sentences")(_chunks("statutes"))
 
 _PREP = f"""k AS (SELECT doc_id, {tok_sql(clean_sql('text'))} AS k FROM documents),
 d AS (SELECT doc_id, len(k) AS n, sha1(array_to_string(k, ' ')) AS clean_hash, CASE WHEN len(k) = 0 THEN 'empty' ELSE sha1(array_to_string(k[1:12], '|') || '|...|' || CASE WHEN len(k) > 12 THEN array_to_string(k[greatest(len(k) - 11, 1):], '|') || '|' ELSE '' END || (len(k) // 10)::VARCHAR) END AS near_key,

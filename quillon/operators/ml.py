@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.text import tokens
+from quillon.operators.relational import numbered
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str], prefix: str) -> DataFrame:
@@ -42,17 +43,18 @@ def sample_per_class(df: DataFrame, label: str, n: int, seed: str, id_col: str)
 
 def stratified_split(df: DataFrame, label: str, share: float, seed: str, id_col: str) -> DataFrame:
     """df with part: the first `share` of every class in seeded order is 'train', the rest 'test'."""
-    order = Window.partitionBy(label).orderBy(seeded_order(seed, id_col), id_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("part", F.when(F.row_number().over(order) <= F.ceil(n * share), "train").otherwise("test"))
+    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = numbered(df, [seeded_order(seed, id_col), F.col(id_col)], "__rank", [label])
+    part = F.when(F.col("__rank") <= F.ceil(F.col("__n") * share), "train").otherwise("test")
+    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("__label"))).select(*df.columns, part.alias("part"))
 
 
 def oversample(df: DataFrame, label: str, seed: str, id_col: str) -> DataFrame:
     """Every class repeated up to the size of the largest: whole copies, then the first rows in seeded order. copy: 0 for originals."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
     largest = sizes.agg(F.max("__n").alias("__max"))  # one row
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy(seeded_order(seed, id_col), id_col)))
-    sized = ranked.join(F.broadcast(sizes), label).crossJoin(F.broadcast(largest))
+    ranked = numbered(df, [seeded_order(seed, id_col), F.col(id_col)], "__rank", [label])
+    sized = ranked.join(sizes, F.col(label).eqNullSafe(F.col("__label"))).crossJoin(F.broadcast(largest))
     copies = F.ceil((F.col("__max") - F.col("__rank") + 1) / F.col("__n")).cast("int")
     return sized.select(*df.columns, F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
 

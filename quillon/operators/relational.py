@@ -59,14 +59,24 @@ def positional_join(left: DataFrame, left_order: list[Column], right: DataFrame,
     return numbered(left, left_order, "__n").join(numbered(right, right_order, "__n"), "__n").drop("__n")
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with its row number (from 1) in a total order, without a global window."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    return own.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__offset") + F.col("__own")).drop("__part", "__own", "__offset")
+def numbered(df: DataFrame, order: list[Column], name: str, within: list[str] | None = None) -> DataFrame:
+    """df with its row number (from 1) in a total order, in all or within each value of some columns.
+
+    Rows are dealt out by ranges of the order, numbered in each range, and
+    moved by the sizes of the ranges before, so neither the table nor a value
+    that most rows share is brought into one task.
+    """
+    keys = within or []
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id())
+    sizes = ranged.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and value in it
+    offsets = sizes.select(F.col("__part").alias("__at"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)))
+    same = F.col("__part") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return own.join(offsets, same).withColumn(name, F.col("__offset") + F.col("__own")).select(*df.columns, name)
 
 
 def build_dimension(df: DataFrame, name: Column, order: list[Column]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.functions.vectors import is_zero
 from quillon.operators import ml as M
@@ -115,8 +114,7 @@ def topn_bucket(t: Tables) -> DataFrame:
 
 @query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1('s' || doc_id), doc_id) - 1 AS n FROM documents) SELECT lang, n // 2 AS pair, max(CASE WHEN n % 2 = 0 THEN doc_id END) AS anchor, max(CASE WHEN n % 2 = 1 THEN doc_id END) AS positive FROM r GROUP BY ALL HAVING count(*) = 2")
 def pair_rows(t: Tables) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy(M.seeded_order("s", "doc_id"), "doc_id")
-    n = t.documents.select("doc_id", "lang", (F.row_number().over(w) - 1).alias("n"))
+    n = numbered(t.documents.select("doc_id", "lang"), [M.seeded_order("s", "doc_id"), F.col("doc_id")], "n", ["lang"]).withColumn("n", F.col("n") - 1)
     own = lambda k: F.max(F.when(F.col("n") % 2 == k, F.col("doc_id")))
     return n.groupBy("lang", F.floor(F.col("n") / 2).alias("pair")).agg(own(0).alias("anchor"), own(1).alias("positive"), F.count(F.lit(1)).alias("c")).where("c = 2").drop("c")
 

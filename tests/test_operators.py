@@ -38,6 +38,14 @@ def test_numbering_is_total(spark):
     assert [got[x] for x in sorted(got)] == list(range(1, 501))
 
 
+def test_numbering_within_values(spark):
+    df = spark.range(900).select(F.when(F.col("id") < 700, "hot").when(F.col("id") < 800, None).otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") * 7919 % 901).alias("x")).repartition(7)
+    got = {}
+    for r in R.numbered(df, [F.col("x")], "n", ["k"]).collect():
+        got.setdefault(r.k, []).append((r.x, r.n))
+    assert all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values()) and len(got["hot"]) == 700
+
+
 def test_components(spark):
     nodes = spark.range(60).withColumnRenamed("id", "n")
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 49), (50, 51)], "a long, b long")

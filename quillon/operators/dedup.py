@@ -1,7 +1,5 @@
 """Exact and near duplicates among cleaned texts, and among vectors."""
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,28 +83,24 @@ def spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 def embedding_links(df: DataFrame, least: float, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(a, b): links that connect all vectors joined by chains of cosines of at least `least`.
 
-    All rows are queries, in blocks against all rows; a block sends spanning
-    links on, so large groups of equal vectors do not give all their pairs.
+    Exact, so every block of vectors meets every other once, two blocks a
+    task; a pair of blocks sends spanning links on, so large groups of equal
+    vectors do not give all their pairs. Nothing is gathered on the driver.
     """
-    rows = [(r[0], r[1]) for r in df.select(id_col, embedding).where(F.col(embedding).isNotNull()).toLocalIterator()]
-    out = None
-    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = np.array([r[0] for r in block], np.int64)
-        unit = np.array([r[1] for r in block], np.float64).reshape(len(block), -1)
-        unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-
-        def link(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, unit: np.ndarray = unit) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    x = np.array(pdf[embedding].tolist(), np.float64)
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    a, b = spanning(np.round(unit @ x.T, 6) >= least, ids, pdf[id_col].to_numpy(np.int64))
-                    yield pd.DataFrame({"a": a, "b": b})
-
-        part = df.select(id_col, embedding).where(F.col(embedding).isNotNull()).mapInPandas(link, "a long, b long")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    rows = df.select(F.col(id_col).alias("id"), F.col(embedding).alias("v")).where(F.col(embedding).isNotNull())
+    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), np.float64)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        left, ids = (pdf["block"] == pdf["low"]).to_numpy(), pdf["id"].to_numpy(np.int64)
+        right = left if pdf["low"].iloc[0] == pdf["high"].iloc[0] else ~left
+        a, b = spanning(np.round(x[left] @ x[right].T, 6) >= least, ids[left], ids[right])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.groupBy("low", "high").applyInPandas(link, "a long, b long").distinct()
 
 
 def embedding_components(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -16,7 +16,9 @@ entry on, so a passage in a third of all documents reaches its file once per
 task and not once per document.
 
 Null, empty and short texts have no windows. Repeated rows count as places of
-their own. Window identity is 32 bits within a 64-bit file key.
+their own. Window identity is 48 bits within a 64-bit file key: a file that a
+very common line fills with a hundred thousand different windows has a false
+match once in fifty thousand times.
 """
 
 from collections.abc import Iterator
@@ -31,6 +33,8 @@ from quillon.llm._store import shuffles
 from quillon.llm._text import SPACE, Powers, hashed_words, mix, runs, slices, windows_hash, with_columns
 
 WINDOW, GRAM, TASK_WORDS = 35, 8, 1 << 20
+#: Bytes of a window's hash that are sent.
+SENT = 6
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -75,9 +79,9 @@ def _file(window: int, gram: int):
         leads = np.zeros(len(same), bool)
         leads[lead] = True
         many = times[which] > 1
-        short = (whole >> np.uint64(32)).astype("<u4")
+        short = whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]
         sent = np.flatnonzero(leads)
-        lengths = (n[sent] * 4).astype(np.int64)
+        lengths = (n[sent] * SENT).astype(np.int64)
         take = np.repeat(leads, n)
         blob = short[take].tobytes()
         done = np.flatnonzero(many)
@@ -117,8 +121,7 @@ def _file(window: int, gram: int):
 def matched_runs(keys: np.ndarray, n: np.ndarray, many: np.ndarray, hashes: np.ndarray):
     """(entry, offset, number) of each run of windows of an entry that start at two places or more. hashes: of all entries in turn."""
     entry = np.repeat(np.arange(len(keys)), n)
-    group = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]])).astype(np.uint64)
-    code = (group[entry] << np.uint64(32)) | hashes.astype(np.uint64)
+    code = mix(keys.view(np.uint64)[entry] ^ mix(hashes))
     _, which = np.unique(code, return_inverse=True)
     twice = np.bincount(which, weights=1 + many[entry])[which] >= 2
     border = np.concatenate([[True], entry[1:] != entry[:-1]])
@@ -137,7 +140,10 @@ def _match():
         open_ = ~settled
         at, offset, number = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         if (o := np.flatnonzero(open_)).size:
-            hashes = np.frombuffer(b"".join(blobs.take(pa.array(o)).to_pylist()), "<u4")
+            sent = np.frombuffer(b"".join(blobs.take(pa.array(o)).to_pylist()), np.uint8).reshape(-1, SENT)
+            hashes = np.zeros((len(sent), 8), np.uint8)
+            hashes[:, :SENT] = sent
+            hashes = hashes.view("<u8").ravel()
             at, offset, number = matched_runs(key[o], n[o].astype(np.int64), many[o], hashes)
             at = o[at]
         s = np.flatnonzero(settled)

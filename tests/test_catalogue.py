@@ -58,7 +58,7 @@ def test_plans_push_down(spark, sf):
     assert "PushedFilters: [IsNotNull" in plan("sem_topk_filtered") and "TakeOrderedAndProject" in plan("sem_topk")
     assert "WindowGroupLimit" in plan("sem_best_per_source")
     assert "CartesianProduct" not in plan("orphans_not_in") and "NestedLoop" not in plan("not_exists_one")
-    assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp>" in plan("by_year_month")
+    assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in plan("by_year_month")
 
 
 def test_entry(spark):

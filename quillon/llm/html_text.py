@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from quillon.llm._text import with_columns
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
+CUT_OFF = re.compile(r"</?\Z")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -39,6 +40,8 @@ NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar"
     r"|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|widget|toolbar|pagination|pager|search)(?:[\s_-]|$)"
 )
+#: Elements nested deeper are taken as part of the one around them.
+DEPTH = 400
 #: An open element of the key is closed by the start of one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
 
@@ -60,7 +63,7 @@ class Page:
         if tag not in INLINE:
             self.block += 1
             self.imply(tag)
-        if tag in VOID:
+        if tag in VOID or len(self.stack) > DEPTH:
             return
         up = self.stack[-1]
         noise = self.noise[up] or tag in NOISE_TAGS or tag == "header" and not any(self.tag[x] in ("article", "main") for x in self.stack)
@@ -125,9 +128,7 @@ class Page:
                 at = over.end() if over else len(html)
                 continue
             self.open(tag, attributes)
-        rest = html[at:]
-        cut = rest.rfind("<")
-        self.text(rest[:cut] if cut >= 0 and re.fullmatch(r"</?[a-zA-Z!]?[^>]*", rest[cut:]) and len(rest) - cut < 40 and not rest[cut + 1 : cut + 2].isspace() and rest[cut + 1 :] else rest)
+        self.text(CUT_OFF.sub("", html[at:]))  # a page may end within a tag
 
 
 def densities(page: Page, chars: list[int], link_chars: list[int]) -> tuple[list[float], list[float]]:
@@ -178,7 +179,7 @@ def main_text(html: str | None) -> str:
     if around:
         kept[around[-1]] = True
     else:
-        threshold = min(density[x] for x in path if page.tag[x] not in ("#", "html"))  if any(page.tag[x] not in ("#", "html") for x in path) else density[core]
+        threshold = min((density[x] for x in path if page.tag[x] not in ("#", "html")), default=density[core])
         kept[core] = True
         on_path = set(path)
         for i in range(1, n):

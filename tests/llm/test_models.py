@@ -176,6 +176,18 @@ def test_html():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_html_hostile_nesting():
+    """Depth is bounded, so unclosed and unmatched tags take time in proportion."""
+    import time
+
+    from quillon.llm.html_text import main_text
+
+    began = time.process_time()
+    for page in ("<b>" * 20_000 + "y" + "</i>" * 20_000, "<div>" * 20_000 + "x" + "</p>" * 20_000, "<i><div>" + "<b>" * 3000 + "</i>" * 20_000, "<ul>" + "<li>a" * 20_000, "<!--" * 20_000, '<a b="' * 20_000):
+        main_text(page)
+    assert time.process_time() - began < 15
+
+
 def test_html_frame(spark):
     from quillon.llm.html_text import extract_text
 

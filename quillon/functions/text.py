@@ -123,7 +123,7 @@ def parse_date_text(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """The validated date, or null."""
-    return F.coalesce(F.try_to_date(c, "dd/MM/yyyy"), F.try_to_date(c, "dd-MM-yyyy")) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(parse_date_text(c), F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.try_to_date(c, "dd/MM/yyyy"), F.try_to_date(c, "dd-MM-yyyy"))
 
 
 def file_date(name: Column) -> Column:

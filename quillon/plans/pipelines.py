@@ -7,7 +7,6 @@ from quillon.functions.chunking import explode_chunks, sentence_chunker, sliding
 from quillon.functions.extract import between, key_values
 from quillon.functions.rules import first_rule
 from quillon.functions.text import clean_full_text, clean_text, near_key, parse_date, sanitize, tokens, uuid5
-from quillon.operators import dedup
 from quillon.operators.ml import hash_embed
 from quillon.operators.resolve import DNS
 
@@ -66,6 +65,3 @@ def ml_features(df: DataFrame, id_col: str = "doc_id", text: str = "text", low:
 def embed_pending(df: DataFrame, done: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Vectors for rows that have none yet."""
     return hash_embed(df.join(done.select(id_col), id_col, "left_anti").select(id_col, text), text)
-
-
-__all__ = ["decompose", "dedup", "embed_pending", "ml_features", "parse_records", "rechunk"]

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from quillon.llm._text import SPACE, Powers, hash_runs, mix, prefix_sums, runs, slices, spans_hash, windows_hash, with_columns
 
 ROLL, CHUNK = 16, 128
-MAX_WORDS, TOGETHER, RUN_BYTES = 300_000, 256, 2 << 20
+MAX_WORDS, TOGETHER, RUN_BYTES = 200_000, 256, 1 << 20
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
 #: Words with characters beyond U+02FF, or with what may be a special token, are encoded alone.
 ODD = re.compile(rb"[\xcc-\xff]|<\|").search

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._text import LETTER, LOWER, Lookup, Powers, hash_runs, lowered, runs, slices, windows_hash, with_columns
+from quillon.llm._text import LETTER, LOWER, Lookup, Powers, hash_runs, lowered, lowered_slices, runs, windows_hash, with_columns
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
 #: Items a scan; their index is what goes to every executor.
@@ -156,7 +156,7 @@ def _flag(text: str, bench: Benchmark, more: bool):
         kept, lookups = Powers(), {g: Lookup(s) for g, s in bench.shingles.items()}
         for batch in batches:
             found: list[list[dict]] = []
-            for i, j, data, offsets in slices(lowered(batch.column(batch.schema.get_field_index(text)))):
+            for i, j, data, offsets in lowered_slices(batch.column(batch.schema.get_field_index(text))):
                 words, at = words_of(data, offsets, kept)
                 rows: list[list[dict]] = [[] for _ in range(j - i)]
                 hits, enough = {}, set()

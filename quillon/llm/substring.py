@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from quillon.llm._store import shuffles
 from quillon.llm._text import SPACE, Powers, hashed_words, mix, runs, slices, windows_hash, with_columns
 
-WINDOW, GRAM, TASK_WORDS = 35, 8, 1 << 20
+WINDOW, GRAM, TASK_WORDS = 35, 8, 1 << 19
 #: Bytes of a window's hash that are sent.
 SENT = 6
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from quillon.llm._labels import fit_rows
 from quillon.llm._store import cut
-from quillon.llm._text import LETTER, LOWER, Lookup, Powers, hash_heads, lowered, mix, runs, slices, windows_hash, with_columns
+from quillon.llm._text import LETTER, LOWER, Lookup, Powers, hash_heads, lowered_slices, mix, runs, windows_hash, with_columns
 
 HEADS = (4, 5, 6)
 #: At most so many labelled rows of each class, terms, and neighbours that vote.
@@ -56,7 +56,7 @@ def least_shingle(words: np.ndarray, row: np.ndarray, rows: int, kept: Powers) -
 def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = Powers()
     for batch in batches:
-        for i, j, data, offsets in slices(lowered(batch.column(2))):
+        for i, j, data, offsets in lowered_slices(batch.column(2)):
             hashes, row = terms(data, offsets, kept)
             code = np.concatenate(hashes)
             rows = np.tile(row, len(hashes))
@@ -103,7 +103,7 @@ def _document_counts(vocabulary: np.ndarray):
         kept, lookup, total = Powers(), Lookup(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
-            for _, _, data, offsets in slices(lowered(batch.column(0))):
+            for _, _, data, offsets in lowered_slices(batch.column(0)):
                 _, term, _ = vectors(data, offsets, lookup, kept)
                 total[: len(vocabulary)] += np.bincount(term, minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "n"])
@@ -234,7 +234,7 @@ def _scorer(text: str, index: Index, evidence: int):
         kept, lookup = Powers(), Lookup(index.vocabulary)
         known: dict[tuple, tuple] = {}
         for batch in batches:
-            for i, j, data, offsets in slices(lowered(batch.column(batch.schema.get_field_index(text)))):
+            for i, j, data, offsets in lowered_slices(batch.column(batch.schema.get_field_index(text))):
                 row, term, n = vectors(data, offsets, lookup, kept)
                 at = np.searchsorted(row, np.arange(j - i + 1)).tolist()
                 scores, why = np.full(j - i, index.none), [[]] * (j - i)

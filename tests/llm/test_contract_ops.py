@@ -129,7 +129,7 @@ def brute_substring(rows, window=35):
     return out
 
 
-@pytest.mark.parametrize("task_words", [1 << 20, 500])
+@pytest.mark.parametrize("task_words", [1 << 19, 500])
 def test_substring(spark, docs, empty, clashing, texts, task_words, monkeypatch):
     from quillon.llm import substring as S
 

@@ -66,3 +66,66 @@ def test_every_query_is_registered():
     names = list(E.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(E.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("small", [6, 0])
+def test_near_copies_at_every_similarity(spark, small, monkeypatch):
+    """Copies planted at 0.80 to 0.95 go, those just below 0.8 stay; against all pairs by brute force."""
+    import corpus_pipeline as P
+    from quillon.llm import similar as S
+
+    rng = np.random.default_rng(3)
+    rows, sets = {}, {}
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(150, 500)))]
+        rows[i] = w
+        for k, edits in enumerate((1, 3, 5, 8)):  # one new word in about every 100 to 30
+            v = w.copy()
+            for at in rng.choice(len(w), max(1, edits * len(w) // 400), replace=False):
+                v[at] = f"e{rng.integers(1 << 40)}"
+            rows[1000 * (k + 1) + i] = v
+    sets = {i: shingles(w) for i, w in rows.items()}
+    parent = {i: i for i in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    seen = []
+    for i in range(60):
+        own = [i, *(1000 * k + i for k in range(1, 5))]
+        for n, a in enumerate(own):
+            for b in own[:n]:
+                s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                seen.append(s)
+                if s >= 0.8:
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    assert sum(0.8 <= s < 0.9 for s in seen) > 20 and sum(0.7 <= s < 0.8 for s in seen) > 20
+    monkeypatch.setattr(S, "SMALL", small)  # 0: by the search alone
+    table = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.drop_near_duplicates(spark, table, "").collect()}
+    assert kept == {find(i) for i in rows}
+
+
+def test_search_of_a_large_group():
+    """Chained and separate members of one group, against all pairs."""
+    from quillon.llm.similar import link_group
+
+    rng = np.random.default_rng(8)
+    base = rng.choice(1 << 40, 400, replace=False)
+    sets = [np.unique(np.concatenate([base[k : k + 100], rng.integers(1 << 50, 1 << 60, int(rng.integers(0, 4)))])).astype(np.uint64) for k in (*range(0, 60, 5), *range(150, 300, 15))]
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = np.arange(len(sets))
+    for a in range(len(sets)):
+        for b in range(a):
+            if alike(sets[a], sets[b]):
+                want[want == want[a]] = want[b]
+    got = np.arange(len(sets))
+    for a, b in link_group(sets, np.arange(len(sets))):
+        assert alike(sets[a], sets[b])
+        got[got == got[a]] = got[b]
+    groups = lambda x: {tuple(np.flatnonzero(x == v)) for v in x}
+    assert groups(got) == groups(want) and 5 < len(groups(want)) < len(sets)

@@ -16,9 +16,10 @@ entry on, so a passage in a third of all documents reaches its file once per
 task and not once per document.
 
 Null, empty and short texts have no windows. Repeated rows count as places of
-their own. Window identity is 48 bits within a 64-bit file key: a file that a
-very common line fills with a hundred thousand different windows has a false
-match once in fifty thousand times.
+their own. Window identity is the whole 64-bit hash, within its file: ten
+million different windows of one line's file have a false match once in
+hundreds of thousands of times. Files that a very common line fills are counted
+first and split by the windows' own hashes, so that each part stays bounded.
 """
 
 from collections.abc import Iterator
@@ -34,7 +35,9 @@ from quillon.llm._text import SPACE, Powers, hashed_words, mix, runs, slices, wi
 
 WINDOW, GRAM, TASK_WORDS = 35, 8, 1 << 19
 #: Bytes of a window's hash that are sent.
-SENT = 6
+SENT = 8
+#: A file with more windows is split; files with fewer in TASK_WORDS words of every task are not counted.
+FILE_WINDOWS, COUNTED = 1 << 17, 64
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -46,8 +49,21 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(done[: len(done) - (n - size)], done[n - size :]) if n > size else done
 
 
-def file_windows(words: np.ndarray, offsets: np.ndarray, window: int, gram: int, kept: Powers):
-    """(row, first window, number, file key, window hashes) of each run of windows of a row with one key."""
+Hot = tuple[np.ndarray, np.ndarray]
+NONE: Hot = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def split_keys(key: np.ndarray, whole: np.ndarray, hot: Hot) -> np.ndarray:
+    """The files' keys, those of hot files (keys ascending, parts) with the part that the window's own hash gives."""
+    keys, parts = hot
+    if not len(keys):
+        return key
+    found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[found] == key, mix(key + whole % parts[found] * np.uint64(0xD6E8FEB86659FD93)), key)
+
+
+def file_windows(words: np.ndarray, offsets: np.ndarray, window: int, gram: int, kept: Powers, hot: Hot = NONE):
+    """(row, first window, number, file key, first window among all, window hashes) of each run of windows of a row with one key."""
     n = len(words)
     if n < window:
         return None
@@ -58,12 +74,53 @@ def file_windows(words: np.ndarray, offsets: np.ndarray, window: int, gram: int,
     at = np.flatnonzero(valid)
     if not len(at):
         return None
-    key, row, whole = key[at], row[at], whole[at]
+    row, whole = row[at], whole[at]
+    key = split_keys(key[at], whole, hot)
     begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
     return row[begin], at[begin] - offsets[row[begin]], np.diff(np.append(begin, len(at))), key[begin], begin, whole
 
 
-def _file(window: int, gram: int):
+def _count(window: int, gram: int, counted: int, task_words: int):
+    """(key, different windows) of the files that have at least `counted` in one piece of the input."""
+
+    def emit(held: list) -> Iterator[pa.RecordBatch]:
+        words, offsets = np.concatenate([h[0] for h in held]), np.concatenate([[0], np.cumsum(np.concatenate([h[1] for h in held]))])
+        if (filed := file_windows(words, offsets, window, gram, Powers())) is None:
+            return
+        _, _, n, key, _, whole = filed
+        _, lead = np.unique(whole, return_index=True)
+        keys, times = np.unique(np.repeat(key, n)[lead], return_counts=True)
+        at = np.flatnonzero(times >= counted)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(times[at].astype(np.int64))], names=["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held, size = Powers(), [], 0
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                words, at = hashed_words(data, offsets, kept)
+                held.append((words, np.diff(at)))
+                size += len(words)
+                if size >= task_words:
+                    yield from emit(held)
+                    held, size = [], 0
+        if held:
+            yield from emit(held)
+
+    return run
+
+
+def hot_files(docs: DataFrame, text: str, window: int, gram: int) -> Hot:
+    """Files with over FILE_WINDOWS windows and the parts that each is split into: at most one for so many windows of the corpus."""
+    counts = docs.select(text).mapInArrow(_count(window, gram, COUNTED, TASK_WORDS), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > FILE_WINDOWS).collect()
+    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    parts = np.array([-(-2 * r["n"] // FILE_WINDOWS) for r in rows], np.uint64)
+    order = np.argsort(keys)
+    return keys[order], parts[order]
+
+
+def _file(window: int, gram: int, hot: Hot = NONE):
     names = ["key", "id", "rk", "first", "n", "many", "hashes"]
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
@@ -71,7 +128,7 @@ def _file(window: int, gram: int):
         words, ids, nulls, rks = (np.concatenate([h[k] for h in held]) for k in range(4))
         sizes = np.concatenate([h[4] for h in held])
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        if (filed := file_windows(words, offsets, window, gram, kept)) is None:
+        if (filed := file_windows(words, offsets, window, gram, kept, hot)) is None:
             return
         row, first, n, key, begin, whole = filed
         same = mix(np.add.reduceat(mix(whole), begin) + key) + n.astype(np.uint64)
@@ -241,7 +298,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__rk": F.xxhash64(doc_id, text)})
-    filed = rows.select("__id", "__rk", text).mapInArrow(_file(window, gram), "key long, id long, rk long, first int, n int, many boolean, hashes binary")
+    filed = rows.select("__id", "__rk", text).mapInArrow(_file(window, gram, hot_files(docs, text, window, gram)), "key long, id long, rk long, first int, n int, many boolean, hashes binary")
     matched = filed.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(_match(), "id long, rk long, first int, n int")
     spans = matched.groupBy(F.col("id").alias("__sid"), F.col("rk").alias("__srk")).agg(F.collect_set(F.struct("first", "n")).alias("__spans"))
     new = ["kept_text", "n_words", "n_removed", "factors"]

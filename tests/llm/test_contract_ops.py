@@ -144,6 +144,26 @@ def test_substring(spark, docs, empty, clashing, texts, task_words, monkeypatch)
     assert S.substring_dedup(clashing).agg(F.sum("n_removed")).first()[0] == sum(w[1] for w in want)
 
 
+def test_substring_splits_hot_files(spark, monkeypatch):
+    """A line in every document: its file is split, windows keep all 64 bits, and results stay exact."""
+    from quillon.llm import substring as S
+
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(S, "FILE_WINDOWS", 200)
+    monkeypatch.setattr(S, "COUNTED", 8)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
+    line, passage = say(30), say(50)
+    rows = [f"{say(40)} {line} {say(40)}" for _ in range(200)] + [f"{say(9)} {line} {passage} {say(5)}" for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    hot = S.hot_files(docs, "text", S.WINDOW, S.GRAM)
+    assert len(hot[0])
+    filed = docs.select(F.col("doc_id"), F.lit(0).cast("long").alias("rk"), "text").mapInArrow(S._file(S.WINDOW, S.GRAM, hot), "key long, id long, rk long, first int, n int, many boolean, hashes binary").where("hashes is not null")
+    assert filed.where(F.length("hashes") != 8 * F.col("n")).count() == 0
+    assert filed.groupBy("key").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= 200
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in S.substring_dedup(docs).collect()}
+    assert got == dict(enumerate(brute_substring(rows))) and sum(x[1] for x in got.values()) >= 150
+
+
 def test_substring_keeps_layout(spark):
     from quillon.llm.substring import substring_dedup
 

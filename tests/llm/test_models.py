@@ -176,6 +176,16 @@ def test_html():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_html_noise_below_many_open_elements():
+    """Noise elements and end tags count at any depth."""
+    from quillon.llm.html_text import main_text
+
+    inner = "<article><p>Main text here.</p><nav>Menu</nav><div class=ad><div>Buy</div> now</div><p>More main text.</p></article>"
+    for tag in ("div", "span", "b"):
+        for n in (0, 300, 399, 401, 5000):
+            assert main_text(f"<{tag}>" * n + inner) == main_text(f"<{tag}>" * n + inner + f"</{tag}>" * n) == "Main text here.\nMore main text.", (tag, n)
+
+
 def test_html_hostile_nesting():
     """Depth is bounded, so unclosed and unmatched tags take time in proportion."""
     import time

@@ -1,14 +1,15 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by counting equal windows.
 
-Reference blocks are all windows of the corpus. Each is filed under the least
+This replaces relative Lempel-Ziv parsing: the words to remove are those of
+windows that start at two places, so counts of windows give them exactly, and
+no reference block is searched for longest matches. Each window is filed under the least
 hash of its k-word grams, so equal windows are filed together wherever they
 stand, and consecutive windows mostly share a file: a document sends one entry
 per file, with the hashes of the windows in it. A file tells which of its
-windows start at two places or more. A document is then parsed greedily from
-left to right: from the first matched window a factor grows while the next
-window is matched too; everything else is literal. Factors are at least one
-window long and their border words are those of matched windows, so the
-duplicate spans are exact. Windows are judged on the input, not on what is
+windows start at two places or more. A factor is a run of words that matched
+windows cover; it has no source position, and windows matched at different
+places can be in one. Factors are at least one window long and their border
+words are those of matched windows, so the duplicate spans are exact. Windows are judged on the input, not on what is
 left after other removals.
 
 Entries of one task that are equal settle each other there and send one
@@ -233,7 +234,7 @@ def _match():
 
 
 def parse(spans: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
-    """Greedy factors (first word, words) from matched runs (first window, windows), overlapping ones made one."""
+    """Factors (first word, words) from matched runs (first window, windows), overlapping ones made one."""
     out: list[list[int]] = []
     for first, n in sorted(spans):
         end = first + n - 1 + window

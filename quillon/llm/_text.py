@@ -1,8 +1,11 @@
 """Vectorised tokenisation and hashing over Arrow string buffers.
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, found in the UTF-8
-bytes of whole Arrow columns. Hashes are polynomial (mod 2**64) with a final
-mix, so equal byte sequences have equal hashes on every executor.
+bytes of whole Arrow columns. A word's hash adds up pseudo-random values of its
+(place, byte) pairs, a window's is mixed from those of its halves: nothing in
+either cancels on regular texts, as powers of a base do mod 2**64. Equal
+sequences have equal hashes on every executor, different ones by chance only
+(two in 2**64).
 """
 
 import numpy as np
@@ -14,7 +17,6 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: ASCII letters, digits and every byte of a multi-byte character.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are turned into arrays at once; the arrays take about a hundred times as much.
 SLICE = 1 << 19
 
@@ -26,51 +28,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i < n."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+ODD = np.uint64(0x9E3779B97F4A7C15)
+LENGTH = np.uint64(0xD6E8FEB86659FD93)
+
 
+class Places:
+    """A pseudo-random 64-bit value for each (place in a run, byte); those of the first places are kept."""
 
-class Powers:
-    """powers() of a base kept, and lengthened as needed."""
+    KEPT = 64
 
-    def __init__(self, base: int = BASE) -> None:
-        self.base = base
-        self.up = self.down = np.empty(0, np.uint64)
+    def __init__(self) -> None:
+        self.table = mix(np.arange(self.KEPT * 256, dtype=np.uint64) * ODD + ODD)
 
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = powers(max(n, 2 * len(self.up)), self.base)
-        return self.up, self.down
+    def __call__(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The value of every byte; starts: where runs begin, ascending from 0."""
+        at = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+        code = (at << 8) | data
+        out = self.table[np.minimum(code, len(self.table) - 1)]
+        far = np.flatnonzero(at >= self.KEPT)
+        out[far] = mix(code[far].astype(np.uint64) * ODD + ODD)
+        return out
 
 
-def prefix_sums(values: np.ndarray, kept: Powers) -> np.ndarray:
-    up, _ = kept(len(values) + 1)
+def sums_of(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    np.cumsum(values, out=out[1:])
     return out
 
 
-def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: Powers) -> np.ndarray:
-    """Hash of values[start:end] for each span."""
-    _, down = kept(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def sequence_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] of each run; runs do not overlap."""
+    n = ends - starts
+    at = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    terms = sums_of(mix(values[at] + (at - np.repeat(starts, n)).astype(np.uint64) * ODD))
+    last = np.cumsum(n)
+    return mix(terms[last] - terms[last - n] + n.astype(np.uint64) * LENGTH)
 
 
-def windows_hash(values: np.ndarray, n: int, kept: Powers) -> np.ndarray:
-    """Hash of each n consecutive values."""
+def windows_hash(values: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each n consecutive values, from those of half as many."""
     count = len(values) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    sums = prefix_sums(values, kept)
-    _, down = kept(len(sums))
-    return mix((sums[n:] - sums[:count]) * down[:count] + np.uint64(n))
+    done, size = mix(values + np.uint64(n)), 1
+    while 2 * size <= n:
+        done = mix(done[:-size] * ODD + done[size:])
+        size *= 2
+    return mix(done[:count] * ODD + done[n - size :]) if n > size else done
 
 
 def slices(column: pa.Array, limit: int = SLICE):
@@ -104,21 +108,20 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: Powers, limit: int = SLICE) -> np.ndarray:
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: Places, limit: int = SLICE) -> np.ndarray:
     """Hash of the bytes of each run; starts ascend. Long inputs go in pieces."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
-        a = starts[i]
-        piece = data[a : ends[j - 1]]
-        sums = prefix_sums(piece.astype(np.uint64) + np.uint64(1), kept)
-        out[i:j] = spans_hash(sums, starts[i:j] - a, ends[i:j] - a, kept)
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        sums = sums_of(kept(data[starts[i] : ends[j - 1]], s))
+        out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(np.uint64) * LENGTH)
         i = j
     return out
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, kept: Powers) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, kept: Places) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows in turn, and where each row's words begin among them."""
     starts, ends = runs(~SPACE[data], offsets)
     return hash_runs(data, starts, ends, kept), np.searchsorted(starts, offsets)
@@ -139,22 +142,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def hash_heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: tuple[int, ...], kept: Powers, limit: int = SLICE) -> list[np.ndarray]:
-    """Hashes of the whole runs, then of their first n bytes for each n in heads (of the whole run again where it is shorter)."""
-    out = [np.empty(len(starts), np.uint64) for _ in range(1 + len(heads))]
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
-        a = starts[i]
-        sums = prefix_sums(data[a : ends[j - 1]].astype(np.uint64) + np.uint64(1), kept)
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[0][i:j] = spans_hash(sums, s, e, kept)
-        for k, n in enumerate(heads, 1):
-            out[k][i:j] = spans_hash(sums, s, np.minimum(s + n, e), kept)
-        i = j
-    return out
-
-
 class Lookup:
     """Places of 64-bit hashes in a sorted vocabulary, most misses settled by a small table."""
 
@@ -188,3 +175,14 @@ def lowered_slices(column: pa.Array, limit: int = SLICE):
     for i, j, _, _ in slices(column, limit):
         for a, b, data, offsets in slices(lowered(column.slice(i, j - i)), 1 << 62):
             yield i + a, i + b, data, offsets
+
+
+def free_names(df, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

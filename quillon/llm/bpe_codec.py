@@ -1,20 +1,26 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the UTF-8 bytes cuts every text into chunks whose borders
-depend on content alone, so passages shared by documents give equal chunks.
-Of equal chunks in a run of documents one is encoded and the others take its
-ids. A border may fall inside a word: the text from the last white space
-before it to the first after it is encoded anew as a whole, and since no
-merge, normalisation or special token reaches over ASCII white space, the
-join then agrees exactly with encoding the whole text. Inside chunks, words
-are the unit that is encoded once and kept.
-
-The store is bounded per Python worker and only saves time; results never
-depend on it. Equal means equal in two independent 64-bit hashes and length.
-Null and empty texts give no ids and an empty decoded text. Rows and their
-other columns pass through; columns named like an output are replaced.
+depend on content alone, so passages shared by documents give equal chunks. A
+chunk is encoded once and its ids are kept for the other documents that a
+Python worker meets. A border may fall inside a word: such a join is repaired
+by encoding the whole word anew, from the white space before the border to
+that after it. No merge, normalisation or special token of the tokenizer
+reaches over ASCII white space, so what the join and the chunks beside it give
+then agrees exactly with encoding the whole text. Inside a new chunk words are
+encoded once and kept, too.
+
+Whether a tokenizer splits at white space is read from its file; with one that
+is not known to, texts are encoded whole.
+
+The two stores are bounded per Python worker, hold the bytes themselves as
+keys and only save time; results never depend on them. Null and empty texts
+give no ids and an empty decoded text. A very long text is one run of chunks
+and held whole, in about ten times its bytes. Rows and their other columns
+pass through; columns named like an output are replaced.
 """
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -23,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm._text import SPACE, Powers, hash_runs, mix, prefix_sums, runs, slices, spans_hash, windows_hash, with_columns
+from quillon.llm._text import SPACE, mix, runs, slices, with_columns
 
 ROLL, CHUNK = 16, 128
-MAX_WORDS, TOGETHER, RUN_BYTES = 200_000, 256, 1 << 20
-OTHER_BASE = 0xC2B2AE3D27D4EB4F
+#: Kept in each of the two generations of a store; words encoded at once; bytes of text taken at once.
+MAX_WORDS, MAX_CHUNKS, TOGETHER, RUN_BYTES = 150_000, 50_000, 256, 1 << 20
+#: Normalisers and splitters that never join what white space parts.
+PLAIN = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+SPLITTERS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+SPLIT_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 #: Words with characters beyond U+02FF, or with what may be a special token, are encoded alone.
 ODD = re.compile(rb"[\xcc-\xff]|<\|").search
 
@@ -38,16 +48,42 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])
 
 
-def first_of_equal(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the first of each kind, kind of each), for values equal in both hashes."""
-    _, place, kind = np.unique(first, return_index=True, return_inverse=True)
-    if (second[place][kind] != second).any():
-        _, place, kind = np.unique(np.stack([first, second], axis=1), axis=0, return_index=True, return_inverse=True)
-    return place, kind.ravel()
+def splits_at_space(spec: dict) -> bool:
+    """Whether a tokenizer (its file's content) is known to encode what white space parts apart."""
+    parts = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    normal = parts(spec.get("normalizer"), "normalizers")
+    split = parts(spec.get("pre_tokenizer"), "pretokenizers")[:1]
+    return (
+        all(x["type"] in PLAIN or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in normal)
+        and all(x["type"] in SPLITTERS or x["type"] == "Split" and x["invert"] and x["behavior"] == "Removed" and x["pattern"].get("Regex") in SPLIT_PATTERNS for x in split)
+        and bool(split)
+        and not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens") or [])
+    )
+
+
+class Store:
+    """Ids by bytes, in two generations: what is not met while one fills is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now, self.old = most, {}, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """Those of keys not kept; the others are in now afterwards."""
+        out = []
+        for k in keys.difference(self.now):
+            if (found := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.now[k] = found
+        return out
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.old, self.now = self.now, {}
 
 
 class Codec:
-    """One tokenizer and its store of words in one Python worker."""
+    """One tokenizer and its stores of chunks and words in one Python worker."""
 
     def __init__(self, path: str | None) -> None:
         from tokenizers import Tokenizer
@@ -64,8 +100,10 @@ class Codec:
         self.pieces, self.lengths = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces], np.int64)
         self.places = np.cumsum(self.lengths) - self.lengths
         self.joined = self.tokenizer.decoder is None
-        self.words: dict[bytes, bytes] = {}
-        self.powers, self.others = Powers(), Powers(OTHER_BASE)
+        self.words, self.chunks = Store(MAX_WORDS), Store(MAX_CHUNKS)
+        self.gear = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
+        with open(path, encoding="utf-8") as f:
+            self.parted = splits_at_space(json.load(f))
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in turn, how many each has): plain words many at a time, offsets telling whose an id is."""
@@ -88,63 +126,61 @@ class Codec:
             n[odd] = [len(alone[k]) for k in odd]
         return ids, n
 
-    def entries(self, words: list[bytes], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, where each word's begin in them, how many it has). While there is room all words are kept, later those that come more than once here."""
-        found = [self.words.get(w) for w in words]
-        missing = np.flatnonzero([f is None for f in found])
-        known = [f or b"" for f in found]
-        n = np.array([len(f) >> 2 for f in known], np.int64)
-        places = np.cumsum(n) - n
-        ids = np.frombuffer(b"".join(known), "<u4")
-        if len(missing):
-            own = [words[k] for k in missing.tolist()]
-            new, count = self.learn(own)
-            n[missing], places[missing] = count, len(ids) + np.cumsum(count) - count
-            ids = np.concatenate([ids, new])
-            if len(self.words) < MAX_WORDS:
-                raw, at = new.tobytes(), np.concatenate([[0], np.cumsum(count)]) * 4
-                some = range(len(own)) if len(self.words) < MAX_WORDS // 2 else np.flatnonzero(often[missing]).tolist()
-                self.words.update((own[k], raw[at[k] : at[k + 1]]) for k in some)
-        return ids, places, n
-
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Chunk borders: where the rolling hash says so inside a row, and the rows' own."""
-        at = np.flatnonzero((windows_hash(data.astype(np.uint64) + np.uint64(1), ROLL, self.powers) & np.uint64(CHUNK - 1)) == 0)
+        """Chunk borders: where the rolling hash of the ROLL bytes before says so inside a row, and the rows' own."""
+        roll, size, times = self.gear[data], 1, 0x9E3779B1
+        while size < ROLL and len(roll) > size:
+            roll = roll[:-size] * np.uint32(times) + roll[size:]
+            size, times = 2 * size, times * times & 0xFFFFFFFF
+        at = np.flatnonzero(roll < np.uint32((1 << 32) // CHUNK)) if len(data) >= ROLL else np.empty(0, np.int64)
         inside = at + ROLL <= offsets[np.searchsorted(offsets, at, "right")] if len(at) else np.empty(0, bool)
         return np.unique(np.concatenate([at[inside] + ROLL, offsets]))
 
-    def sources(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """For each word the word whose encoding it takes: in a repeated chunk that of the first such chunk, else itself."""
+    def borders(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the joins: the word that a border cuts, or nothing where it cuts none. Chunks are what is between."""
         cuts = self.cuts(data, offsets)
-        chunk = np.searchsorted(cuts, starts, "right")
-        cut_word = np.searchsorted(cuts, ends, "left") > chunk
-        source = np.arange(len(starts))
-        begin = np.flatnonzero(~cut_word & np.concatenate([[True], (chunk[1:] != chunk[:-1]) | cut_word[:-1]]))
-        end = np.flatnonzero(~cut_word & np.concatenate([(chunk[1:] != chunk[:-1]) | cut_word[1:], [True]])) + 1
-        if len(begin):
-            hashes = [spans_hash(prefix_sums(h, p), begin, end, p) for h, p in ((one, self.powers), (two, self.others))]
-            place, kind = first_of_equal(hashes[0], hashes[1])
-            lead = place[kind]
-            again = np.flatnonzero((lead != np.arange(len(begin))) & (end - begin == end[lead] - begin[lead]))
-            source[expand(begin[again], (end - begin)[again])] = expand(begin[lead[again]], (end - begin)[again])
-        return source
+        starts, ends = runs(~SPACE[data], offsets)
+        if not len(starts):
+            return cuts, cuts
+        word = np.searchsorted(starts, cuts, "left") - 1
+        cut = (word >= 0) & (ends[word] > cuts)
+        begin, end = np.where(cut, starts[word], cuts), np.where(cut, ends[word], cuts)
+        new = np.concatenate([[True], (begin[1:] != begin[:-1]) | (end[1:] != end[:-1])])
+        return begin[new], end[new]
+
+    def encode_runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each row's begin) of rows in one buffer."""
+        begin, end = self.borders(data, offsets)
+        raw, b, e = data.tobytes(), begin.tolist(), end.tolist()
+        joins = [raw[i:j] for i, j in zip(b, e, strict=True)]
+        chunks = [raw[i:j] for i, j in zip(e, b[1:], strict=False)]
+        new = {c: c.split() for c in self.chunks.missing(set(chunks))}
+        known, kept = self.words.now, self.chunks.now
+        some = set(joins)
+        for w in new.values():
+            some.update(w)
+        some.discard(b"")
+        if lack := self.words.missing(some):
+            ids, n = self.learn(lack)
+            flat, at = ids.tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
+            known.update((w, flat[i:j]) for w, i, j in zip(lack, at, at[1:], strict=False))
+        kept.update((c, b"".join([known[w] for w in ws])) for c, ws in new.items())
+        pieces = [b""] * (2 * len(joins) - 1)
+        pieces[::2] = [known[w] if w else b"" for w in joins]
+        pieces[1::2] = [kept[c] for c in chunks]
+        before = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]) // 4
+        self.words.turn()
+        self.chunks.turn()
+        return np.frombuffer(b"".join(pieces), "<u4"), before[2 * np.searchsorted(begin, offsets)]
+
+    def encode_whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        ids = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets, offsets[1:], strict=False)]
+        return np.array([i for x in ids for i in x], "<u4"), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each row's begin, decoded bytes, where each row's begin) of rows in one buffer."""
-        starts, ends = runs(~SPACE[data], offsets)
-        rows = np.searchsorted(starts, offsets)
-        if not len(starts):
-            return np.empty(0, "<u4"), rows, np.empty(0, np.uint8), rows
-        one, two = hash_runs(data, starts, ends, self.powers), hash_runs(data, starts, ends, self.others)
-        source = self.sources(data, offsets, starts, ends, one, two)
-        need = np.unique(source)
-        place, kind = first_of_equal(one[need], mix(two[need] + (ends - starts)[need].astype(np.uint64)))
-        raw, at = data.tobytes(), need[place]
-        words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        kept, first, n = self.entries(words, np.bincount(kind, minlength=len(at)) > 1)
-        of = kind[np.searchsorted(need, source)]
-        ids = kept[expand(first[of], n[of])]
-        id_rows = np.concatenate([[0], np.cumsum(n[of])])[rows]
+        ids, id_rows = (self.encode_runs if self.parted else self.encode_whole)(data, offsets)
         text = self.pieces[expand(self.places[ids], self.lengths[ids])]
         text_rows = np.concatenate([[0], np.cumsum(self.lengths[ids])])[id_rows]
         some = text_rows[1:] > text_rows[:-1]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._text import LETTER, LOWER, Lookup, Powers, hash_runs, lowered, lowered_slices, runs, windows_hash, with_columns
+from quillon.llm._text import LETTER, LOWER, Lookup, Places, hash_runs, lowered, lowered_slices, runs, windows_hash, with_columns
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
 #: Items a scan; their index is what goes to every executor.
@@ -36,7 +36,7 @@ ITEMS = 20_000
 MATCH = "array<struct<item_id: bigint, similarity: double, start: int, words: int>>"
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, kept: Powers) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, kept: Places) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = runs(LETTER[data], offsets)
     return hash_runs(LOWER[data], starts, ends, kept), np.searchsorted(starts, offsets)
 
@@ -87,14 +87,14 @@ class Benchmark:
 
 
 def build(items: list[tuple[int, str]]) -> Benchmark:
-    kept, groups, prints, shingles = Powers(), {}, defaultdict(list), defaultdict(set)
+    kept, groups, prints, shingles = Places(), {}, defaultdict(list), defaultdict(set)
     for item, text in items:
         data = np.frombuffer((lowered(pa.array([text or ""]))[0].as_py()).encode(), np.uint8)
         words, _ = words_of(data, np.array([0, len(data)]), kept)
         if not len(words) or item is None:
             continue
         gram = min(SHINGLE, len(words))
-        hashes = windows_hash(words, gram, kept)
+        hashes = windows_hash(words, gram)
         group = groups.setdefault(len(words), Items(len(words), gram))
         group.ids.append(item)
         group.counts.append(Counter(hashes.tolist()))
@@ -110,7 +110,7 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
-def row_matches(words: np.ndarray, hits: dict[int, np.ndarray], bench: Benchmark, kept: Powers) -> list[dict]:
+def row_matches(words: np.ndarray, hits: dict[int, np.ndarray], bench: Benchmark, kept: Places) -> list[dict]:
     """The best window of each item in one document. hits: by shingle size, whether each shingle is one of the benchmark's."""
     best: dict[int, tuple[float, int, int]] = {}
     hashes: dict[int, np.ndarray] = {}
@@ -125,7 +125,7 @@ def row_matches(words: np.ndarray, hits: dict[int, np.ndarray], bench: Benchmark
         if not len(starts):
             continue
         if group.gram not in hashes:
-            hashes[group.gram] = windows_hash(words, group.gram, kept)
+            hashes[group.gram] = windows_hash(words, group.gram)
         h = hashes[group.gram]
         for s0 in range(0, len(starts), 4096):
             some = starts[s0 : s0 + 4096]
@@ -153,7 +153,7 @@ def _flag(text: str, bench: Benchmark, more: bool):
     least = {g: min((int(np.ceil(2 * (i.words - g + 1) * SIMILARITY / (1 + SIMILARITY) - 1e-9)) for i in bench.groups if i.gram == g), default=1) for g in bench.shingles}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, lookups = Powers(), {g: Lookup(s) for g, s in bench.shingles.items()}
+        kept, lookups = Places(), {g: Lookup(s) for g, s in bench.shingles.items()}
         for batch in batches:
             found: list[list[dict]] = []
             for i, j, data, offsets in lowered_slices(batch.column(batch.schema.get_field_index(text))):
@@ -161,7 +161,7 @@ def _flag(text: str, bench: Benchmark, more: bool):
                 rows: list[list[dict]] = [[] for _ in range(j - i)]
                 hits, enough = {}, set()
                 for g, lookup in lookups.items():
-                    where, _ = lookup(windows_hash(words, g, kept))
+                    where, _ = lookup(windows_hash(words, g))
                     row = np.searchsorted(at, where, "right") - 1
                     inside = where + g <= at[row + 1] if len(where) else np.empty(0, bool)
                     hits[g] = where[inside]

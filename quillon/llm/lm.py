@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm._store import reduced, written
-from quillon.llm._text import LETTER, LOWER, Lookup, Powers, hash_runs, lowered_slices, mix, runs, with_columns
+from quillon.llm._text import LETTER, LOWER, Lookup, Places, hash_runs, lowered_slices, mix, runs, with_columns
 
 CLASSES, IN_CLASS = 32, 32
 WORDS, BUCKETS = CLASSES * IN_CLASS - 64, 64
@@ -34,14 +34,14 @@ COUNT_WORDS, SCORE = 1 << 22, 1 << 15
 SHAPES = {"emb": (SIZE + 1, DIMS), "w": (2 * SIDE * DIMS, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, IN_CLASS), "bw": (CLASSES, IN_CLASS)}
 
 
-def _word_hashes(column: pa.Array, kept: Powers) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _word_hashes(column: pa.Array, kept: Places) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for i, j, data, offsets in lowered_slices(column):
         starts, ends = runs(LETTER[data], offsets)
         yield i, j, hash_runs(LOWER[data], starts, ends, kept), np.searchsorted(starts, offsets)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept, held, size = Powers(), [], 0
+    kept, held, size = Places(), [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
         hashes, n = np.unique(np.concatenate(held), return_counts=True)
@@ -61,7 +61,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode(text: str, vocabulary: np.ndarray, order: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, lookup = Powers(), Lookup(vocabulary)
+        kept, lookup = Places(), Lookup(vocabulary)
         for batch in batches:
             for i, j, words, at in _word_hashes(batch.column(batch.schema.get_field_index(text)), kept):
                 ids = (WORDS + (words % np.uint64(BUCKETS)).astype(np.int64)).astype("<u2")

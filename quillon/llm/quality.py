@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from quillon.llm._labels import fit_rows
 from quillon.llm._store import reduced
-from quillon.llm._text import LETTER, SPACE, Powers, hash_runs, mix, slices, with_columns
+from quillon.llm._text import LETTER, SPACE, Places, hash_runs, mix, slices, with_columns
 
 BUCKETS, DIMS, MARKS, PART = 8192, 32, 2, 256
 #: At most so many labelled rows of each class.
@@ -33,7 +33,7 @@ UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, kept: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offsets: np.ndarray, kept: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, row) of each token in order, and the rows of the two marks."""
     if not len(data):
         none = np.empty(0, np.int64)
@@ -61,7 +61,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept, (plus, minus) = Powers(), index_vectors()
+    kept, (plus, minus) = Places(), index_vectors()
     total = np.zeros(BUCKETS * DIMS, np.int64)
     for batch in batches:
         for _, _, data, offsets in slices(batch.column(0)):
@@ -102,7 +102,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (own / np.sqrt(2) + 0.5 * context / np.maximum(length, 1)).astype(np.float32)
 
 
-def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, kept: Powers) -> np.ndarray:
+def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, kept: Places) -> np.ndarray:
     """Each row's features: mean vector, shares of the marks, log length."""
     rows = len(offsets) - 1
     out = np.zeros((rows, DIMS + MARKS + 1), np.float32)
@@ -168,7 +168,7 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, vectors: np.ndarray,
 
 def _pool_rows(vectors: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Powers()
+        kept = Places()
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(2)):
                 x = pooled(data, offsets, vectors, kept)
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
 def _scorer(text: str, net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Powers()
+        kept = Places()
         for batch in batches:
             got = [net.score(pooled(data, offsets, net.vectors, kept)) for _, _, data, offsets in slices(batch.column(batch.schema.get_field_index(text)))]
             yield with_columns(batch, set(), {"score": pa.array(np.concatenate(got) if got else np.empty(0))})

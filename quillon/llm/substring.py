@@ -1,26 +1,31 @@
-"""Substring dedup by counting equal windows.
-
-This replaces relative Lempel-Ziv parsing: the words to remove are those of
-windows that start at two places, so counts of windows give them exactly, and
-no reference block is searched for longest matches. Each window is filed under the least
-hash of its k-word grams, so equal windows are filed together wherever they
-stand, and consecutive windows mostly share a file: a document sends one entry
-per file, with the hashes of the windows in it. A file tells which of its
-windows start at two places or more. A factor is a run of words that matched
-windows cover; it has no source position, and windows matched at different
-places can be in one. Factors are at least one window long and their border
-words are those of matched windows, so the duplicate spans are exact. Windows are judged on the input, not on what is
-left after other removals.
-
-Entries of one task that are equal settle each other there and send one
-entry on, so a passage in a third of all documents reaches its file once per
-task and not once per document.
+"""Substring dedup by relative Lempel-Ziv parsing against blocks of windows.
+
+The corpus is its own reference, indexed in blocks: each window of `window`
+words is filed under the least hash of its k-word grams, so equal windows are
+in one block wherever they stand, and consecutive windows mostly share one. A
+document sends one entry to each block that has windows of it. There every
+entry is parsed greedily against the block: from its first window that also
+starts elsewhere it takes the longest factor, the most consecutive windows
+that another place of the block holds too, and goes on after it. At a border of
+blocks a factor whose source goes on in the next one is continued. All factors
+are at least one window long, and a window is in a factor if and only if its
+words also start elsewhere, so the duplicate spans are exact. Windows are
+judged on the input, not on what is left after other removals.
+
+Equal entries of one task are settled there: one is sent on and is the source
+of the others, so a passage in a third of all documents reaches its block once
+a task and not once a document. A factor that has no other copy in its block
+than such settled ones has no source of its own.
 
 Null, empty and short texts have no windows. Repeated rows count as places of
-their own. Window identity is the whole 64-bit hash, within its file: ten
-million different windows of one line's file have a false match once in
-hundreds of thousands of times. Files that a very common line fills are counted
-first and split by the windows' own hashes, so that each part stays bounded.
+their own. Of several longest sources the one with the least row hash is taken.
+A very long text is cut into entries like any other; it is held whole by the
+task that reads it, in arrays of about a hundred bytes a word. Window identity
+is a 64-bit hash that is mixed anew at every doubling, within a block: ten
+million different windows of one block have a false match once in hundreds of
+thousands of times. Blocks that a very common line fills are counted first and split by
+the windows' own hashes, so that each part stays bounded (factors there are
+single windows, joined again at the end).
 """
 
 from collections.abc import Iterator
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm._store import shuffles
-from quillon.llm._text import SPACE, Powers, hashed_words, mix, runs, slices, windows_hash, with_columns
+from quillon.llm._text import SPACE, Places, free_names, hashed_words, mix, runs, slices, windows_hash, with_columns
 
 WINDOW, GRAM, TASK_WORDS = 35, 8, 1 << 19
 #: Bytes of a window's hash that are sent.
@@ -63,12 +68,12 @@ def split_keys(key: np.ndarray, whole: np.ndarray, hot: Hot) -> np.ndarray:
     return np.where(keys[found] == key, mix(key + whole % parts[found] * np.uint64(0xD6E8FEB86659FD93)), key)
 
 
-def file_windows(words: np.ndarray, offsets: np.ndarray, window: int, gram: int, kept: Powers, hot: Hot = NONE):
+def file_windows(words: np.ndarray, offsets: np.ndarray, window: int, gram: int, kept: Places, hot: Hot = NONE):
     """(row, first window, number, file key, first window among all, window hashes) of each run of windows of a row with one key."""
     n = len(words)
     if n < window:
         return None
-    grams, whole = windows_hash(words, gram, kept), windows_hash(words, window, kept)
+    grams, whole = windows_hash(words, gram), windows_hash(words, window)
     key = sliding_min(grams, window - gram + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(whole)]
     valid = np.arange(window, window + len(whole)) <= offsets[row + 1]
@@ -86,7 +91,7 @@ def _count(window: int, gram: int, counted: int, task_words: int):
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         words, offsets = np.concatenate([h[0] for h in held]), np.concatenate([[0], np.cumsum(np.concatenate([h[1] for h in held]))])
-        if (filed := file_windows(words, offsets, window, gram, Powers())) is None:
+        if (filed := file_windows(words, offsets, window, gram, Places())) is None:
             return
         _, _, n, key, _, whole = filed
         _, lead = np.unique(whole, return_index=True)
@@ -96,7 +101,7 @@ def _count(window: int, gram: int, counted: int, task_words: int):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(times[at].astype(np.int64))], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held, size = Powers(), [], 0
+        kept, held, size = Places(), [], 0
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 words, at = hashed_words(data, offsets, kept)
@@ -122,10 +127,10 @@ def hot_files(docs: DataFrame, text: str, window: int, gram: int) -> Hot:
 
 
 def _file(window: int, gram: int, hot: Hot = NONE):
-    names = ["key", "id", "rk", "first", "n", "many", "hashes"]
+    names = ["key", "id", "rk", "first", "n", "many", "hashes", "source", "source_first"]
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
-        kept = Powers()
+        kept = Places()
         words, ids, nulls, rks = (np.concatenate([h[k] for h in held]) for k in range(4))
         sizes = np.concatenate([h[4] for h in held])
         offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -142,7 +147,7 @@ def _file(window: int, gram: int, hot: Hot = NONE):
         lengths = (n[sent] * SENT).astype(np.int64)
         take = np.repeat(leads, n)
         blob = short[take].tobytes()
-        done = np.flatnonzero(many)
+        done = np.flatnonzero(many & ~leads)
         total = len(sent) + len(done)
         off = np.concatenate([[0], np.cumsum(lengths), np.full(len(done), lengths.sum())]).astype(np.int32)
         valid = np.packbits(np.concatenate([np.ones(len(sent), bool), np.zeros(len(done), bool)]), bitorder="little").tobytes()
@@ -150,15 +155,27 @@ def _file(window: int, gram: int, hot: Hot = NONE):
         every = np.concatenate([sent, done])
         # A settled entry goes with its own row, spread evenly; an open one to its file.
         to = np.concatenate([key[sent], mix(rks.view(np.uint64)[row[done]] + first[done].astype(np.uint64))]).view(np.int64)
+        copy = lead[which[done]]  # the one that was sent is their source
+        whose, none = np.concatenate([np.zeros(len(sent), np.int64), row[copy]]), np.concatenate([np.ones(len(sent), bool), np.zeros(len(done), bool)])
         out = pa.RecordBatch.from_arrays(
-            [pa.array(to), pa.array(ids[row[every]], mask=nulls[row[every]]), pa.array(rks[row[every]]), pa.array(first[every].astype(np.int32)), pa.array(n[every].astype(np.int32)), pa.array(many[every]), hashes],
+            [
+                pa.array(to),
+                pa.array(ids[row[every]], mask=nulls[row[every]]),
+                pa.array(rks[row[every]]),
+                pa.array(first[every].astype(np.int32)),
+                pa.array(n[every].astype(np.int32)),
+                pa.array(many[every]),
+                hashes,
+                pa.array(ids[whose], mask=none | nulls[whose]),
+                pa.array(np.concatenate([np.zeros(len(sent), np.int32), first[copy].astype(np.int32)]), mask=none),
+            ],
             names=names,
         )
         for i in range(0, total, 20_000):
             yield out.slice(i, 20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held, size = Powers(), [], 0
+        kept, held, size = Places(), [], 0
         for batch in batches:
             ids = batch.column(0)
             nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
@@ -176,39 +193,102 @@ def _file(window: int, gram: int, hot: Hot = NONE):
     return run
 
 
-def matched_runs(keys: np.ndarray, n: np.ndarray, many: np.ndarray, hashes: np.ndarray):
-    """(entry, offset, number) of each run of windows of an entry that start at two places or more. hashes: of all entries in turn."""
+def longest_matches(code: np.ndarray, reach: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, source) of the longest match of what starts at each place.
+
+    code: windows in runs, in turn; reach: how many are left of its run from
+    each on. Suffixes are ranked by prefix doubling; the longest match of one
+    is beside it in that order. Of equal suffixes the source is that with the
+    least tie. Length 0: no other place has the window.
+    """
+    n = len(code)
+    _, rank = np.unique(code, return_inverse=True)
+    levels, step = [rank.astype(np.int64) + 1], 1
+    while step < reach.max(initial=0):
+        last = levels[-1]
+        then = np.where(reach > step, last[np.minimum(np.arange(n) + step, n - 1)], 0)
+        _, rank = np.unique(last * (int(last.max()) + 1) + then, return_inverse=True)
+        levels.append(rank.astype(np.int64) + 1)
+        step *= 2
+    order = np.lexsort((tie, levels[-1]))
+    a, b = order[:-1], order[1:]
+    same = np.zeros(n - 1, np.int64) if n else np.empty(0, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = np.minimum(a + same, n - 1), np.minimum(b + same, n - 1)
+        left = np.minimum(reach[a], reach[b]) - same
+        same += np.where((left >= 1 << k) & (levels[k][x] == levels[k][y]), 1 << k, 0)
+    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    length[b], source[b] = same, a
+    more = same > length[a]
+    length[a[more]], source[a[more]] = same[more], b[more]
+    # equal suffixes all take the first of them
+    top = levels[-1][order]
+    lead = order[np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))[np.cumsum(np.concatenate([[True], top[1:] != top[:-1]])) - 1]] if n else order
+    equal = (lead != order) & (length[order] == reach[order])
+    source[order[equal]] = lead[equal]
+    source[length == 0] = -1
+    return length, source
+
+
+def block_factors(keys: np.ndarray, n: np.ndarray, many: np.ndarray, hashes: np.ndarray, tie: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(entry, first window in it, windows, source entry or -1, first window there) of the greedy factors of entries that may be of several blocks.
+
+    hashes: of the windows of all entries in turn; many: the entry has settled copies.
+    """
     entry = np.repeat(np.arange(len(keys)), n)
     code = mix(keys.view(np.uint64)[entry] ^ mix(hashes))
     _, which = np.unique(code, return_inverse=True)
-    twice = np.bincount(which, weights=1 + many[entry])[which] >= 2
-    border = np.concatenate([[True], entry[1:] != entry[:-1]])
-    begin = np.flatnonzero(twice & (border | np.concatenate([[True], ~twice[:-1]])))
-    end = np.flatnonzero(twice & np.concatenate([border[1:] | ~twice[1:], [True]]))
-    starts = np.concatenate([[0], np.cumsum(n)])[:-1]
-    return entry[begin], begin - starts[entry[begin]], end - begin + 1
+    at = np.flatnonzero(np.bincount(which, weights=1 + many[entry])[which] >= 2)
+    if not len(at):
+        return []
+    last = np.concatenate([(at[1:] != at[:-1] + 1) | (entry[at[1:]] != entry[at[:-1]]), [True]])
+    ends = np.flatnonzero(last) + 1
+    reach = ends[np.searchsorted(ends, np.arange(len(at)), "right")] - np.arange(len(at))
+    length, source = longest_matches(code[at], reach, tie[entry[at]])
+    starts = np.cumsum(n) - n
+    own, place = entry[at], at - starts[entry[at]]
+    owns, places, lengths, sources, lefts = own.tolist(), place.tolist(), length.tolist(), source.tolist(), reach.tolist()
+    out, i = [], 0
+    while i < len(lengths):
+        if size := lengths[i]:
+            out.append((owns[i], places[i], size, owns[sources[i]], places[sources[i]]))
+        else:
+            size = 1
+            while size < lefts[i] and not lengths[i + size]:
+                size += 1
+            out.append((owns[i], places[i], size, -1, -1))
+        i += size
+    return out
 
 
 def _match():
+    names = ["id", "rk", "first", "n", "source", "source_first"]
+
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        key, first, n, many = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3, 4, 5))
         blobs = batch.column(6)
         settled = blobs.is_null().to_numpy(zero_copy_only=False)
-        # Also entries alone in their file: a passage that repeats at once has equal windows in one entry.
-        open_ = ~settled
-        at, offset, number = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        if (o := np.flatnonzero(open_)).size:
-            sent = np.frombuffer(b"".join(blobs.take(pa.array(o)).to_pylist()), np.uint8).reshape(-1, SENT)
-            hashes = np.zeros((len(sent), 8), np.uint8)
-            hashes[:, :SENT] = sent
-            hashes = hashes.view("<u8").ravel()
-            at, offset, number = matched_runs(key[o], n[o].astype(np.int64), many[o], hashes)
-            at = o[at]
-        s = np.flatnonzero(settled)
-        at, offset, number = np.concatenate([at, s]), np.concatenate([offset, np.zeros(len(s), np.int64)]), np.concatenate([number, n[s]])
-        if not len(at):
-            return None
-        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array((first[at] + offset).astype(np.int32)), pa.array(number.astype(np.int32))], names=["id", "rk", "first", "n"])
+        parts = [batch.filter(pa.array(settled)).select(names)]
+        # Also entries alone in their block: a passage that repeats at once has equal windows in one entry.
+        if not settled.all():
+            open_ = batch.filter(pa.array(~settled))
+            first, n, many = (open_.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+            hashes = np.frombuffer(b"".join(open_.column(6).to_pylist()), "<u8")
+            found = block_factors(open_.column(0).to_numpy(), n.astype(np.int64), many, hashes, open_.column(2).to_numpy().view(np.uint64))
+            if found:
+                at, offset, number, source, there = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                none = source < 0
+                of = open_.column(1).take(pa.array(np.maximum(source, 0)))
+                columns = [
+                    open_.column(1).take(pa.array(at)),
+                    open_.column(2).take(pa.array(at)),
+                    pa.array((first[at] + offset).astype(np.int32)),
+                    pa.array(number.astype(np.int32)),
+                    pa.array(of.fill_null(0).to_numpy(), mask=none | of.is_null().to_numpy(zero_copy_only=False)),
+                    pa.array((first[np.maximum(source, 0)] + there).astype(np.int32), mask=none),
+                ]
+                parts.append(pa.RecordBatch.from_arrays(columns, names=names))
+        out = pa.concat_batches(parts)
+        return out if out.num_rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -233,56 +313,76 @@ def _match():
     return run
 
 
-def parse(spans: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
-    """Factors (first word, words) from matched runs (first window, windows), overlapping ones made one."""
+Factor = tuple[int, int, int | None, int | None]
+
+
+def parse(found: list[Factor], window: int) -> list[Factor]:
+    """Factors (first word, words, source's doc_id, first word there) of a document from those of blocks (in windows): continued over borders where the source goes on."""
+    out: list[list] = []
+    for first, n, source, there in sorted(found, key=lambda f: f[:2]):
+        if out and there is not None and out[-1][3] is not None and out[-1][2] == source and there - out[-1][3] == first - out[-1][0] == out[-1][1]:
+            out[-1][1] += n
+        elif out and there is None and out[-1][3] is None and first == out[-1][0] + out[-1][1]:
+            out[-1][1] += n
+        else:
+            out.append([first, n, source, there])
+    return [(a, n + window - 1, source, there) for a, n, source, there in out]
+
+
+def covered(factors: list[Factor]) -> list[tuple[int, int]]:
+    """(first word, words) of the spans that the factors cover; overlapping ones are one."""
     out: list[list[int]] = []
-    for first, n in sorted(spans):
-        end = first + n - 1 + window
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
+    for a, n, _, _ in factors:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], a + n)
         else:
-            out.append([first, end])
+            out.append([a, a + n])
     return [(a, b - a) for a, b in out]
 
 
-def cut_text(text: bytes, factors: list[tuple[int, int]], layout: str) -> tuple[bytes, int, int]:
+def cut_text(text: bytes, spans: list[tuple[int, int]], layout: str) -> tuple[bytes, int, int]:
     """(what is kept, words, words removed)."""
     words = text.split()
-    if not factors:
+    if not spans:
         return (b" ".join(words) if layout == "words" else text), len(words), 0
-    removed = sum(n for _, n in factors)
+    removed = sum(n for _, n in spans)
     if layout == "words":
         kept, at = [], 0
-        for a, n in factors:
+        for a, n in spans:
             kept += words[at:a]
             at = a + n
         return b" ".join(kept + words[at:]), len(words), removed
     data = np.frombuffer(text, np.uint8)
     starts, ends = runs(~SPACE[data], np.array([0, len(data)]))
     parts, at = [], 0
-    for a, n in factors:  # with the white space before it
+    for a, n in spans:  # with the white space before it
         parts.append(text[at : ends[a - 1] if a else 0])
         at = ends[a + n - 1]
     return b"".join([*parts, text[at:]]).strip(), len(words), removed
 
 
-def _cutter(text: str, window: int, layout: str):
+FACTOR = "array<struct<start: int, words: int, source: bigint, source_start: int>>"
+
+
+def _cutter(text: str, window: int, layout: str, found: str):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-                spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
-                factors = [parse([(s["first"], s["n"]) for s in x], window) if x else [] for x in spans]
-                got = [cut_text(t or b"", f, layout) for t, f in zip(texts, factors, strict=True)]
+                of = batch.column(batch.schema.get_field_index(found)).to_pylist()
+                factors = [parse([(f["first"], f["n"], f["source"], f["source_first"]) for f in x], window) if x else [] for x in of]
+                got = [cut_text(t or b"", covered(f), layout) for t, f in zip(texts, factors, strict=True)]
                 yield with_columns(
                     batch,
-                    {text, "__spans", "__id", "__rk"},
+                    {text, found},
                     {
                         "kept_text": pa.array([None if t is None and layout != "words" else g[0].decode() for t, g in zip(texts, got, strict=True)], pa.string()),
                         "n_words": pa.array([g[1] for g in got], pa.int64()),
                         "n_removed": pa.array([g[2] for g in got], pa.int64()),
-                        "factors": pa.array([[{"start": a, "words": n} for a, n in f] for f in factors], pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))),
+                        "factors": pa.array([[{"start": a, "words": n, "source": s, "source_start": t} for a, n, s, t in f] for f in factors], kind),
                     },
                 )
 
@@ -290,21 +390,24 @@ def _cutter(text: str, window: int, layout: str):
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, layout: str = "words") -> DataFrame:
-    """docs without text, with kept_text, n_words, n_removed and factors array<struct<start, words>>.
+    """docs without text, with kept_text, n_words, n_removed and factors array<struct<start, words, source, source_start>>.
 
     Every word covered by a window of `window` words whose sequence also starts
     elsewhere is removed. layout "words": the kept words joined by one space;
     "original": the text as it is, without the factors and the white space
-    before them (a null text stays null).
+    before them (a null text stays null). source is the doc_id of another
+    place of the factor's words and source_start its first word there.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__rk": F.xxhash64(doc_id, text)})
-    filed = rows.select("__id", "__rk", text).mapInArrow(_file(window, gram, hot_files(docs, text, window, gram)), "key long, id long, rk long, first int, n int, many boolean, hashes binary")
-    matched = filed.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(_match(), "id long, rk long, first int, n int")
-    spans = matched.groupBy(F.col("id").alias("__sid"), F.col("rk").alias("__srk")).agg(F.collect_set(F.struct("first", "n")).alias("__spans"))
+    own, rk, found, sid, srk = free_names(docs, "__id", "__rk", "__found", "__sid", "__srk")
+    rows = docs.withColumns({own: F.col(doc_id).cast("long"), rk: F.xxhash64(doc_id, text)})
+    filed = rows.select(own, rk, text).mapInArrow(_file(window, gram, hot_files(docs, text, window, gram)), "key long, id long, rk long, first int, n int, many boolean, hashes binary, source long, source_first int")
+    factor = T.StructType.fromDDL("id long, rk long, first int, n int, source long, source_first int")
+    matched = filed.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(_match(), factor)
+    best = matched.groupBy("id", "rk", "first", "n").agg(F.min(F.struct("source", "source_first")).alias("s"))
+    spans = best.groupBy(F.col("id").alias(sid), F.col("rk").alias(srk)).agg(F.collect_list(F.struct("first", "n", "s.source", "s.source_first")).alias(found))
     new = ["kept_text", "n_words", "n_removed", "factors"]
     keep = [f for f in docs.schema.fields if f.name != text and f.name not in new]
-    joined = rows.join(spans, F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__rk") == F.col("__srk")), "left").select(*(f.name for f in keep), text, "__spans")
-    factor = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType())]))
-    schema = T.StructType([*keep, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("factors", factor)])
-    return joined.mapInArrow(_cutter(text, window, layout), schema)
+    joined = rows.join(spans, F.col(own).eqNullSafe(F.col(sid)) & (F.col(rk) == F.col(srk)), "left").select(*(f.name for f in keep), text, found)
+    schema = T.StructType([*keep, *T.StructType.fromDDL(f"kept_text string, n_words long, n_removed long, factors {FACTOR}").fields])
+    return joined.mapInArrow(_cutter(text, window, layout, found), schema)

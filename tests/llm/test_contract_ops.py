@@ -43,10 +43,66 @@ def test_bpe_chunk_borders_inside_words(texts, monkeypatch):
         monkeypatch.setattr(B, "CHUNK", size)
         ids, rows, _, _ = codec.encode(data, offsets)
         assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:], strict=False)] == want
-        starts, ends = B.runs(~B.SPACE[data], offsets)
-        one, two = (B.hash_runs(data, starts, ends, p) for p in (codec.powers, codec.others))
-        source = codec.sources(data, offsets, starts, ends, one, two)
-        assert (source != np.arange(len(source))).sum() > 1000 and (one[source] == one).all()
+        begin, end = codec.borders(data, offsets)
+        chunks = [data[i:j].tobytes() for i, j in zip(end, begin[1:], strict=False)]
+        assert len(set(chunks)) < len(chunks) and (size > 128 or (end > begin).sum() > 100)
+
+
+THUE = [0]
+while len(THUE) < 2048:
+    THUE += [1 - x for x in THUE]
+
+
+def thue_morse(n, flip=0):
+    """A word whose polynomial hash mod 2**64 equals that of its complement, for any base."""
+    return "".join("ab"[x ^ flip] for x in THUE[:n])
+
+
+def test_bpe_tells_words_apart_that_polynomial_hashes_do_not(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from quillon.llm.bpe_codec import bpe_codec
+
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(n, f"{thue_morse(n)} {thue_morse(n, 1)} tail {thue_morse(n)}") for n in (1024, 2048)]
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in bpe_codec(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: tk.encode(t, add_special_tokens=False).ids for n, t in rows}
+
+
+def test_bpe_with_tokens_that_span_white_space(texts):
+    """Such a tokenizer is found out from its file and texts are encoded whole."""
+    import public_tokenizers
+    from quillon.llm import bpe_codec as B
+
+    codec = B.Codec(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not codec.parted and B.Codec(None).parted
+    raw = [(t or "").encode() for t in texts[:30]]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = codec.columns(data, offsets)
+    for k, r in enumerate(raw):
+        ids = codec.tokenizer.encode(r.decode(), add_special_tokens=False).ids
+        assert np.frombuffer(got["ids"][k].as_py(), "<u4").tolist() == ids and got["decoded"][k].as_py() == codec.tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_word_hashes_hold_no_structure():
+    """Words and windows of two letters or two words, in orders that cancel in polynomials mod 2**64."""
+    from quillon.llm._text import Places, hashed_words, windows_hash
+
+    kept = Places()
+    text = " ".join(thue_morse(n, f) for n in (8, 64, 256, 1024, 2048) for f in (0, 1)).encode()
+    words, _ = hashed_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), kept)
+    assert len(set(words.tolist())) == 10
+    two = words[np.array([[x, 1 - x] for x in THUE[:64]]).T.ravel()]
+    for n in (5, 8, 35):
+        seen = {}
+        for k, h in enumerate(windows_hash(two, n).tolist()):
+            assert seen.setdefault(h, two[k : k + n].tolist()) == two[k : k + n].tolist()
+    # a run's hash does not depend on where it stands, nor on what is around it
+    for a, b in ((b"abc", b"abc"), (b"x" * 200, b"x" * 200)):
+        data = np.frombuffer(b"zz " + a + b" q " + b, np.uint8)
+        h, _ = hashed_words(data, np.array([0, len(data)]), kept)
+        assert h[1] == h[3] != h[0]
 
 
 def brute_fingerprint(t):
@@ -164,6 +220,69 @@ def test_substring_splits_hot_files(spark, monkeypatch):
     assert got == dict(enumerate(brute_substring(rows))) and sum(x[1] for x in got.values()) >= 150
 
 
+def test_substring_judges_words_exactly(spark):
+    """34 shared words and a 35th that a polynomial hash takes for the same: nothing goes. With the same 35th all 35 go."""
+    from quillon.llm.substring import substring_dedup
+
+    head = " ".join(f"w{i}" for i in range(34))
+    rows = [(0, f"{head} {thue_morse(1024)}"), (1, f"{head} {thue_morse(1024, 1)}"), (2, f"x {head} y"), (3, f"q {head} y r")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 35, 3: 35}
+
+
+def brute_longest(entries):
+    """{(entry, place): longest match with any other place}"""
+    places = [(e, p) for e, x in enumerate(entries) for p in range(len(x))]
+
+    def same(a, b):
+        n = 0
+        while a[1] + n < len(entries[a[0]]) and b[1] + n < len(entries[b[0]]) and entries[a[0]][a[1] + n] == entries[b[0]][b[1] + n]:
+            n += 1
+        return n
+
+    return {a: max((same(a, b) for b in places if b != a), default=0) for a in places}
+
+
+def test_substring_factors_are_greedy_and_longest():
+    import random
+
+    from quillon.llm.substring import block_factors
+
+    rng = random.Random(3)
+    for _ in range(60):
+        entries = [[rng.randint(1, 4 if rng.random() < 0.5 else 30) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 7))]
+        want, best = [], brute_longest(entries)
+        for e, x in enumerate(entries):
+            p = 0
+            while p < len(x):
+                if best[e, p]:
+                    want.append((e, p, best[e, p]))
+                p += max(1, best[e, p])
+        n = np.array([len(x) for x in entries])
+        flat = np.array([h for x in entries for h in x], np.uint64)
+        got = block_factors(np.full(len(entries), 7, np.int64), n, np.zeros(len(entries), bool), flat, np.arange(len(entries), dtype=np.uint64))
+        assert [f[:3] for f in got] == want
+        for e, p, size, of, there in got:
+            assert (of, there) != (e, p) and entries[of][there : there + size] == entries[e][p : p + size]
+
+
+def test_substring_sources_hold_the_factor(spark, texts):
+    from quillon.llm.substring import substring_dedup
+
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sourced = 0
+    for r in substring_dedup(docs).where("size(factors) > 0").collect():
+        own = words(texts[r.doc_id])
+        for f in r.factors:
+            assert f.words >= 35
+            if f.source_start is not None:
+                sourced += 1
+                assert (f.source, f.source_start) != (r.doc_id, f.start)
+                assert words(texts[f.source])[f.source_start : f.source_start + f.words] == own[f.start : f.start + f.words]
+    assert sourced >= 6
+
+
 def test_substring_keeps_layout(spark):
     from quillon.llm.substring import substring_dedup
 

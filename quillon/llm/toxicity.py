@@ -1,18 +1,23 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are lower-case words and their first 4, 5 and 6 bytes. The vocabulary is
-what a bounded sample of labelled rows shows to go with the label; idf counts
-run over all documents. Examples and documents are TF-IDF vectors over it.
-The index holds, for every term, the examples' weights in blocks and the
-largest weight of each block: blocks are visited by falling upper bound until
-no bound can reach the k-th similarity, so the k nearest by cosine are exact
-(ties: the smaller example number). Votes are weighted by distance and mapped
-to probabilities by isotonic regression on leave-one-out votes, weighted to
-the classes' shares among all rows to learn from.
+Terms are lower-case words. A bounded sample of labelled rows gives the
+examples, and all their terms are the vocabulary: none is left out. Examples
+and documents are TF-IDF vectors over it; document counts for the idf run over
+all documents, and a term's weight is scaled by how strongly it goes with the
+label among the examples (log-likelihood ratio, near copies counted once), on
+top of a floor that every term has. The inverted index holds the examples'
+weights by term and block and the largest weight of each term in each block:
+blocks are visited by falling upper bound until no bound can reach the k-th
+similarity, so the k nearest by cosine are exact (ties: the smaller example
+number). Votes are weighted by distance and mapped to probabilities by isotonic
+regression on leave-one-out votes, weighted to the classes' shares among all
+rows to learn from.
 
 A null, empty or blank text, and any text without a vocabulary term, gets the
-toxic share of such examples. Rows and other columns pass through; columns
-named like an output are replaced.
+toxic share of such examples. Of several rows with one labelled doc_id the text
+that is least in order is the example; repeated rows are scored alike. A very
+long text is taken whole, in arrays of about a hundred bytes a word. Rows and
+other columns pass through; columns named like an output are replaced.
 """
 
 from collections.abc import Iterator
@@ -25,26 +30,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm._labels import fit_rows
-from quillon.llm._store import cut
-from quillon.llm._text import LETTER, LOWER, Lookup, Powers, hash_heads, lowered_slices, mix, runs, windows_hash, with_columns
+from quillon.llm._store import reduced
+from quillon.llm._text import LETTER, LOWER, Lookup, Places, hash_runs, lowered_slices, runs, windows_hash, with_columns
 
-HEADS = (4, 5, 6)
-#: At most so many labelled rows of each class, terms, and neighbours that vote.
-PER_CLASS, MAX_TERMS, NEIGHBOURS, BLOCK = 1500, 4096, 15, 64
+#: At most so many labelled rows of each class; neighbours that vote; examples a block; blocks visited at first.
+PER_CLASS, NEIGHBOURS, BLOCK, FIRST = 1500, 15, 64, 4
+#: Share of the strongest term's weight that a term without any bond with the label keeps.
+FLOOR = 0.01
+#: Terms whose document counts are added up together.
+PART = 1 << 14
 
 
-def terms(data: np.ndarray, offsets: np.ndarray, kept: Powers) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term hashes of each kind for every word, and the row of each word."""
+def terms(data: np.ndarray, offsets: np.ndarray, kept: Places) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word."""
     starts, ends = runs(LETTER[data], offsets)
-    every = hash_heads(LOWER[data], starts, ends, HEADS, kept)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    return [every[0], *(np.where(ends - starts > n, mix(h + np.uint64(n)), every[0]) for h, n in zip(every[1:], HEADS, strict=True))], row
+    return hash_runs(LOWER[data], starts, ends, kept), np.searchsorted(offsets, starts, "right") - 1
 
 
-def least_shingle(words: np.ndarray, row: np.ndarray, rows: int, kept: Powers) -> np.ndarray:
+def least_shingle(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Least hash of a row's five-word shingles (0: none): near copies mostly share it."""
     out = np.zeros(rows, np.uint64)
-    whole = windows_hash(words, 5, kept)
+    whole = windows_hash(words, 5)
     at = np.flatnonzero(row[: len(whole)] == row[4 : 4 + len(whole)])
     if len(at):
         own = row[at]
@@ -53,97 +59,121 @@ def least_shingle(words: np.ndarray, row: np.ndarray, rows: int, kept: Powers) -
     return out
 
 
+def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each comes."""
+    code = np.sort(code)
+    at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+    return code[at], np.diff(np.append(at, len(code)))
+
+
 def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = Powers()
+    kept = Places()
     for batch in batches:
         for i, j, data, offsets in lowered_slices(batch.column(2)):
-            hashes, row = terms(data, offsets, kept)
-            code = np.concatenate(hashes)
-            rows = np.tile(row, len(hashes))
-            order = np.lexsort((code, rows))
-            code, rows = code[order], rows[order]
-            new = np.concatenate([[True], (code[1:] != code[:-1]) | (rows[1:] != rows[:-1])]) if len(code) else np.empty(0, bool)
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(code)))
-            off = np.searchsorted(rows[at], np.arange(j - i + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (code[at].view(np.int64), n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists, pa.array(least_shingle(hashes[0], row, j - i, kept).view(np.int64))], names=["doc_id", "label", "terms", "counts", "copy"])
-
-
-def _restrict(vocabulary: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, label = batch.column(0), batch.column(1)
-            lists, counts = batch.column(2), batch.column(3)
-            flat = lists.flatten().to_numpy().view(np.uint64)
-            at, term = Lookup(vocabulary)(flat)
-            off = np.searchsorted(at, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])).astype(np.int32)
-            kept = [pa.ListArray.from_arrays(pa.array(off), pa.array(x.astype(np.int32))) for x in (term, counts.flatten().to_numpy()[at])]
-            yield pa.RecordBatch.from_arrays([ids, label, *kept], names=["doc_id", "label", "terms", "counts"])
-
-    return run
+            words, row = terms(data, offsets, kept)
+            known, word = np.unique(words, return_inverse=True)
+            code, n = counted(row * max(1, len(known)) + word)
+            off = np.searchsorted(code // max(1, len(known)), np.arange(j - i + 1))
+            term = known[code % max(1, len(known))].astype("<u8").tobytes()
+            count = n.astype("<i4").tobytes()
+            packed = [[raw[a * w : b * w] for a, b in zip(off, off[1:], strict=False)] for raw, w in ((term, 8), (count, 4))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array(x, pa.binary()) for x in packed), pa.array(least_shingle(words, row, j - i).view(np.int64))], names=["doc_id", "label", "terms", "counts", "copy"])
 
 
-def vectors(data: np.ndarray, offsets: np.ndarray, lookup: Lookup, kept: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def vectors(data: np.ndarray, offsets: np.ndarray, lookup: Lookup, kept: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, count) of the vocabulary terms in each row, in order."""
-    hashes, row = terms(data, offsets, kept)
-    code = []
-    for k, h in enumerate(hashes):
-        at, term = lookup(h)
-        if k:  # a short word's head is the word, which counts once
-            other = hashes[0][at] != h[at]
-            at, term = at[other], term[other]
-        code.append(row[at] * MAX_TERMS + term)
-    code, n = np.unique(np.concatenate(code), return_counts=True)
-    return code // MAX_TERMS, code % MAX_TERMS, n
+    words, row = terms(data, offsets, kept)
+    at, term = lookup(words)
+    size = max(1, len(lookup.sorted))
+    code, n = counted(row[at] * size + term)
+    return code // size, code % size, n
 
 
 def _document_counts(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, lookup, total = Powers(), Lookup(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
+        kept, lookup, total = Places(), Lookup(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
             for _, _, data, offsets in lowered_slices(batch.column(0)):
                 _, term, _ = vectors(data, offsets, lookup, kept)
                 total[: len(vocabulary)] += np.bincount(term, minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "n"])
+        parts = range(0, len(total), PART)
+        yield pa.RecordBatch.from_arrays([pa.array([k // PART for k in parts], pa.int32()), pa.array([total[k : k + PART].tobytes() for k in parts], pa.binary())], names=["part", "sums"])
 
     return run
 
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            now = np.frombuffer(sums, np.int64)
+            total[part] = total[part] + now if part in total else now
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
+
+
 @dataclass
 class Index:
-    """Examples by term, in blocks, and the calibration of votes."""
+    """Examples by term, in blocks, and the calibration of votes. scale: each term's weight in all, idf and bond with the label."""
 
     vocabulary: np.ndarray
-    idf: np.ndarray
-    weights: np.ndarray  # term x example, unit vectors
-    tops: np.ndarray  # term x block
+    scale: np.ndarray
+    begin: np.ndarray  # where each term's postings begin
+    example: np.ndarray  # postings: examples, ascending in each term
+    weight: np.ndarray  # and their weights in unit vectors
     labels: np.ndarray
     doc_ids: np.ndarray
     share: np.ndarray  # of the classes: weight of an example
-    votes: np.ndarray
-    scores: np.ndarray
-    none: float
+    votes: np.ndarray | None = None
+    scores: np.ndarray | None = None
+    none: float = 0.0
+
+    def open(self) -> "Index":
+        """Build each term's block borders and largest weight of each block, from the postings, where they are used."""
+        blocks = max(1, -(-len(self.labels) // BLOCK))
+        term = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.begin))
+        cell = term * blocks + self.example // BLOCK
+        self.blocks = blocks
+        self.borders = np.zeros(len(self.vocabulary) * blocks + 1, np.int32)
+        np.cumsum(np.bincount(cell, minlength=len(self.vocabulary) * blocks), out=self.borders[1:])
+        self.tops = np.zeros(len(self.vocabulary) * blocks, np.float32)
+        np.maximum.at(self.tops, cell, self.weight)
+        self.tops = self.tops.reshape(-1, blocks)
+        return self
+
+    def similarities(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """To all examples, of which those in the given blocks are right."""
+        cell = (term[:, None] * self.blocks + blocks).ravel()
+        first = self.borders[cell].astype(np.int64)
+        n = self.borders[cell + 1] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.example[at], np.repeat(np.repeat(weight, len(blocks)), n) * self.weight[at], minlength=len(self.labels))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a positive cosine and their cosines, exactly."""
+        """The k nearest examples with a positive cosine and their cosines, exactly: blocks by falling bound, in growing steps, until no bound reaches the k-th."""
         bound = weight @ self.tops[term]
+        order = np.argsort(-bound, kind="stable")
         best, sims = np.empty(0, np.int64), np.empty(0, np.float64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(sims) >= k and bound[b] < sims[k - 1] - 1e-9:
+        a, step = 0, FIRST
+        while a < len(order):
+            some = order[a : a + step]
+            some = some[bound[some] > 0]
+            if len(sims) >= k:
+                some = some[bound[some] >= sims[k - 1] - 1e-6]  # tops are rounded to float32
+            if not len(some):
                 break
-            s = weight @ self.weights[term, b * BLOCK : (b + 1) * BLOCK]
+            s = self.similarities(term, weight, some)
             at = np.flatnonzero(s > 0)
-            best, sims = np.concatenate([best, at + b * BLOCK]), np.concatenate([sims, s[at]])
-            keep = best != without
-            best, sims = best[keep], sims[keep]
-            order = np.lexsort((best, -np.round(sims, 9)))[:k]
-            best, sims = best[order], sims[order]
+            at = at[at != without]
+            best, sims = np.concatenate([best, at]), np.concatenate([sims, s[at]])
+            top = np.lexsort((best, -np.round(sims, 9)))[:k]
+            best, sims = best[top], sims[top]
+            a, step = a + step, 2 * step
         return best, sims
 
     def weigh(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(n)) * self.idf[term]
+        w = (1 + np.log(n)) * self.scale[term]
         return w / np.sqrt((w * w).sum())
 
     def vote(self, best: np.ndarray, sims: np.ndarray) -> float:
@@ -165,73 +195,84 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def evidence(t: int, c: int, toxic: int, clean: int) -> float:
-    """Log-likelihood ratio (G squared) of a term's counts against no bond with the label; 0 unless it goes with label 1."""
+def evidence(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Log-likelihood ratio (G squared) of terms' counts against no bond with the label."""
+    t, c = t.astype(float), c.astype(float)
     total, n = toxic + clean, t + c
-    if not n or t * total <= n * toxic:
-        return 0.0
-    cells = ((t, n * toxic), (c, n * clean), (toxic - t, (total - n) * toxic), (clean - c, (total - n) * clean))
-    return 2 * sum(o * np.log(o * total / e) for o, e in cells if o > 0 and e > 0)
-
-
-def choose_terms(stats: list[tuple[int, int, int]], toxic: int, clean: int, tried: int) -> list[int]:
-    """Hashes of the terms that go with the label beyond what chance gives among so many tried: from (term, toxic rows, clean rows)."""
-    least = 2 * np.log(max(tried, 1)) + 4
-    found = [(evidence(t, c, toxic, clean), term) for term, t, c in stats]
-    return [term for g, term in sorted(found, reverse=True)[:MAX_TERMS] if g > least]
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Index:
-    """Learn from labels, at most per_class rows of each class; document counts run over all docs."""
-    sample, counts = fit_rows(labels, label, per_class, doc_id)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
-    examples = cut(rows.mapInArrow(_term_lists, "doc_id long, label int, terms array<long>, counts array<int>, copy long"))
-    sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    copies = F.when(F.col("copy") == 0, F.col("doc_id")).otherwise(F.col("copy"))  # near copies are one piece of evidence
-    stats = cut(examples.select("label", copies.alias("copy"), F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct(F.when(F.col("label") == 1, F.col("copy"))).alias("t"), F.countDistinct(F.when(F.col("label") == 0, F.col("copy"))).alias("c")))
-    # A term that can pass is in several toxic examples; the strongest candidates come to the driver.
-    able = stats.where((F.col("t") >= 3) & (F.col("t") / max(1, toxic) > 2 * F.col("c") / max(1, clean))).orderBy(F.desc(F.col("t") / F.sqrt(F.col("t") + F.col("c"))), "term").limit(4 * MAX_TERMS)
-    chosen = choose_terms([(r["term"], r["t"], r["c"]) for r in able.collect()], toxic, clean, stats.count())
-    vocabulary = np.sort(np.array(chosen, np.int64).view(np.uint64))
-    found = examples.mapInArrow(_restrict(vocabulary), "doc_id long, label int, terms array<int>, counts array<int>").collect()
-    data = [(r["doc_id"], r["label"], list(zip(r["terms"], r["counts"], strict=True))) for r in sorted(found, key=lambda r: r["doc_id"])]
-    n = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in docs.select(text).mapInArrow(_document_counts(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        n[r["term"]] = r["n"]
-    idf = np.log((1 + n[-1]) / (1 + n[:-1])) + 1
-    blank = [d for d in data if not d[2]]
-    data = [d for d in data if d[2]]
+    out = np.zeros(len(t))
+    for seen, expected in ((t, n * toxic), (c, n * clean), (toxic - t, (total - n) * toxic), (clean - c, (total - n) * clean)):
+        at = (seen > 0) & (expected > 0)
+        out[at] += 2 * seen[at] * np.log(seen[at] * total / expected[at])
+    return np.maximum(out, 0)
+
+
+def build(examples: list[tuple[int, int, np.ndarray, np.ndarray, int]], counts: dict[int, int], documents) -> Index:
+    """The index of (doc_id, label, term hashes, counts, copy) in order. documents: vocabulary to (documents, documents with each term)."""
+    vocabulary, flat = np.unique(np.concatenate([e[2] for e in examples]) if examples else np.empty(0, np.uint64), return_inverse=True)
+    total, having = documents(vocabulary)
+    size = np.array([len(e[2]) for e in examples], np.int64)
+    label, copy = np.array([e[1] for e in examples], np.int64), np.array([e[4] or e[0] for e in examples], np.int64)
+    # Near copies are one piece of evidence: count distinct copies of each class by term.
+    _, kind = np.unique(np.stack([label, copy], axis=1), axis=0, return_inverse=True) if examples else (None, copy)
+    first = np.unique(kind.ravel(), return_index=True)[1]
+    kinds = max(1, len(first))
+    pair = np.unique(flat.astype(np.int64) * kinds + np.repeat(kind.ravel(), size))
+    by = [np.bincount(pair[label[first][pair % kinds] == y] // kinds, minlength=len(vocabulary)) for y in (0, 1)]
+    strength = evidence(by[1], by[0], int((label[first] == 1).sum()), int((label[first] == 0).sum()))
+    scale = (np.log((1 + total) / (1 + having)) + 1) * (FLOOR + strength / max(strength.max(initial=0), 1e-9))
+    known = [(e[0], e[1], flat[b - n : b], e[3]) for e, n, b in zip(examples, size, np.cumsum(size), strict=True)]
+    sizes = np.array([(label == y).sum() for y in (0, 1)])
+    share = np.array([counts[y] / max(1, sizes[y]) for y in (0, 1)])
+    blank = [e for e in known if not len(e[2])]
     # Examples with the same strongest term stand together, so that few blocks have a large top for it.
-    data.sort(key=lambda d: (max(d[2], key=lambda x: (x[1] * idf[x[0]], x[0]))[0], d[0]))
-    width = -(-len(data) // BLOCK) * BLOCK
-    weights = np.zeros((len(vocabulary), width), np.float32)
-    share = np.array([counts[c] / max(1, sizes.get(c, 0)) for c in (0, 1)])
-    index = Index(vocabulary, idf, weights, None, np.array([d[1] for d in data], np.int64), np.array([d[0] for d in data], np.int64), share, None, None, 0.0)
-    for k, d in enumerate(data):
-        term, many = np.array([x[0] for x in d[2]]), np.array([x[1] for x in d[2]])
-        weights[term, k] = index.weigh(term, many)
-    index.tops = weights.reshape(len(vocabulary), -1, BLOCK).max(axis=2) if width else np.zeros((len(vocabulary), 0), np.float32)
+    known = sorted((e for e in known if len(e[2])), key=lambda e: (int(e[2][np.argmax((1 + np.log(e[3])) * scale[e[2]])]), e[0]))
+    index = Index(vocabulary, scale, None, None, None, np.array([e[1] for e in known], np.int64), np.array([e[0] for e in known], np.int64), share)
+    weighed = [index.weigh(e[2], e[3]) for e in known]
+    own = np.repeat(np.arange(len(known)), [len(e[2]) for e in known])
+    term = np.concatenate([e[2] for e in known]) if known else np.empty(0, np.int64)
+    order = np.lexsort((own, term))
+    index.example, index.weight = own[order].astype(np.int32), (np.concatenate(weighed) if known else np.empty(0)).astype(np.float32)[order]
+    index.begin = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
     base = counts[1] / max(1, counts[0] + counts[1])
-    none = [share[d[1]] for d in blank]
-    index.none = (sum(w for w, d in zip(none, blank, strict=True) if d[1]) + base) / (sum(none) + 1)
+    index.none = (sum(share[1] for e in blank if e[1]) + base) / (sum(share[e[1]] for e in blank) + 1)
     votes, weight, right = [0.0, 1.0], [1e-3, 1e-3], [base, max(base, 0.5)]
-    for k in range(len(data)):
-        term = np.flatnonzero(weights[:, k])
-        best, sims = index.nearest(term, weights[term, k].astype(np.float64), without=k)
+    opened = index.open()
+    for k, (e, w) in enumerate(zip(known, weighed, strict=True)):
+        best, sims = opened.nearest(e[2], w, without=k)
         if len(best):
             votes.append(index.vote(best, sims))
-            weight.append(share[index.labels[k]])
-            right.append(float(index.labels[k]))
+            weight.append(share[e[1]])
+            right.append(float(e[1]))
     index.votes, index.scores = isotonic(np.array(votes), np.array(right), np.array(weight))
+    del index.borders, index.tops  # large, and built again where they are used
     return index
 
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Index:
+    """Learn from labels, at most per_class rows of each class; document counts run over all docs."""
+    sample, counts = fit_rows(labels, label, per_class, doc_id)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "label", "text")
+    found = rows.mapInArrow(_term_lists, "doc_id long, label int, terms binary, counts binary, copy long").collect()
+    examples = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<i4"), r["copy"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+
+    def documents(vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+        parts = -(-(len(vocabulary) + 1) // PART)
+        got = reduced(docs.select(text).mapInArrow(_document_counts(vocabulary), "part int, sums binary"), _add, "part", parts).collect()
+        n = np.zeros(parts * PART, np.int64)
+        for r in got:
+            own = np.frombuffer(r["sums"], np.int64)
+            n[r["part"] * PART : r["part"] * PART + len(own)] += own
+        return int(n[len(vocabulary)]), n[: len(vocabulary)]
+
+    return build(examples, counts, documents)
+
+
 def _scorer(text: str, index: Index, evidence: int):
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, lookup = Powers(), Lookup(index.vocabulary)
+        kept, lookup = Places(), Lookup(index.vocabulary)
+        index.open()
         known: dict[tuple, tuple] = {}
         for batch in batches:
             for i, j, data, offsets in lowered_slices(batch.column(batch.schema.get_field_index(text))):

@@ -312,13 +312,51 @@ def test_rule_statistics(docs, empty, clashing, labels, texts):
 
 
 def test_forest_parts_outliers():
-    from quillon.llm.rules import grow, threshold
+    from quillon.llm.rules import _expected, grow, threshold
 
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 0.1, (900, 3)), rng.uniform(2, 9, (100, 3))])
-    scores, good = grow(x).score(x), np.arange(1000) < 900
-    t = threshold(scores, good)
-    assert (scores[~good] >= t).mean() > 0.9 and (scores[good] >= t).mean() <= 0.005
+    x = np.concatenate([rng.normal(0, 1, (900, 3)), rng.normal(9, 1, (100, 3))])
+    low, high = x.min(axis=0), x.max(axis=0)
+    forest, good = grow(x[:900], low, high), np.arange(1000) < 900
+    scores = forest.score(x)
+    cut = threshold(scores, good, 0.02)
+    assert (scores[~good] >= cut).mean() > 0.95 and (scores[good] >= cut).mean() <= 0.02
+
+    def path(tree, row):  # one row and one tree at a time
+        column, split, left, length = tree
+        at = steps = 0
+        while length[at] < 0:
+            at = left[at] + int(row[column[at]] >= split[at])
+            steps += 1
+        assert any(np.isclose(length[at] - steps, float(_expected(n))) for n in range(257))
+        return length[at]
+
+    for k in range(0, 1000, 90):
+        mean = np.mean([path(t, x[k]) for t in forest.trees])
+        assert np.isclose(scores[k], 2.0 ** (-mean / float(_expected(256))))
+    # rows of a tree at each leaf give its length
+    column, split, left, length = grow(x[:900], low, high, trees=1, rows=900, depth=6).trees[0]
+    at = np.zeros(900, int)
+    for _ in range(6):
+        inner = length[at] < 0
+        at = np.where(inner, left[at] + (x[np.arange(900), column[at]] >= split[at]), at)
+    for leaf in set(at.tolist()):
+        depth = next(d for d in range(7) if np.isclose(length[leaf], d + float(_expected((at == leaf).sum()))))
+        assert depth <= 6
+
+
+def test_rules_follow_path_lengths(spark, labels):
+    """Far from where good rows are: rejected; without labels nothing but the base rules rejects."""
+    from quillon.llm.rules import quality_rules
+
+    rng = np.random.default_rng(1)
+    say = lambda n, tail="": " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) + tail for _ in range(n))
+    rows = [(i, say(40, "$$$") if i % 10 == 0 else say(int(rng.integers(20, 90)))) for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(0, 500)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_rules(table, marks).collect()}
+    assert sum(got[i] for i in got if i % 10 == 0) == 0 and sum(got[i] for i in got if i % 10) >= 445
+    assert quality_rules(table, marks.limit(0)).where("not kept").count() == 0
 
 
 def test_licenses(spark, docs, empty, clashing):

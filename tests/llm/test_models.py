@@ -54,7 +54,7 @@ def test_radius_holds_similar_windows():
         assert np.bitwise_count(x ^ y).sum() <= RADIUS
 
 
-def test_toxicity(spark, docs, empty, clashing, labels):
+def test_toxicity(spark, docs, empty, clashing, labels, monkeypatch):
     from quillon.llm import toxicity as X
 
     rng = np.random.default_rng(5)
@@ -71,15 +71,25 @@ def test_toxicity(spark, docs, empty, clashing, labels):
     got = {r.doc_id: r for r in X.score(table, index).collect()}
     assert all((got[i].score >= 0.5) == (t == 1) for i, _, t in truth)
     assert got[0].evidence[0].label == 1
-    # block-max search against a dense product
-    unit = index.weights.T
-    for k in range(0, unit.shape[0], 7):
+    monkeypatch.setattr(X, "BLOCK", 8)
+    monkeypatch.setattr(X, "FIRST", 2)
+    # block-max search against a dense product over the whole vocabulary: as many neighbours, the same similarities, the smaller number first
+    index.open()
+    unit = np.zeros((len(index.labels), len(index.vocabulary)))
+    unit[index.example, np.repeat(np.arange(len(index.vocabulary)), np.diff(index.begin))] = index.weight
+    assert len(index.vocabulary) > 200 and np.allclose((unit * unit).sum(axis=1), 1, atol=1e-5)
+    visited = []
+    kept = X.Index.similarities
+    index.similarities = lambda *a: visited.append(len(a[2])) or kept(index, *a)
+    for k in range(0, len(unit), 7):
         term = np.flatnonzero(unit[k])
-        if len(term):
-            best, sims = index.nearest(term, unit[k][term].astype(float))
-            dense = np.round(unit.astype(float) @ unit[k].astype(float), 9)
-            order = np.lexsort((np.arange(len(dense)), -dense))[: len(best)]
-            assert np.allclose(sims, dense[order], atol=1e-6)
+        best, sims = index.nearest(term, unit[k][term])
+        dense = np.round(unit @ unit[k], 9)
+        order = np.lexsort((np.arange(len(dense)), -dense))[: X.NEIGHBOURS]
+        assert len(best) == min(X.NEIGHBOURS, (dense > 0).sum()) and np.allclose(sims, dense[order], atol=1e-6)
+        assert (np.diff(best)[np.diff(np.round(sims, 9)) == 0] > 0).all()
+    assert sum(visited) < index.blocks * len(range(0, len(unit), 7))  # some blocks are passed over
+    monkeypatch.undo()
     some = X.fit(docs, labels)
     for t in (docs, clashing):
         out = X.score(t, some)

@@ -138,11 +138,12 @@ def test_lm_scores(docs, empty, clashing):
     got = {r.doc_id: r for r in lm.score(encoded, net).collect() if r.doc_id is not None}
     rows = {r.doc_id: np.frombuffer(r.ids, "<u2").astype(int) for r in encoded.collect() if r.doc_id is not None}
     w = {k: v.astype(np.float32).astype(float) for k, v in net.items()}
+    rest = {r.doc_id: r.rest for r in encoded.collect()}
     for i, ids in rows.items():
         assert got[i].n_words == len(ids)
         if len(ids) > 300:
             continue
-        total = 0.0
+        total = rest[i]
         for k, y in enumerate(ids):  # one word at a time
             around = [ids[k + s] if 0 <= k + s < len(ids) else lm.SIZE for s in (-2, -1, 1, 2)]
             h = np.tanh(np.concatenate([w["emb"][a] for a in around]) @ w["w"] + w["b"])
@@ -155,6 +156,75 @@ def test_lm_scores(docs, empty, clashing):
     assert lm.pseudo_likelihood(clashing).count() == docs.count()
 
 
+def test_lm_shares_of_buckets(spark):
+    """Words beyond the outputs share their bucket as they are counted in the corpus, and all shares add up to one."""
+    from quillon.llm import lm
+
+    often = " ".join(f"top{i} top{i} top{i} top{i}" for i in range(lm.WORDS))
+    rare = [f"rare{i}" for i in range(500)]
+    rows = [(0, often), (1, " ".join(rare)), (2, " ".join(rare[:100]))]
+    docs = spark.createDataFrame(rows + [(3 + i, w) for i, w in enumerate(rare)], "doc_id long, text string")
+    encoded, counts = lm.encode(docs)
+    got = {r.doc_id: r for r in encoded.collect()}
+    assert got[0].rest == 0 and counts.sum() == 4 * lm.WORDS + 1100 and counts[lm.WORDS :].sum() == 1100
+    assert abs(got[1].rest - sum(got[3 + i].rest for i in range(500))) < 1e-6
+    # two of three in 100 words, two in the others; a cell's words share it
+    shares = [(np.frombuffer(got[3 + i].ids, "<u2")[0], np.exp(got[3 + i].rest)) for i in range(500)]
+    assert np.mean([got[3 + i].rest for i in range(100)]) > np.mean([got[3 + i].rest for i in range(100, 500)]) + 0.15
+    total = Counter()
+    for bucket, p in shares:
+        total[bucket] += p
+    assert all(abs(x - 1) < 0.02 for x in total.values())
+
+
+def test_lm_learns_from_every_position(spark, monkeypatch):
+    """Each document is in one round, and each of its positions is a target once."""
+    from quillon.llm import lm
+
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(50)], int(rng.integers(0, 60))))) for i in range(200)]
+    encoded, counts = lm.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    seen = []
+    monkeypatch.setattr(lm, "steps", lambda net, c, y, m=None: seen.extend(map(tuple, np.column_stack([c, y]))))
+    rounds = [encoded.where(F.pmod(F.xxhash64("ids"), F.lit(lm.ROUNDS)) == k).select("ids").toArrow().to_batches() for k in range(lm.ROUNDS)]
+    for batches in rounds:
+        list(lm._train(lm.start(counts))(iter(batches)))
+    want = Counter()
+    for r in encoded.collect():
+        ids = np.frombuffer(r.ids, "<u2").astype(int)
+        want.update(tuple(ids[k + s] if 0 <= k + s < len(ids) else lm.SIZE for s in (-2, -1, 1, 2, 0)) for k in range(len(ids)))
+    assert Counter(tuple(int(v) for v in x) for x in seen) == want and want.total() == counts.sum()
+
+
+def test_lm_gradients():
+    """The step's gradients against differences of the loss."""
+    from quillon.llm import lm
+
+    rng = np.random.default_rng(4)
+    net = {k: rng.normal(0, 0.3, s) for k, s in lm.SHAPES.items()}
+    ids, row = rng.integers(0, lm.SIZE, 40), np.repeat([0, 1], 20)
+    context = lm.windows(ids, row)
+
+    def loss(n):
+        h = np.tanh(np.concatenate([n["emb"][context[:, k]] for k in range(4)], axis=1) @ n["w"] + n["b"])
+        c, v = ids // lm.IN_CLASS, ids % lm.IN_CLASS
+        one = lm._log_softmax(h @ n["wc"] + n["bc"])[np.arange(40), c]
+        two = [lm._log_softmax((h[i] @ n["ww"][c[i]] + n["bw"][c[i]])[None])[0, v[i]] for i in range(40)]
+        return -(one.sum() + sum(two)) / 40
+
+    grads = {}
+    moments = {"t": 0, **{k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.items()}}
+    own = {k: v.copy() for k, v in net.items()}
+    lm.steps(own, context, ids, moments)
+    for k in net:
+        grads[k] = moments[k][0] / 0.1
+        for at in [tuple(rng.integers(0, n) for n in net[k].shape) for _ in range(3)] + [np.unravel_index(np.abs(grads[k]).argmax(), net[k].shape)]:
+            up, down = ({x: v.copy() for x, v in net.items()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - grads[k][at]) < 1e-5, k
+
+
 def test_lm_learns():
     """The gradient steps raise the likelihood of a predictable text."""
     from quillon.llm import lm
@@ -218,9 +288,9 @@ def test_html_frame(spark):
 
 
 def test_runs_do_not_cross_rows():
-    from quillon.llm._text import Powers, hashed_words, slices
+    from quillon.llm._text import Places, hashed_words, slices
 
     column = pa.array(["ab", None, "c d", "", "ab"])
     [(i, j, data, offsets)] = list(slices(column))
-    words, at = hashed_words(data, offsets, Powers())
+    words, at = hashed_words(data, offsets, Places())
     assert (i, j) == (0, 5) and np.diff(at).tolist() == [1, 0, 2, 0, 1] and words[0] == words[3]

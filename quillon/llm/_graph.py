@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._store import cut
+from quillon.llm._store import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     node with very many links is never gathered in one task. Edges with a null
     are ignored; an empty input gives an empty result.
     """
-    edges = cut(edges.where("a is not null and b is not null and a != b").select("a", "b"))
+    edges = written(edges.where("a is not null and b is not null and a != b").select("a", "b"))
     seen = None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b"))).groupBy("node").agg(F.min("component").alias("component"))
         seen = mark
-        edges = cut(_small_star(_large_star(edges)))
+        moved = written(_small_star(_large_star(edges)))
+        discard(edges)
+        edges = moved

@@ -2,18 +2,23 @@
 
 Words are lower-case runs of letters, digits and non-ASCII characters. For
 every length among the items, the windows of a document with as many words
-are judged. A window within the similarity must hold most shingles of some
-item, so only windows with enough shingles of the whole benchmark get a
-SimHash (no match is lost by that). A multi-index finds items: fingerprints
-within the radius agree in at least one of eight blocks up to an eighth of
-it, and the index holds each item under every block value that near. Pairs
+are judged by 256-bit fingerprints of their shingles. A window within the
+similarity must hold most shingles of some item, so only windows with enough
+shingles of the whole benchmark get a fingerprint (no match is lost by that).
+A multi-index finds items: fingerprints within the radius of 63 bits differ in
+at most three bits of one of sixteen blocks of 16 bits, and the index holds
+each item under every block value one bit away, which a window probes with
+every value two bits away, so all within the radius are found. A random item
+meets a window in one block of sixteen with a chance of one in six. Pairs
 within the radius are verified by the exact weighted similarity: the sum of
 least over the sum of largest counts of each shingle.
 
-The radius covers a similarity of 0.8 but for about one pair in a million.
+The radius covers a similarity of 0.8 but for about one pair in fifty thousand.
 Items with fewer words than a shingle are one shingle; null and empty items
 match nothing. The benchmark is taken in blocks of bounded size, one scan
-each. Null and empty texts have no windows. Rows and other columns pass
+each. Null and empty texts have no windows; of windows as similar to an item
+the first is reported. Repeated rows are judged alike. A very long text is taken
+whole, its fingerprints piece by piece. Rows and other columns pass
 through; a column named like the output is replaced.
 """
 
@@ -28,11 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._text import LETTER, LOWER, Lookup, Places, hash_runs, lowered, lowered_slices, runs, windows_hash, with_columns
+from quillon.llm._text import LETTER, LOWER, ODD, Lookup, Places, hash_runs, lowered, lowered_slices, mix, runs, windows_hash, with_columns
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
+SHINGLE, SIMILARITY = 5, 0.8
+BITS, RADIUS, BLOCKS = 256, 63, 16
+#: Bits of a block that index and probe may each be off: together as many as the best block of a pair within the radius can differ in.
+INDEXED, PROBED = 1, 2
 #: Items a scan; their index is what goes to every executor.
 ITEMS = 20_000
+#: Windows whose candidates are looked up at once.
+AT_ONCE = 64
 MATCH = "array<struct<item_id: bigint, similarity: double, start: int, words: int>>"
 
 
@@ -42,40 +52,54 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kept: Places) -> tuple[np.nd
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each hash."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    """+1 or -1 for each of BITS bits of each hash."""
+    wide = np.stack([mix(hashes + np.uint64(k * int(ODD) & 0xFFFFFFFFFFFFFFFF)) for k in range(BITS // 64)], axis=1)
+    bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
     return bits.astype(np.int32) * 2 - 1
 
 
 def pack(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1).reshape(-1, 8)
+    """Fingerprints as rows of BLOCKS block values."""
+    return np.packbits(sums > 0, axis=1).view(">u2").astype(np.uint16)
 
 
-def near_bytes(radius: int) -> list[int]:
-    """Differences of up to radius bits in a byte."""
-    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(8), k)]
+def near_values(off: int) -> np.ndarray:
+    """Differences of up to so many bits in a block."""
+    size = BITS // BLOCKS
+    return np.array([sum(1 << b for b in bits) for k in range(off + 1) for bits in combinations(range(size), k)], np.int64)
 
 
 @dataclass
 class Items:
-    """Items of one length, and their blocks' inverted index."""
+    """Items of one length, and their blocks' inverted index: (block, value) codes in order and the item of each."""
 
     words: int
     gram: int
     ids: list[int] = field(default_factory=list)
     counts: list[Counter] = field(default_factory=list)
     prints: np.ndarray | None = None
-    blocks: list[dict[int, list[int]]] = field(default_factory=list)
+    codes: np.ndarray | None = None
+    items: np.ndarray | None = None
 
     def close(self, prints: list[np.ndarray]) -> None:
-        self.prints = np.array(prints, np.uint8)
-        near = near_bytes(RADIUS // BLOCKS)
-        for b in range(BLOCKS):
-            index = defaultdict(list)
-            for k, value in enumerate(self.prints[:, b].tolist()):
-                for d in near:
-                    index[value ^ d].append(k)
-            self.blocks.append(dict(index))
+        self.prints = np.array(prints, np.uint16)
+        codes = block_codes(self.prints, near_values(INDEXED))
+        order = np.argsort(codes.ravel(), kind="stable")
+        self.codes, self.items = codes.ravel()[order].astype(np.int32), (order // codes[0].size).astype(np.int32)
+
+    def candidates(self, prints: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) pairs that agree in a block up to the bits that index and probe allow."""
+        codes = block_codes(prints, near).reshape(len(prints), -1).astype(np.int32)
+        first, last = (np.searchsorted(self.codes, codes.ravel(), side) for side in ("left", "right"))
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = np.unique(np.repeat(np.arange(codes.size) // codes.shape[1], n) * len(self.ids) + self.items[at])
+        return pair // len(self.ids), pair % len(self.ids)
+
+
+def block_codes(prints: np.ndarray, near: np.ndarray) -> np.ndarray:
+    size = BITS // BLOCKS
+    return (np.arange(BLOCKS)[:, None] << size) | (prints.astype(np.int64)[:, :, None] ^ near)
 
 
 @dataclass
@@ -110,7 +134,7 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
-def row_matches(words: np.ndarray, hits: dict[int, np.ndarray], bench: Benchmark, kept: Places) -> list[dict]:
+def row_matches(words: np.ndarray, hits: dict[int, np.ndarray], bench: Benchmark, near: np.ndarray) -> list[dict]:
     """The best window of each item in one document. hits: by shingle size, whether each shingle is one of the benchmark's."""
     best: dict[int, tuple[float, int, int]] = {}
     hashes: dict[int, np.ndarray] = {}
@@ -127,24 +151,24 @@ def row_matches(words: np.ndarray, hits: dict[int, np.ndarray], bench: Benchmark
         if group.gram not in hashes:
             hashes[group.gram] = windows_hash(words, group.gram)
         h = hashes[group.gram]
-        for s0 in range(0, len(starts), 4096):
-            some = starts[s0 : s0 + 4096]
+        for s0 in range(0, len(starts), AT_ONCE):
+            some = starts[s0 : s0 + AT_ONCE]
             a, b = int(some[0]), int(some[-1]) + m
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(h[a:b]), axis=0, dtype=np.int32)]) if b - a <= 1 << 16 else None
-            prints = pack(sums[some - a + m] - sums[some - a]) if sums is not None else np.concatenate([pack(signs(h[s : s + m]).sum(axis=0, keepdims=True)) for s in some.tolist()])
-            for s, print_ in zip(some.tolist(), prints, strict=True):
-                candidates = {k for block, value in zip(group.blocks, print_.tolist(), strict=True) for k in block.get(value, ())}
-                if not candidates:
-                    continue
-                at = np.array(sorted(candidates))
-                at = at[np.bitwise_count(group.prints[at] ^ print_).sum(axis=1) <= RADIUS]
-                if not len(at):
-                    continue
-                window = Counter(h[s : s + m].tolist())
-                for k in at.tolist():
-                    score = similarity(window, group.counts[k])
-                    if score >= SIMILARITY and score > best.get(group.ids[k], (0.0,))[0]:
-                        best[group.ids[k]] = score, s, group.words
+            if b - a <= AT_ONCE + m:
+                sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(h[a:b]), axis=0, dtype=np.int32)])
+                prints = pack(sums[some - a + m] - sums[some - a])
+            else:
+                prints = np.concatenate([pack(signs(h[s : s + m]).sum(axis=0, keepdims=True)) for s in some.tolist()])
+            window, item = group.candidates(prints, near)
+            close = np.bitwise_count(group.prints[item] ^ prints[window]).sum(axis=1) <= RADIUS
+            shingles: dict[int, Counter] = {}
+            for w, k in zip(window[close].tolist(), item[close].tolist(), strict=True):
+                s = int(some[w])
+                if s not in shingles:
+                    shingles = {s: Counter(h[s : s + m].tolist())}
+                score = similarity(shingles[s], group.counts[k])
+                if score >= SIMILARITY and score > best.get(group.ids[k], (0.0,))[0]:
+                    best[group.ids[k]] = score, s, group.words
     return [{"item_id": i, "similarity": x[0], "start": x[1], "words": x[2]} for i, x in sorted(best.items())]
 
 
@@ -153,7 +177,7 @@ def _flag(text: str, bench: Benchmark, more: bool):
     least = {g: min((int(np.ceil(2 * (i.words - g + 1) * SIMILARITY / (1 + SIMILARITY) - 1e-9)) for i in bench.groups if i.gram == g), default=1) for g in bench.shingles}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, lookups = Places(), {g: Lookup(s) for g, s in bench.shingles.items()}
+        kept, near, lookups = Places(), near_values(PROBED), {g: Lookup(s) for g, s in bench.shingles.items()}
         for batch in batches:
             found: list[list[dict]] = []
             for i, j, data, offsets in lowered_slices(batch.column(batch.schema.get_field_index(text))):
@@ -174,7 +198,7 @@ def _flag(text: str, bench: Benchmark, more: bool):
                             flags[g] = np.zeros(b - a - g + 1, bool)
                             own = where[np.searchsorted(where, a) : np.searchsorted(where, b)] - a
                             flags[g][own] = True
-                    rows[k] = row_matches(words[a:b], flags, bench, kept)
+                    rows[k] = row_matches(words[a:b], flags, bench, near)
                 found += rows
             if more:
                 found = [[*old, *new] for old, new in zip(batch.column(batch.schema.get_field_index("leaks")).to_pylist(), found, strict=True)]

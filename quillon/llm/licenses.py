@@ -2,25 +2,31 @@
 
 A text is cut into sentences (at line breaks, and at . ! ? followed by white
 space), once as it stands and once with single line breaks taken as spaces, for
-wrapped notices. Sentences are normalised: A-Z lowered, everything but a-z
-and 0-9 one space. Known sentences become identifiers, others "?". Rules
-are ordered: each is a sequence of identifiers that must stand together, and
-what a rule has matched is gone for the rules after it, so a full licence text
-is not also reported as its parts.
+wrapped notices; there blank lines, lines of comment marks alone and numbered
+points part sentences too. Sentences are normalised: A-Z lowered, everything
+but a-z and 0-9 one space, so comment marks do not matter. Known sentences
+become identifiers, others "?". Rules are ordered: each is a sequence of
+identifiers that must stand together, and what a rule has matched is gone for
+the rules after it, so a full licence text is not also reported as its parts.
 
 Only texts that hold one of the words which every known sentence has are cut
-up at all. A null, empty or licence-free text has empty results. Other
-columns pass through; columns named like an output are replaced.
+up at all. A null, empty or licence-free text has empty results; repeated rows
+each have their own. A very long text is cut up whole. Other columns pass
+through; columns named like an output are replaced.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence texts and notices, by identifier.
-SENTENCES = {
+from quillon.llm._text import free_names
+
+# Sentences of public licence texts and notices, by identifier; several that mean the same are a tuple.
+SENTENCES: dict[str, str | tuple[str, ...]] = {
     "apache2_short": "Licensed under the Apache License, Version 2.0.",
     "apache2_under": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "apache2_copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache2_copy": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    "apache2_at": "You may obtain a copy of the License at",
+    "apache2_url": ("http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"),
     "apache2_unless": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "apache2_see": "See the License for the specific language governing permissions and limitations under the License.",
     "mit_short": "Released under the MIT License.",
@@ -28,18 +34,33 @@ SENTENCES = {
     "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit_notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit_warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit_event": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc_grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "isc_warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "0bsd_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "gpl3_short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl3_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl2_free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl_hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl_see": "See the GNU General Public License for more details.",
+    "gpl2_only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl2_free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3_free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "lgpl_hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl_see": "See the GNU Lesser General Public License for more details.",
+    "agpl3_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl_see": "See the GNU Affero General Public License for more details.",
     "lgpl_short": "Licensed under the GNU Lesser General Public License.",
     "mpl2_form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
-    "mpl2_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/ under that license.",
+    "mpl2_copy": ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "epl2_form": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "bsl1_form": "Distributed under the Boost Software License, Version 1.0.",
+    "unlicense_form": "This is free and unencumbered software released into the public domain.",
     "bsd_use": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd_names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "cc_by_4": "Licensed under CC BY 4.0.",
     "cc_by_sa_4": "Licensed under CC BY-SA 4.0.",
     "cc_by_nc_4": "Licensed under CC BY-NC 4.0.",
@@ -49,26 +70,54 @@ SENTENCES = {
     "reserved": "All rights reserved.",
 }
 
+# Names that a line "SPDX-License-Identifier: name" may give.
+SPDX = [
+    "Apache-2.0", "MIT", "GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-2.0-only", "LGPL-2.1-or-later", "LGPL-2.1-only", "LGPL-3.0-or-later", "LGPL-3.0-only",
+    "AGPL-3.0-or-later", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Unlicense", "EPL-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+]
+SENTENCES |= {f"spdx_{n}": f"SPDX-License-Identifier: {n}" for n in SPDX}
+
 #: In order; of several that match at one place the first wins.
 RULES = [
     ("Apache-2.0", ["apache2_under", "apache2_copy", "apache2_unless", "apache2_see"]),
+    ("Apache-2.0", ["apache2_under", "apache2_at", "apache2_url", "apache2_unless", "apache2_see"]),
     ("Apache-2.0", ["apache2_under", "apache2_copy"]),
+    ("Apache-2.0", ["apache2_under", "apache2_at", "apache2_url"]),
     ("Apache-2.0", ["apache2_under"]),
     ("Apache-2.0", ["apache2_short"]),
+    ("MIT", ["mit_grant", "mit_notice", "mit_warranty", "mit_event"]),
     ("MIT", ["mit_grant", "mit_notice", "mit_warranty"]),
     ("MIT", ["mit_grant", "mit_notice"]),
     ("MIT", ["mit_grant"]),
     ("MIT", ["mit_short"]),
     ("MIT", ["mit_licensed"]),
+    ("ISC", ["isc_grant", "isc_warranty"]),
+    ("ISC", ["isc_grant"]),
+    ("0BSD", ["0bsd_grant", "isc_warranty"]),
+    ("0BSD", ["0bsd_grant"]),
+    ("AGPL-3.0-or-later", ["agpl3_free", "gpl_hope", "agpl_see"]),
+    ("AGPL-3.0-or-later", ["agpl3_free"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free", "gpl_hope", "lgpl_see"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free", "lgpl_hope", "lgpl_see"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("LGPL-2.1-or-later", ["lgpl2_free", "lgpl_hope", "lgpl_see"]),
+    ("LGPL-2.1-or-later", ["lgpl2_free"]),
     ("GPL-3.0-or-later", ["gpl3_free", "gpl_hope", "gpl_see"]),
     ("GPL-3.0-or-later", ["gpl3_free"]),
     ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_see"]),
     ("GPL-2.0-or-later", ["gpl2_free"]),
+    ("GPL-2.0-only", ["gpl2_only", "gpl_hope", "gpl_see"]),
+    ("GPL-2.0-only", ["gpl2_only"]),
     ("GPL-3.0-only", ["gpl3_short"]),
     ("LGPL", ["lgpl_short"]),
     ("MPL-2.0", ["mpl2_form", "mpl2_copy"]),
     ("MPL-2.0", ["mpl2_form"]),
+    ("EPL-2.0", ["epl2_form"]),
+    ("BSL-1.0", ["bsl1_form"]),
+    ("Unlicense", ["unlicense_form"]),
+    ("BSD-3-Clause", ["bsd_use", "bsd_source", "bsd_binary", "bsd_names", "bsd_warranty"]),
     ("BSD-3-Clause", ["bsd_use", "bsd_source", "bsd_binary", "bsd_names"]),
+    ("BSD-2-Clause", ["bsd_use", "bsd_source", "bsd_binary", "bsd_warranty"]),
     ("BSD-2-Clause", ["bsd_use", "bsd_source", "bsd_binary"]),
     ("CC-BY-4.0", ["cc_by_4"]),
     ("CC-BY-4.0", ["cc_by_long"]),
@@ -76,14 +125,15 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc_by_sa_long"]),
     ("CC-BY-NC-4.0", ["cc_by_nc_4"]),
     ("CC-BY-NC-4.0", ["cc_by_nc_long"]),
+    *((n, [f"spdx_{n}"]) for n in SPDX),
     ("All-rights-reserved", ["reserved"]),
 ]
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Each known sentence has one of these, in lower case.
-WORDS = ["licens", "rights reserved", "permission", "copyright", "warrant", "redistribut"]
+WORDS = ["licens", "rights reserved", "permission", "copyright", "warrant", "redistribut", "mozilla.org", "unencumbered"]
 #: Ends of sentences. What has no letter (a list's number, say) is no sentence.
-BREAK, BREAK_WRAPPED = r"[.!?]+(?:[ \t\r\f\v]|$)|\n", r"[.!?]+(?:[ \t\r\n\f\v]|$)|\n[ \t\r]*\n"
+BREAK, BREAK_WRAPPED = r"[.!?]+(?:[ \t\r\f\v]|$)|\n", r"[.!?]+(?:[ \t\r\n\f\v]|$)|\n[ \t\r*#/;-]*\n|\n[ \t\r*#/;-]*[0-9]+[.)][ \t]"
 JUNK = "[^a-z0-9]+"
 
 
@@ -93,9 +143,9 @@ def _plain(sentence: str) -> str:
     return re.sub(JUNK, " ", sentence.lower()).strip()
 
 
-def known(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
+def known(sentences: dict[str, str | tuple[str, ...]] = SENTENCES) -> dict[str, str]:
     """Identifier of each normalised sentence."""
-    return {_plain(s): k for k, s in sentences.items()}
+    return {_plain(s): k for k, said in sentences.items() for s in ((said,) if isinstance(said, str) else said)}
 
 
 def identifiers(low: Column, breaks: str, table: dict[str, str]) -> Column:
@@ -121,21 +171,21 @@ def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
     return F.aggregate(listed, start, step, lambda acc: acc["found"])
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str | tuple[str, ...]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """docs without text, with sentence_ids and licenses (arrays of strings, distinct, in order of the text and of the rules)."""
     table = known(sentences)
+    text_low, lines, wrapped = free_names(docs, "text_low", "ids_by_line", "ids_wrapped")
     low = F.translate(F.coalesce(F.col(text), F.lit("")), CAPITALS, SMALL)
     likely = F.lit(False)
     for w in WORDS:
         likely = likely | F.contains(low, F.lit(w))
     none = F.array().cast("array<string>")
-    keep = [c for c in docs.columns if c not in (text, "sentence_ids", "licenses", "__low")]
-    out = docs.select(*keep, F.when(likely, low).alias("__low"))
-    as_is, wrapped = (F.when(F.col("__low").isNull(), none).otherwise(identifiers(F.col("__low"), b, table)) for b in (BREAK, BREAK_WRAPPED))
-    out = out.select(*keep, as_is.alias("__a"), wrapped.alias("__b"))
-    seen = F.filter(F.array_distinct(F.concat("__a", "__b")), lambda x: x != "?")
-    found = F.array_distinct(F.concat(matched(F.col("__a"), rules), matched(F.col("__b"), rules)))
-    return out.select(*keep, F.when(F.size("__a") == 0, none).otherwise(seen).alias("sentence_ids"), F.when(F.size("__a") == 0, none).otherwise(found).alias("licenses"))
+    keep = [c for c in docs.columns if c not in (text, "sentence_ids", "licenses")]
+    out = docs.select(*keep, F.when(likely, low).alias(text_low))
+    out = out.select(*keep, *(F.when(F.col(text_low).isNull(), none).otherwise(identifiers(F.col(text_low), b, table)).alias(n) for b, n in ((BREAK, lines), (BREAK_WRAPPED, wrapped))))
+    seen = F.filter(F.array_distinct(F.concat(lines, wrapped)), lambda x: x != "?")
+    found = F.array_distinct(F.concat(matched(F.col(lines), rules), matched(F.col(wrapped), rules)))
+    return out.select(*keep, F.when(F.size(lines) == 0, none).otherwise(seen).alias("sentence_ids"), F.when(F.size(lines) == 0, none).otherwise(found).alias("licenses"))
 
 
 def scan_sql() -> str:

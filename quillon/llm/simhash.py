@@ -15,7 +15,10 @@ share those 32 can be about a million at most.
 
 Rows with equal fingerprints are one entry. A null, empty or blank text has
 fingerprint zero. component_id is the smallest non-null doc_id of the
-component (null if there is none). Repeated rows each get their own result row.
+component (null if there is none). Repeated rows each get their own result row;
+those of a very common fingerprint are dealt over many tasks. A very long text
+is hashed whole, in about twenty bytes a word. A doc_id is taken to be below
+2**62.
 """
 
 from collections.abc import Iterator
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm._graph import connected_components
-from quillon.llm._store import cut, shuffles
+from quillon.llm._store import shuffles, spread_join, written
 from quillon.llm._text import batch_bytes, with_columns
 
 BITS, RADIUS, SEED = 64, 4, 42
 BYTES = BITS // 8
+#: Nodes of fingerprints without a doc_id begin here.
+NO_ID = 1 << 62
 
 
 def _lanes() -> np.ndarray:
@@ -147,15 +152,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spanning index links (0: no other fingerprint within radius).
     """
     spark = docs.sparkSession
-    prints = cut(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", shingle))
-    # A fingerprint without a doc_id still links others; it gets a node that no real id uses.
-    nodes = cut(prints.groupBy("simhash").agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.expr("-9223372036854775808 + (simhash & 4611686018427387903)"))))
+    prints = written(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", shingle))
+    # A fingerprint without a doc_id still links others; its node is larger than any real id, so it leads no component with one.
+    other = F.expr(f"{NO_ID} + (simhash & {NO_ID - 1})")
+    nodes = written(prints.groupBy("simhash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).withColumn("node", F.coalesce("least", other)).drop("least"))
     entries = nodes.select(F.explode(F.array(*(F.lit(m).cast("long") for m in masks(radius)))).alias("mask"), "simhash", "node").select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("simhash"))).alias("posting"), "simhash", "node")
-    links = entries.repartition(shuffles(spark), "posting").sortWithinPartitions("posting").mapInArrow(_postings(radius), "a long, b long").distinct()
-    links = cut(links)
+    links = written(entries.repartition(shuffles(spark), "posting").sortWithinPartitions("posting", "simhash").mapInArrow(_postings(radius), "a long, b long").distinct())
     component = connected_components(links)
-    labelled = nodes.join(component, "node", "left").select("simhash", "least", F.coalesce("component", "node").alias("component"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").count()
-    by_print = labelled.join(smallest, "component").join(nodes.select("simhash", "node"), "simhash").join(degree, "node", "left").select("simhash", "component_id", F.coalesce("count", F.lit(0)).cast("long").alias("n_links"))
-    return prints.join(by_print, "simhash").select("doc_id", "simhash", "component_id", "n_links")
+    lead = F.coalesce("component", "node")
+    labelled = nodes.join(component, "node", "left").join(degree, "node", "left").select("simhash", "rows", F.when(lead < NO_ID, lead).alias("component_id"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links"))
+    return spread_join(prints, written(labelled), "simhash", "rows").select("doc_id", "simhash", "component_id", "n_links")

@@ -36,7 +36,7 @@ def clashing(docs):
     """A table with columns named like outputs and inner columns."""
     from pyspark.sql import functions as F
 
-    names = ["score", "evidence", "leaks", "ids", "decoded", "n_tokens", "n_words", "kept", "anomaly", "factors", "kept_text", "simhash", "id", "rk", "n", "first", "key", "licenses", "label", "terms", "count"]
+    names = ["score", "evidence", "leaks", "ids", "decoded", "n_tokens", "n_words", "kept", "anomaly", "factors", "kept_text", "simhash", "id", "rk", "n", "first", "key", "licenses", "label", "terms", "count", "text_low", "ids_by_line", "__a", "__b", "__id", "__rk", "__found", "__spans", "__first", "__order", "__n", "row_hash", "rest", "further_0", "folder"]
     return docs.withColumns({n: F.lit("x") for n in names})
 
 

@@ -359,11 +359,106 @@ def test_rules_follow_path_lengths(spark, labels):
     assert quality_rules(table, marks.limit(0)).where("not kept").count() == 0
 
 
+# Notices as they are published, with their own line breaks.
+NOTICES = {
+    "Apache-2.0": """   Copyright [yyyy] [name of copyright owner]
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "LGPL-2.1-or-later": """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+
+    This library is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+    Lesser General Public License for more details.
+
+    You should have received a copy of the GNU Lesser General Public
+    License along with this library; if not, write to the Free Software
+    Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA
+""",
+    "AGPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU Affero General Public License for more details.
+""",
+    "ISC": """Copyright <YEAR> <OWNER>
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+""",
+    "GPL-2.0-or-later": """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+""",
+    "0BSD": "// SPDX-License-Identifier: 0BSD",
+}
+
+
+def test_published_notices(spark):
+    """Each as it is, and as the comment of a source file."""
+    from quillon.llm import licenses as L
+
+    commented = lambda t, mark: "\n".join([f"/*{mark}", *(f" {mark} {x}" for x in t.split("\n")), " */", "package x;"])
+    rows = [(name, form) for name, t in NOTICES.items() for form in (t, commented(t, "*"), "intro\n\n" + t.replace("\n", "\n# ") + "\n#\n# end")]
+    got = L.scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert [r for r in got if r.licenses != [r.name]] == []
+    ids = {r.name: r.sentence_ids for r in got}
+    assert set(ids["Apache-2.0"]) == {"apache2_under", "apache2_at", "apache2_url", "apache2_unless", "apache2_see"} and set(ids["MPL-2.0"]) == {"mpl2_form", "mpl2_copy"}
+
+
+def test_every_rule_can_match(spark):
+    from quillon.llm import licenses as L
+
+    said = lambda k: L.SENTENCES[k] if isinstance(L.SENTENCES[k], str) else L.SENTENCES[k][0]
+    rows = [(i, "\n\n".join(said(k) for k in want)) for i, (_, want) in enumerate(L.RULES)]
+    got = {r.i: r.licenses for r in L.scan_licenses(spark.createDataFrame(rows, "i int, text string")).collect()}
+    assert got == {i: [name] for i, (name, _) in enumerate(L.RULES)}
+
+
 def test_licenses(spark, docs, empty, clashing):
     from quillon.llm import licenses as L
 
-    assert all(any(w in s.lower() for w in L.WORDS) for s in L.SENTENCES.values())
-    assert all(len([x for x in re.split(L.BREAK, s.lower()) if re.search("[a-z]", x)]) == 1 for s in L.SENTENCES.values())
+    every = [s for said in L.SENTENCES.values() for s in ((said,) if isinstance(said, str) else said)]
+    assert all(any(w in s.lower() for w in L.WORDS) for s in every)
+    assert all(len([x for x in re.split(L.BREAK, s.lower()) if re.search("[a-z]", x)]) == 1 for s in every)
     bsd = "\n1. ".join(L.SENTENCES[k] for k in ("bsd_use", "bsd_source", "bsd_binary"))
     full = "\n".join(L.SENTENCES[k] for k in ("mit_grant", "mit_notice", "mit_warranty"))
     wrapped = "Head line\n\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nmore"

@@ -42,16 +42,40 @@ def test_leaks(spark, docs, empty, clashing):
 
 
 def test_radius_holds_similar_windows():
-    """Windows at the similarity are within the SimHash radius."""
+    """Windows at the similarity are within the SimHash radius, at any length and however their shingles differ."""
     from quillon.llm.leaks import RADIUS, pack, signs
 
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        a = rng.integers(1 << 62, size=36).astype(np.uint64)
-        b = a.copy()
-        b[:4] = rng.integers(1 << 62, size=4).astype(np.uint64)  # 32 of 40: 0.8
-        x, y = (pack(signs(h).sum(axis=0, keepdims=True))[0] for h in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= RADIUS
+    near = total = 0
+    for m in (9, 18, 36, 90, 270):
+        for _ in range(400):
+            a = rng.integers(1 << 62, size=m).astype(np.uint64)
+            b = a.copy()
+            b[: m // 9] = rng.integers(1 << 62, size=m // 9).astype(np.uint64)  # 8 of 10: 0.8
+            x, y = (pack(signs(h).sum(axis=0, keepdims=True))[0] for h in (a, b))
+            near += np.bitwise_count(x ^ y).sum() <= RADIUS
+            total += 1
+    assert near >= 0.998 * total
+
+
+def test_multi_index_finds_all_within_the_radius_and_prunes():
+    from quillon.llm import leaks as K
+
+    rng = np.random.default_rng(1)
+    prints = rng.integers(1 << 16, size=(600, K.BLOCKS)).astype(np.uint16)
+    items = K.Items(40, 5, list(range(600)))
+    items.close(list(prints))
+    bits = np.unpackbits(prints.astype(">u2").view(np.uint8).reshape(600, -1), axis=1)
+    asked = bits[:200].copy()
+    for row in asked:  # exactly as far as the radius, anywhere
+        row[rng.choice(K.BITS, K.RADIUS, replace=False)] ^= 1
+    asked = np.packbits(asked, axis=1).view(">u2").astype(np.uint16)
+    window, item = items.candidates(asked, K.near_values(K.PROBED))
+    assert set(range(200)) <= set(window[window == item].tolist())
+    # random fingerprints: most items are passed over
+    other = rng.integers(1 << 16, size=(200, K.BLOCKS)).astype(np.uint16)
+    window, item = items.candidates(other, K.near_values(K.PROBED))
+    assert len(window) < 0.2 * 200 * 600
 
 
 def test_toxicity(spark, docs, empty, clashing, labels, monkeypatch):

@@ -48,16 +48,58 @@ def test_stages(spark, planted):
     assert whole == {i: r.n_tokens for i, r in kept["bpe"].items()}
 
 
-def test_odd_and_empty_tables(spark, docs, planted):
+def test_odd_and_empty_tables(spark, docs, clashing, planted):
     import corpus_pipeline as P
 
     path, _ = planted
-    for table in (docs, docs.limit(0)):
+    for table in (docs, docs.limit(0), clashing):
         now = table
-        for _, stage in P.STAGES:
+        for name, stage in P.STAGES:
             out = stage(spark, now, path)
             now = spark.createDataFrame(out.collect(), out.schema)
+            assert name == "bpe" or now.columns == table.columns
         assert now.count() <= table.count()
+        assert now.where("doc_id is null").count() == table.where("doc_id is null").count()
+    assert {r["further_0"] for r in now.select("further_0").collect()} == {"x"}
+
+
+def test_nothing_stays_in_the_shared_folder(spark, planted):
+    """What stages write for themselves goes; what the result is read from stays until the process ends."""
+    import pathlib
+
+    import corpus_pipeline as P
+    from quillon.llm._store import checkpoint_dir
+
+    folder = pathlib.Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("written-*"))
+    rows = P.run(spark, planted[0])
+    assert len(set(folder.glob("written-*")) - before) == 1 and rows.count() > 0
+
+
+def test_rows_of_one_doc_id(spark):
+    """Of different rows with one doc_id one stays, the same every time; equal rows are one."""
+    import corpus_pipeline as P
+
+    rows = [(1, f"text number {i} " * 20, "en", "s", 1) for i in range(5)] + [(2, "other words here", "en", "s", 1)] * 3 + [(None, None, "en", "s", 1)] * 4
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [sorted((r.doc_id or 0, r.text or "") for r in P.drop_near_duplicates(spark, table.repartition(n), "").collect()) for n in (1, 4)]
+    assert got[0] == got[1] and [x[0] for x in got[0]] == [0, 0, 0, 0, 1, 2]
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import _store as S
+    from quillon.llm.simhash import near_duplicates
+
+    monkeypatch.setattr(S, "HOT", 8)
+    rows = [(i, "the same text again and again" if i % 3 else f"text {i} of its own and more") for i in range(4500)] + [(None, "the same text again and again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = near_duplicates(docs)
+    assert got.count() == 4501 and {r.component_id for r in got.where("doc_id is null or doc_id % 3 != 0").select("component_id").distinct().collect()} == {1}
+    left = docs.withColumn("k", F.xxhash64("text"))
+    table = left.groupBy("k").agg(F.count("*").alias("n"), F.lit("v").alias("v"))
+    assert S.spread_join(left, table, "k", "n").where("v = 'v'").count() == 4501
 
 
 def test_every_query_is_registered():

@@ -1,20 +1,29 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree; elements that never hold article text (menus,
-page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are taken out by tag, role and class. Every other node gets
-its composite density: characters per tag, adjusted for the characters and
-tags inside links and for the page's own link share. A node's sum is that of
-its children's densities. The node with the largest sum is the core; the
-threshold is the least density on the path from it to body. The core is
-widened to the article or main element around it; otherwise siblings along
-the path join if their density reaches the threshold.
+A page is parsed into a tree. Every node gets its composite density:
+characters per tag, adjusted for the characters and tags inside links and for
+the page's own link share. A node's sum is that of its children's densities.
+The node with the largest sum is the core; the threshold is the least density
+on the path from it to body, and siblings along the path join if their density
+reaches it, as do headings beside it. An article or main element around the
+core is evidence: it is taken whole if the core holds most of its text.
+
+Scripts, styles and the like are never text. Elements that say that they are
+menus, page headers and footers, sidebars or dialogs (by tag, role or hidden)
+are left out, and so are forms and those whose class or id looks like such, like
+notices, adverts or reader comments, unless the densities speak for these:
+where no article or main element stands outside of suspects and the densest
+subtree among them is more than twice as dense as the densest outside, or
+there is no text outside, the elements around it are not suspected any more
+(reader comments only if there is nothing else).
 
 Character references are decoded, white space inside a block is one space,
 and blocks (any block element or line break parts them) are joined by \\n.
-Null, empty and text-free pages give an empty text. Broken markup (unclosed
-or stray tags, a page cut off anywhere) is parsed as far as it goes. Rows and
-other columns pass through; a column named like the output is replaced.
+Null, empty and text-free pages give an empty text; of equally dense subtrees
+the first is the core; repeated rows are extracted alike. Broken markup (unclosed
+or stray tags, a page cut off anywhere) is parsed as far as it goes, at any
+depth. A very long page is held whole, in about twenty times its bytes. Rows
+and other columns pass through; a column named like the output is replaced.
 """
 
 import re
@@ -34,7 +43,13 @@ ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-NOISE_TAGS = {"head", "script", "style", "noscript", "template", "iframe", "nav", "footer", "aside", "form", "button", "select", "textarea", "title", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "xmp"}
+#: Elements whose content is never text of the page.
+HARD = {"head", "script", "style", "noscript", "template", "iframe", "select", "textarea", "title", "svg", "canvas", "object", "audio", "video", "xmp"}
+SUSPECT_TAGS = {"nav", "footer", "aside", "button", "menu", "dialog"}
+#: How many times as dense as all else a suspect must be to be none.
+DENSER = 2
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)(?:[\s_-]|$)")
+HEADINGS = {"h1", "h2", "h3", "hgroup"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar"
@@ -53,7 +68,8 @@ class Page:
     """
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.noise, self.link = ["#"], [-1], [False], [False]
+        self.tag, self.parent, self.hard, self.link = ["#"], [-1], [False], [False]
+        self.suspect, self.sure, self.comment = [False], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []
         self.stack, self.block = [0], 0
         self.places: dict[str, list[int]] = {}
@@ -61,7 +77,7 @@ class Page:
         self.read(html)
 
     def text(self, raw: str) -> None:
-        if raw and not self.noise[node := self.stack[-1]]:
+        if raw and not self.hard[node := self.stack[-1]]:
             self.pieces.append((node, self.block, unescape(raw)))
 
     def open(self, tag: str, attributes: str) -> None:
@@ -71,12 +87,17 @@ class Page:
         if tag in VOID:
             return
         up = self.stack[-1]
-        noise = self.noise[up] or tag in NOISE_TAGS or tag == "header" and not (self.places.get("article") or self.places.get("main"))
-        if attributes and not noise:
-            noise = self.named_noise(tag, attributes)
+        sure = tag in SUSPECT_TAGS or tag == "header" and not (self.places.get("article") or self.places.get("main"))
+        suspect, comment = tag == "form", False
+        if attributes:
+            told, named, comment = self.named(tag, attributes)
+            sure, suspect = sure or told, suspect or named
         self.tag.append(tag)
         self.parent.append(up)
-        self.noise.append(noise)
+        self.hard.append(self.hard[up] or tag in HARD)
+        self.suspect.append(suspect or sure)
+        self.sure.append(sure)
+        self.comment.append(comment)
         self.link.append(self.link[up] or tag == "a")
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag not in INLINE:
@@ -92,17 +113,19 @@ class Page:
         del self.stack[k:]
 
     @staticmethod
-    def named_noise(tag: str, attributes: str) -> bool:
+    def named(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+        """Whether the attributes say that an element is noise, whether its names make it suspect, and whether as reader comments."""
+        sure = suspect = comment = False
         for name, value in ATTRIBUTE.findall(attributes):
             value = value.strip("\"'").lower()
             name = name.lower()
             if name == "hidden" and tag not in ("html", "body") or name == "aria-hidden" and value == "true":
-                return True
-            if name == "role" and value in NOISE_ROLES:
-                return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NOISE_NAMES.search(value):
-                return True
-        return False
+                sure = True
+            elif name == "role":
+                sure = sure or value in NOISE_ROLES
+            elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and NOISE_NAMES.search(value):
+                suspect, comment = True, comment or COMMENT_NAMES.search(value) is not None
+        return sure, suspect, comment
 
     def imply(self, tag: str) -> None:
         """Close what the start of a block closes: an open paragraph, a list item before its next, and so on."""
@@ -146,12 +169,12 @@ class Page:
         self.text(CUT_OFF.sub("", html[at:]))  # a page may end within a tag
 
 
-def densities(page: Page, chars: list[int], link_chars: list[int]) -> tuple[list[float], list[float]]:
-    """Composite density of each node, and the sum of its children's."""
+def densities(page: Page, gone: list[bool], chars: list[int], link_chars: list[int]) -> tuple[list[float], list[float], list[int]]:
+    """Composite density of each node that is not gone, the sum of its children's, and its characters."""
     n = len(page.tag)
     c, lc, t, lt = chars[:], link_chars[:], [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
-        if page.noise[i]:
+        if gone[i]:
             continue
         p = page.parent[i]
         c[p] += c[i]
@@ -161,13 +184,47 @@ def densities(page: Page, chars: list[int], link_chars: list[int]) -> tuple[list
     share = lc[0] / max(1, c[0])
     density, sums = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
-        if page.noise[i] or not c[i]:
+        if gone[i] or not c[i]:
             continue
         base = log(c[i] / max(1, c[i] - lc[i]) * lc[i] + share * c[i] + e)
         density[i] = c[i] / max(1, t[i]) * log(max(1.0, c[i] / max(1, lc[i]) * max(1, t[i]) / max(1, lt[i])) + e - 1) / log(base + e - 1)
         if i:
             sums[page.parent[i]] += density[i]
-    return density, sums
+    return density, sums, c
+
+
+def without(page: Page, cleared: set[int] = frozenset()) -> list[bool]:
+    """Nodes that are left out: hard ones and what is inside suspects that are not cleared."""
+    gone = [False] * len(page.tag)
+    for i in range(1, len(gone)):
+        gone[i] = gone[page.parent[i]] or page.hard[i] or page.suspect[i] and i not in cleared
+    return gone
+
+
+def path_up(page: Page, node: int) -> list[int]:
+    path = [node]
+    while path[-1] > 0:
+        path.append(page.parent[path[-1]])
+    return path
+
+
+def cleared_by_density(page: Page, gone: list[bool], sums: list[float], c: list[int], chars: list[int], link_chars: list[int]) -> set[int]:
+    """Suspects that the densities speak for."""
+    n = len(gone)
+    if c[0] and any(page.tag[i] in ("article", "main") and not gone[i] and c[i] for i in range(n)):
+        return set()
+    density, inner, _ = densities(page, page.hard, chars, link_chars)
+    sure = [False] * n
+    for i in range(1, n):
+        sure[i] = sure[page.parent[i]] or page.sure[i]
+    suspects = [i for i in range(n) if gone[i] and not sure[i] and not page.hard[i] and density[i]]
+    if not suspects:
+        return set()
+    best = max(suspects, key=lambda i: (inner[i] or density[i], -i))
+    path = path_up(page, best)
+    if c[0] and ((inner[best] or density[best]) <= DENSER * max(sums) or any(page.comment[i] for i in path)):
+        return set()
+    return {i for i in path if page.suspect[i]}
 
 
 def main_text(html: str | None) -> str:
@@ -184,24 +241,25 @@ def main_text(html: str | None) -> str:
             link_chars[node] += size
     if not any(chars):
         return ""
-    density, sums = densities(page, chars, link_chars)
-    core = max(range(n), key=lambda i: (sums[i] if sums[i] else density[i] if not i else 0.0, -i))
-    path = [core]
-    while path[-1] > 0:
-        path.append(page.parent[path[-1]])
-    around = [x for x in path if page.tag[x] in ("article", "main")]
+    gone = without(page)
+    density, sums, c = densities(page, gone, chars, link_chars)
+    if any(gone[i] and chars[i] for i in range(n)) and (cleared := cleared_by_density(page, gone, sums, c, chars, link_chars)):
+        gone = without(page, cleared)
+        density, sums, c = densities(page, gone, chars, link_chars)
+    core = max(range(n), key=lambda i: (sums[i], -i)) if any(sums) else 0
+    path = path_up(page, core)
+    threshold = min((density[x] for x in path if page.tag[x] not in ("#", "html")), default=density[core])
     kept = [False] * n
-    if around:
-        kept[around[-1]] = True
-    else:
-        threshold = min((density[x] for x in path if page.tag[x] not in ("#", "html")), default=density[core])
-        kept[core] = True
-        on_path = set(path)
-        for i in range(1, n):
-            if i not in on_path and page.parent[i] in on_path and not kept[page.parent[i]] and density[i] >= threshold and page.tag[i] != "a":
-                kept[i] = True
+    kept[core] = True
+    for i in path:
+        kept[i] = kept[i] or page.tag[i] in ("article", "main") and 2 * c[core] >= c[i]
+    on_path = set(path)
+    for i in range(1, n):
+        up = page.parent[i]
+        if up in on_path and i not in on_path and not kept[up] and page.tag[i] != "a" and (density[i] >= threshold or page.tag[i] in HEADINGS and up == page.parent[core]):
+            kept[i] = True
     for i in range(1, n):
-        kept[i] = kept[i] or kept[page.parent[i]]
+        kept[i] = (kept[i] or kept[page.parent[i]]) and not gone[i]
     blocks: dict[int, list[str]] = {}
     for node, block, text in page.pieces:
         if kept[node]:

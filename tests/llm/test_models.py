@@ -280,6 +280,71 @@ def test_html():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_html_densities_against_brute_force():
+    """Densities, sums and the core of random trees, by definition from every subtree."""
+    import random
+    from math import e, log
+
+    from quillon.llm import html_text as H
+
+    rng = random.Random(5)
+
+    def grow(depth):
+        kids = "".join(grow(depth + 1) for _ in range(rng.randint(0, 4 - depth))) if depth < 4 else ""
+        tag = rng.choice(["div", "section", "a", "span", "p" if not kids else "div"])
+        return f"<{tag}>{'x' * rng.randint(0, 40)}{kids}</{tag}>"
+
+    for _ in range(150):
+        page = H.Page("<body>" + "".join(grow(0) for _ in range(3)) + "</body>")
+        n = len(page.tag)
+        chars, links = [0] * n, [0] * n
+        for node, _, text in page.pieces:
+            chars[node] += len(text)
+            links[node] += len(text) * page.link[node]
+        inside = [[j for j in range(n) if i in H.path_up(page, j)] for i in range(n)]
+        share = sum(links) / max(1, sum(chars))
+
+        def one(i, inside=inside, chars=chars, links=links, page=page, share=share):
+            c, lc = sum(chars[j] for j in inside[i]), sum(links[j] for j in inside[i])
+            t, lt = len(inside[i]) - 1, sum(page.link[j] for j in inside[i] if j != i)
+            if not c:
+                return 0.0
+            other = log(c / max(1, c - lc) * lc + share * c + e)
+            return c / max(1, t) * log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)) + e - 1) / log(other + e - 1)
+
+        density, sums, c = H.densities(page, [False] * n, chars, links)
+        assert np.allclose(density, [one(i) for i in range(n)])
+        assert np.allclose(sums, [sum(one(j) for j in range(1, n) if page.parent[j] == i) for i in range(n)])
+        assert c == [sum(chars[j] for j in inside[i]) for i in range(n)]
+
+
+def test_html_density_decides(monkeypatch):
+    """Without telling tags or names the densest subtree is the article; without densities it is not found."""
+    from quillon.llm import html_text as H
+
+    say = lambda k: f"Sentence number {k} has a fair amount of running text in it, and then some more of it. " * 3
+    body = "".join(f"<p>{say(k)}</p>" for k in range(5))
+    menu = "<div><ul>" + "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(12)) + "</ul></div>"
+    page = f"<html><body>{menu}<div>Buy now</div><div><h1>Head</h1>{body}</div><div>&copy; <a href=x>us</a></div></body></html>"
+    want = "\n".join(["Head", *(say(k).strip() for k in range(5))])
+    assert H.main_text(page) == want
+    # a heading beside the core, and a part of the article outside of it
+    assert H.main_text(f"<body>{menu}<div><h1>Head</h1><div>{body}</div></div></body>") == want
+    # names that a suspect shares with an article do not take it away
+    for name in ('class="side"', 'id="search-engines"', 'class="header-wrap"', 'class="content notice"'):
+        assert H.main_text(f"<body>{menu}<div {name}><article><h1>Head</h1>{body}</article></div></body>") == want, name
+        assert H.main_text(f"<body>{menu}<div {name}><h1>Head</h1>{body}</div><div>short tail</div></body>") == want, name
+    assert H.main_text(f"<body><form><div><h1>Head</h1>{body}</div><input></form></body>") == want
+    # readers may write more than the author, and sidebars be long
+    for noise in (f"<div class=comments>{body * 4}</div>", f"<aside>{body * 4}</aside>", f"<div class=sidebar>{body * 4}</div>"):
+        assert H.main_text(f"<body><article><h1>T</h1><p>{say(9)}</p></article>{noise}</body>") == "T\n" + say(9).strip()
+    assert H.main_text(f"<body><div><h1>T</h1><p>{say(9)}</p></div><div class=comments>{body * 4}</div></body>") == "T\n" + say(9).strip()
+    assert H.main_text(f"<body><div id=comments>{body}</div></body>") == "\n".join(say(k).strip() for k in range(5))
+    real = H.densities
+    monkeypatch.setattr(H, "densities", lambda p, g, c, k: ([0.0] * len(c), [0.0] * len(c), real(p, g, c, k)[2]))
+    assert H.main_text(page) != want
+
+
 def test_html_noise_below_many_open_elements():
     """Noise elements and end tags count at any depth."""
     from quillon.llm.html_text import main_text

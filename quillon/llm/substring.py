@@ -40,8 +40,6 @@ from quillon.llm._store import shuffles
 from quillon.llm._text import SPACE, Places, free_names, hashed_words, mix, runs, slices, windows_hash, with_columns
 
 WINDOW, GRAM, TASK_WORDS = 35, 8, 1 << 19
-#: Bytes of a window's hash that are sent.
-SENT = 8
 #: A file with more windows is split; files with fewer in TASK_WORDS words of every task are not counted.
 FILE_WINDOWS, COUNTED = 1 << 17, 64
 
@@ -126,8 +124,12 @@ def hot_files(docs: DataFrame, text: str, window: int, gram: int) -> Hot:
     return keys[order], parts[order]
 
 
+#: How a settled entry names its source.
+SOURCE = np.dtype([("known", "?"), ("id", "<i8"), ("first", "<i4")])
+
+
 def _file(window: int, gram: int, hot: Hot = NONE):
-    names = ["key", "id", "rk", "first", "n", "many", "hashes", "source", "source_first"]
+    """Entries (key, id, rk, place, data). place: first window, number of windows, whether it has settled copies, whether it is one; data: its windows' hashes, or its source."""
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         kept = Places()
@@ -142,36 +144,23 @@ def _file(window: int, gram: int, hot: Hot = NONE):
         leads = np.zeros(len(same), bool)
         leads[lead] = True
         many = times[which] > 1
-        short = whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]
-        sent = np.flatnonzero(leads)
-        lengths = (n[sent] * SENT).astype(np.int64)
-        take = np.repeat(leads, n)
-        blob = short[take].tobytes()
-        done = np.flatnonzero(many & ~leads)
-        total = len(sent) + len(done)
-        off = np.concatenate([[0], np.cumsum(lengths), np.full(len(done), lengths.sum())]).astype(np.int32)
-        valid = np.packbits(np.concatenate([np.ones(len(sent), bool), np.zeros(len(done), bool)]), bitorder="little").tobytes()
-        hashes = pa.Array.from_buffers(pa.binary(), total, [pa.py_buffer(valid), pa.py_buffer(off.tobytes()), pa.py_buffer(blob)])
+        sent, done = np.flatnonzero(leads), np.flatnonzero(many & ~leads)
         every = np.concatenate([sent, done])
-        # A settled entry goes with its own row, spread evenly; an open one to its file.
-        to = np.concatenate([key[sent], mix(rks.view(np.uint64)[row[done]] + first[done].astype(np.uint64))]).view(np.int64)
+        settled = np.arange(len(every)) >= len(sent)
         copy = lead[which[done]]  # the one that was sent is their source
-        whose, none = np.concatenate([np.zeros(len(sent), np.int64), row[copy]]), np.concatenate([np.ones(len(sent), bool), np.zeros(len(done), bool)])
+        sources = np.zeros(len(done), SOURCE)
+        sources["known"], sources["id"], sources["first"] = ~nulls[row[copy]], ids[row[copy]], first[copy]
+        lengths = np.where(settled, SOURCE.itemsize, n[every] * 8)
+        off = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        blob = whole[np.repeat(leads, n)].astype("<u8").tobytes() + sources.tobytes()
+        # A settled entry goes with its own row, spread evenly; an open one to its block.
+        to = np.concatenate([key[sent], mix(rks.view(np.uint64)[row[done]] + first[done].astype(np.uint64))]).view(np.int64)
+        place = first[every] << 32 | n[every] << 2 | many[every] << 1 | settled
         out = pa.RecordBatch.from_arrays(
-            [
-                pa.array(to),
-                pa.array(ids[row[every]], mask=nulls[row[every]]),
-                pa.array(rks[row[every]]),
-                pa.array(first[every].astype(np.int32)),
-                pa.array(n[every].astype(np.int32)),
-                pa.array(many[every]),
-                hashes,
-                pa.array(ids[whose], mask=none | nulls[whose]),
-                pa.array(np.concatenate([np.zeros(len(sent), np.int32), first[copy].astype(np.int32)]), mask=none),
-            ],
-            names=names,
+            [pa.array(to), pa.array(ids[row[every]], mask=nulls[row[every]]), pa.array(rks[row[every]]), pa.array(place), pa.Array.from_buffers(pa.binary(), len(every), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(blob)])],
+            names=["key", "id", "rk", "place", "data"],
         )
-        for i in range(0, total, 20_000):
+        for i in range(0, len(every), 20_000):
             yield out.slice(i, 20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,30 +254,29 @@ def _match():
     names = ["id", "rk", "first", "n", "source", "source_first"]
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        blobs = batch.column(6)
-        settled = blobs.is_null().to_numpy(zero_copy_only=False)
-        parts = [batch.filter(pa.array(settled)).select(names)]
+        key, rk, place = (batch.column(k).to_numpy() for k in (0, 2, 3))
+        ids, data = batch.column(1), batch.column(4)
+        nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        first, n, many = place >> 32, (place & 0xFFFFFFFF) >> 2, place & 2 > 0
+        done, open_ = np.flatnonzero(place & 1), np.flatnonzero(~place & 1)
+        sources = np.frombuffer(b"".join(data.take(pa.array(done)).to_pylist()), SOURCE)
         # Also entries alone in their block: a passage that repeats at once has equal windows in one entry.
-        if not settled.all():
-            open_ = batch.filter(pa.array(~settled))
-            first, n, many = (open_.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
-            hashes = np.frombuffer(b"".join(open_.column(6).to_pylist()), "<u8")
-            found = block_factors(open_.column(0).to_numpy(), n.astype(np.int64), many, hashes, open_.column(2).to_numpy().view(np.uint64))
-            if found:
-                at, offset, number, source, there = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                none = source < 0
-                of = open_.column(1).take(pa.array(np.maximum(source, 0)))
-                columns = [
-                    open_.column(1).take(pa.array(at)),
-                    open_.column(2).take(pa.array(at)),
-                    pa.array((first[at] + offset).astype(np.int32)),
-                    pa.array(number.astype(np.int32)),
-                    pa.array(of.fill_null(0).to_numpy(), mask=none | of.is_null().to_numpy(zero_copy_only=False)),
-                    pa.array((first[np.maximum(source, 0)] + there).astype(np.int32), mask=none),
-                ]
-                parts.append(pa.RecordBatch.from_arrays(columns, names=names))
-        out = pa.concat_batches(parts)
-        return out if out.num_rows else None
+        hashes = np.frombuffer(b"".join(data.take(pa.array(open_)).to_pylist()), "<u8")
+        found = block_factors(key[open_], n[open_], many[open_], hashes, rk.view(np.uint64)[open_])
+        at, offset, number, source, there = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 5
+        at, of = open_[at], open_[np.maximum(source, 0)]
+        every = np.concatenate([at, done])
+        if not len(every):
+            return None
+        columns = [
+            pa.array(ids[every], mask=nulls[every]),
+            pa.array(rk[every]),
+            pa.array(np.concatenate([first[at] + offset, first[done]]).astype(np.int32)),
+            pa.array(np.concatenate([number, n[done]]).astype(np.int32)),
+            pa.array(np.concatenate([ids[of], sources["id"]]), mask=np.concatenate([(source < 0) | nulls[of], ~sources["known"]])),
+            pa.array(np.concatenate([first[of] + there, sources["first"]]).astype(np.int32), mask=np.concatenate([source < 0, np.zeros(len(done), bool)])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -319,7 +307,8 @@ Factor = tuple[int, int, int | None, int | None]
 def parse(found: list[Factor], window: int) -> list[Factor]:
     """Factors (first word, words, source's doc_id, first word there) of a document from those of blocks (in windows): continued over borders where the source goes on."""
     out: list[list] = []
-    for first, n, source, there in sorted(found, key=lambda f: f[:2]):
+    one = {f[:2]: f for f in sorted(found, key=lambda f: (f[2] or 0, f[3] or 0), reverse=True)}  # equal rows may name several sources
+    for first, n, source, there in (one[k] for k in sorted(one)):
         if out and there is not None and out[-1][3] is not None and out[-1][2] == source and there - out[-1][3] == first - out[-1][0] == out[-1][1]:
             out[-1][1] += n
         elif out and there is None and out[-1][3] is None and first == out[-1][0] + out[-1][1]:
@@ -401,11 +390,10 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     own, rk, found, sid, srk = free_names(docs, "__id", "__rk", "__found", "__sid", "__srk")
     rows = docs.withColumns({own: F.col(doc_id).cast("long"), rk: F.xxhash64(doc_id, text)})
-    filed = rows.select(own, rk, text).mapInArrow(_file(window, gram, hot_files(docs, text, window, gram)), "key long, id long, rk long, first int, n int, many boolean, hashes binary, source long, source_first int")
+    filed = rows.select(own, rk, text).mapInArrow(_file(window, gram, hot_files(docs, text, window, gram)), "key long, id long, rk long, place long, data binary")
     factor = T.StructType.fromDDL("id long, rk long, first int, n int, source long, source_first int")
     matched = filed.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(_match(), factor)
-    best = matched.groupBy("id", "rk", "first", "n").agg(F.min(F.struct("source", "source_first")).alias("s"))
-    spans = best.groupBy(F.col("id").alias(sid), F.col("rk").alias(srk)).agg(F.collect_list(F.struct("first", "n", "s.source", "s.source_first")).alias(found))
+    spans = matched.groupBy(F.col("id").alias(sid), F.col("rk").alias(srk)).agg(F.collect_set(F.struct("first", "n", "source", "source_first")).alias(found))
     new = ["kept_text", "n_words", "n_removed", "factors"]
     keep = [f for f in docs.schema.fields if f.name != text and f.name not in new]
     joined = rows.join(spans, F.col(own).eqNullSafe(F.col(sid)) & (F.col(rk) == F.col(srk)), "left").select(*(f.name for f in keep), text, found)

@@ -47,6 +47,11 @@ def terms(data: np.ndarray, offsets: np.ndarray, kept: Places) -> tuple[np.ndarr
     return hash_runs(LOWER[data], starts, ends, kept), np.searchsorted(offsets, starts, "right") - 1
 
 
+def expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. of each range of n in turn."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def least_shingle(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Least hash of a row's five-word shingles (0: none): near copies mostly share it."""
     out = np.zeros(rows, np.uint64)
@@ -130,29 +135,29 @@ class Index:
     none: float = 0.0
 
     def open(self) -> "Index":
-        """Build each term's block borders and largest weight of each block, from the postings, where they are used."""
-        blocks = max(1, -(-len(self.labels) // BLOCK))
-        term = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.begin))
-        cell = term * blocks + self.example // BLOCK
-        self.blocks = blocks
-        self.borders = np.zeros(len(self.vocabulary) * blocks + 1, np.int32)
-        np.cumsum(np.bincount(cell, minlength=len(self.vocabulary) * blocks), out=self.borders[1:])
-        self.tops = np.zeros(len(self.vocabulary) * blocks, np.float32)
-        np.maximum.at(self.tops, cell, self.weight)
-        self.tops = self.tops.reshape(-1, blocks)
+        """Find the blocks that each term is in, its largest weight in each and where their postings begin, from the postings, where they are used."""
+        self.blocks = max(1, -(-len(self.labels) // BLOCK))
+        cell = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.begin)) * self.blocks + self.example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+        self.block = (cell[first] % self.blocks).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, first) if len(cell) else self.weight
+        self.cells = np.searchsorted(cell[first], np.arange(len(self.vocabulary) + 1) * self.blocks)
+        self.first = np.append(first, len(cell)).astype(np.int32)
         return self
 
-    def similarities(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """To all examples, of which those in the given blocks are right."""
-        cell = (term[:, None] * self.blocks + blocks).ravel()
-        first = self.borders[cell].astype(np.int64)
-        n = self.borders[cell + 1] - first
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.example[at], np.repeat(np.repeat(weight, len(blocks)), n) * self.weight[at], minlength=len(self.labels))
+    def similarities(self, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """To all examples, of which those in the cells' blocks are right; weight: of the asked text's term in each cell."""
+        first = self.first[cells].astype(np.int64)
+        n = self.first[cells + 1] - first
+        at = expand(first, n)
+        return np.bincount(self.example[at], np.repeat(weight, n) * self.weight[at], minlength=len(self.labels))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a positive cosine and their cosines, exactly: blocks by falling bound, in growing steps, until no bound reaches the k-th."""
-        bound = weight @ self.tops[term]
+        n = self.cells[term + 1] - self.cells[term]
+        cells, weight = expand(self.cells[term], n), np.repeat(weight, n)
+        block = self.block[cells]
+        bound = np.bincount(block, weight * self.top[cells], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         best, sims = np.empty(0, np.int64), np.empty(0, np.float64)
         a, step = 0, FIRST
@@ -160,10 +165,13 @@ class Index:
             some = order[a : a + step]
             some = some[bound[some] > 0]
             if len(sims) >= k:
-                some = some[bound[some] >= sims[k - 1] - 1e-6]  # tops are rounded to float32
+                some = some[bound[some] >= sims[k - 1] - 1e-6]  # sums of rounded numbers
             if not len(some):
                 break
-            s = self.similarities(term, weight, some)
+            inside = np.zeros(self.blocks, bool)
+            inside[some] = True
+            inside = inside[block]
+            s = self.similarities(cells[inside], weight[inside])
             at = np.flatnonzero(s > 0)
             at = at[at != without]
             best, sims = np.concatenate([best, at]), np.concatenate([sims, s[at]])
@@ -244,7 +252,7 @@ def build(examples: list[tuple[int, int, np.ndarray, np.ndarray, int]], counts:
             weight.append(share[e[1]])
             right.append(float(e[1]))
     index.votes, index.scores = isotonic(np.array(votes), np.array(right), np.array(weight))
-    del index.borders, index.tops  # large, and built again where they are used
+    del index.block, index.top, index.cells, index.first  # found again where they are used
     return index
 
 

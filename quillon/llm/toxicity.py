@@ -6,10 +6,11 @@ and documents are TF-IDF vectors over it; document counts for the idf run over
 all documents, and a term's weight is scaled by how strongly it goes with the
 label among the examples (log-likelihood ratio, near copies counted once), on
 top of a floor that every term has. The inverted index holds the examples'
-weights by term and block and the largest weight of each term in each block:
-blocks are visited by falling upper bound until no bound can reach the k-th
-similarity, so the k nearest by cosine are exact (ties: the smaller example
-number). Votes are weighted by distance and mapped to probabilities by isotonic
+weights by term and block and the largest weight of each term in each block (terms that a tenth of the examples
+have are rows of a matrix instead, and add what they give themselves to a block's
+bound): blocks are visited by falling upper bound until no bound can reach the
+k-th similarity, so the k nearest by cosine are exact (ties, which are
+similarities within a millionth: the smaller example number). Votes are weighted by distance and mapped to probabilities by isotonic
 regression on leave-one-out votes, weighted to the classes' shares among all
 rows to learn from.
 
@@ -34,9 +35,13 @@ from quillon.llm._store import reduced
 from quillon.llm._text import LETTER, LOWER, Lookup, Places, hash_runs, lowered_slices, runs, windows_hash, with_columns
 
 #: At most so many labelled rows of each class; neighbours that vote; examples a block; blocks visited at first.
-PER_CLASS, NEIGHBOURS, BLOCK, FIRST = 1500, 15, 64, 4
+PER_CLASS, NEIGHBOURS, BLOCK, FIRST = 1500, 15, 64, 8
 #: Share of the strongest term's weight that a term without any bond with the label keeps.
 FLOOR = 0.01
+#: Terms in one of so many examples or more are rows of a matrix. Similarities this close are ties: sums of rounded numbers differ.
+FREQUENT, CLOSE = 10, 1e-6
+#: Documents whose frequent terms are taken at once.
+ROWS = 256
 #: Terms whose document counts are added up together.
 PART = 1 << 14
 
@@ -49,7 +54,10 @@ def terms(data: np.ndarray, offsets: np.ndarray, kept: Places) -> tuple[np.ndarr
 
 def expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first, first + 1, .. of each range of n in turn."""
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    ends = np.cumsum(n)
+    out = np.repeat((first - (ends - n)).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def least_shingle(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -135,54 +143,81 @@ class Index:
     none: float = 0.0
 
     def open(self) -> "Index":
-        """Find the blocks that each term is in, its largest weight in each and where their postings begin, from the postings, where they are used."""
-        self.blocks = max(1, -(-len(self.labels) // BLOCK))
-        cell = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.begin)) * self.blocks + self.example // BLOCK
+        """Lay the postings out where they are used: frequent terms as rows of a matrix, for others the blocks that each is in, its largest weight in each and where their postings begin."""
+        n, size = len(self.labels), np.diff(self.begin)
+        self.blocks = max(1, -(-n // BLOCK))
+        often = np.flatnonzero(size * FREQUENT >= max(n, 1))
+        self.row = np.full(len(self.vocabulary), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        term = np.repeat(np.arange(len(self.vocabulary)), size)
+        common = self.row[term] >= 0
+        self.rows[self.row[term[common]], self.example[common]] = self.weight[common]
+        term, self.rare_example, self.rare_weight = term[~common], self.example[~common], self.weight[~common]
+        cell = term * self.blocks + self.rare_example // BLOCK
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
         self.block = (cell[first] % self.blocks).astype(np.int32)
-        self.top = np.maximum.reduceat(self.weight, first) if len(cell) else self.weight
+        self.top = np.maximum.reduceat(self.rare_weight, first) if len(cell) else self.rare_weight
         self.cells = np.searchsorted(cell[first], np.arange(len(self.vocabulary) + 1) * self.blocks)
         self.first = np.append(first, len(cell)).astype(np.int32)
         return self
 
+    def close(self) -> None:
+        del self.row, self.rows, self.rare_example, self.rare_weight, self.block, self.top, self.cells, self.first
+
+    def common(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """What the frequent terms of each row add to its similarity to every example."""
+        at = self.row[term]
+        asked = np.zeros((rows, len(self.rows)), np.float32)
+        asked[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        return asked @ self.rows
+
     def similarities(self, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """To all examples, of which those in the cells' blocks are right; weight: of the asked text's term in each cell."""
-        first = self.first[cells].astype(np.int64)
+        first = self.first[cells]
         n = self.first[cells + 1] - first
         at = expand(first, n)
-        return np.bincount(self.example[at], np.repeat(weight, n) * self.weight[at], minlength=len(self.labels))
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a positive cosine and their cosines, exactly: blocks by falling bound, in growing steps, until no bound reaches the k-th."""
-        n = self.cells[term + 1] - self.cells[term]
-        cells, weight = expand(self.cells[term], n), np.repeat(weight, n)
+        return np.bincount(self.rare_example[at], np.repeat(weight, n) * self.rare_weight[at], minlength=self.blocks * BLOCK)
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples with a positive cosine and their cosines, exactly: first the blocks of the largest bounds, then the others, those whose bound does not reach the k-th so far left out.
+
+        A block's bound is the largest sum over its frequent terms (common) and the rare terms' largest weights in it.
+        """
+        if common is None:
+            common = self.common(np.zeros(len(term), np.int64), term, weight, 1)[0]
+        rare = self.row[term] < 0
+        n = self.cells[term[rare] + 1] - self.cells[term[rare]]
+        cells, weight = expand(self.cells[term[rare]], n), np.repeat(weight[rare], n)
         block = self.block[cells]
-        bound = np.bincount(block, weight * self.top[cells], minlength=self.blocks)
+        bound = np.bincount(block, weight * self.top[cells], minlength=self.blocks) + common.reshape(-1, BLOCK).max(axis=1)
         order = np.argsort(-bound, kind="stable")
-        best, sims = np.empty(0, np.int64), np.empty(0, np.float64)
-        a, step = 0, FIRST
-        while a < len(order):
-            some = order[a : a + step]
-            some = some[bound[some] > 0]
-            if len(sims) >= k:
-                some = some[bound[some] >= sims[k - 1] - 1e-6]  # sums of rounded numbers
+        best, sims, least = np.empty(0, np.int64), np.empty(0), 0.0
+        for some in (order[:FIRST], order[FIRST:]):
+            some = some[bound[some] > least]
             if not len(some):
                 break
             inside = np.zeros(self.blocks, bool)
             inside[some] = True
-            inside = inside[block]
-            s = self.similarities(cells[inside], weight[inside])
-            at = np.flatnonzero(s > 0)
-            at = at[at != without]
+            mine = inside[block]
+            s = self.similarities(cells[mine], weight[mine]) + common
+            s = np.where(np.repeat(inside, BLOCK), s, 0)
+            if without >= 0:
+                s[without] = 0
+            at = np.flatnonzero(s > least)
+            if len(at) > k:  # only those that can be among the k, ties included
+                at = at[s[at] >= np.partition(s[at], -k)[-k] - CLOSE]
             best, sims = np.concatenate([best, at]), np.concatenate([sims, s[at]])
-            top = np.lexsort((best, -np.round(sims, 9)))[:k]
+            top = np.lexsort((best, -np.round(sims / CLOSE)))[:k]
             best, sims = best[top], sims[top]
-            a, step = a + step, 2 * step
+            least = max(0.0, sims[k - 1] - CLOSE) if len(sims) >= k else 0.0
         return best, sims
 
-    def weigh(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def weigh(self, term: np.ndarray, n: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
+        """Weights of the terms of one text, or of each row's."""
         w = (1 + np.log(n)) * self.scale[term]
-        return w / np.sqrt((w * w).sum())
+        squares = (w * w).sum() if row is None else np.bincount(row, w * w)[row]
+        return w / np.sqrt(squares)
 
     def vote(self, best: np.ndarray, sims: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(sims, 1)) * self.share[self.labels[best]]
@@ -252,7 +287,7 @@ def build(examples: list[tuple[int, int, np.ndarray, np.ndarray, int]], counts:
             weight.append(share[e[1]])
             right.append(float(e[1]))
     index.votes, index.scores = isotonic(np.array(votes), np.array(right), np.array(weight))
-    del index.block, index.top, index.cells, index.first  # found again where they are used
+    index.close()
     return index
 
 
@@ -286,12 +321,17 @@ def _scorer(text: str, index: Index, evidence: int):
             for i, j, data, offsets in lowered_slices(batch.column(batch.schema.get_field_index(text))):
                 row, term, n = vectors(data, offsets, lookup, kept)
                 at = np.searchsorted(row, np.arange(j - i + 1)).tolist()
-                scores, why = np.full(j - i, index.none), [[]] * (j - i)
+                scores, why, done = np.full(j - i, index.none), [[]] * (j - i), 0
+                weight = index.weigh(term, n, row)
                 for k in np.unique(row).tolist():
                     a, b = at[k], at[k + 1]
+                    if k >= done:  # the frequent terms of the next rows at once
+                        begin, done = k, min(k + ROWS, j - i)
+                        own = slice(at[begin], at[done])
+                        common = index.common(row[own] - begin, term[own], weight[own], done - begin)
                     key = term[a:b].tobytes(), n[a:b].tobytes()
                     if key not in known:
-                        best, sims = index.nearest(term[a:b], index.weigh(term[a:b], n[a:b]))
+                        best, sims = index.nearest(term[a:b], weight[a:b], common=common[k - begin])
                         if len(known) > 20_000:
                             known.clear()
                         known[key] = (index.score(index.vote(best, sims)), [{"doc_id": int(index.doc_ids[x]), "label": int(index.labels[x]), "similarity": float(s)} for x, s in zip(best[:evidence], sims, strict=False)]) if len(best) else (index.none, [])

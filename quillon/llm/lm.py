@@ -130,9 +130,27 @@ def start(counts: np.ndarray) -> dict[str, np.ndarray]:
     return net
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exponentials, their sums, what was taken off before) of each row; one maximum serves all rows unless some row is far below it."""
+    top = x.max()
+    out = np.exp(x - top)
+    sums = out @ np.ones(x.shape[1], x.dtype)
+    if sums.min() < 1e-25:
+        top = x.max(axis=1)
+        out = np.exp(x - top[:, None])
+        sums = out.sum(axis=1)
+    return out, sums, top
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    out, sums, _ = _exp_rows(x)
+    out /= sums[:, None]
+    return out
+
+
+def _log_sums(x: np.ndarray) -> np.ndarray:
+    _, sums, top = _exp_rows(x)
+    return np.log(sums) + top
 
 
 def _sums_by(c: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -158,7 +176,7 @@ def steps(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, m
         w = net["w"].reshape(2 * SIDE, DIMS, HIDDEN)
         h = net["b"] + sum((net["emb"] @ w[k])[c[:, k]] for k in range(2 * SIDE))
         np.tanh(h, out=h)
-        d_class = np.exp(_log_softmax(h @ net["wc"] + net["bc"]))
+        d_class = _softmax(h @ net["wc"] + net["bc"])
         d_class[every, own] -= 1
         d_class /= len(y)
         dh = d_class @ net["wc"].T
@@ -168,7 +186,7 @@ def steps(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, m
             i, j = cuts[k], cuts[k + 1]
             if i == j:
                 continue
-            d = np.exp(_log_softmax(h[i:j] @ net["ww"][k] + net["bw"][k]))
+            d = _softmax(h[i:j] @ net["ww"][k] + net["bw"][k])
             d[every[: j - i], word[i:j]] -= 1
             d /= len(y)
             dh[i:j] += d @ net["ww"][k].T
@@ -203,16 +221,14 @@ def log_probabilities(net: dict[str, np.ndarray], ids: np.ndarray, row: np.ndarr
         np.tanh(h, out=h)
         own = y // IN_CLASS
         got = h @ net["wc"] + net["bc"]
-        top = got.max(axis=1)
-        p = got[np.arange(len(y)), own] - top - np.log(np.exp(got - top[:, None]).sum(axis=1))
+        p = got[np.arange(len(y)), own] - _log_sums(got)
         order = np.argsort(own.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(own[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             at = order[cuts[k] : cuts[k + 1]]
             if len(at):
                 got = h[at] @ net["ww"][k] + net["bw"][k]
-                top = got.max(axis=1)
-                p[at] += got[np.arange(len(at)), y[at] % IN_CLASS] - top - np.log(np.exp(got - top[:, None]).sum(axis=1))
+                p[at] += got[np.arange(len(at)), y[at] % IN_CLASS] - _log_sums(got)
         out[a : a + SCORE] = p
     return out
 

@@ -236,8 +236,9 @@ def test_lm_gradients():
     def loss(n):
         h = np.tanh(np.concatenate([n["emb"][context[:, k]] for k in range(4)], axis=1) @ n["w"] + n["b"])
         c, v = ids // lm.IN_CLASS, ids % lm.IN_CLASS
-        one = lm._log_softmax(h @ n["wc"] + n["bc"])[np.arange(40), c]
-        two = [lm._log_softmax((h[i] @ n["ww"][c[i]] + n["bw"][c[i]])[None])[0, v[i]] for i in range(40)]
+        log_softmax = lambda x: x - np.log(np.exp(x).sum())
+        one = np.array([log_softmax(h[i] @ n["wc"] + n["bc"])[c[i]] for i in range(40)])
+        two = [log_softmax(h[i] @ n["ww"][c[i]] + n["bw"][c[i]])[v[i]] for i in range(40)]
         return -(one.sum() + sum(two)) / 40
 
     grads = {}
@@ -253,6 +254,15 @@ def test_lm_gradients():
             assert abs((loss(up) - loss(down)) / 2e-5 - grads[k][at]) < 1e-5, k
 
 
+def test_lm_rows_far_apart():
+    """One maximum for all rows does not lose those far below it."""
+    from quillon.llm import lm
+
+    x = np.array([[500.0, 499.0], [-500.0, -501.0], [0.0, 3.0]], np.float32)
+    want = [500 + np.log1p(np.exp(-1)), -500 + np.log1p(np.exp(-1)), 3 + np.log1p(np.exp(-3))]
+    assert np.allclose(lm._log_sums(x), want) and np.allclose(lm._softmax(x).sum(axis=1), 1)
+
+
 def test_lm_learns():
     """The gradient steps raise the likelihood of a predictable text."""
     from quillon.llm import lm

@@ -4,7 +4,7 @@ Words are lower-case runs of letters, digits and non-ASCII characters. For
 every length among the items, the windows of a document with as many words
 are judged by 256-bit fingerprints of their shingles. A window within the
 similarity must hold most shingles of some item, so only windows with enough
-shingles of the whole benchmark get a fingerprint (no match is lost by that).
+shingles of items of their length get a fingerprint (no match is lost by that).
 A multi-index finds items: fingerprints within the radius of 63 bits differ in
 at most three bits of one of sixteen blocks of 16 bits, and the index holds
 each item under every block value one bit away, which a window probes with
@@ -102,12 +102,29 @@ def block_codes(prints: np.ndarray, near: np.ndarray) -> np.ndarray:
     return (np.arange(BLOCKS)[:, None] << size) | (prints.astype(np.int64)[:, :, None] ^ near)
 
 
+@dataclass
+class Shingles:
+    """All shingles of one size in order, and the groups that have each."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    groups: np.ndarray
+
+    def groups_of(self, places: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group, place) in order, for shingles found at the places."""
+        first, n = self.first[found], self.first[found + 1] - self.first[found]
+        group = self.groups[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        place = np.repeat(places, n)
+        order = np.lexsort((place, group))
+        return group[order], place[order]
+
+
 @dataclass
 class Benchmark:
     """Items by length, and all shingles by shingle size."""
 
     groups: list[Items]
-    shingles: dict[int, np.ndarray]
+    shingles: dict[int, Shingles]
 
 
 def build(items: list[tuple[int, str]]) -> Benchmark:
@@ -123,10 +140,17 @@ def build(items: list[tuple[int, str]]) -> Benchmark:
         group.ids.append(item)
         group.counts.append(Counter(hashes.tolist()))
         prints[len(words)].append(pack(signs(hashes).sum(axis=0, keepdims=True))[0])
-        shingles[gram].update(hashes.tolist())
+        shingles[gram].update((h, len(words)) for h in hashes.tolist())
     for n, group in groups.items():
         group.close(prints[n])
-    return Benchmark([groups[n] for n in sorted(groups)], {g: np.sort(np.fromiter(s, np.uint64, len(s))) for g, s in shingles.items()})
+    lengths = sorted(groups)
+    by_size = {}
+    for gram, pairs in shingles.items():
+        ordered = sorted(pairs)
+        flat = np.array([h for h, _ in ordered], np.uint64)
+        hashes, first = np.unique(flat, return_index=True)
+        by_size[gram] = Shingles(hashes, np.append(first, len(flat)), np.searchsorted(lengths, [n for _, n in ordered]))
+    return Benchmark([groups[n] for n in lengths], by_size)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -134,18 +158,30 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
-def row_matches(words: np.ndarray, hits: dict[int, np.ndarray], bench: Benchmark, near: np.ndarray) -> list[dict]:
-    """The best window of each item in one document. hits: by shingle size, whether each shingle is one of the benchmark's."""
+def least_shared(m: int) -> int:
+    """Least shared shingles of two windows of m shingles at the similarity."""
+    return int(np.ceil(2 * m * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+
+
+def row_matches(words: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], bench: Benchmark, near: np.ndarray) -> list[dict]:
+    """The best window of each item in one document. hits: by shingle size, the places that have one of the benchmark's shingles, and which."""
     best: dict[int, tuple[float, int, int]] = {}
     hashes: dict[int, np.ndarray] = {}
-    for group in bench.groups:
-        own = hits.get(group.gram)
+    able = []
+    for gram, (places, found) in hits.items():
+        of, place = bench.shingles[gram].groups_of(places, found)
+        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+        able += [(int(of[a]), place[a:b]) for a, b in zip(begin, [*begin[1:], len(of)], strict=False)]
+    for k, own in sorted(able, key=lambda x: x[0]):
+        group = bench.groups[k]
         m = group.words - group.gram + 1
-        if own is None or len(own) < m:
+        last = len(words) - group.words
+        if last < 0 or len(own) < least_shared(m):
             continue
-        counts = np.concatenate([[0], np.cumsum(own)])
-        # least shared shingles of two windows of m shingles at the similarity
-        starts = np.flatnonzero(counts[m:] - counts[:-m] >= np.ceil(2 * m * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+        counts = np.zeros(len(words) - group.gram + 2, np.int64)
+        counts[own + 1] = 1
+        np.cumsum(counts, out=counts)
+        starts = np.flatnonzero(counts[m:] - counts[:-m] >= least_shared(m))
         if not len(starts):
             continue
         if group.gram not in hashes:
@@ -174,10 +210,10 @@ def row_matches(words: np.ndarray, hits: dict[int, np.ndarray], bench: Benchmark
 
 def _flag(text: str, bench: Benchmark, more: bool):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int32()), ("words", pa.int32())]))
-    least = {g: min((int(np.ceil(2 * (i.words - g + 1) * SIMILARITY / (1 + SIMILARITY) - 1e-9)) for i in bench.groups if i.gram == g), default=1) for g in bench.shingles}
+    least = {g: min((least_shared(i.words - g + 1) for i in bench.groups if i.gram == g), default=1) for g in bench.shingles}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, near, lookups = Places(), near_values(PROBED), {g: Lookup(s) for g, s in bench.shingles.items()}
+        kept, near, lookups = Places(), near_values(PROBED), {g: Lookup(s.hashes) for g, s in bench.shingles.items()}
         for batch in batches:
             found: list[list[dict]] = []
             for i, j, data, offsets in lowered_slices(batch.column(batch.schema.get_field_index(text))):
@@ -185,20 +221,18 @@ def _flag(text: str, bench: Benchmark, more: bool):
                 rows: list[list[dict]] = [[] for _ in range(j - i)]
                 hits, enough = {}, set()
                 for g, lookup in lookups.items():
-                    where, _ = lookup(windows_hash(words, g))
+                    where, which = lookup(windows_hash(words, g))
                     row = np.searchsorted(at, where, "right") - 1
                     inside = where + g <= at[row + 1] if len(where) else np.empty(0, bool)
-                    hits[g] = where[inside]
+                    hits[g] = where[inside], which[inside]
                     enough.update(np.flatnonzero(np.bincount(row[inside], minlength=j - i) >= least[g]).tolist())
                 for k in sorted(enough):
                     a, b = int(at[k]), int(at[k + 1])
-                    flags = {}
-                    for g, where in hits.items():
-                        if b - a >= g:
-                            flags[g] = np.zeros(b - a - g + 1, bool)
-                            own = where[np.searchsorted(where, a) : np.searchsorted(where, b)] - a
-                            flags[g][own] = True
-                    rows[k] = row_matches(words[a:b], flags, bench, near)
+                    own = {}
+                    for g, (where, which) in hits.items():
+                        mine = slice(np.searchsorted(where, a), np.searchsorted(where, b))
+                        own[g] = where[mine] - a, which[mine]
+                    rows[k] = row_matches(words[a:b], own, bench, near)
                 found += rows
             if more:
                 found = [[*old, *new] for old, new in zip(batch.column(batch.schema.get_field_index("leaks")).to_pylist(), found, strict=True)]

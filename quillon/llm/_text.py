@@ -18,7 +18,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Bytes of text that are turned into arrays at once; the arrays take about a hundred times as much.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,6 +79,11 @@ def windows_hash(values: np.ndarray, n: int) -> np.ndarray:
 
 def slices(column: pa.Array, limit: int = SLICE):
     """(first row, past last row, bytes, offsets of the rows in the bytes) of runs of rows of about limit bytes. A null is an empty text."""
+    yield from _cut_rows(column, limit)
+    release()
+
+
+def _cut_rows(column: pa.Array, limit: int):
     if len(column) == 0:
         return
     column = column.fill_null("") if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.fill_null(b"")
@@ -93,6 +98,15 @@ def slices(column: pa.Array, limit: int = SLICE):
         i = j
 
 
+def release() -> None:
+    """Give memory that is free back to the system; a worker is kept between tasks, with what it holds."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of True that do not cross a row's border."""
     if not len(inside):
@@ -173,7 +187,7 @@ def lowered(column: pa.Array) -> pa.Array:
 def lowered_slices(column: pa.Array, limit: int = SLICE):
     """slices() of the texts in lower case, lowered slice by slice."""
     for i, j, _, _ in slices(column, limit):
-        for a, b, data, offsets in slices(lowered(column.slice(i, j - i)), 1 << 62):
+        for a, b, data, offsets in _cut_rows(lowered(column.slice(i, j - i)), 1 << 62):
             yield i + a, i + b, data, offsets
 
 

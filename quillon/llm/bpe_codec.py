@@ -33,7 +33,7 @@ from quillon.llm._text import SPACE, mix, runs, slices, with_columns
 
 ROLL, CHUNK = 16, 128
 #: Kept in each of the two generations of a store; words encoded at once; bytes of text taken at once.
-MAX_WORDS, MAX_CHUNKS, TOGETHER, RUN_BYTES = 150_000, 50_000, 256, 1 << 20
+MAX_WORDS, MAX_CHUNKS, TOGETHER, RUN_BYTES = 120_000, 30_000, 256, 1 << 20
 #: Normalisers and splitters that never join what white space parts.
 PLAIN = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
 SPLITTERS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}

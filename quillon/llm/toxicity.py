@@ -42,6 +42,8 @@ FLOOR = 0.01
 FREQUENT, CLOSE = 10, 1e-6
 #: Documents whose frequent terms are taken at once.
 ROWS = 256
+#: Scored vectors that are kept for copies.
+KNOWN = 2000
 #: Terms whose document counts are added up together.
 PART = 1 << 14
 
@@ -332,7 +334,7 @@ def _scorer(text: str, index: Index, evidence: int):
                     key = term[a:b].tobytes(), n[a:b].tobytes()
                     if key not in known:
                         best, sims = index.nearest(term[a:b], weight[a:b], common=common[k - begin])
-                        if len(known) > 20_000:
+                        if len(known) > KNOWN:
                             known.clear()
                         known[key] = (index.score(index.vote(best, sims)), [{"doc_id": int(index.doc_ids[x]), "label": int(index.labels[x]), "similarity": float(s)} for x, s in zip(best[:evidence], sims, strict=False)]) if len(best) else (index.none, [])
                     scores[k], why[k] = known[key]

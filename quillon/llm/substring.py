@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm._store import shuffles
-from quillon.llm._text import SPACE, Places, free_names, hashed_words, mix, runs, slices, windows_hash, with_columns
+from quillon.llm._text import SPACE, Places, free_names, hashed_words, mix, release, runs, slices, windows_hash, with_columns
 
 WINDOW, GRAM, TASK_WORDS = 35, 8, 1 << 19
 #: A file with more windows is split; files with fewer in TASK_WORDS words of every task are not counted.
@@ -176,6 +176,7 @@ def _file(window: int, gram: int, hot: Hot = NONE):
                 if size >= TASK_WORDS:
                     yield from emit(held)
                     held, size = [], 0
+                    release()
         if held:
             yield from emit(held)
 
@@ -295,6 +296,7 @@ def _match():
             held = [whole.slice(border)]
             if border and (out := solve(whole.slice(0, border))) is not None:
                 yield out
+                release()
         if held and (out := solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])) is not None:
             yield out
 

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.text import accent_fold
+
 # Outcome classes and the phrases that give them, in the order in which they are tried.
 OUTCOMES = {
     "ADMITIDO": ["con lugar", "ha lugar", "ha lugar parcialmente", "otorgado", "otorgado parcialmente", "reforma otorgamiento", "confirmando otorgamiento", "revoca denegatoria", "declara la procedencia", "declara competente", "se declara competente", "admitida a trámite", "auto de admisión", "fundada la queja", "reconocer y darle cumplimiento", "declarar inconstitucional", "inconstitucionalidad", "inconstitucionalidad parcial", "declara la constitucionalidad"],
@@ -69,6 +71,16 @@ def keyword_counts(folded: Column, groups: dict[str, list[str]] = KEYWORDS) -> d
     return {k: reduce(Column.__add__, [F.regexp_count(folded, F.lit("(?i)" + p)) for p in ps]) for k, ps in groups.items()}
 
 
+def keyword_vector(main: Column, other: Column | None = None) -> dict[str, Column]:
+    """For each group a flag and a count, then length, line breaks and share of capitals of main, or of other where main is blank."""
+    text = F.trim(F.coalesce(main, F.lit("")))
+    if other is not None:
+        text = F.when(text == "", F.trim(F.coalesce(other, F.lit("")))).otherwise(text)
+    counts = keyword_counts(F.lower(accent_fold(text)))
+    out = {f"{k}_{kind}": c for k, n in counts.items() for kind, c in (("flag", (n > 0).cast("int")), ("count", n))}
+    return out | {"texto_char_len": F.char_length(text), "texto_linebreaks": F.regexp_count(text, F.lit("\n")), "texto_upper_ratio": upper_ratio(text)}
+
+
 def upper_ratio(c: Column) -> Column:
     letters = F.regexp_count(c, F.lit(r"\p{L}"))
     return F.when(letters == 0, 0.0).otherwise(F.regexp_count(c, F.lit(r"\p{Lu}")) / letters)

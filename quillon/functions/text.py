@@ -15,9 +15,6 @@ STOPWORDS_ES = (
     "otros para pero por porque que quien se ser si sin sobre soy su sus tambien te tenia tengo ti tu tus un una uno unos y ya"
 ).split()
 
-ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
-
-
 @F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
@@ -62,9 +59,16 @@ def scraper_key(c: Column) -> Column:
     return squeeze(F.translate(F.lower(c), "áéíóúñ", "aeioun"))
 
 
+@F.pandas_udf(T.StringType())
+def _unescape(s: pd.Series) -> pd.Series:
+    import html
+
+    return s.map(lambda x: x if x is None or "&" not in x else html.unescape(x))
+
+
 def unescape(c: Column) -> Column:
-    """The character references that occur in crawled pages."""
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+    """All character references of HTML, named and numeric; Spark has no built-in for them."""
+    return _unescape(c)
 
 
 def strip_html(c: Column) -> Column:
@@ -75,8 +79,8 @@ def strip_html(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", " ")
 
 
-def clean_text(c: Column, compose: bool = False) -> Column:
-    """Markup out, control characters to spaces, squeezed, lower case; null gives ''."""
+def clean_text(c: Column, compose: bool = True) -> Column:
+    """Markup out, NFKC unless compose is False, control characters to spaces, squeezed, lower case; null gives ''."""
     c = strip_html(F.coalesce(c, F.lit("")))
     c = nfkc(c) if compose else c
     return F.lower(squeeze(F.regexp_replace(c, r"[\x00-\x1F\x7F]", " ")))

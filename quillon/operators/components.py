@@ -1,16 +1,9 @@
 """Connected components of an edge table."""
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint()
+from quillon.operators.store import discard, written
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,15 +11,17 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, a: str = "a", b: s
 
     Labels fall to the least of the neighbours' and then to the label's own
     label, so the rounds grow with the logarithm of a chain's length. Minima are
-    combined before they are shuffled. Each round is checkpointed.
+    combined before they are shuffled. Each round is written in the shared folder, and the one before it deleted.
     """
-    both = _cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u != v").distinct())
-    label = _cut(nodes.select(F.col(node).alias("node"), F.col(node).alias("component")).distinct())
+    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u != v").distinct())
+    label = written(nodes.select(F.col(node).alias("node"), F.col(node).alias("component")).distinct())
     while True:
         near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("least"))
         new = label.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("component", F.coalesce("least", "component")).alias("mid"))
         up = new.select(F.col("node").alias("mid"), F.col("mid").alias("top"))
-        new = _cut(new.join(up, "mid").select("node", F.least("mid", "top").alias("component")))
+        new = written(new.join(up, "mid").select("node", F.least("mid", "top").alias("component")))
         if not new.join(label.select("node", F.col("component").alias("was")), "node").where("component != was").limit(1).count():
+            discard(both)
             return new
+        discard(label)
         label = new

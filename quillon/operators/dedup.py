@@ -41,28 +41,33 @@ def duplicate_components(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def greedy(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, duplicate_of): in id order, an exact copy of a representative, else the first representative that is near; only rows without either represent."""
+    """(id, duplicate_of): in id order, an exact copy of a representative, else the first representative that is near; only rows without either represent.
+
+    Exact copies are settled by aggregation first: one follows what its first
+    row found, or is a copy of that row. So a key's task holds its different
+    texts only, and blank ones are one of them.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
+        pdf = pdf.sort_values("first")
         leaders: list[tuple[int, int, set]] = []
-        by_hash: dict[str, int] = {}
         out = []
-        for i, h, n, sh in zip(pdf[id_col], pdf["clean_hash"], pdf["n_tokens"], pdf["sh"], strict=True):
-            own, of = set(sh), by_hash.get(h)
-            if of is None:
-                for j, m, other in leaders[:MOST_IN_BUCKET]:
-                    union = len(own | other)
-                    if abs(n - m) <= TOKEN_GAP and (not union or len(own & other) / union >= JACCARD):
-                        of = j
-                        break
-            if of is None:
+        for i, n, sh in zip(pdf["first"], pdf["n_tokens"], pdf["sh"], strict=True):
+            own, of = set(sh), None
+            for j, m, other in leaders:
+                union = len(own | other)
+                if abs(n - m) <= TOKEN_GAP and (not union or len(own & other) / union >= JACCARD):
+                    of = j
+                    break
+            if of is None and len(leaders) < MOST_IN_BUCKET:
                 leaders.append((i, n, own))
-                by_hash[h] = i
             out.append(of)
-        return pd.DataFrame({id_col: pdf[id_col], "duplicate_of": pd.array(out, "Int64")})
+        return pd.DataFrame({"clean_hash": pdf["clean_hash"], "first": pdf["first"], "near": pd.array(out, "Int64")})
 
-    return df.groupBy("near_key").applyInPandas(run, f"{id_col} long, duplicate_of long")
+    first = df.groupBy("near_key", "clean_hash").agg(F.min(id_col).alias("first"), F.first("n_tokens").alias("n_tokens"), F.first("sh").alias("sh"))
+    found = first.groupBy("near_key").applyInPandas(run, "clean_hash string, first long, near long")
+    of = F.coalesce("near", F.when(F.col(id_col) != F.col("first"), F.col("first")))
+    return df.select(id_col, "clean_hash").join(found, "clean_hash").select(id_col, of.alias("duplicate_of"))
 
 
 def spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.store import free_names, written
+
 
 def distinct_on(df: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; ties need a last column that breaks them."""
@@ -64,19 +66,21 @@ def numbered(df: DataFrame, order: list[Column], name: str, within: list[str] |
 
     Rows are dealt out by ranges of the order, numbered in each range, and
     moved by the sizes of the ranges before, so neither the table nor a value
-    that most rows share is brought into one task.
+    that most rows share is brought into one task. The borders of ranges are
+    sampled, so the dealt rows are written once and both sides read the same.
     """
     keys = within or []
+    part, size, at, offset, own = free_names(df, "__part", "__size", "__at", "__offset", "__own")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and value in it
-    offsets = sizes.select(F.col("__part").alias("__at"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)))
-    same = F.col("__part") == F.col("__at")
+    ranged = written(df.repartitionByRange(parts, *keys, *order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(part, *keys).agg(F.count(F.lit(1)).alias(size))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and value in it
+    offsets = sizes.select(F.col(part).alias(at), *(F.col(k).alias(f"{at}{i}") for i, k in enumerate(keys)), F.coalesce(F.sum(size).over(before), F.lit(0)).alias(offset))
+    counted = ranged.withColumn(own, F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order)))
+    same = F.col(part) == F.col(at)
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return own.join(offsets, same).withColumn(name, F.col("__offset") + F.col("__own")).select(*df.columns, name)
+        same = same & F.col(k).eqNullSafe(F.col(f"{at}{i}"))
+    return counted.join(offsets, same).withColumn(name, F.col(offset) + F.col(own)).select(*df.columns, name)
 
 
 def build_dimension(df: DataFrame, name: Column, order: list[Column]) -> DataFrame:

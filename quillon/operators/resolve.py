@@ -9,8 +9,8 @@ from quillon.operators.relational import distinct_on
 
 DNS = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 EXACT, VERIFIED, PARTIAL = 0.99, 0.98, 0.75
-#: Aliases this many and fewer go to every task for the containment test; more are joined by shared words.
-MOST_BROADCAST = 100_000
+#: Longest run of characters that texts are indexed by for the containment test.
+GRAM = 3
 
 
 def build_aliases(entities: DataFrame, id_col: str, names: Column, order: list[Column]) -> DataFrame:
@@ -19,6 +19,30 @@ def build_aliases(entities: DataFrame, id_col: str, names: Column, order: list[C
     return distinct_on(named, [id_col, "alias_norm"], [F.col("pos")]).withColumn("is_main", F.col("pos") == 0).drop("pos")
 
 
+def _runs(c: str, n: int) -> Column:
+    """Distinct runs of n characters of a text that has as many."""
+    size = F.char_length(c)
+    return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b): distinct texts of inner.a within those of outer.b, as many as there are, at any size.
+
+    A text within another shares all its runs of GRAM characters (a shorter
+    one is a run itself); each meets the others under its rarest one only, so
+    a common word brings few pairs together.
+    """
+    small = inner.select(a).where(F.char_length(a) > 0).distinct()
+    large = outer.select(b).where(F.col(b).isNotNull()).distinct()
+    keys = F.concat(*(_runs(b, n) for n in range(1, GRAM + 1)))
+    index = large.select(b, F.explode(keys).alias("run"))
+    often = index.groupBy("run").agg(F.count(F.lit(1)).alias("often"))
+    own = F.when(F.char_length(a) < GRAM, F.array(F.col(a))).otherwise(_runs(a, GRAM))
+    # a run that no text has is the rarest of all
+    rarest = small.select(a, F.explode(own).alias("run")).join(often, "run", "left").groupBy(a).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "run")).alias("best"))
+    return rarest.where("best.often > 0").select(a, F.col("best.run").alias("run")).join(index, "run").where(F.contains(F.col(b), F.col(a))).select(a, b)
+
+
 def resolve(refs: DataFrame, aliases: DataFrame, ref_id: str, ref_norm: str, target: str) -> DataFrame:
     """(ref_id, target, status, confidence).
 
@@ -32,12 +56,8 @@ def resolve(refs: DataFrame, aliases: DataFrame, ref_id: str, ref_norm: str, tar
     rest = exact.where("n is null").select(ref_id, ref_norm)
     distinct = rest.select(ref_norm).where(F.col(ref_norm).isNotNull()).distinct()
     names = aliases.select(target, "alias_norm").distinct()
-    within = F.contains(F.col("alias_norm"), F.col(ref_norm)) | F.contains(F.col(ref_norm), F.col("alias_norm"))
-    if names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        pairs = distinct.join(F.broadcast(names), within)
-    else:  # a text that holds another shares its words, the border ones perhaps cut
-        word = lambda c: F.explode(F.array_distinct(F.split(F.col(c), " "))).alias("w")
-        pairs = distinct.select(ref_norm, word(ref_norm)).join(names.select(target, "alias_norm", word("alias_norm")), "w").where(within).select(ref_norm, target).distinct()
+    within = contained(distinct, names, ref_norm, "alias_norm").union(contained(names, distinct, "alias_norm", ref_norm).select(ref_norm, "alias_norm"))
+    pairs = within.distinct().join(names, "alias_norm").select(ref_norm, target)
     partial = pairs.groupBy(ref_norm).agg(F.countDistinct(target).alias("m"), F.min(target).alias(target))
     out = rest.join(partial, ref_norm, "left")
     one = F.col("m") == 1

@@ -43,9 +43,11 @@ def tok_sql(x: str) -> str:
     return f"list_transform(regexp_extract_all({x}, '[a-zA-Z0-9_]+'), lambda z: lower(z))"
 
 
-def strip_sql(x: str) -> str:
-    from quillon.functions.text import ENTITIES
+#: The character references that SQL decodes: those that occur in the tables.
+ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+
 
+def strip_sql(x: str) -> str:
     for a, b in ENTITIES:
         x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     x = rf"regexp_replace({x}, '(?is)<script\b.*?</script>', ' ', 'g')"

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.rules import intent
+from quillon.functions.rules import INTENT, intent
 from quillon.functions.text import keyword_coverage, latin_fold, lexical_overlap, tokens
 from quillon.operators import search as S
 from quillon.operators.relational import first_seen
@@ -171,10 +171,17 @@ def ivf_topk(t: Tables) -> DataFrame:
     return S.ivf_topk(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 5)
 
 
-@query("SELECT item_id, CASE WHEN contains(f, 'nulidad') OR contains(f, 'nulo') OR contains(f, 'nula') THEN 'NULIDAD' WHEN contains(f, 'ha lugar') THEN 'ADMITIDO' END AS outcome FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'accion de nulidad' WHEN item_id % 3 = 1 THEN 'ha lugar' ELSE 'sin nada' END AS f FROM benchmark)")
+_ASKED = "CASE item_id % 5 WHEN 0 THEN 'Acción de nulidad contra el despido' WHEN 1 THEN 'Amparo: ha lugar' WHEN 2 THEN 'recurso de casación por estafa' WHEN 3 THEN 'sin nada' ELSE 'habeas corpus y licitación' END || ' ' || text"
+
+
+def _facet_sql(hints: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join(f"WHEN contains(f, '{phrase}') THEN '{name}'" for name, phrases in hints.items() for phrase in phrases) + " END"
+
+
+@query(f"SELECT item_id, {', '.join(f'{_facet_sql(h)} AS {k}' for k, h in INTENT.items())} FROM (SELECT item_id, lower(strip_accents({_ASKED})) AS f FROM benchmark)")
 def query_intent(t: Tables) -> DataFrame:
-    asked = t.benchmark.select("item_id", F.when(F.col("item_id") % 3 == 0, "Acción de nulidad").when(F.col("item_id") % 3 == 1, "ha lugar").otherwise("sin nada").alias("q"))
-    return asked.select("item_id", intent(F.lower(latin_fold(F.col("q"))))["fallo_macro"].alias("outcome"))
+    asked = t.benchmark.select("item_id", F.expr(_ASKED).alias("q"))
+    return asked.select("item_id", *(c.alias(k) for k, c in intent(F.lower(latin_fold(F.col("q")))).items()))
 
 
 _BASIS = """t AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3),

@@ -163,7 +163,6 @@ def header_freq(t: Tables) -> DataFrame:
     return freq.crossJoin(F.broadcast(least)).where("docs >= least").drop("least")
 
 
-_KW = {k: [p.replace("(?<!no )", "") for p in v] for k, v in L.KEYWORDS.items() if k in ("kw_no_ha_lugar", "kw_ha_lugar", "kw_nulidad", "kw_confirma")}
 _CASES = ["No ha lugar el recurso", "HA LUGAR; se confirma", "Nulidad de actuaciones: nulo", "nada", "con lugar y confirmado"]
 _CASE_SQL = "CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CASES)) + " END"
 
@@ -172,14 +171,26 @@ def _outcomes(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.array(*map(F.lit, _CASES))[(F.col("o_orderkey") % 5).cast("int")].alias("fallo"))
 
 
+def _count_sql(pattern: str) -> str:
+    """Matches of a pattern; what a look-behind forbids is counted and taken off."""
+    found = lambda p: f"len(regexp_extract_all(s, '{p}'))"
+    if pattern.startswith(r"(?<!no )"):
+        rest = pattern.removeprefix(r"(?<!no )").removeprefix(r"\b")
+        return f"{found(chr(92) + 'b' + rest)} - {found('no ' + rest)}"
+    return found(pattern)
+
+
+_KW_SQL = ", ".join(f"({' + '.join(map(_count_sql, ps))}) AS {k}_count, ({' + '.join(map(_count_sql, ps))} > 0)::INT AS {k}_flag" for k, ps in L.KEYWORDS.items())
+
+
 @query(
-    f"WITH c AS (SELECT o_orderkey, lower(strip_accents({_CASE_SQL})) AS s, {_CASE_SQL} AS f FROM orders) SELECT o_orderkey, "
-    + ", ".join("(" + " + ".join(f"len(regexp_extract_all(s, '{p}'))" for p in ps) + (" - len(regexp_extract_all(s, 'no ha lugar'))" if k == "kw_ha_lugar" else "") + f") AS {k}" for k, ps in _KW.items())
-    + ", round(len(regexp_extract_all(f, '[A-Z]')) / len(regexp_extract_all(f, '[A-Za-z]')), 6) AS upper_ratio FROM c"
+    f"WITH c AS (SELECT o_orderkey, lower(strip_accents(f)) AS s, f FROM (SELECT o_orderkey, {_CASE_SQL} AS f FROM orders)) SELECT o_orderkey, {_KW_SQL}, "
+    "length(f) AS texto_char_len, len(regexp_extract_all(f, chr(10))) AS texto_linebreaks, round(len(regexp_extract_all(f, '[A-Z]')) / len(regexp_extract_all(f, '[A-Za-z]')), 6) AS texto_upper_ratio FROM c"
 )
 def keyword_features(t: Tables) -> DataFrame:
-    counts = L.keyword_counts(F.col("s"))
-    return _outcomes(t).withColumn("s", F.lower(N.latin_fold(F.col("fallo")))).select("o_orderkey", *(counts[k].cast("long").alias(k) for k in _KW), F.round(L.upper_ratio(F.col("fallo")), 6).alias("upper_ratio"))
+    vector = L.keyword_vector(F.lit(" "), F.col("fallo"))
+    whole = lambda k, c: F.round(c, 6) if k == "texto_upper_ratio" else c.cast("int") if k.endswith("_flag") else c.cast("long")
+    return _outcomes(t).select("o_orderkey", *(whole(k, c).alias(k) for k, c in vector.items()))
 
 
 _RULES_SQL = "CASE WHEN coalesce(f, '') = '' THEN 'DESCONOCIDO' " + " ".join(f"WHEN contains(lower(trim(f)), '{p}') THEN '{k}'" for k, ps in L.OUTCOMES.items() for p in ps) + " ELSE 'OTRO' END"
@@ -249,9 +260,9 @@ def shingle_jaccard(t: Tables) -> DataFrame:
     "w AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT w.node, s.b FROM w JOIN s ON w.reach = s.a) SELECT node AS doc_id, min(reach) AS component FROM w GROUP BY node"
 )
 def dup_components(t: Tables) -> DataFrame:
-    from quillon.operators.components import _cut
+    from quillon.operators.store import written
 
-    return D.duplicate_components(_cut(D.prepared(t.documents)))
+    return D.duplicate_components(written(D.prepared(t.documents)))
 
 
 @query()
@@ -269,11 +280,11 @@ def stream_vectorize(t: Tables) -> DataFrame:
     """Texts embedded by a resumable stream over the table's files, then read back."""
     import uuid
 
-    from quillon.operators.components import _cut
+    from quillon.operators.store import written
     from quillon.streaming.jobs import vectorize
 
     spark, path = t.spark, f"{t.sf_dir}/documents.parquet"
-    _cut(spark.range(1))
+    written(spark.range(1))
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     vectorize(spark, path, f"{base}/out", f"{base}/state", t.documents.schema)
     return spark.read.parquet(f"{base}/out").select("doc_id", "embedding")
@@ -284,11 +295,11 @@ def stream_dedup(t: Tables) -> DataFrame:
     """Greedy duplicates with state per key, by a stream over the table's files."""
     import uuid
 
-    from quillon.operators.components import _cut
+    from quillon.operators.store import written
     from quillon.streaming.jobs import incremental_dedup, stream
 
     spark = t.spark
-    _cut(spark.range(1))
+    written(spark.range(1))
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     rows = incremental_dedup(stream(spark, f"{t.sf_dir}/documents.parquet", t.documents.schema).select("doc_id", "text"))
     rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()

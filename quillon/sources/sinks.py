@@ -28,14 +28,17 @@ def summary(df: DataFrame, label: str) -> DataFrame:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a Parquet folder by rows that may come from it: written beside it, then renamed."""
+    """Replace a Parquet folder by rows that may come from it: written beside it, then renamed. If the new one cannot take its place the old one goes back."""
     spark = df.sparkSession
     new, old = f"{path}__new_{uuid.uuid4().hex}", f"{path}__old_{uuid.uuid4().hex}"
     df.write.parquet(new)
     fs, p, make = _files(spark, path)
     if fs.exists(p):
         fs.rename(p, make(old))
-    fs.rename(make(new), p)
+    if not fs.rename(make(new), p):
+        if fs.exists(make(old)):
+            fs.rename(make(old), p)
+        raise OSError(f"{path} could not be replaced; the new rows are in {new}")
     fs.delete(make(old), True)
 
 

@@ -35,29 +35,31 @@ def vectorize(spark: SparkSession, path: str, out: str, checkpoint: str, schema:
     pending_job(stream(spark, path, schema), out, checkpoint, lambda df: hash_embed(df.where("text is not null")))
 
 
+#: Representatives: all of their hashes, and sizes and shingles of the first MOST_IN_BUCKET.
 LEADERS = "ids array<bigint>, hashes array<string>, sizes array<int>, shingles array<array<string>>"
 
 
 def incremental_dedup(source: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, duplicate_of) as rows arrive: state per near key holds its representatives, as many as the bucket allows."""
+    """(id, duplicate_of) as rows arrive: state per near key holds its representatives. The bucket's limit is on those that rows are compared with, not on exact hashes."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, hashes, sizes, shingles = ([list(x) for x in state.get] if state.exists else [[], [], [], []])
-        sets = [set(s) for s in shingles]
+        sets, by_hash = [set(s) for s in shingles], dict(zip(hashes, ids, strict=True))
         for pdf in batches:
             pdf = pdf.sort_values(id_col)
             out = []
             for i, h, n, sh in zip(pdf[id_col], pdf["clean_hash"], pdf["n_tokens"], pdf["sh"], strict=True):
-                own = set(sh)
-                of = next((j for j, g in zip(ids, hashes, strict=True) if g == h), None)
+                own, of = set(sh), by_hash.get(h)
+                if of is None:
+                    of = next((j for j, m, s in zip(ids, sizes, sets, strict=False) if abs(m - n) <= TOKEN_GAP and (len(own & s) / len(own | s) if own | s else 1.0) >= JACCARD), None)
                 if of is None:
-                    of = next((j for j, m, s in zip(ids, sizes, sets, strict=True) if abs(m - n) <= TOKEN_GAP and (len(own & s) / len(own | s) if own | s else 1.0) >= JACCARD), None)
-                if of is None and len(ids) < MOST_IN_BUCKET:
                     ids.append(int(i))
                     hashes.append(h)
-                    sizes.append(int(n))
-                    shingles.append(list(sh))
-                    sets.append(own)
+                    by_hash[h] = int(i)
+                    if len(sizes) < MOST_IN_BUCKET:
+                        sizes.append(int(n))
+                        shingles.append(list(sh))
+                        sets.append(own)
                 out.append(of)
             yield pd.DataFrame({id_col: pdf[id_col], "duplicate_of": pd.array(out, "Int64")})
         state.update((ids, hashes, sizes, [list(s) for s in shingles]))

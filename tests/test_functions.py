@@ -94,3 +94,25 @@ def test_sentence_chunks_cover_everything(lengths, preset):
     first = [int(c.split()[0].strip(".")[1:]) for c in chunks]
     assert first == sorted(first)
     assert all(len(c.split()) <= max(target, *lengths) + max([overlap, *lengths]) for c in chunks)
+
+
+def test_titles_laws_and_entities(spark):
+    """Every pattern of a name; folded law words; neighbours that make a law's name together; all character references; NFKC."""
+    title = X.document_title(F.col("c0"))
+    assert one(spark, title, "La Gaceta\nNORMA TECNICA DE CALIDAD DEL AGUA\nx").startswith("NORMA TECNICA DE CALIDAD")
+    assert one(spark, title, "x\nRESOLUCIÓN GENERAL SOBRE TARIFAS POSTALES\n") == "RESOLUCIÓN GENERAL SOBRE TARIFAS POSTALES"
+    assert one(spark, title, "DECRETO No. 12-2020 sobre algo\n").startswith("DECRETO No")
+    assert one(spark, title, "La primera imprenta llegó a Honduras en 1829\nUna primera linea\n") == "Una primera linea"
+    law = lambda *v: one(spark, X.law_name(*map(F.lit, v)), "")
+    assert law("Código Penal", "Artículo 5") == "codigo penal" and law("Convención  Americana", None) == "convencion americana"
+    assert law("decreto", "acuerdo") is None and law("Código", "de Trabajo Ley 9") == "codigo de trabajo ley 9" and law("co", "digo") is None
+    assert one(spark, X.article_hint(F.lit("ley"), F.lit("Artículo 12B"), F.lit(None).cast("string")), "") == "12b"
+    assert one(spark, N.clean_text(F.col("c0")), "<p>Caf&eacute; &amp; ﬁn&#233; &hellip;</p>") == "café & finé ..."
+
+
+def test_keyword_vector(spark):
+    """A flag and a count for all 18 groups, then length, line breaks and capitals; the other text where the first is blank."""
+    v = L.keyword_vector(F.col("c0"), F.lit("CON LUGAR\nnulidad"))
+    assert len(v) == 18 * 2 + 3 and one(spark, v["kw_nulidad_count"], " ") == 1 and one(spark, v["texto_linebreaks"], "") == 1
+    assert one(spark, v["kw_ha_lugar_count"], "No ha lugar; ha lugar") == 1 and one(spark, v["kw_casacion_flag"], "Casación") == 1
+    assert one(spark, v["texto_char_len"], " abc ") == 3 and one(spark, v["texto_upper_ratio"], "aB1") == 0.5

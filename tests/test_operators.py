@@ -190,3 +190,58 @@ def test_service(spark):
     assert post("semantic-search", {"query": " "})[0] == post("semantic-search", {"query": "q", "corpus": "z"})[0] == post("semantic-search", {})[0] == 400
     assert post("nothing", {})[0] == 404
     server.shutdown()
+
+
+def test_numbers_of_large_tables_with_payload(spark):
+    """Over a million rows, a key that most of them share and a payload: numbers are exact, in all and within keys, and a split keeps its shares."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators import ml as M
+    from quillon.operators import relational as R
+
+    n = 1_200_000
+    df = spark.range(n, numPartitions=12).select("id", F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"), (F.xxhash64("id") % 1000).alias("x"))
+    got = R.numbered(df, [F.col("x"), F.col("id")], "n").agg(F.countDistinct("n"), F.min("n"), F.max("n"), F.count("*")).first()
+    assert tuple(got) == (n, 1, n, n)
+    within = R.numbered(df, [F.col("x"), F.col("id")], "n", ["k"])
+    assert within.groupBy("k").agg(F.countDistinct("n").alias("d"), F.max("n").alias("m"), F.count("*").alias("c")).where("d != c or m != c").count() == 0
+    parts = {(r.k, r.part): r["count"] for r in M.stratified_split(df, "k", 0.8, "s", "id").groupBy("k", "part").count().collect()}
+    sizes = {r.k: r["count"] for r in df.groupBy("k").count().collect()}
+    assert all(parts[k, "train"] == -(-sizes[k] * 8 // 10) for k in sizes)
+    clashing = df.limit(50).withColumns({"__part": F.lit(1), "__size": F.lit(2), "__own": F.lit(3)})
+    assert sorted(r.n for r in R.numbered(clashing, [F.col("id")], "n").collect()) == list(range(1, 51))
+
+
+def test_containment_at_any_size(spark):
+    """The same pairs as comparing all, with short texts, common runs and cut words."""
+    import random
+
+    from quillon.operators import resolve as E
+
+    rng = random.Random(9)
+    say = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))).strip() or "a"
+    small, large = {say() for _ in range(80)} | {"mexi", "a", "ab"}, {say() + say() for _ in range(120)} | {"mexico", "nuevo mexico"}
+    got = {(r.a, r.b) for r in E.contained(spark.createDataFrame([(x,) for x in small], "a string"), spark.createDataFrame([(x,) for x in large], "b string"), "a", "b").collect()}
+    assert got == {(a, b) for a in small for b in large if a in b} and ("mexi", "mexico") in got
+    refs = spark.createDataFrame([("r1", "mexico"), ("r2", "xyz")], "ref string, norm string")
+    names = spark.createDataFrame([(1, "mexi"), (2, "peru")], "id long, alias_norm string")
+    assert {r.ref: (r.status, r.id) for r in E.resolve(refs, names, "ref", "norm", "id").collect()} == {"r1": ("partial", 1), "r2": ("none", None)}
+
+
+def test_exact_copies_beyond_the_bucket_limit(spark, tmp_path):
+    """Representatives beyond the limit are still found by their hash, in batches and as rows arrive."""
+    from quillon.operators import dedup as D
+    from quillon.streaming import jobs
+
+    head, tail = " ".join(f"h{i}" for i in range(12)), " ".join(f"t{i}" for i in range(12))
+    middle = lambda k: " ".join(f"m{k}x{i}" for i in range(40))  # noqa: E731  one near key, different texts
+    rows = [(k, f"{head} {middle(k)} {tail}") for k in range(60)] + [(100 + k, f"{head} {middle(k)} {tail}") for k in range(60)] + [(300 + k, "") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: None for k in range(60)} | {100 + k: k for k in range(60)} | {300: None, 301: 300, 302: 300}
+    assert D.prepared(docs).where("doc_id < 200").select("near_key").distinct().count() == 1
+    assert {r.doc_id: r.duplicate_of for r in D.greedy(D.prepared(docs)).collect()} == want
+    docs.coalesce(1).write.parquet(str(tmp_path / "src"))
+    found = jobs.incremental_dedup(jobs.stream(spark, str(tmp_path / "src"), docs.schema))
+    q = found.writeStream.format("memory").queryName("beyond_limit").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    assert {r.doc_id: r.duplicate_of for r in spark.table("beyond_limit").collect()} == want

@@ -62,6 +62,13 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder's place in the shared folder, deleted with its scope or the process."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
+    return path
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the folders of written frames."""
     for df in frames:

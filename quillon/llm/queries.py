@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import quality, toxicity
 from quillon.llm._labels import fold
+from quillon.llm._store import temporary
 from quillon.llm.bpe_codec import bpe_codec
 from quillon.llm.html_text import extract_text
 from quillon.llm.leaks import flag_leaks
@@ -15,6 +16,7 @@ from quillon.llm.lm import pseudo_likelihood
 from quillon.llm.rules import quality_rules
 from quillon.llm.simhash import near_duplicates
 from quillon.llm.substring import substring_dedup
+from quillon.llm.warc import read_archive, write_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,13 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = temporary(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    found = read_archive(spark, folder, payload=False)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -83,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
+    "op11_warc": op11_warc,
 }
 
 SQL: dict[str, str] = {
@@ -104,5 +114,13 @@ k AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(l.gone), 0) AS n_remove
                WHERE NOT list_contains(l.gone, w2.pos)), '') END AS kept
       FROM d LEFT JOIN l USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM k
+""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+t AS (SELECT page_id, h, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, true AS intact
+FROM t
 """,
 }

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quillon.llm import quality, toxicity
 from quillon.llm._labels import fold
-from quillon.llm._store import temporary
+from quillon.llm._store import discard, temporary
 from quillon.llm.bpe_codec import bpe_codec
 from quillon.llm.html_text import extract_text
 from quillon.llm.leaks import flag_leaks
 from quillon.llm.licenses import scan_licenses, scan_sql
 from quillon.llm.lm import pseudo_likelihood
+from quillon.llm.prefix_trie import ordered_turns, prefix_trie, spliced
 from quillon.llm.rules import quality_rules
 from quillon.llm.simhash import near_duplicates
 from quillon.llm.substring import substring_dedup
@@ -81,6 +82,15 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = ordered_turns(table(spark, sf_dir, "conversations"))
+    head = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(4))
+    rebuilt = spliced(turns, head, F.col("conv") - F.col("conv") % 20, 3)
+    nodes = prefix_trie(rebuilt, turns.select("conv").distinct())
+    discard(turns)
+    return nodes.drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -93,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
     "op11_warc": op11_warc,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -122,5 +133,32 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, true AS intact
 FROM t
+""",
+    "op12_conversation_prefix_trie": r"""
+WITH o AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS at_, coalesce(role, '') AS r, coalesce(text, '') AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))) % 4 AS h
+  FROM (SELECT DISTINCT c FROM o)),
+b AS (
+  SELECT o.c, at_, r, t FROM o JOIN h USING (c) WHERE at_ >= h
+  UNION ALL SELECT h.c, at_, r, t FROM h JOIN o ON o.c = h.c - h.c % 20 WHERE at_ < h),
+q AS (
+  SELECT h.c, coalesce(s, []) AS s FROM h LEFT JOIN (SELECT c, list(struct_pack(r := r, t := t) ORDER BY at_) AS s FROM b GROUP BY c) USING (c)),
+p AS (SELECT c, len(s) AS l, d, s[1:d] AS k FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM q)),
+n AS (
+  SELECT k, d, min(c) AS c, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].t, '[^\x20\x09-\x0D]+')) END AS w,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE l = d), '')) AS e
+  FROM p GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS m FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(m, 0) AS m FROM n LEFT JOIN kids USING (k, d)),
+sub AS (
+  SELECT k[1:a] AS k, a AS d, sum((n - 1) * w) AS saved, count(*) FILTER (WHERE m = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, up.c AS parent_conv_id, f.n AS n_convs, f.m::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, f.e AS ends_sha256
+FROM f JOIN sub USING (k, d) LEFT JOIN f up ON up.d = f.d - 1 AND up.k = f.k[1:f.d - 1]
 """,
 }

@@ -193,7 +193,7 @@ def write_archive(pages: DataFrame, folder: str, key: str = "page_id", uri: str
     data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.unhex(F.sha2(data, 256)).alias("digest"), F.col(uri).cast("string").alias("uri"), data.alias("payload"))
     with scratch():
-        narrow = running(rows.select("key", "digest", "uri", F.octet_length("payload").cast("long").alias("size"), (F.octet_length("payload").cast("long") + HEAD).alias("weight")), None, ["key", "digest", "uri"], "weight", "before")
+        narrow = running(rows.select("key", "digest", "uri", F.octet_length("payload").cast("long").alias("size"), (F.octet_length("payload").cast("long") + HEAD).alias("weight")), None, ["key", "digest", "uri"], {"before": "weight"})
         narrow = written(narrow)
         total = narrow.agg(F.sum("weight")).first()[0] or 0
         shards = max(SHARDS, -(-total // SHARD))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from quillon.llm._store import HOT, discard, written
 
 
+#: A key with no more rows than this is never dealt over tasks.
+FEW = 1000
+
+
 def _within(key: str | None, values: list[str]):
     """A mapInArrow step: rows with their partition and the sums of the values before them, of their key in that partition."""
 
@@ -79,7 +83,7 @@ def dense_names(rows: DataFrame, keys: list[str], name: str, first: int = 0) ->
     counted = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__id", F.monotonically_increasing_id()))
     part, own = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     sizes = counted.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("size"), F.sum("__n").alias("rows"), F.max("__n").alias("most")).orderBy("__part").collect()
-    limit = max(sum(r["rows"] for r in sizes) / HOT, 1000)
+    limit = max(sum(r["rows"] for r in sizes) / HOT, FEW)
     offsets, at = [], first
     for r in sizes:
         offsets.append((r["__part"], at))
@@ -89,7 +93,7 @@ def dense_names(rows: DataFrame, keys: list[str], name: str, first: int = 0) ->
     if any(r["most"] > limit for r in sizes):
         hot = F.broadcast(counted.where(F.col("__n") > limit).select(*keys, F.lit(True).alias("__hot")))
         salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT)).cast("int")
-        rows = rows.join(hot, keys, "left").withColumn("__salt", F.when("__hot", salt).otherwise(0)).drop("__hot")
+        rows = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
         table = table.withColumn("__salt", F.explode(F.when(F.col("__n") > limit, F.sequence(F.lit(0), F.lit(HOT - 1))).otherwise(F.array(F.lit(0)))))
         keys = [*keys, "__salt"]
     out = written(rows.join(table.drop("__n"), keys).drop(*keys))

@@ -16,6 +16,7 @@ from quillon.llm.lm import pseudo_likelihood
 from quillon.llm.prefix_trie import ordered_turns, prefix_trie, spliced
 from quillon.llm.rules import quality_rules
 from quillon.llm.simhash import near_duplicates
+from quillon.llm.spelling import variants, word_counts
 from quillon.llm.substring import substring_dedup
 from quillon.llm.warc import read_archive, write_archive
 
@@ -91,6 +92,14 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return nodes.drop("node", "parent")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, size = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")), F.char_length("run")
+    at = (h % size).cast("int")
+    spoilt = F.when(h % 31 == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, size))).otherwise(F.col("run"))
+    counts = word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), spoil=spoilt)
+    return variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -104,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
     "op11_warc": op11_warc,
     "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -160,5 +170,34 @@ sub AS (
 SELECT f.c AS conv_id, f.d::BIGINT AS depth, up.c AS parent_conv_id, f.n AS n_convs, f.m::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
        saved::BIGINT AS saved_tokens, f.e AS ends_sha256
 FROM f JOIN sub USING (k, d) LEFT JOIN f up ON up.d = f.d - 1 AND up.k = f.k[1:f.d - 1]
+""",
+    "op13_spelling_variants": r"""
+WITH r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS x FROM documents),
+u AS (SELECT doc_id, x, count(*) AS m FROM r GROUP BY ALL),
+h AS (
+  SELECT x, m, length(x) AS l, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || x)), '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))) AS h
+  FROM u),
+v AS (
+  SELECT w, sum(m)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(x, 1, h % l) || substr(x, h % l + 2) ELSE x END AS w, m FROM h)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(m) >= 2),
+c AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v),
+gone AS (SELECT w, n, substr(w, 1, i - 1) || substr(w, i + 1) AS k FROM c),
+hole AS (SELECT w, n, substr(w, 1, i - 1) || '*' || substr(w, i + 1) AS k FROM c),
+p AS (
+  SELECT DISTINCT a.w AS a, a.n AS an, b.w AS b, b.n AS bn FROM hole a JOIN hole b USING (k) WHERE a.w <> b.w
+  UNION SELECT g.w, g.n, v.w, v.n FROM gone g JOIN v ON v.w = g.k
+  UNION SELECT v.w, v.n, g.w, g.n FROM gone g JOIN v ON v.w = g.k),
+f AS (
+  SELECT a AS w, count(*) AS n_near, first(CASE WHEN bn >= 10 * an THEN b END ORDER BY bn DESC, encode(b)) AS form,
+         first(CASE WHEN bn >= 10 * an THEN bn END ORDER BY bn DESC, encode(b)) AS form_n
+  FROM p GROUP BY a),
+j AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, form, form_n FROM v LEFT JOIN f USING (w)),
+chain AS (
+  WITH RECURSIVE t(w, at_, step) AS (
+    SELECT w, w, 0 FROM j UNION ALL SELECT t.w, j.form, step + 1 FROM t JOIN j ON j.w = t.at_ WHERE j.form IS NOT NULL)
+  SELECT w, max_by(at_, step) AS root FROM t GROUP BY w)
+SELECT w AS word, form, root, n, n_near::BIGINT AS n_near, form_n FROM j JOIN chain USING (w)
 """,
 }

@@ -13,7 +13,7 @@ verified letter by letter, so the hash decides nothing, and no pair is lost.
 A key holds the words that share a rare bigram with its place and at least half
 of their letters, and large ones are split by adaptive execution; bigrams are
 at most the square of the alphabet (90 letters as a default) and counted over
-all words. Words of one or two letters have no three bigrams and are never near
+all words. Words of less than four letters have no three bigrams and are never near
 one another here; the default takes words of seven or more.
 
 Null texts have no words; a null identifier counts as an empty one; repeated

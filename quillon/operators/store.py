@@ -25,10 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) under the session's own access settings."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def _delete(path: str) -> None:
-    if (gateway := SparkContext._gateway) is not None:
-        folder = gateway.jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """The place of a new folder in the shared folder, deleted with the process."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
 
 
 @atexit.register

@@ -87,19 +87,29 @@ def bm25(df: DataFrame, query: list[str], k: int, id_col: str, text: str = "text
     counts = F.array(*map(count, terms))
     per = df.select(id_col, toks.alias("__t")).select(id_col, F.size("__t").alias("dl"), counts.alias("tf"))
     stats = per.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
-    one = per.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats is one row
+    return bm25_scores(per.where(F.exists("tf", lambda x: x > 0)), stats, terms, id_col, k1, b).orderBy(F.desc("score"), id_col).limit(k)
+
+
+def bm25_scores(per: DataFrame, stats: DataFrame, terms: list[str], id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of (id, dl, tf: a count a term); stats: one row with n, avgdl and df0, df1, .. a term."""
+    one = per.crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col("tf")[i].cast("double")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return one.select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return one.select(id_col, F.round(score, 6).alias("score"))
 
 
 def cover_density(df: DataFrame, query: list[str], id_col: str, text: str = "text", weight: float = 0.1) -> DataFrame:
     """(id, score) of texts that hold every query term: weight / (1 + noise words), summed over minimal covers."""
     terms = sorted(set(query))
     at = df.select(id_col, F.posexplode(tokens(F.col(text))).alias("pos", "tok")).where(F.col("tok").isin(terms))
+    return covers(at, terms, id_col, weight)
+
+
+def covers(at: DataFrame, terms: list[str], id_col: str, weight: float = 0.1) -> DataFrame:
+    """cover_density of (id, pos, tok), the places of the query's terms."""
     upto = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     latest = [F.max(F.when(F.col("tok") == t, F.col("pos"))).over(upto) for t in terms]
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy("pos"))
@@ -107,9 +117,9 @@ def cover_density(df: DataFrame, query: list[str], id_col: str, text: str = "tex
     ends = seen.select(id_col, "pos", "nth", F.array_min("latest").alias("start"))
     first = ends.groupBy(id_col, "start").agg(F.min("pos").alias("end"), F.min("nth").alias("nth_end"))
     starts = at.select(id_col, F.col("pos").alias("start"), nth.alias("nth_start"))
-    covers = first.join(starts, [id_col, "start"])
+    joined = first.join(starts, [id_col, "start"])
     noise = (F.col("end") - F.col("start")) - (F.col("nth_end") - F.col("nth_start"))
-    return covers.groupBy(id_col).agg(F.round(F.sum(F.lit(weight) / (1 + noise)), 6).alias("score"))
+    return joined.groupBy(id_col).agg(F.round(F.sum(F.lit(weight) / (1 + noise)), 6).alias("score"))
 
 
 def hybrid(df: DataFrame, vector: list[float], query: list[str], parent: str, id_col: str, pool: int = 100, k: int = 10, semantic: float = 0.7, lexical: float = 0.3) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql.window import Window
 
 from quillon.functions.rules import INTENT, intent
 from quillon.functions.text import keyword_coverage, latin_fold, lexical_overlap, tokens
+from quillon.operators import annindex, textindex
 from quillon.operators import search as S
 from quillon.operators.relational import first_seen
+from quillon.operators.store import temporary
 from quillon.plans.registry import Tables, query, sim_sql, tok_sql, vector_of
 
 TERMS = ["the", "and", "that", "tion"]
@@ -82,6 +84,27 @@ def hybrid_search(t: Tables) -> DataFrame:
     return S.hybrid(_fragments(t), vector_of(t), TERMS, "source", "doc_id").select("source", "doc_id", "sim", "hybrid")
 
 
+def _text_index(t: Tables) -> str:
+    """An index of all documents, every tenth first with another text and then with its own."""
+    root = temporary(t.spark, "texts")
+    other = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("the and that tion the "), F.col("text"))).otherwise(F.col("text"))
+    textindex.add_texts(root, t.documents.select("doc_id", other.alias("text")))
+    textindex.add_texts(root, t.documents.where("doc_id % 10 = 0").select("doc_id", "text"))
+    return root
+
+
+@query(BM25)
+def index_bm25(t: Tables) -> DataFrame:
+    """bm25_topk from the kept index."""
+    return textindex.bm25_search(t.spark, _text_index(t), TERMS, 20)
+
+
+@query(f"WITH {COVERS} SELECT doc_id, score FROM k")
+def index_cover_density(t: Tables) -> DataFrame:
+    """cover_density from the kept index."""
+    return textindex.cover_search(t.spark, _text_index(t), TERMS)
+
+
 OVERLAP = f"len(list_intersect({TERM_SQL}, list_distinct({tok_sql('text')}))) / 4.0"
 
 
@@ -171,6 +194,19 @@ def ivf_topk(t: Tables) -> DataFrame:
     return S.ivf_topk(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 5)
 
 
+@query(f"WITH {KNN}, q AS (SELECT DISTINCT query_id FROM k) SELECT query_id, 5::BIGINT AS found, true AS enough FROM q")
+def index_knn(t: Tables) -> DataFrame:
+    """Approximate neighbours from the kept index: how many each query got, and whether all queries together reach a recall of 0.9 against exact search."""
+    root = temporary(t.spark, "vectors")
+    annindex.build(root, t.embeddings)
+    queries = t.embeddings.where("vec_id % 100 = 0")
+    got = annindex.search(t.spark, root, queries, 5)
+    exact = S.knn(t.embeddings, queries, 5).select("query_id", "id", F.lit(1).alias("hit"))
+    hits = got.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.count("hit").alias("hits"))
+    recall = hits.agg((F.sum("hits") / F.sum("found")).alias("recall"))
+    return hits.crossJoin(F.broadcast(recall)).select("query_id", "found", (F.col("recall") >= 0.9).alias("enough"))  # recall is one row
+
+
 _ASKED = "CASE item_id % 5 WHEN 0 THEN 'Acción de nulidad contra el despido' WHEN 1 THEN 'Amparo: ha lugar' WHEN 2 THEN 'recurso de casación por estafa' WHEN 3 THEN 'sin nada' ELSE 'habeas corpus y licitación' END || ' ' || text"
 
 

@@ -54,14 +54,14 @@ def _point(spark: SparkSession, root: str, number: int, folders: dict[str, str])
         raise OSError(f"{root} was published by another writer")
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
-    """Write the tables and commit them together; tables of the state before that are not given stay. Tables may be made of that state. Returns the new number."""
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, only: bool = False) -> int:
+    """Write the tables and commit them together; tables of the state before that are not given stay, unless `only` these are to be. Tables may be made of that state. Returns the new number."""
     number, folders = current(spark, root)
     new = {name: f"{DATA}/{name}-{uuid.uuid4().hex}" for name in tables}
     for name, df in tables.items():
         keys = (partition_by or {}).get(name, [])
         (df.write.partitionBy(*keys) if keys else df.write).parquet(f"{root}/{new[name]}")
-    _point(spark, root, number + 1, folders | new)
+    _point(spark, root, number + 1, new if only else folders | new)
     return number + 1
 
 

@@ -110,7 +110,7 @@ def clean_full_text(c: Column, collapse: bool = False) -> Column:
     """Page marks and record titles out; white space collapsed, or three line breaks and more cut to two."""
     c = F.regexp_replace(c, r"(?iu)p[áa]gina\s+\d+\s+de\s+\d+", "")
     c = F.regexp_replace(c, r"(?i)ficha jurisprudencial", "")
-    return squeeze(c) if collapse else F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    return squeeze(c) if collapse else F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def safe_filename(c: Column, limit: int = 150) -> Column:

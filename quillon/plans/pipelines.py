@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.functions.chunking import explode_chunks, sentence_chunker, sliding_chunks
-from quillon.functions.extract import between, key_values
+from quillon.functions.extract import between, card, certificate_parts, thesaurus
 from quillon.functions.rules import first_rule
 from quillon.functions.text import clean_full_text, clean_text, near_key, parse_date, sanitize, tokens, uuid5
 from quillon.operators.ml import hash_embed
@@ -14,8 +15,10 @@ FRAGMENTS = ("considerandos", "por_tanto")
 
 
 def parse_records(raw: DataFrame, text: str = "text") -> DataFrame:
-    """Judgment texts to typed columns: the card's fields, the dates, the outcome class, the two sections."""
-    fields = key_values(F.col(text))
+    """Judgment texts to typed columns: the card's fields, the dates, the outcome class, the thesaurus, the two sections (of the certificate where there is one)."""
+    fields = card(F.col(text))
+    certificate = certificate_parts(F.col(text))[1]
+    body = F.when(certificate != "", certificate).otherwise(F.col(text))
     out = raw.select("*", *(c.alias(k) for k, c in fields.items()))
     return out.withColumns(
         {
@@ -23,14 +26,15 @@ def parse_records(raw: DataFrame, text: str = "text") -> DataFrame:
             "resuelta": parse_date(F.col("fecha_resolucion")),
             "recurrida": parse_date(F.col("fecha_sentencia_recurrida")),
             "fallo_macro": first_rule(F.col("fallo")),
-            "considerandos": clean_full_text(between(F.col(text), "CONSIDERANDO", ["POR TANTO", "FALLA"])),
-            "por_tanto": clean_full_text(F.coalesce(between(F.col(text), "POR TANTO", []), between(F.col(text), "FALLA", []))),
+            "tesauros": thesaurus(F.col(text)),
+            "considerandos": clean_full_text(between(body, "CONSIDERANDO", ["POR TANTO", "FALLA"])),
+            "por_tanto": clean_full_text(F.coalesce(between(body, "POR TANTO", []), between(body, "FALLA", []))),
         }
     )
 
 
-def decompose(records: DataFrame) -> dict[str, DataFrame]:
-    """Parsed records to normalised tables: dimensions by upper-case natural key, judgments with their keys, links, fragments."""
+def decompose(records: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """Parsed records to twelve normalised tables: dimensions by upper-case natural key, judgments with their keys, thesaurus, laws, links, fragments, and files where path names their column."""
     out, facts = {}, records
     for name in ("tipo_proceso", "magistrado", "tribunal", "materia"):
         key = F.upper(F.trim(name))
@@ -42,9 +46,20 @@ def decompose(records: DataFrame) -> dict[str, DataFrame]:
     facts = facts.withColumns({f"{c}_id": F.when(F.col(c).isNotNull(), uuid5(DNS, F.lit("persona"), F.upper(c))) for c in ("recurrente", "recurrido")})
     out["sentencias"] = facts.select("id", "sentencia_id", "resuelta", "recurrida", "fallo", "fallo_macro", "tipo_proceso_id", "magistrado_id", "tribunal_id", "recurrente_id", "recurrido_id").dropDuplicates(["id"])
     out["sentencias_materias"] = facts.where("materia_id is not null").select("id", "materia_id").distinct()
-    parts = records.select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("tipo"), F.col(c).alias("texto")) for c in FRAGMENTS))).alias("f")).select("id", "f.*").where("texto is not null and texto != ''")
-    chunks = explode_chunks(parts.withColumn("texto", sanitize(F.col("texto"))), sentence_chunker("batches")(F.col("texto")), "id", "tipo")
-    out["fragmentos_texto"] = chunks.select(uuid5(DNS, F.col("id"), F.col("tipo"), F.col("chunk_no")).alias("fragmento_id"), F.col("id").alias("sentencia_id"), "tipo", F.col("chunk_no").alias("orden"), F.col("chunk").alias("contenido"))
+    entries = records.select("id", F.posexplode("tesauros").alias("pos", "t"))
+    asked = entries.where("t.problema is not null")
+    out["tesauro"] = asked.select(uuid5(DNS, F.lit("tesauro"), F.col("id"), F.col("pos")).alias("tesauro_id"), F.col("id").alias("sentencia_id"), F.col("t.categoria").alias("categoria"), F.col("t.problema").alias("problema_juridico"), F.col("t.respuesta").alias("respuesta_juridica")).dropDuplicates(["tesauro_id"])
+    laws = entries.select("id", F.explode("t.legislaciones").alias("l")).select("id", uuid5(DNS, F.lit("legislacion"), F.col("l.ley"), F.col("l.articulo"), F.col("l.sub_indice")).alias("legislacion_id"), F.col("l.ley").alias("nombre_ley"), "l.articulo", "l.sub_indice")
+    out["legislacion"] = laws.drop("id").distinct()
+    out["sentencias_legislacion"] = laws.select("id", "legislacion_id").distinct()
+    said = F.transform("tesauros", lambda t: F.struct(F.lit("consideraciones_sala").alias("tipo"), t["consideraciones"].alias("texto")))
+    sections = F.concat(said, F.array(*(F.struct(F.lit(c).alias("tipo"), F.col(c).alias("texto")) for c in FRAGMENTS)))
+    parts = records.dropDuplicates(["id"]).select("id", F.posexplode(sections).alias("parte", "f")).select("id", "parte", "f.*").where("texto is not null and texto != ''")
+    chunks = explode_chunks(parts.withColumn("texto", sanitize(F.col("texto"))), sentence_chunker("batches")(F.col("texto")), "id", "parte", "tipo")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("parte", "chunk_no"))  # a record's own passages
+    out["fragmentos_texto"] = chunks.select("id", "tipo", "chunk", nth.alias("orden")).select(uuid5(DNS, F.lit("fragmento"), F.col("id"), F.col("orden")).alias("fragmento_id"), F.col("id").alias("sentencia_id"), "tipo", "orden", F.col("chunk").alias("contenido"))
+    if path:
+        out["documentos_pdf"] = records.where(F.col(path).isNotNull()).select(uuid5(DNS, F.lit("pdf"), F.col("id")).alias("documento_id"), F.col("id").alias("sentencia_id"), F.col(path).alias("ruta_archivo")).dropDuplicates(["documento_id"])
     return out
 
 

@@ -1,6 +1,6 @@
 """The state of a vector table, groups of vectors by fixed rounds, and counters that come with a write."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -107,28 +107,28 @@ def write_counted(df: DataFrame, path: str, **counters: Column) -> dict[str, obj
     return seen.get
 
 
-def counted_stream(df: DataFrame, path: str, state: str, report: Callable[[dict], None], **counters: Column) -> None:
-    """Append a stream's new rows to path and give the counters of every batch to report; resumes where its state ends."""
+def counted_stream(df: DataFrame, path: str, state: str, **counters: Column) -> list[dict]:
+    """Append a stream's new rows to path, resuming where its state ends; the counters of every batch, taken as it is written."""
     from pyspark.sql.streaming import StreamingQueryListener
 
-    name = "counted"
+    seen: list[tuple[str, dict]] = []
 
     class Listener(StreamingQueryListener):
         def onQueryStarted(self, event) -> None: ...
 
         def onQueryProgress(self, event) -> None:
-            if event.progress.id == query.id and name in event.progress.observedMetrics:
-                report(event.progress.observedMetrics[name].asDict())
+            if (row := event.progress.observedMetrics.get("counted")) is not None:
+                seen.append((str(event.progress.id), row.asDict()))
 
         def onQueryTerminated(self, event) -> None: ...
 
     spark, listener = df.sparkSession, Listener()
-    writer = df.observe(name, *(c.alias(n) for n, c in counters.items())).writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
-    query = None
+    observed = df.observe("counted", *(c.alias(n) for n, c in counters.items()))
     spark.streams.addListener(listener)
     try:
-        query = writer.trigger(availableNow=True).start()
+        query = observed.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     finally:
         spark.streams.removeListener(listener)
+    return [row for own, row in seen if own == str(query.id)]

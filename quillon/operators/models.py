@@ -1,8 +1,9 @@
 """Classifiers with calibrated probabilities, cross-validation, and fitted models that are kept and checked.
 
-Linear models are fitted by Newton steps on sums over all rows: a pass over the
-data gives every model's gradient and curvature, as partial sums a partition,
-so classes and folds cost no passes of their own.
+Linear models and sigmoids are fitted by Newton steps on sums over all rows: a
+pass over the data gives every model's gradient and curvature, as partial sums a
+partition, a second one the loss of each for several lengths of its step. Classes
+and folds cost no passes of their own.
 """
 
 from collections.abc import Callable, Iterator
@@ -20,6 +21,8 @@ from quillon.sources import versions
 
 #: Numbers of curvature that a pass sums up at once; more models go in several passes.
 PASS = 1 << 24
+#: Lengths of a Newton step that are tried; the best counts.
+STEPS = np.array([1.0, 0.5, 0.25, 0.1, 0.01, 0.0])
 
 
 def folds(df: DataFrame, label: str, k: int, seed: str, id_col: str) -> DataFrame:
@@ -151,14 +154,26 @@ def _newton(rows: DataFrame, targets: list[tuple[object, int | None]], costs: di
                 return out
 
             sums = _summed(rows, "v label fold", step)
-            moved = []
-            for i, j in enumerate(live):
-                w = weights[a + j]
-                slope = hold * w + c * sums[i, :d]
-                move = np.linalg.solve(np.diag(hold) + c * sums[i, d:].reshape(d, d), slope)
-                weights[a + j] = w - move
-                moved.append(np.abs(move).max())
-            live = [j for j, m in zip(live, moved, strict=True) if m > 1e-8]
+            moves = np.stack([np.linalg.solve(np.diag(hold) + c * g[d:].reshape(d, d), hold * w + c * g[:d]) for w, g in zip(now, sums, strict=True)])
+            tried = now[None] - STEPS[:, None, None] * moves[None]
+
+            def losses(pdf: pd.DataFrame, tried: np.ndarray = tried, chosen: list = chosen) -> np.ndarray:
+                x = np.hstack([(_matrix(pdf["v"]) - mean) / scale, np.ones((len(pdf), 1))])
+                label, fold = pdf["label"].to_numpy(), pdf["fold"].to_numpy()
+                cost = np.array([costs[v] for v in label])
+                out = np.empty(tried.shape[:2])
+                for i, (value, left) in enumerate(chosen):
+                    at = fold != left if left is not None else np.ones(len(fold), bool)
+                    y = np.where(label[at] == value, 1.0, -1.0)
+                    short = np.maximum(1 - y[:, None] * (x[at] @ tried[:, i].T), 0)
+                    out[:, i] = (cost[at][:, None] * short**2).sum(axis=0)
+                return out
+
+            total = 0.5 * (hold * tried**2).sum(axis=2) + c * _summed(rows, "v label fold", losses)
+            best = total.argmin(axis=0)
+            weights[np.array([a + j for j in live])] = tried[best, np.arange(len(live))]
+            moved = STEPS[best] * np.abs(moves).max(axis=1)
+            live = [j for j, m in zip(live, moved, strict=True) if m > 1e-7]
             if not live:
                 break
     return weights
@@ -171,22 +186,33 @@ def _platt(margins: DataFrame, k: int, rounds: int = 25) -> tuple[np.ndarray, np
         hits[r["hit"]] = r["count"]
     n = hits.sum()
     high, low = (hits + 1) / (hits + 2), 1 / (n - hits + 2)
-    slope, offset = np.ones(k), np.log((hits + 1) / (n - hits + 1))
+    slope, offset = np.zeros(k), np.log((hits + 1) / (n - hits + 1))
 
-    def step(pdf: pd.DataFrame) -> np.ndarray:
-        m = _matrix(pdf["m"])
-        t = np.where(pdf["hit"].to_numpy()[:, None] == np.arange(k)[None, :], high, low)
-        p = _sigmoid(m * slope + offset)
-        r, w = p - t, p * (1 - p)
-        return np.stack([(r * m).sum(0), r.sum(0), (w * m * m).sum(0), (w * m).sum(0), w.sum(0)])
+    def targets(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return _matrix(pdf["m"]), np.where(pdf["hit"].to_numpy()[:, None] == np.arange(k)[None, :], high, low)
 
     for _ in range(rounds):
+
+        def step(pdf: pd.DataFrame, slope: np.ndarray = slope, offset: np.ndarray = offset) -> np.ndarray:
+            m, t = targets(pdf)
+            p = _sigmoid(m * slope + offset)
+            r, w = p - t, p * (1 - p)
+            return np.stack([(r * m).sum(0), r.sum(0), (w * m * m).sum(0), (w * m).sum(0), w.sum(0)])
+
         ga, gb, haa, hab, hbb = _summed(margins, "m hit", step)
         haa, hbb = haa + 1e-9, hbb + 1e-9
         det = haa * hbb - hab * hab
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        slope, offset = slope - da, offset - db
-        if max(np.abs(da).max(), np.abs(db).max()) < 1e-8:
+        slopes, offsets = slope - STEPS[:, None] * da, offset - STEPS[:, None] * db
+
+        def losses(pdf: pd.DataFrame, slopes: np.ndarray = slopes, offsets: np.ndarray = offsets) -> np.ndarray:
+            m, t = targets(pdf)
+            z = m[None] * slopes[:, None] + offsets[:, None]
+            return (np.logaddexp(0, z) - t * z).sum(axis=1)
+
+        best = _summed(margins, "m hit", losses).argmin(axis=0)
+        slope, offset = slopes[best, np.arange(k)], offsets[best, np.arange(k)]
+        if max(np.abs(STEPS[best] * da).max(), np.abs(STEPS[best] * db).max()) < 1e-7:
             break
     return slope, offset
 

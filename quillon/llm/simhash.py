@@ -13,12 +13,12 @@ fingerprints of 16 bytes that agree in 32 bits, not documents: copies of a
 text are one of them, and near copies within six differing bits that also
 share those 32 can be about a million at most.
 
-Rows with equal fingerprints are one entry. A null, empty or blank text has
-fingerprint zero. component_id is the smallest non-null doc_id of the
-component (null if there is none). Repeated rows each get their own result row;
-those of a very common fingerprint are dealt over many tasks. A very long text
-is hashed whole, in about twenty bytes a word. A doc_id is taken to be below
-2**62.
+Rows with equal fingerprints are one entry, and the fingerprint is the node of
+the graph: a doc_id with several texts is in the component of each. A null,
+empty or blank text has fingerprint zero. component_id is the smallest non-null
+doc_id of the component (null if there is none). Repeated rows each get their
+own result row; those of a very common fingerprint are dealt over many tasks. A
+very long text is hashed whole, in about twenty bytes a word.
 """
 
 from collections.abc import Iterator
@@ -36,8 +36,6 @@ from quillon.llm._text import batch_bytes, with_columns
 
 BITS, RADIUS, SEED = 64, 4, 42
 BYTES = BITS // 8
-#: Nodes of fingerprints without a doc_id begin here.
-NO_ID = 1 << 62
 
 
 def _lanes() -> np.ndarray:
@@ -114,14 +112,14 @@ def link_posting(prints: np.ndarray, nodes: np.ndarray, radius: int) -> list[tup
 
 
 def _postings(radius: int):
-    def solve(keys: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
+    def solve(keys: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         many = ~(new & np.concatenate([new[1:], [True]]))
-        keys, prints, nodes = keys[many], prints[many], nodes[many]
+        keys, prints = keys[many], prints[many]
         if not len(keys):
             return []
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
-        return [x for a, b in zip(at, [*at[1:], len(keys)], strict=True) for x in link_posting(prints[a:b], nodes[a:b], radius)]
+        return [x for a, b in zip(at, [*at[1:], len(keys)], strict=True) for x in link_posting(prints[a:b], prints[a:b].view(np.int64), radius)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -129,17 +127,17 @@ def _postings(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            now = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if last is not None and now[0][-1] == last:  # one posting fills the batch
                 held.append(now)
                 continue
-            keys, prints, nodes = (np.concatenate([*(h[k] for h in held), now[k]]) for k in range(3))
+            keys, prints = (np.concatenate([*(h[k] for h in held), now[k]]) for k in range(2))
             last = keys[-1]
             cut_at = int(np.searchsorted(keys != last, False)) if keys[0] == last else int(np.flatnonzero(keys != last)[-1]) + 1
-            held = [(keys[cut_at:], prints[cut_at:], nodes[cut_at:])]
-            if cut_at and (links := solve(keys[:cut_at], prints[:cut_at], nodes[:cut_at])):
+            held = [(keys[cut_at:], prints[cut_at:])]
+            if cut_at and (links := solve(keys[:cut_at], prints[:cut_at])):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
-        if held and (links := solve(*(np.concatenate([h[k] for h in held]) for k in range(3)))):
+        if held and (links := solve(*(np.concatenate([h[k] for h in held]) for k in range(2)))):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
     return run
@@ -153,13 +151,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     prints = written(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", shingle))
-    # A fingerprint without a doc_id still links others; its node is larger than any real id, so it leads no component with one.
-    other = F.expr(f"{NO_ID} + (simhash & {NO_ID - 1})")
-    nodes = written(prints.groupBy("simhash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).withColumn("node", F.coalesce("least", other)).drop("least"))
-    entries = nodes.select(F.explode(F.array(*(F.lit(m).cast("long") for m in masks(radius)))).alias("mask"), "simhash", "node").select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("simhash"))).alias("posting"), "simhash", "node")
+    nodes = written(prints.groupBy("simhash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    entries = nodes.select(F.explode(F.array(*(F.lit(m).cast("long") for m in masks(radius)))).alias("mask"), "simhash").select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("simhash"))).alias("posting"), "simhash")
     links = written(entries.repartition(shuffles(spark), "posting").sortWithinPartitions("posting", "simhash").mapInArrow(_postings(radius), "a long, b long").distinct())
-    component = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").count()
-    lead = F.coalesce("component", "node")
-    labelled = nodes.join(component, "node", "left").join(degree, "node", "left").select("simhash", "rows", F.when(lead < NO_ID, lead).alias("component_id"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links"))
+    component = connected_components(links).withColumnRenamed("node", "simhash")
+    degree = links.select(F.col("a").alias("simhash")).union(links.select("b")).groupBy("simhash").agg(F.count(F.lit(1)).alias("n_links"))
+    found = written(nodes.join(component, "simhash", "left").join(degree, "simhash", "left").fillna(0, ["n_links"]))
+    linked = found.where("component is not null")
+    # The least identifier of a component is taken at the end: a document with several texts is several fingerprints, each in its own.
+    leads = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    alone = found.where("component is null").select("simhash", "rows", F.col("least").alias("component_id"), "n_links")
+    labelled = alone.union(spread_join(linked, written(leads), "component", "n").select("simhash", "rows", "component_id", "n_links"))
     return spread_join(prints, written(labelled), "simhash", "rows").select("doc_id", "simhash", "component_id", "n_links")

@@ -1,6 +1,7 @@
 """Operators with fixed results against plain brute-force versions."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -148,6 +149,22 @@ def test_simhash_components(docs, empty, clashing, texts):
     assert sorted(map(str, near_duplicates(clashing).collect())) == sorted(map(str, got))
 
 
+def test_simhash_of_one_document_with_several_texts(spark):
+    """A doc_id does not join what its texts do not join."""
+    from quillon.llm.simhash import fingerprints, near_duplicates
+
+    rng = random.Random(1)
+    a, b, c = (" ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(400)) for _ in range(3))
+    near = a.replace(a.split()[200], "changed", 1)
+    rows = [(5, a), (5, b), (3, near), (7, b), (3, c), (None, c), (None, "alone " + c[:300])]
+    got = sorted((r.doc_id or 0, r.simhash, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = sorted({t for _, t in rows})
+    prints = {t: r.simhash for t, r in zip(texts, fingerprints(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).orderBy("i").collect(), strict=True)}
+    assert bin((prints[a] ^ prints[near]) & (2**64 - 1)).count("1") <= 4
+    lead = {a: 3, near: 3, b: 5, c: 3}
+    assert got == sorted((d or 0, prints[t], lead.get(t)) for d, t in rows)
+
+
 def test_simhash_dense_and_chained_groups():
     """A dense group and a chain of steps of four bits, as one posting and through the whole index."""
     from quillon.llm.simhash import link_posting, masks

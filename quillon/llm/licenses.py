@@ -4,13 +4,17 @@ A text is cut into sentences (at line breaks, and at . ! ? followed by white
 space), once as it stands and once with single line breaks taken as spaces, for
 wrapped notices; there blank lines, lines of comment marks alone and numbered
 points part sentences too. Sentences are normalised: A-Z lowered, everything
-but a-z and 0-9 one space, so comment marks do not matter. Known sentences
-become identifiers, others "?". Rules are ordered: each is a sequence of
-identifiers that must stand together, and what a rule has matched is gone for
-the rules after it, so a full licence text is not also reported as its parts.
+but a-z and 0-9 one space, so comment marks do not matter; where a sentence
+names an organisation or a work, any name will do (GAPS). Known sentences become
+identifiers. So do the names in SPDX expressions, one each, and in one-line
+notices of the form "this .. is licensed under the ..", one or two. Others are
+"?". Rules are ordered: each is a sequence of identifiers that must stand
+together, and what a rule has matched is gone for the rules after it, so a full
+licence text is not also reported as its parts; a clause that is not known
+inside known ones is a licence of its own (BSD-custom), not the shorter one.
 
-Only texts that hold one of the words which every known sentence has are cut
-up at all. A null, empty or licence-free text has empty results; repeated rows
+Only texts that hold one of the words which every known sentence or notice has
+are cut up at all. A null, empty or licence-free text has empty results; repeated rows
 each have their own. A very long text is cut up whole. Other columns pass
 through; columns named like an output are replaced.
 """
@@ -68,14 +72,63 @@ SENTENCES: dict[str, str | tuple[str, ...]] = {
     "cc_by_long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc_by_sa_long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "reserved": "All rights reserved.",
+    "bsd_advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the copyright holder.",
+    "bsd_liable": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib_warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib_liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "postgres_grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "artistic2_terms": "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.",
+    "cc0_waiver": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "eupl12_form": "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\");",
 }
 
 # Names that a line "SPDX-License-Identifier: name" may give.
 SPDX = [
     "Apache-2.0", "MIT", "GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-2.0-only", "LGPL-2.1-or-later", "LGPL-2.1-only", "LGPL-3.0-or-later", "LGPL-3.0-only",
-    "AGPL-3.0-or-later", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Unlicense", "EPL-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    "AGPL-3.0-or-later", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "0BSD", "Unlicense", "EPL-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    "Zlib", "Artistic-2.0", "PostgreSQL", "EUPL-1.2", "LGPL-2.0-or-later", "LGPL-2.0-only",
 ]
-SENTENCES |= {f"spdx_{n}": f"SPDX-License-Identifier: {n}" for n in SPDX}
+# Names without a suffix, which older lines give, and what they stand for.
+SPDX_OLD = {f"{n}-{v}": f"{n}-{v}-only" for n, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))}
+SENTENCES |= {f"spdx_{n}": (f"SPDX-License-Identifier: {n}", *(f"SPDX-License-Identifier: {old}" for old, now in SPDX_OLD.items() if now == n)) for n in SPDX}
+
+# What one-line notices call a licence, normalised, and its name.
+NOTICES = {
+    "MIT": ["mit", "mit expat", "expat"],
+    "Apache-2.0": ["apache 2 0", "apache 2", "apache v2", "apache v2 0", "apache license 2 0", "apache license v2 0", "apache license version 2 0", "apache version 2 0", "apache software license 2 0"],
+    "BSD-3-Clause": ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "three clause bsd"],
+    "BSD-2-Clause": ["bsd 2 clause", "2 clause bsd", "simplified bsd", "two clause bsd", "freebsd"],
+    "ISC": ["isc"],
+    "GPL-3.0-or-later": ["gnu general public license version 3 or later", "gnu general public license v3 or later", "gpl v3 or later", "gplv3 or later", "gplv3", "gpl version 3 or later"],
+    "GPL-3.0-only": ["gnu general public license version 3", "gnu general public license v3", "gnu general public license v3 0", "gnu gpl v3", "gnu gplv3", "gpl v3", "gplv3", "gpl 3 0", "gpl version 3"],
+    "GPL-2.0-or-later": ["gnu general public license version 2 or later", "gnu general public license v2 or later", "gpl v2 or later", "gplv2 or later", "gpl version 2 or later"],
+    "GPL-2.0-only": ["gnu general public license version 2", "gnu general public license v2", "gnu general public license v2 0", "gnu gpl v2", "gnu gplv2", "gpl v2", "gplv2", "gpl 2 0", "gpl version 2"],
+    "LGPL-2.1-only": ["lgpl 2 1", "lgpl v2 1", "gnu lesser general public license version 2 1", "gnu lesser general public license v2 1"],
+    "LGPL-3.0-only": ["lgpl v3", "lgplv3", "lgpl 3 0", "gnu lesser general public license version 3", "gnu lesser general public license v3"],
+    "AGPL-3.0-only": ["agpl v3", "agplv3", "agpl 3 0", "gnu affero general public license version 3", "gnu affero general public license v3"],
+    "MPL-2.0": ["mpl 2 0", "mpl v2 0", "mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v2 0"],
+    "EPL-2.0": ["epl 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "eclipse public license version 2 0"],
+    "BSL-1.0": ["boost software license 1 0", "boost software license version 1 0"],
+    "Unlicense": ["unlicense"],
+    "Zlib": ["zlib", "zlib libpng"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic 2 0"],
+    "PostgreSQL": ["postgresql"],
+    "CC0-1.0": ["cc0", "cc0 1 0", "cc0 1 0 universal", "creative commons zero"],
+    "EUPL-1.2": ["eupl", "eupl 1 2", "eupl version 1 2", "european union public licence 1 2"],
+}
+NOTICES["GPL-3.0-or-later"].remove("gplv3")
+#: Any name in these places of a normalised sentence is read as the one of the known sentence.
+GAPS = [
+    (r"^neither the names? of .{1,120}? nor the names? of (?:its|their|the|any) (?:contributors|other contributors) may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    (r"^this software is provided by .{1,120}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"^in no event shall .{1,120}? be liable for any direct indirect", "in no event shall the copyright holder or contributors be liable for any direct indirect"),
+    (r"must display the following acknowledge?ment this product includes software developed by .{1,160}$", "must display the following acknowledgement this product includes software developed by the copyright holder"),
+    (r"^to the extent possible under law .{1,120}? has waived all copyright and related or neighboring rights to .{1,120}$", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work"),
+]
+#: Full stops that end no sentence, and the plus sign of older names.
+ABBREVIATED, PLUS = r"\b(inc|ltd|corp|co|llc|gmbh|dept)\.", r"(gpl-[0-9.]+)\+"
+SPDX_HEAD = "spdx license identifier "
 
 #: In order; of several that match at one place the first wins.
 RULES = [
@@ -115,8 +168,16 @@ RULES = [
     ("EPL-2.0", ["epl2_form"]),
     ("BSL-1.0", ["bsl1_form"]),
     ("Unlicense", ["unlicense_form"]),
+    ("BSD-4-Clause", ["bsd_use", "bsd_source", "bsd_binary", "bsd_advert", "bsd_names", "bsd_warranty"]),
+    ("BSD-4-Clause", ["bsd_use", "bsd_source", "bsd_binary", "bsd_advert", "bsd_names"]),
     ("BSD-3-Clause", ["bsd_use", "bsd_source", "bsd_binary", "bsd_names", "bsd_warranty"]),
     ("BSD-3-Clause", ["bsd_use", "bsd_source", "bsd_binary", "bsd_names"]),
+    ("BSD-custom", ["bsd_use", "bsd_source", "bsd_binary", "bsd_advert", "?", "bsd_warranty"]),
+    ("BSD-custom", ["bsd_use", "bsd_source", "bsd_binary", "?", "bsd_names"]),
+    ("BSD-custom", ["bsd_use", "bsd_source", "bsd_binary", "?", "?", "bsd_warranty"]),
+    ("BSD-custom", ["bsd_use", "bsd_source", "bsd_binary", "?", "bsd_warranty"]),
+    ("BSD-custom", ["bsd_use", "bsd_source", "?", "bsd_binary"]),
+    ("BSD-custom", ["bsd_use", "?", "bsd_source", "bsd_binary"]),
     ("BSD-2-Clause", ["bsd_use", "bsd_source", "bsd_binary", "bsd_warranty"]),
     ("BSD-2-Clause", ["bsd_use", "bsd_source", "bsd_binary"]),
     ("CC-BY-4.0", ["cc_by_4"]),
@@ -125,13 +186,20 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc_by_sa_long"]),
     ("CC-BY-NC-4.0", ["cc_by_nc_4"]),
     ("CC-BY-NC-4.0", ["cc_by_nc_long"]),
+    ("Zlib", ["zlib_warranty", "zlib_liable", "zlib_grant"]),
+    ("Zlib", ["zlib_grant"]),
+    ("PostgreSQL", ["postgres_grant"]),
+    ("Artistic-2.0", ["artistic2_terms"]),
+    ("CC0-1.0", ["cc0_waiver"]),
+    ("EUPL-1.2", ["eupl12_form"]),
     *((n, [f"spdx_{n}"]) for n in SPDX),
+    *((n, [f"notice_{n}"]) for n in NOTICES),
     ("All-rights-reserved", ["reserved"]),
 ]
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Each known sentence has one of these, in lower case.
-WORDS = ["licens", "rights reserved", "permission", "copyright", "warrant", "redistribut", "mozilla.org", "unencumbered"]
+#: Each known sentence and each notice has one of these, in lower case.
+WORDS = ["licens", "licence", "rights reserved", "permission", "copyright", "warrant", "redistribut", "mozilla.org", "unencumbered", "liable", "acknowledg", "gpl", "cc0", "eupl", *(f"under {a}{b}" for a in ("", "the ") for b in ("mit", "apache", "bsd", "isc", "mpl", "epl", "zlib", "expat"))]
 #: Ends of sentences. What has no letter (a list's number, say) is no sentence.
 BREAK, BREAK_WRAPPED = r"[.!?]+(?:[ \t\r\f\v]|$)|\n", r"[.!?]+(?:[ \t\r\n\f\v]|$)|\n[ \t\r*#/;-]*\n|\n[ \t\r*#/;-]*[0-9]+[.)][ \t]"
 JUNK = "[^a-z0-9]+"
@@ -148,11 +216,46 @@ def known(sentences: dict[str, str | tuple[str, ...]] = SENTENCES) -> dict[str,
     return {_plain(s): k for k, said in sentences.items() for s in ((said,) if isinstance(said, str) else said)}
 
 
+def called() -> dict[str, str]:
+    """Identifier of each name that a notice may give, longer names first."""
+    return {x: f"notice_{n}" for x, n in sorted(((x, n) for n, names in NOTICES.items() for x in names), key=lambda p: (-len(p[0]), p[0]))}
+
+
+def _notice() -> str:
+    """The pattern of one-line notices: groups 1 and 2 are the names."""
+    name = "|".join(called())
+    verb = "licensed|released|distributed|available|published|provided|covered|dual licensed"
+    head = "(?:(?:this|the|all|our) [a-z0-9 ]{1,40}? (?:is|are) (?:free software )?(?:made )?)?"
+    return rf"^(?:[a-z0-9]{{1,20}} (?:is|are) )?{head}(?:{verb}) under (?:the terms of )?(?:the |an? )?(?:either )?(?:the )?({name})(?: licen[cs]e)?(?: (?:or|and) (?:the |an? )?({name})(?: licen[cs]e)?)?(?: (?:see|at your|a copy|for|which|terms|as|in|with|license|full|you|please|copyright) ?.{{0,200}})?$"
+
+
+def sentences_of(low: Column, breaks: str) -> Column:
+    """Normalised sentences of a lower-case text in order; those without a letter are left out, an SPDX expression is one a name."""
+    text = F.regexp_replace(F.regexp_replace(low, ABBREVIATED, "$1"), PLUS, "$1-or-later")
+    normal = F.filter(F.transform(F.split(text, breaks), lambda s: F.trim(F.regexp_replace(s, JUNK, " "))), lambda s: s.rlike("[a-z]"))
+
+    def parts(s: Column) -> Column:
+        names = F.split(F.replace(F.substring(s, F.lit(len(SPDX_HEAD) + 1), F.char_length(s)), F.lit(" or later"), F.lit(" or-later")), " (?:or|and) ")
+        name = lambda n: F.replace(F.trim(F.regexp_replace(n, " with .*$", "")), F.lit("or-later"), F.lit("or later"))
+        return F.when(F.startswith(s, F.lit(SPDX_HEAD)), F.transform(names, lambda n: F.concat(F.lit(SPDX_HEAD), name(n)))).otherwise(F.array(s))
+
+    return F.flatten(F.transform(normal, parts))
+
+
 def identifiers(low: Column, breaks: str, table: dict[str, str]) -> Column:
-    """Identifiers of the sentences of a lower-case text in order, "?" for others; those without a letter are left out."""
+    """Identifiers of the sentences of a lower-case text in order, "?" for others."""
     ids = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    normal = F.transform(F.split(low, breaks), lambda s: F.trim(F.regexp_replace(s, JUNK, " ")))
-    return F.transform(F.filter(normal, lambda s: s.rlike("[a-z]")), lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("?")))
+    names = F.create_map(*(F.lit(x) for pair in called().items() for x in pair))
+
+    def of(s: Column) -> Column:
+        gapped = s
+        for pattern, said in GAPS:
+            gapped = F.regexp_replace(gapped, pattern, said)
+        noticed = F.filter(F.array(*(F.try_element_at(names, F.regexp_extract(s, _notice(), k)) for k in (1, 2))), lambda x: x.isNotNull())
+        own = F.coalesce(F.try_element_at(ids, s), F.try_element_at(ids, gapped))
+        return F.when(own.isNotNull(), F.array(own)).when(F.size(noticed) > 0, noticed).otherwise(F.array(F.lit("?")))
+
+    return F.flatten(F.transform(sentences_of(low, breaks), of))
 
 
 def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
@@ -192,12 +295,21 @@ def scan_sql() -> str:
     """DuckDB SQL for (doc_id, sentence_ids, licenses) over documents, lists joined by commas."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = known()
-    ids = f"MAP {{{', '.join(f'{quote(k)}: {quote(v)}' for k, v in table.items())}}}"
-    cut = lambda b: f"list_transform(list_filter(list_transform(string_split_regex(low, {quote(b)}), lambda s: trim(regexp_replace(s, '{JUNK}', ' ', 'g'))), lambda s: regexp_matches(s, '[a-z]')), lambda s: coalesce(ids[s], '?'))"
+    listed = lambda d: f"MAP {{{', '.join(f'{quote(k)}: {quote(v)}' for k, v in d.items())}}}"
+    ids, names = listed(table), listed(called())
+    text = f"regexp_replace(regexp_replace(low, {quote(ABBREVIATED)}, '\\1', 'g'), {quote(PLUS)}, '\\1-or-later', 'g')"
+    parts = f"CASE WHEN starts_with(s, '{SPDX_HEAD}') THEN list_transform(string_split_regex(replace(substr(s, {len(SPDX_HEAD) + 1}), ' or later', ' or-later'), ' (?:or|and) '), lambda n: '{SPDX_HEAD}' || replace(trim(regexp_replace(n, ' with .*$', '')), 'or-later', 'or later')) ELSE [s] END"
+    gapped = "s"
+    for pattern, said in GAPS:
+        gapped = f"regexp_replace({gapped}, {quote(pattern)}, {quote(said)}, 'g')"
+    noticed = ", ".join(f"names[regexp_extract(s, {quote(_notice())}, {k})]" for k in (1, 2))
+    of = f"CASE WHEN coalesce(ids[s], ids[{gapped}]) IS NOT NULL THEN [coalesce(ids[s], ids[{gapped}])] WHEN len(list_filter([{noticed}], lambda x: x IS NOT NULL)) > 0 THEN list_filter([{noticed}], lambda x: x IS NOT NULL) ELSE ['?'] END"
+    normal = lambda b: f"list_filter(list_transform(string_split_regex({text}, {quote(b)}), lambda s: trim(regexp_replace(s, '{JUNK}', ' ', 'g'))), lambda s: regexp_matches(s, '[a-z]'))"
+    cut = lambda b: f"flatten(list_transform(flatten(list_transform({normal(b)}, lambda s: {parts})), lambda s: {of}))"
     likely = " OR ".join(f"contains(low, {quote(w)})" for w in WORDS)
     steps = [
         f"l AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}') AS low FROM documents)",
-        f"c AS (SELECT doc_id, r, {cut(BREAK)} AS a, {cut(BREAK_WRAPPED)} AS b FROM l, (SELECT {ids} AS ids) WHERE {likely})",
+        f"c AS (SELECT doc_id, r, {cut(BREAK)} AS a, {cut(BREAK_WRAPPED)} AS b FROM l, (SELECT {ids} AS ids, {names} AS names) WHERE {likely})",
         "s0 AS (SELECT r, k, '<' || array_to_string(x, '><') || '>' AS t, []::VARCHAR[] AS f FROM (SELECT r, 0 AS k, a AS x FROM c UNION ALL SELECT r, 1, b FROM c))",
     ]
     for k, (name, want) in enumerate(RULES):

@@ -464,7 +464,8 @@ def test_published_notices(spark):
 def test_every_rule_can_match(spark):
     from quillon.llm import licenses as L
 
-    said = lambda k: L.SENTENCES[k] if isinstance(L.SENTENCES[k], str) else L.SENTENCES[k][0]
+    every = {k: s if isinstance(s, str) else s[0] for k, s in L.SENTENCES.items()} | {f"notice_{n}": f"Licensed under the {said[0]}." for n, said in L.NOTICES.items()} | {"?": "You may not use it on a Sunday."}
+    said = every.__getitem__
     rows = [(i, "\n\n".join(said(k) for k in want)) for i, (_, want) in enumerate(L.RULES)]
     got = {r.i: r.licenses for r in L.scan_licenses(spark.createDataFrame(rows, "i int, text string")).collect()}
     assert got == {i: [name] for i, (name, _) in enumerate(L.RULES)}
@@ -486,3 +487,56 @@ def test_licenses(spark, docs, empty, clashing):
     assert L.scan_licenses(clashing).count() == docs.count()
     plan = L.scan_licenses(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan.replace("ArrayType", ""))
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{more}
+THIS SOFTWARE IS PROVIDED BY {who} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+NAMES = """3. Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ADVERT = """3. All advertising materials mentioning features or use of this software must display the following acknowledgement:
+   This product includes software developed by {holder}.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+
+
+def test_licenses_with_names_expressions_and_notices(spark):
+    from quillon.llm import licenses as L
+
+    notices = []
+    for holder in ("Google Inc.", "the University of California, Berkeley", "the copyright holder", "Acme Corp. Ltd."):
+        who = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS" if holder.startswith("the c") else holder.upper()
+        notices += [
+            (["BSD-3-Clause"], BSD.format(more=NAMES.format(holder=holder), who=who)),
+            (["BSD-4-Clause"], BSD.format(more=ADVERT.format(holder=holder) + NAMES.replace("3.", "4.").format(holder=holder), who=who)),
+            (["BSD-2-Clause"], BSD.format(more="", who=who)),
+            (["BSD-custom"], BSD.format(more="3. You may not use this software on a Sunday.\n", who=who)),
+            (["CC0-1.0"], f"To the extent possible under law, {holder.rstrip('.')} has waived all copyright and related or neighboring rights to Tables."),
+        ]
+    notices += [(["Zlib"], ZLIB), (["Zlib"], "\n".join(f" * {x}" for x in ZLIB.split("\n")))]
+    notices += [
+        (["Apache-2.0", "MIT"], "// SPDX-License-Identifier: (MIT OR Apache-2.0)"), (["GPL-2.0-only"], "/* SPDX-License-Identifier: GPL-2.0 */"), (["GPL-2.0-or-later"], "# SPDX-License-Identifier: GPL-2.0+"),
+        (["GPL-2.0-only"], "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"), (["MIT", "BSD-3-Clause"], "SPDX-License-Identifier: BSD-3-Clause AND MIT"),
+        (["MIT"], "This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details."), (["Apache-2.0"], "Licensed under the Apache License 2.0."), (["MPL-2.0"], "The library is distributed under the terms of the Mozilla Public License, version 2.0."),
+        (["MIT", "Apache-2.0"], "Licensed under either the MIT license or the Apache License, Version 2.0 at your option."), (["BSD-3-Clause"], "requests is released under the 3-clause BSD license."), (["GPL-3.0-only"], "This software is available under the GNU GPLv3."),
+        ([], "This project is not licensed under the MIT License."), ([], "We met under the MIT dome, licensed guides said."), ([], "A licence for fishing is issued under the Apache tribe's law."), ([], "This is licensed under the terms of a private agreement."),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(notices)], "i int, text string")
+    got = {r.i: sorted(r.licenses) for r in L.scan_licenses(rows).collect()}
+    assert [(t, got[i]) for i, (want, t) in enumerate(notices) if got[i] != sorted(want)] == []

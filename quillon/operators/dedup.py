@@ -25,9 +25,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.select(id_col, "clean_hash").join(least, "clean_hash")
 
 
-def near_pairs(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(a, b, similarity) within a key's bucket: the first rows by id as the reference limits them, token counts close, shingles alike."""
-    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("near_key").orderBy(id_col))).where((F.col("rn") <= MOST_IN_BUCKET) & (F.col("n_tokens") > 0))
+def near_pairs(df: DataFrame, id_col: str = "doc_id", most: int | None = MOST_IN_BUCKET) -> DataFrame:
+    """(a, b, similarity) within a key's bucket: its first `most` rows by id (None: all), token counts close, shingles alike. df is read several times: give it written."""
+    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("near_key").orderBy(id_col))).where(F.col("n_tokens") > 0)
+    ranked = ranked if most is None else ranked.where(F.col("rn") <= most)
     left = ranked.select("near_key", F.col(id_col).alias("a"), F.col("rn").alias("rn_a"), F.col("n_tokens").alias("n_a"), F.col("sh").alias("sh_a"))
     right = ranked.select("near_key", F.col(id_col).alias("b"), F.col("rn").alias("rn_b"), F.col("n_tokens").alias("n_b"), F.col("sh").alias("sh_b"))
     pairs = left.join(right, "near_key").where((F.col("rn_a") < F.col("rn_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= TOKEN_GAP))

@@ -59,6 +59,17 @@ def oversample(df: DataFrame, label: str, seed: str, id_col: str) -> DataFrame:
     return sized.select(*df.columns, F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
 
 
+def finetune_rows(df: DataFrame, label: str, text: str, plan: dict, id_col: str, seed: str, mix: str, least: int = 100, most: int = 512, share: float = 0.9) -> DataFrame:
+    """df's rows to tune an encoder on, with part: of each class in plan its quota of texts of `least` characters or more, cut at `most` and trimmed; all mixed, the first share to train. Both orders are by hash."""
+    rows = df.where((F.char_length(text) >= least) & F.col(label).isin(list(plan)))
+    quota = F.create_map(*(F.lit(x) for pair in plan.items() for x in pair))[F.col(label)]
+    chosen = numbered(rows, [seeded_order(seed, id_col), F.col(id_col)], "__n", [label]).where(F.col("__n") <= quota)
+    mixed = numbered(chosen.select(*df.columns), [seeded_order(mix, id_col), F.col(id_col)], "__m")
+    total = mixed.agg(F.count(F.lit(1)).alias("__total"))  # one row
+    part = F.when(F.col("__m") <= F.floor(F.col("__total") * share), "train").otherwise("val")
+    return mixed.crossJoin(F.broadcast(total)).withColumns({text: F.trim(F.substring(text, 1, most)), "part": part}).select(*df.columns, "part")
+
+
 def class_weights(df: DataFrame, label: str, leave_out: str | None = None) -> DataFrame:
     """(label, n, weight): N / (K n)."""
     n = df.where(F.col(label).isNotNull() if leave_out is None else (F.col(label) != leave_out)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -94,3 +94,63 @@ def observed_counts(t: Tables) -> DataFrame:
     """Counters of a table taken while it is written."""
     got = H.write_counted(t.documents.select("doc_id", "lang", "text"), temporary(t.spark, "counted"), rows=F.count(F.lit(1)), langs=F.size(F.collect_set("lang")).cast("long"), chars=F.sum(F.char_length("text")).cast("long"), short=F.count_if(F.char_length("text") < 50))
     return t.spark.createDataFrame([tuple(got[n] for n in ("rows", "langs", "chars", "short"))], "rows long, langs long, chars long, short long")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id AS id, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS text, e.embedding, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS label, 'N' || c_custkey % 500 AS number, CASE WHEN c_acctbal > 0 THEN c_nationkey END AS court FROM customer LEFT JOIN embeddings e ON vec_id = c_custkey),
+a AS (SELECT count(*) AS n, count(embedding) AS v, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS empty, count(*) FILTER (WHERE length(text) < 50) AS short FROM p),
+b AS (SELECT count(*) AS rn, count(embedding) AS rv, count(*) FILTER (WHERE text IS NULL) AS rempty, count(label) AS f0, count(court) AS f1 FROM r),
+t AS (SELECT label, count(*) AS c FROM r WHERE label IS NOT NULL GROUP BY label ORDER BY c DESC, label LIMIT 15),
+h AS (SELECT -sum(c / s * log2(c / s)) / log2(count(*)) * 100 AS h FROM t, (SELECT sum(c) AS s FROM t)),
+q AS (SELECT id, embedding FROM p WHERE embedding IS NOT NULL ORDER BY sha1('diagnostic' || id), id LIMIT 50),
+k AS (SELECT {sim_sql('q.embedding', 'p.embedding')} AS sim FROM q JOIN p ON p.id <> q.id AND p.embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY sim DESC, p.id) <= 5),
+d AS (SELECT (SELECT count(*) FROM (SELECT number FROM r GROUP BY 1 HAVING count(*) > 1)) AS rdup, (SELECT count(*) FROM (SELECT text FROM p WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS dup, (SELECT count(DISTINCT o_custkey) FROM orders) AS l0, (SELECT avg(sim) FROM k) AS sim),
+s AS (SELECT 100 * (0.6 * v / n + 0.4 * rv / rn) AS coverage, greatest(0, least(100, 100 - 200 * empty / n - 50 * short / n - 300 * rempty / rn)) AS text, h AS balance, 100 * (f0 / rn + f1 / rn + l0 / rn) / 3 AS metadata,
+  CASE WHEN rn >= 20000 THEN 100 WHEN rn >= 10000 THEN 85 WHEN rn >= 5000 THEN 70 WHEN rn >= 1000 THEN 50 ELSE 20 END AS volume, least(100, 120 * sim) AS embeddings, greatest(0, least(100, 100 - 500 * rdup / rn - 200 * dup / n)) AS cleanliness FROM a, b, h, d),
+u AS (SELECT unnest(['coverage', 'text', 'balance', 'metadata', 'volume', 'embeddings', 'cleanliness', 'global']) AS dimension, unnest([0.25, 0.20, 0.15, 0.15, 0.10, 0.10, 0.05, 1.0])::DOUBLE AS weight,
+  unnest([coverage, text, balance, metadata, volume, embeddings, cleanliness, 0.25 * coverage + 0.2 * text + 0.15 * balance + 0.15 * metadata + 0.1 * volume + 0.1 * embeddings + 0.05 * cleanliness])::DOUBLE AS x FROM s)
+SELECT dimension, weight, round(x, 4) AS score, CASE WHEN round(x, 4) >= 90 THEN 'EXCELENTE' WHEN round(x, 4) >= 75 THEN 'BUENO' WHEN round(x, 4) >= 55 THEN 'ACEPTABLE' ELSE 'DEFICIENTE' END AS band FROM u"""
+)
+def diagnostic(t: Tables) -> DataFrame:
+    """Seven dimensions of documents as passages and customers as records."""
+    from quillon.operators.diagnostic import diagnostic as seven
+
+    vectors = t.embeddings.select("vec_id", "embedding")
+    passages = t.documents.join(vectors, F.col("vec_id") == F.col("doc_id"), "left").select(F.col("doc_id").alias("id"), "text", "embedding")
+    c = F.col("c_custkey")
+    records = t.customer.join(vectors, F.col("vec_id") == c, "left").select(
+        F.when(c % 9 != 0, F.col("c_name")).alias("text"), "embedding", F.when(c % 4 != 0, F.col("c_mktsegment")).alias("label"), F.concat(F.lit("N"), (c % 500).cast("string")).alias("number"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).alias("court")
+    )
+    return seven(passages, records, ["label", "court"], [t.orders.select(F.col("o_custkey").alias("record"))])
+
+
+_PLAN = {0: 60, 1: 25, 2: 1000}
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, substr(text, 1, 512) AS cut, doc_id % 5 AS label FROM documents WHERE length(text) >= 100),
+q AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1('ft' || doc_id), doc_id) AS n FROM x),
+k AS (SELECT * FROM q WHERE n <= CASE label {' '.join(f'WHEN {c} THEN {n}' for c, n in _PLAN.items())} ELSE 0 END),
+o AS (SELECT *, row_number() OVER (ORDER BY sha1('mix' || doc_id), doc_id) AS m, count(*) OVER () AS total FROM k)
+SELECT doc_id, label::INT AS label, sha1(trim(cut)) AS h, CASE WHEN m <= floor(total * 0.9) THEN 'train' ELSE 'val' END AS part FROM o"""
+)
+def finetune_rows(t: Tables) -> DataFrame:
+    """Texts for tuning an encoder: a quota a class, cut, mixed, nine tenths to train."""
+    rows = t.documents.select("doc_id", "text", (F.col("doc_id") % 5).cast("int").alias("label"))
+    out = M.finetune_rows(rows, "label", "text", _PLAN, "doc_id", "ft", "mix")
+    return out.select("doc_id", "label", F.sha1("text").alias("h"), "part")
+
+
+@query("SELECT doc_id, length(text) AS chars, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE 'new' END AS origin FROM documents WHERE doc_id % 3 <> 1 OR doc_id % 2 = 0 UNION ALL SELECT doc_id, -1, 'old' FROM documents WHERE doc_id % 3 = 1 AND doc_id % 2 = 1")
+def feature_upsert(t: Tables) -> DataFrame:
+    """Features of a corpus brought up to date: what is computed again replaces what is there, new rows are added, others stay."""
+    from quillon.operators.relational import upsert_replace
+    from quillon.plans.pipelines import ml_features
+
+    d = t.documents.select("doc_id", "text")
+    now = ml_features(d.where("doc_id % 3 != 1 or doc_id % 2 = 0"))
+    origin = F.when(F.col("doc_id") % 3 == 0, "kept").otherwise("new")
+    fresh = now.select("doc_id", F.col("char_count").cast("long").alias("chars"), origin.alias("origin"))
+    old = t.documents.where("doc_id % 3 in (0, 1)").select("doc_id", F.lit(-1).cast("long").alias("chars"), F.lit("old").alias("origin"))
+    return upsert_replace(old, fresh, ["doc_id"], [F.desc("chars")])

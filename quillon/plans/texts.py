@@ -8,6 +8,7 @@ from quillon.functions import extract as X
 from quillon.functions import rules as L
 from quillon.functions import text as N
 from quillon.operators import dedup as D
+from quillon.operators.store import written
 from quillon.plans.registry import Tables, clean_sql, query, strip_sql, tok_sql
 
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -40,6 +41,22 @@ def accent_fold(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha1(F.lower(N.squeeze(N.accent_fold(F.col("text"))))).alias("h"))
 
 
+@query("SELECT doc_id, sha1(" + sq("translate(lower(text), 'áéíóúñ', 'aeioun')") + ") AS h FROM documents")
+def scraper_key(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.sha1(N.scraper_key(F.col("text"))).alias("h"))
+
+
+_MARKED = "'  Página ' || doc_id || ' de 9' || chr(10) || 'Ficha JURISPRUDENCIAL' || chr(10) || chr(10) || chr(10) || replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || chr(10)) || chr(10) || ' '"
+_UNMARKED = f"regexp_replace(regexp_replace({_MARKED}, '(?i)p[áa]gina\\s+\\d+\\s+de\\s+\\d+', '', 'g'), '(?i)ficha jurisprudencial', '', 'g')"
+
+
+@query(f"SELECT doc_id, sha1(regexp_replace(regexp_replace({_UNMARKED}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS h, sha1({sq(_UNMARKED)}) AS flat FROM documents")
+def clean_full_text(t: Tables) -> DataFrame:
+    """Page marks and record titles out of every text, with line breaks kept to two and without them."""
+    text = F.expr(_MARKED)
+    return t.documents.select("doc_id", F.sha1(N.clean_full_text(text)).alias("h"), F.sha1(N.clean_full_text(text, collapse=True)).alias("flat"))
+
+
 @query("SELECT page_id, substr(" + sq(r"""regexp_replace(url, '[\\/*?:"<>|\x00-\x1F]', '_', 'g')""") + ", 1, 40) AS name FROM pages")
 def safe_filename(t: Tables) -> DataFrame:
     return t.pages.select("page_id", N.safe_filename(F.col("url"), 40).alias("name"))
@@ -245,12 +262,12 @@ def exact_dedup(t: Tables) -> DataFrame:
 
 @query(f"WITH {_PREP} SELECT a, b, similarity FROM e WHERE similarity >= 0.9")
 def near_dup_pairs(t: Tables) -> DataFrame:
-    return D.near_pairs(D.prepared(t.documents))
+    return D.near_pairs(written(D.prepared(t.documents)))
 
 
 @query(f"WITH {_PREP} SELECT d.doc_id, len(d.sh) AS n_shingles, round(CASE WHEN len(d.sh) + len(p.sh) = 0 THEN 1.0 ELSE len(list_intersect(d.sh, p.sh)) / (len(d.sh) + len(p.sh) - len(list_intersect(d.sh, p.sh))) END, 6) AS similarity FROM d JOIN d p ON p.doc_id = d.doc_id + 1")
 def shingle_jaccard(t: Tables) -> DataFrame:
-    p = D.prepared(t.documents)
+    p = written(D.prepared(t.documents))
     nxt = p.select((F.col("doc_id") - 1).alias("doc_id"), F.col("sh").alias("next"))
     return p.join(nxt, "doc_id").select("doc_id", F.size("sh").cast("long").alias("n_shingles"), F.round(N.jaccard(F.col("sh"), F.col("next")), 6).alias("similarity"))
 
@@ -260,14 +277,12 @@ def shingle_jaccard(t: Tables) -> DataFrame:
     "w AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT w.node, s.b FROM w JOIN s ON w.reach = s.a) SELECT node AS doc_id, min(reach) AS component FROM w GROUP BY node"
 )
 def dup_components(t: Tables) -> DataFrame:
-    from quillon.operators.store import written
-
     return D.duplicate_components(written(D.prepared(t.documents)))
 
 
 @query()
 def greedy_dedup(t: Tables) -> DataFrame:
-    return D.greedy(D.prepared(t.documents))
+    return D.greedy(written(D.prepared(t.documents)))
 
 
 @query("WITH RECURSIVE s AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.95), w AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT w.node, s.b FROM w JOIN s ON w.reach = s.a) SELECT node AS vec_id, min(reach) AS component FROM w GROUP BY node")
@@ -280,7 +295,6 @@ def stream_vectorize(t: Tables) -> DataFrame:
     """Texts embedded by a resumable stream over the table's files, then read back."""
     import uuid
 
-    from quillon.operators.store import written
     from quillon.streaming.jobs import vectorize
 
     spark, path = t.spark, f"{t.sf_dir}/documents.parquet"
@@ -295,7 +309,6 @@ def stream_dedup(t: Tables) -> DataFrame:
     """Greedy duplicates with state per key, by a stream over the table's files."""
     import uuid
 
-    from quillon.operators.store import written
     from quillon.streaming.jobs import incremental_dedup, stream
 
     spark = t.spark

@@ -140,6 +140,43 @@ def rerank_features(df: DataFrame, query: list[str], text: str = "text", bonuses
     return df.withColumn("overlap", F.round(overlap, 6)).withColumn("rerank", F.round(total, 6))
 
 
+# Fixed value: a citation in running text, its article and the law's name.
+CITED = r"(?i)art\w*\.?\s*(\d+)\s*(?:del|de la)?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
+
+
+def with_basis(results: DataFrame, links: DataFrame, case: str, text: str = "text") -> DataFrame:
+    """The few results with basis: the laws and articles linked to the case (links: case, law, article), each once; without links those that its text cites, in order; null if none."""
+    said = F.concat("law", F.lit(" (Art. "), F.col("article").cast("string"), F.lit(")"))
+    own = links.join(F.broadcast(results.select(case).distinct()), case).groupBy(case).agg(F.array_join(F.array_sort(F.collect_set(said)), ", ").alias("__linked"))
+    numbers, names = (F.regexp_extract_all(F.col(text), F.lit(CITED), k) for k in (1, 2))
+    cited = F.array_join(F.zip_with(numbers, names, lambda n, name: F.concat(F.lit("Art. "), n, F.lit(" "), name)), ", ")
+    return results.join(own, case, "left").withColumn("basis", F.coalesce("__linked", F.nullif(cited, F.lit("")))).drop("__linked")
+
+
+def with_norm(results: DataFrame, articles: DataFrame, most: int = 500) -> DataFrame:
+    """results with norm_law and norm: the first article that basis names, looked up by its number in any law (articles: number, law, content; the first law, then the first content, so the choice is fixed)."""
+    asked = results.withColumn("__number", F.nullif(F.regexp_extract(F.coalesce("basis", F.lit("")), r"Art\.?\s*(\d+)", 1), F.lit("")))
+    wanted = asked.select(F.col("__number").alias("number")).distinct()
+    found = articles.join(F.broadcast(wanted), "number").groupBy(F.col("number").alias("__number")).agg(F.min(F.struct("law", "content")).alias("__n"))
+    return asked.join(found, "__number", "left").withColumns({"norm_law": F.col("__n.law"), "norm": F.substring("__n.content", 1, most)}).drop("__n", "__number")
+
+
+def retrieval_report(near: DataFrame, texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(query_id, mean_sim, relevance) of (query_id, id, sim): the mean similarity and the share, in percent, of a query's results whose text (id, text) has one of its keywords (query_id, words)."""
+    rows = near.join(texts, "id").join(F.broadcast(keywords), "query_id")  # queries are few
+    low = F.lower(F.coalesce("text", F.lit("")))
+    hit = F.exists("words", lambda w: F.contains(low, F.lower(w))).cast("double")
+    return rows.groupBy("query_id").agg(F.round(F.avg("sim"), 6).alias("mean_sim"), F.round(100 * F.avg(hit), 4).alias("relevance"))
+
+
+def report_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """A row a query of either report: both sides and after minus before; a query that one side lacks counts as 0 there."""
+    sides = [df.withColumnsRenamed({c: f"{c}_{side}" for c in df.columns if c != "query_id"}) for df, side in ((before, "before"), (after, "after"))]
+    both = sides[0].join(sides[1], "query_id", "full").na.fill(0)
+    names = [c for c in before.columns if c != "query_id"]
+    return both.select("query_id", *(f"{c}_{s}" for c in names for s in ("before", "after")), *(F.round(F.col(f"{c}_after") - F.col(f"{c}_before"), 6).alias(f"{c}_delta") for c in names))
+
+
 def rerank(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], text: str = "text") -> DataFrame:
     """df with score from a batch scorer (a cross-encoder, say) run as a pandas UDF."""
     return df.withColumn("score", F.pandas_udf(scorer, "double")(F.col(text)))

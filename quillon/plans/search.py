@@ -241,3 +241,46 @@ def two_level_search(t: Tables) -> DataFrame:
     chapters = rows.groupBy("source", "lang").agg(F.max("sim").alias("s")).orderBy(F.desc("s"), "source", "lang").limit(3).select("source", "lang")
     w = Window.partitionBy("source", "lang").orderBy(F.desc("sim"), "doc_id")
     return rows.join(F.broadcast(chapters), ["source", "lang"]).withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
+
+
+_CITING = "CASE WHEN doc_id % 3 = 0 THEN text ELSE text || ' Art. ' || doc_id % 30 || ' del Codigo Civil, articulo ' || doc_id % 7 || ' de la Ley' END"
+_CITED_SQL = S.CITED.replace("'", "''")
+
+
+@query(
+    f"""WITH {Q}, {FRAGMENTS}, t AS (SELECT doc_id, sim, {_CITING} AS text FROM f ORDER BY sim DESC, doc_id LIMIT 40),
+l AS (SELECT l_orderkey AS doc_id, string_agg(DISTINCT p_brand || ' (Art. ' || l_linenumber || ')', ', ' ORDER BY p_brand || ' (Art. ' || l_linenumber || ')') AS basis FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 2 = 0 GROUP BY 1),
+b AS (SELECT t.doc_id, sim, coalesce(l.basis, nullif(array_to_string(list_transform(list_zip(regexp_extract_all(text, '{_CITED_SQL}', 1), regexp_extract_all(text, '{_CITED_SQL}', 2)), lambda x: 'Art. ' || x[1] || ' ' || x[2]), ', '), '')) AS basis FROM t LEFT JOIN l USING (doc_id)),
+n AS (SELECT *, nullif(regexp_extract(coalesce(basis, ''), 'Art\\.?\\s*(\\d+)', 1), '') AS number FROM b),
+a AS (SELECT p_size::VARCHAR AS number, min((p_brand, p_name)) AS m FROM part GROUP BY 1)
+SELECT doc_id, sim, basis, m[1] AS norm_law, m[2] AS norm FROM n LEFT JOIN a USING (number)"""
+)
+def expert_basis(t: Tables) -> DataFrame:
+    """The best passages with their legal basis, from links or else from citations in the text, and the norm that it names first."""
+    best = S.semantic_topk(_fragments(t), vector_of(t), 40, "doc_id").select("doc_id", "sim", F.expr(_CITING).alias("text"))
+    links = t.lineitem.where("l_orderkey % 2 = 0").join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("doc_id"), F.col("p_brand").alias("law"), F.col("l_linenumber").alias("article"))
+    articles = t.part.select(F.col("p_size").cast("string").alias("number"), F.col("p_brand").alias("law"), F.col("p_name").alias("content"))
+    return S.with_norm(S.with_basis(best, links, "doc_id"), articles).select("doc_id", "sim", "basis", "norm_law", "norm")
+
+
+_WORDS = "CASE vec_id % 3 WHEN 0 THEN ['THE', 'zzz'] WHEN 1 THEN ['ment'] ELSE ['und', 'los'] END"
+
+
+def _report_sql(name: str, where: str) -> str:
+    return f"""{name} AS (SELECT query_id, round(avg(sim), 6) AS mean_sim, round(100 * avg((len(list_filter(words, lambda w: contains(lower(text), lower(w)))) > 0)::INT), 4) AS relevance
+FROM (SELECT a.vec_id AS query_id, {_WORDS.replace('vec_id', 'a.vec_id')} AS words, text, {sim_sql('a.embedding', 'b.embedding')} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id JOIN documents ON doc_id = b.vec_id WHERE a.vec_id % 50 = 7 AND {where}
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 5) GROUP BY query_id)"""
+
+
+@query(
+    f"WITH {_report_sql('x', chr(39) + 'en' + chr(39) + ' = lang')}, {_report_sql('y', 'true')} SELECT query_id, coalesce(x.mean_sim, 0) AS mean_sim_before, coalesce(y.mean_sim, 0) AS mean_sim_after, coalesce(x.relevance, 0) AS relevance_before, coalesce(y.relevance, 0) AS relevance_after, "
+    "round(coalesce(y.mean_sim, 0) - coalesce(x.mean_sim, 0), 6) AS mean_sim_delta, round(coalesce(y.relevance, 0) - coalesce(x.relevance, 0), 6) AS relevance_delta FROM x FULL JOIN y USING (query_id)"
+)
+def retrieval_benchmark(t: Tables) -> DataFrame:
+    """Similarity and keyword relevance of the five nearest passages, among English ones before and among all after, and how much each query gained."""
+    rows = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id"))
+    queries = t.embeddings.where("vec_id % 50 = 7")
+    keywords = queries.select(F.col("vec_id").alias("query_id"), F.expr(_WORDS.replace("[", "array(").replace("]", ")")).alias("words"))
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
+    reports = [S.retrieval_report(S.knn(part.select("vec_id", "embedding"), queries, 5), texts, keywords) for part in (rows.where("lang = 'en'"), rows)]
+    return S.report_deltas(*reports)

@@ -12,10 +12,10 @@ Scripts, styles and the like are never text. Elements that say that they are
 menus, page headers and footers, sidebars or dialogs (by tag, role or hidden)
 are left out, and so are forms and those whose class or id looks like such, like
 notices, adverts or reader comments, unless the densities speak for these:
-where no article or main element stands outside of suspects and the densest
-subtree among them is more than twice as dense as the densest outside, or
-there is no text outside, the elements around it are not suspected any more
-(reader comments only if there is nothing else).
+where the densest subtree among them is more than twice as dense as the densest
+outside (a text of several parts, say, in a box with a suspect's name beside a
+teaser in an article element), or there is no text outside, the elements around it are not
+suspected any more (reader comments only if there is nothing else).
 
 Character references are decoded, white space inside a block is one space,
 and blocks (any block element or line break parts them) are joined by \\n.
@@ -211,8 +211,6 @@ def path_up(page: Page, node: int) -> list[int]:
 def cleared_by_density(page: Page, gone: list[bool], sums: list[float], c: list[int], chars: list[int], link_chars: list[int]) -> set[int]:
     """Suspects that the densities speak for."""
     n = len(gone)
-    if c[0] and any(page.tag[i] in ("article", "main") and not gone[i] and c[i] for i in range(n)):
-        return set()
     density, inner, _ = densities(page, page.hard, chars, link_chars)
     sure = [False] * n
     for i in range(1, n):
@@ -222,7 +220,8 @@ def cleared_by_density(page: Page, gone: list[bool], sums: list[float], c: list[
         return set()
     best = max(suspects, key=lambda i: (inner[i] or density[i], -i))
     path = path_up(page, best)
-    if c[0] and ((inner[best] or density[best]) <= DENSER * max(sums) or any(page.comment[i] for i in path)):
+    told = any(page.tag[i] in ("article", "main") and not gone[i] and c[i] for i in range(n))  # then a lone line does not outweigh it
+    if c[0] and ((inner[best] or (0.0 if told else density[best])) <= DENSER * max(sums) or any(page.comment[i] for i in path)):
         return set()
     return {i for i in path if page.suspect[i]}
 

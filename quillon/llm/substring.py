@@ -40,8 +40,8 @@ from quillon.llm._store import shuffles
 from quillon.llm._text import SPACE, Places, free_names, hashed_words, mix, release, runs, slices, windows_hash, with_columns
 
 WINDOW, GRAM, TASK_WORDS = 35, 8, 1 << 19
-#: A file with more windows is split; files with fewer in TASK_WORDS words of every task are not counted.
-FILE_WINDOWS, COUNTED = 1 << 17, 64
+#: A file with more windows is split. Those of files with fewer than COUNTED in TASK_WORDS words are counted by one in THIN, chosen by hash: a file that is spread thinly over many tasks still shows.
+FILE_WINDOWS, COUNTED, THIN = 1 << 17, 64, 1 << 10
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -84,19 +84,22 @@ def file_windows(words: np.ndarray, offsets: np.ndarray, window: int, gram: int,
     return row[begin], at[begin] - offsets[row[begin]], np.diff(np.append(begin, len(at))), key[begin], begin, whole
 
 
-def _count(window: int, gram: int, counted: int, task_words: int):
-    """(key, different windows) of the files that have at least `counted` in one piece of the input."""
+def _count(window: int, gram: int, counted: int, task_words: int, thin: int):
+    """(key, different windows) of the files that have at least `counted` in one piece of the input; of others `thin` for each window that stands for so many."""
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         words, offsets = np.concatenate([h[0] for h in held]), np.concatenate([[0], np.cumsum(np.concatenate([h[1] for h in held]))])
         if (filed := file_windows(words, offsets, window, gram, Places())) is None:
             return
         _, _, n, key, _, whole = filed
-        _, lead = np.unique(whole, return_index=True)
-        keys, times = np.unique(np.repeat(key, n)[lead], return_counts=True)
-        at = np.flatnonzero(times >= counted)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(times[at].astype(np.int64))], names=["key", "n"])
+        different, lead = np.unique(whole, return_index=True)
+        own = np.repeat(key, n)[lead]
+        keys, times = np.unique(own, return_counts=True)
+        some, few = np.unique(own[mix(different) % np.uint64(thin) == 0], return_counts=True)
+        rare = times[np.searchsorted(keys, some)] < counted
+        found, many = np.concatenate([keys[times >= counted], some[rare]]), np.concatenate([times[times >= counted], few[rare] * thin])
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many.astype(np.int64))], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held, size = Places(), [], 0
@@ -116,7 +119,7 @@ def _count(window: int, gram: int, counted: int, task_words: int):
 
 def hot_files(docs: DataFrame, text: str, window: int, gram: int) -> Hot:
     """Files with over FILE_WINDOWS windows and the parts that each is split into: at most one for so many windows of the corpus."""
-    counts = docs.select(text).mapInArrow(_count(window, gram, COUNTED, TASK_WORDS), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(_count(window, gram, COUNTED, TASK_WORDS, THIN), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") > FILE_WINDOWS).collect()
     keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
     parts = np.array([-(-2 * r["n"] // FILE_WINDOWS) for r in rows], np.uint64)

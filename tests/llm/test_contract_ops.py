@@ -237,6 +237,25 @@ def test_substring_splits_hot_files(spark, monkeypatch):
     assert got == dict(enumerate(brute_substring(rows))) and sum(x[1] for x in got.values()) >= 150
 
 
+def test_substring_counts_files_spread_thinly(spark, monkeypatch):
+    """A file with a few windows in each of very many pieces is found and split all the same."""
+    from quillon.llm import substring as S
+
+    rng = np.random.default_rng(5)
+    for name, value in {"FILE_WINDOWS": 200, "COUNTED": 1 << 30, "THIN": 4, "TASK_WORDS": 64}.items():
+        monkeypatch.setattr(S, name, value)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
+    line = say(30)
+    rows = [f"{say(40)} {line} {say(40)}" for _ in range(200)] + [say(90)] * 2
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(16)
+    hot = S.hot_files(docs, "text", S.WINDOW, S.GRAM)
+    assert len(hot[0])
+    filed = docs.select(F.col("doc_id"), F.lit(0).cast("long").alias("rk"), "text").mapInArrow(S._file(S.WINDOW, S.GRAM, hot), "key long, id long, rk long, place long, data binary").where("place & 1 = 0").withColumn("n", F.expr("(place & 4294967295) >> 2"))
+    assert filed.groupBy("key").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= 400
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in S.substring_dedup(docs).collect()}
+    assert got == dict(enumerate(brute_substring(rows)))
+
+
 def test_substring_judges_words_exactly(spark):
     """34 shared words and a 35th that a polynomial hash takes for the same: nothing goes. With the same 35th all 35 go."""
     from quillon.llm.substring import substring_dedup

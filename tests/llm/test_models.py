@@ -397,19 +397,3 @@ def test_runs_do_not_cross_rows():
     [(i, j, data, offsets)] = list(slices(column))
     words, at = hashed_words(data, offsets, Places())
     assert (i, j) == (0, 5) and np.diff(at).tolist() == [1, 0, 2, 0, 1] and words[0] == words[3]
-
-
-def test_html_names_give_way_to_density():
-    """A text of several parts in a box with a suspect's name counts where an article element is only a teaser; a lone advert or comments do not, however short the article."""
-    from quillon.llm.html_text import main_text
-
-    parts = [f"{i} Plain words that make a real story go on and on for quite a while, without any link." for i in range(6)]
-    body = "".join(f"<p>{p}</p>" for p in parts)
-    teaser = "<article><h2>Teaser</h2><p>Short one.</p></article>"
-    for box in ("<div class='side'>", "<div id='search'>", "<section class='related'>"):
-        end = f"</{box[1:].split()[0]}>"
-        assert set(parts) <= set(main_text(f"<body>{teaser}{box}{body}{end}</body>").split("\n"))
-        assert set(parts) <= set(main_text(f"<body><main><h1>T</h1>{box}{body}{end}</main></body>").split("\n"))
-    assert main_text(f"<body>{teaser}<div class='ad'>{parts[0]}</div></body>") == "Teaser\nShort one."
-    assert main_text(f"<body>{teaser}<div id='comments'>{body}</div></body>") == "Teaser\nShort one."
-    assert main_text(f"<body><article>{body}<div class='ad'>Buy {parts[0]}</div><p class='notice'>We use cookies.</p></article></body>") == "\n".join(parts)

@@ -53,7 +53,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", e
     for a in range(0, max(1, len(rows)), QUERY_BLOCK):
         block = rows[a : a + QUERY_BLOCK]
         ids = np.array([r[0] for r in block], np.int64)
-        unit = np.array([r[1] for r in block], np.float64).reshape(len(block), -1)
+        unit = np.array([r[1] for r in block], np.float64).reshape(len(block), -1 if block else 0)
         unit = unit / np.maximum(np.sqrt((unit * unit).sum(axis=1, keepdims=True)), 1e-300)
 
         def search(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, unit: np.ndarray = unit) -> Iterator[pd.DataFrame]:

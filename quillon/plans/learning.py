@@ -154,3 +154,13 @@ def feature_upsert(t: Tables) -> DataFrame:
     fresh = now.select("doc_id", F.col("char_count").cast("long").alias("chars"), origin.alias("origin"))
     old = t.documents.where("doc_id % 3 in (0, 1)").select("doc_id", F.lit(-1).cast("long").alias("chars"), F.lit("old").alias("origin"))
     return upsert_replace(old, fresh, ["doc_id"], [F.desc("chars")])
+
+
+@query(
+    """WITH d AS (SELECT a.vec_id, a.label AS own, b.label AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, own, other, avg(d) AS m FROM d GROUP BY ALL), s AS (SELECT vec_id, max(CASE WHEN own = other THEN m END) AS a, min(CASE WHEN own <> other THEN m END) AS b FROM m GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM s"""
+)
+def silhouette(t: Tables) -> DataFrame:
+    """How well the labels part the vectors, by cosine distance."""
+    return t.spark.createDataFrame([(round(M.silhouette(t.embeddings, "label"), 4),)], "silhouette double")

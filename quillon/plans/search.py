@@ -284,3 +284,15 @@ def retrieval_benchmark(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
     reports = [S.retrieval_report(S.knn(part.select("vec_id", "embedding"), queries, 5), texts, keywords) for part in (rows.where("lang = 'en'"), rows)]
     return S.report_deltas(*reports)
+
+
+@query(f"WITH {Q}, {FRAGMENTS}, p AS (SELECT * FROM f ORDER BY sim DESC, doc_id LIMIT 60), s AS (SELECT doc_id, sim, round((length(text) - length(replace(text, 'e', ''))) / greatest(length(text), 1), 6) AS score FROM p) SELECT doc_id, sim, score FROM s ORDER BY score DESC, doc_id LIMIT 10")
+def rerank_scored(t: Tables) -> DataFrame:
+    """A semantic pool ordered anew by a batch scorer, as a cross-encoder would be; this one is the share of one letter."""
+    import pandas as pd
+
+    def scorer(texts: pd.Series) -> pd.Series:
+        return (texts.str.count("e") / texts.str.len().clip(lower=1)).round(6)
+
+    pool = S.semantic_topk(_fragments(t), vector_of(t), 60, "doc_id")
+    return S.rerank(pool, scorer).orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "sim", "score")

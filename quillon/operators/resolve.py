@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from quillon.functions.text import normalize_key, uuid5
 from quillon.operators.relational import distinct_on
+from quillon.operators.store import written
 
 DNS = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 EXACT, VERIFIED, PARTIAL = 0.99, 0.98, 0.75
@@ -30,17 +31,18 @@ def contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
 
     A text within another shares all its runs of GRAM characters (a shorter
     one is a run itself); each meets the others under its rarest one only, so
-    a common word brings few pairs together.
+    a common word brings few pairs together. The index holds numbers; texts come
+    back for the pairs that met.
     """
     small = inner.select(a).where(F.char_length(a) > 0).distinct()
-    large = outer.select(b).where(F.col(b).isNotNull()).distinct()
+    large = written(outer.select(b).where(F.col(b).isNotNull()).distinct().withColumn("__at", F.monotonically_increasing_id()))
     keys = F.concat(*(_runs(b, n) for n in range(1, GRAM + 1)))
-    index = large.select(b, F.explode(keys).alias("run"))
+    index = large.select("__at", F.explode(keys).alias("run"))
     often = index.groupBy("run").agg(F.count(F.lit(1)).alias("often"))
     own = F.when(F.char_length(a) < GRAM, F.array(F.col(a))).otherwise(_runs(a, GRAM))
     # a run that no text has is the rarest of all
     rarest = small.select(a, F.explode(own).alias("run")).join(often, "run", "left").groupBy(a).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "run")).alias("best"))
-    return rarest.where("best.often > 0").select(a, F.col("best.run").alias("run")).join(index, "run").where(F.contains(F.col(b), F.col(a))).select(a, b)
+    return rarest.where("best.often > 0").select(a, F.col("best.run").alias("run")).join(index, "run").select(a, "__at").join(large, "__at").where(F.contains(F.col(b), F.col(a))).select(a, b)
 
 
 def resolve(refs: DataFrame, aliases: DataFrame, ref_id: str, ref_norm: str, target: str) -> DataFrame:

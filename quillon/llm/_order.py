@@ -40,13 +40,14 @@ def _within(key: str | None, values: list[str]):
 
 
 def running(df: DataFrame, key: str | None, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """df, from a written table, with a column for each of sums (name: value, a long): the sum over the earlier rows of the row's key (a long without nulls), or of all rows.
+    """df, written, with a column for each of sums (name: value, a long): the sum over the earlier rows of the row's key (a long without nulls), or of all rows.
 
     Rows are sorted by key and order in ranges, so a key with very many rows is
     dealt over many tasks: each sums its own part, and what lies before a part
     is added from the sums of the parts, which are a row a part, or two for keys
     that lie in several. Rows equal in key and order stay in one task; their
-    order among themselves is any.
+    order among themselves is any. df is evaluated twice, since its ranges are
+    sampled first.
     """
     spark, by, n = df.sparkSession, [*([key] if key else []), *order], len(sums)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

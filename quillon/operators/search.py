@@ -4,6 +4,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +16,8 @@ from quillon.operators.relational import distinct_on
 CORPORA = ("ambos", "jurisprudencia", "leyes")
 #: Queries whose vectors go to every task at once; more are taken in blocks.
 QUERY_BLOCK = 2048
+#: Rows that a task compares with a block of queries at once.
+SLICE = 512
 
 
 def with_similarity(df: DataFrame, vector: list[float], embedding: str = "embedding") -> DataFrame:
@@ -42,40 +45,75 @@ def multi_corpus(parts: dict[str, DataFrame], vector: list[float], k: int, tie:
     return out.orderBy(F.desc("sim"), tie, "corpus").limit(k)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, id, sim, rank): the k nearest rows of corpus for each query, itself left out.
+class Best:
+    """The k nearest rows of each query so far (ties: the smaller id), in k rows a query however many were seen."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.query, self.id, self.sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, some: np.ndarray, own: np.ndarray, sims: np.ndarray) -> None:
+        """sims: a row for each of some queries, a column for each of own rows; -inf for pairs that do not count."""
+        least = self.least[some]
+        if sims.shape[1] > self.k and not np.isfinite(least).all():
+            least = np.maximum(least, np.partition(sims, -self.k, axis=1)[:, -self.k])
+        q, r = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+        if not len(q):
+            return
+        query, ids, sim = np.concatenate([self.query, some[q]]), np.concatenate([self.id, own[r]]), np.concatenate([self.sim, sims[q, r]])
+        order = np.lexsort((ids, -sim, query))
+        query, ids, sim = query[order], ids[order], sim[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        self.least[query[rank == self.k - 1]] = sim[rank == self.k - 1]
+        self.query, self.id, self.sim = query[rank < self.k], ids[rank < self.k], sim[rank < self.k]
 
-    Queries are a stated, small set; they go out in blocks as one matrix. Every
-    batch of corpus is one matrix product and sends at most k rows a query on.
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, embedding: str, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """(query_id, id, sim, rank): the k nearest rows of corpus for each query, itself left out; with centres only those in the cells of the query's nearest centres.
+
+    Queries are a stated, small set; they go out in blocks as one matrix. A task
+    multiplies a slice of its rows at a time and holds k rows a query, so its
+    memory does not grow with its rows.
     """
     rows = [(r[id_col], r[embedding]) for r in queries.select(id_col, embedding).where(F.col(embedding).isNotNull()).orderBy(id_col).toLocalIterator()]
     out = None
     for a in range(0, max(1, len(rows)), QUERY_BLOCK):
         block = rows[a : a + QUERY_BLOCK]
         ids = np.array([r[0] for r in block], np.int64)
-        unit = np.array([r[1] for r in block], np.float64).reshape(len(block), -1 if block else 0)
-        unit = unit / np.maximum(np.sqrt((unit * unit).sum(axis=1, keepdims=True)), 1e-300)
-
-        def search(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, unit: np.ndarray = unit) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                x = np.array(pdf[embedding].tolist(), np.float64)
-                length = np.sqrt((x * x).sum(axis=1))
-                own = pdf[id_col].to_numpy()
-                sims = np.round(unit @ (x / np.maximum(length, 1e-300)[:, None]).T, 6)
-                sims[:, length == 0] = -np.inf
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims))[:, :k]
-                near = np.take_along_axis(sims, order, axis=1)
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "sim": near.ravel()}).query("sim > -2")
-
-        part = corpus.select(id_col, embedding).where(F.col(embedding).isNotNull()).mapInPandas(search, "query_id long, id long, sim double")
+        raw = np.array([r[1] for r in block], np.float64).reshape(len(block), -1 if block else 0)
+        unit = raw / np.maximum(np.sqrt((raw * raw).sum(axis=1, keepdims=True)), 1e-300)
+        visits = None if centres is None or not len(ids) else np.argsort(-(raw @ centres.T), axis=1)[:, :probes]
+
+        def search(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, unit: np.ndarray = unit, visits: np.ndarray | None = visits) -> Iterator[pa.RecordBatch]:
+            best, every = Best(len(ids), k), np.arange(len(ids))
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(ids) else 0, SLICE):
+                    part = batch.slice(at, SLICE)
+                    own = part.column(0).to_numpy().astype(np.int64)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                    length = np.sqrt((x * x).sum(axis=1))
+                    x, own, length = x[length > 0], own[length > 0], length[length > 0]
+                    cell = np.zeros(len(own), np.int64) if visits is None else (x @ centres.T).argmax(axis=1)
+                    for c in np.unique(cell):
+                        some = every if visits is None else np.flatnonzero((visits == c).any(axis=1))
+                        mine = own[cell == c]
+                        sims = np.round(unit[some] @ (x[cell == c] / length[cell == c][:, None]).T, 6)
+                        sims[ids[some][:, None] == mine[None, :]] = -np.inf
+                        best.add(some, mine, sims)
+            if len(best.query):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.sim)], names=["query_id", "id", "sim"])
+
+        part = corpus.select(id_col, embedding).where(F.col(embedding).isNotNull()).mapInArrow(search, "query_id long, id long, sim double")
         out = part if out is None else out.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, id, sim, rank): the k nearest rows of corpus for each query, itself left out."""
+    return nearest(corpus, queries, k, id_col, embedding)
+
+
 def bm25(df: DataFrame, query: list[str], k: int, id_col: str, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score): Okapi BM25. Only the query's terms are kept from each text, so nothing but small rows is aggregated."""
     terms = sorted(set(query))
@@ -201,18 +239,4 @@ def ivf_topk(corpus: DataFrame, queries: DataFrame, k: int, cells: int = 16, pro
         centres = np.array([fit[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
 
-    def assign(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.array(pdf[embedding].tolist(), np.float64)
-                near = np.argsort(-(x @ centres.T), axis=1)[:, :n]
-                yield pd.DataFrame({"cell": near.ravel(), "id": np.repeat(pdf[id_col].to_numpy(), near.shape[1]), "v": [v for v in pdf[embedding] for _ in range(near.shape[1])]})
-
-    kind = "cell int, id long, v array<float>"
-    index = rows.mapInPandas(lambda b: assign(b, 1), kind)
-    asked = queries.select(id_col, embedding).mapInPandas(lambda b: assign(b, probes), kind).select("cell", F.col("id").alias("query_id"), F.col("v").alias("q"))
-    from quillon.functions.vectors import cosine
-
-    pairs = index.join(asked, "cell").where("id != query_id").select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("sim"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return nearest(rows, queries, k, id_col, embedding, centres, probes)

@@ -75,3 +75,27 @@ def test_vector_index(spark, tmp_path, clustered, monkeypatch):
 def test_vector_index_of_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="nothing"):
         annindex.build(f"file:{tmp_path}/e", _vectors(spark, np.zeros((2, 3))))
+
+
+def test_nearest_holds_slices_and_k_rows(spark, monkeypatch):
+    """Ties, own rows and zero vectors as by brute force, however small the slices; what is held is k rows a query."""
+    import numpy as np
+
+    from quillon.operators import search as S
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-1, 2, (300, 4)).astype(float)  # many equal vectors, some zero
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    length = np.linalg.norm(x, axis=1)
+    want = set()
+    for q in range(0, 300, 10):
+        sims = np.round(x @ x[q] / np.maximum(length * length[q], 1e-300), 6)
+        order = [i for i in np.lexsort((np.arange(300), -sims)) if i != q and length[i]][:5]
+        want |= {(q, int(i), float(sims[i]) + 0.0, n + 1) for n, i in enumerate(order)}
+    monkeypatch.setattr(S, "SLICE", 7)
+    got = {(r.query_id, r.id, r.sim + 0.0, r["rank"]) for r in S.knn(df, df.where("vec_id % 10 = 0"), 5).collect()}
+    assert got == want
+    best = S.Best(2, 3)
+    for a in range(0, 3000, 100):
+        best.add(np.arange(2), np.arange(a, a + 100), rng.random((2, 100)))
+    assert len(best.id) == 6

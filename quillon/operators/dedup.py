@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.text import clean_text, jaccard, near_key, shingles, tokens
+from quillon.functions.text import clean_text, jaccard, near_key, shingle_hashes, tokens
 from quillon.operators.components import components
 from quillon.operators.search import QUERY_BLOCK
 
@@ -14,13 +14,13 @@ MOST_IN_BUCKET, TOKEN_GAP, JACCARD = 40, 5, 0.90
 
 
 def prepared(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, clean_hash, near_key, n_tokens, shingles)."""
+    """(id, clean_hash, near_key, n_tokens, sh: the shingles by their hashes)."""
     toks = df.select(id_col, tokens(clean_text(F.col(text))).alias("toks"))
-    return toks.select(id_col, F.sha1(F.array_join("toks", " ")).alias("clean_hash"), near_key(F.col("toks")).alias("near_key"), F.size("toks").alias("n_tokens"), shingles(F.col("toks")).alias("sh"))
+    return toks.select(id_col, F.sha1(F.array_join("toks", " ")).alias("clean_hash"), near_key(F.col("toks")).alias("near_key"), F.size("toks").alias("n_tokens"), shingle_hashes(F.col("toks")).alias("sh"))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, clean_hash, duplicate_of): the smallest id of the same cleaned text."""
+    """(id, clean_hash, duplicate_of): the smallest id of the same cleaned text. df is read twice: give it written."""
     least = df.groupBy("clean_hash").agg(F.min(id_col).alias("duplicate_of"), F.count(F.lit(1)).alias("n_copies"))
     return df.select(id_col, "clean_hash").join(least, "clean_hash")
 
@@ -54,7 +54,7 @@ def greedy(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
         leaders: list[tuple[int, int, set]] = []
         out = []
         for i, n, sh in zip(pdf["first"], pdf["n_tokens"], pdf["sh"], strict=True):
-            own, of = set(sh), None
+            own, of = set(sh.tolist()), None
             for j, m, other in leaders:
                 union = len(own | other)
                 if abs(n - m) <= TOKEN_GAP and (not union or len(own & other) / union >= JACCARD):
@@ -66,7 +66,9 @@ def greedy(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return pd.DataFrame({"clean_hash": pdf["clean_hash"], "first": pdf["first"], "near": pd.array(out, "Int64")})
 
     first = df.groupBy("near_key", "clean_hash").agg(F.min(id_col).alias("first"), F.first("n_tokens").alias("n_tokens"), F.first("sh").alias("sh"))
-    found = first.groupBy("near_key").applyInPandas(run, "clean_hash string, first long, near long")
+    first = first.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("near_key")))
+    found = first.where("texts > 1").groupBy("near_key").applyInPandas(run, "clean_hash string, first long, near long")
+    found = found.unionByName(first.where("texts = 1").select("clean_hash", "first", F.lit(None).cast("long").alias("near")))
     of = F.coalesce("near", F.when(F.col(id_col) != F.col("first"), F.col("first")))
     return df.select(id_col, "clean_hash").join(found, "clean_hash").select(id_col, of.alias("duplicate_of"))
 

@@ -10,6 +10,7 @@ from quillon.functions.rules import first_rule
 from quillon.functions.text import clean_full_text, clean_text, near_key, parse_date, sanitize, tokens, uuid5
 from quillon.operators.ml import hash_embed
 from quillon.operators.resolve import DNS
+from quillon.operators.store import written
 
 FRAGMENTS = ("considerandos", "por_tanto")
 
@@ -69,12 +70,13 @@ def rechunk(fragments: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def ml_features(df: DataFrame, id_col: str = "doc_id", text: str = "text", low: int = 20, high: int = 400) -> DataFrame:
-    """The feature table of a corpus: cleaned text's hash and key, counts, window flag, duplicates."""
-    toks = tokens(clean_text(F.col(text)))
-    base = df.select("*", F.sha1(F.array_join(toks, " ")).alias("clean_hash"), near_key(toks).alias("near_key"), F.size(toks).alias("token_count"), F.char_length(F.coalesce(text, F.lit(""))).alias("char_count"))
-    base = base.withColumn("within_target_window", F.col("token_count").between(low, high))
+    """The feature table of a corpus: cleaned text's hash and key, counts, window flag, duplicates. Texts are cleaned once, and the features written."""
+    clean = df.select("*", tokens(clean_text(F.col(text))).alias("__toks"))
+    toks = F.col("__toks")
+    base = clean.select(*(F.col(f"`{c}`") for c in df.columns if c != text), F.sha1(F.array_join(toks, " ")).alias("clean_hash"), near_key(toks).alias("near_key"), F.size(toks).alias("token_count"), F.char_length(F.coalesce(text, F.lit(""))).alias("char_count"))
+    base = written(base.withColumn("within_target_window", F.col("token_count").between(low, high)))
     exact = base.groupBy("clean_hash").agg(F.min(id_col).alias("duplicate_group"))
-    return base.join(exact, "clean_hash").withColumn("is_duplicate", F.col(id_col) != F.col("duplicate_group")).withColumn("duplicate_of", F.when(F.col("is_duplicate"), F.col("duplicate_group"))).drop(text)
+    return base.join(exact, "clean_hash").withColumn("is_duplicate", F.col(id_col) != F.col("duplicate_group")).withColumn("duplicate_of", F.when(F.col("is_duplicate"), F.col("duplicate_group")))
 
 
 def embed_pending(df: DataFrame, done: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -257,7 +257,7 @@ def near_key(t: Tables) -> DataFrame:
 
 @query(f"WITH {_PREP} SELECT doc_id, min(doc_id) OVER (PARTITION BY clean_hash) AS duplicate_of, count(*) OVER (PARTITION BY clean_hash) AS n_copies FROM d")
 def exact_dedup(t: Tables) -> DataFrame:
-    return D.exact_groups(D.prepared(t.documents)).select("doc_id", "duplicate_of", "n_copies")
+    return D.exact_groups(written(D.prepared(t.documents).select("doc_id", "clean_hash"))).select("doc_id", "duplicate_of", "n_copies")
 
 
 @query(f"WITH {_PREP} SELECT a, b, similarity FROM e WHERE similarity >= 0.9")

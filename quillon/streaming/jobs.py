@@ -35,8 +35,8 @@ def vectorize(spark: SparkSession, path: str, out: str, checkpoint: str, schema:
     pending_job(stream(spark, path, schema), out, checkpoint, lambda df: hash_embed(df.where("text is not null")))
 
 
-#: Representatives: all of their hashes, and sizes and shingles of the first MOST_IN_BUCKET.
-LEADERS = "ids array<bigint>, hashes array<string>, sizes array<int>, shingles array<array<string>>"
+#: Representatives: all of their hashes, and sizes and shingle hashes of the first MOST_IN_BUCKET.
+LEADERS = "ids array<bigint>, hashes array<string>, sizes array<int>, shingles array<array<bigint>>"
 
 
 def incremental_dedup(source: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -49,7 +49,7 @@ def incremental_dedup(source: DataFrame, id_col: str = "doc_id") -> DataFrame:
             pdf = pdf.sort_values(id_col)
             out = []
             for i, h, n, sh in zip(pdf[id_col], pdf["clean_hash"], pdf["n_tokens"], pdf["sh"], strict=True):
-                own, of = set(sh), by_hash.get(h)
+                own, of = set(sh.tolist()), by_hash.get(h)
                 if of is None:
                     of = next((j for j, m, s in zip(ids, sizes, sets, strict=False) if abs(m - n) <= TOKEN_GAP and (len(own & s) / len(own | s) if own | s else 1.0) >= JACCARD), None)
                 if of is None:
@@ -58,11 +58,11 @@ def incremental_dedup(source: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     by_hash[h] = int(i)
                     if len(sizes) < MOST_IN_BUCKET:
                         sizes.append(int(n))
-                        shingles.append(list(sh))
+                        shingles.append(sh.tolist())
                         sets.append(own)
                 out.append(of)
             yield pd.DataFrame({id_col: pdf[id_col], "duplicate_of": pd.array(out, "Int64")})
-        state.update((ids, hashes, sizes, [list(s) for s in shingles]))
+        state.update((ids, hashes, sizes, shingles))
 
     return prepared(source, id_col).groupBy("near_key").applyInPandasWithState(run, f"{id_col} bigint, duplicate_of bigint", LEADERS, "append", GroupStateTimeout.NoTimeout)
 

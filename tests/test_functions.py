@@ -130,3 +130,11 @@ def test_references_end_with_a_semicolon_and_most_texts_skip_python(spark):
         for pattern in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", "<[^>]+>", r"[\x00-\x1f\x7f]"):
             x = re.sub(pattern, " ", unicodedata.normalize("NFKC", html.unescape(x)) if pattern.startswith("[") else html.unescape(x))
         assert one(spark, N.clean_text(c), text) == re.sub(r"\s+", " ", x).strip(" ").lower(), text
+
+
+def test_shingle_hashes(spark):
+    """As many distinct shingles as the general form; a shingle is known by a number."""
+    c = F.col("c0")
+    for text in ("Hello, wörld_1 -- a  b c d e f g a b c d e", "", "...", "one two", "a b c d e a b c d e a b c d e"):
+        hashes = one(spark, N.shingle_hashes(N.tokens(c)), text)
+        assert len(hashes) == len(one(spark, N.shingles(N.tokens(c)), text)) and all(isinstance(h, int) for h in hashes)

@@ -11,8 +11,11 @@ segment of all.
 A stem hook maps a token to its stem, for texts and queries alike.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from quillon.sources import versions
 BUCKETS = 64
 #: Postings of a bucket that go into one file.
 FILE = 4_000_000
+#: Texts that are grouped at once.
+TEXTS = 256
 Hook = Callable[[Column], Column]
 
 
@@ -31,25 +36,48 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, posts) of (id, dl, toks): each text's terms with their places from 0, ascending; null terms have a place but no posting."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            lists = part.column(2)
+            size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            coded = lists.flatten().dictionary_encode()
+            term = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = (np.arange(len(row)) - start[row])[term >= 0].astype(np.int32)
+            row, term = row[term >= 0], term[term >= 0]
+            order = np.lexsort((term, row))  # stable, so places stay ascending
+            row, term, place = row[order], term[order], place[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else np.empty(0, np.int64)
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(place))
+            posts = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(term[new])), places], names=["term", "places"])
+            ends = np.searchsorted(row[new], np.arange(len(size) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), posts)], names=["id", "dl", "posts"])
+
+
 def add_texts(root: str, df: DataFrame, id_col: str = "doc_id", text: str = "text", stem: Hook | None = None) -> int:
     """Index the texts of df (a row an identifier) as a new segment of the index under root; returns the state's number.
 
-    Places are grouped by (text, term), so a term that every text has is dealt
-    over all tasks, and its bucket over as many files as it needs.
+    A text's places are grouped by term where the text is, so words are not
+    shuffled, only postings. A bucket is dealt over as many files as it needs,
+    whatever terms it holds. df is read once.
     """
     spark = df.sparkSession
     toks = tokens(F.col(text))
     rows = df.select(F.col(id_col).alias("id"), toks.alias("toks"))  # a null text has neither terms nor a length
     rows = rows.select("id", F.size("toks").alias("dl"), F.transform("toks", stem).alias("toks") if stem else F.col("toks"))
-    texts = written(rows.select("id", "dl"))
-    at = rows.select("id", "dl", F.posexplode("toks").alias("pos", "term")).where("term is not null")
-    postings = at.groupBy("id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("places"))
+    kind = rows.schema["id"].dataType.simpleString()
+    grouped = written(rows.mapInArrow(_grouped, f"id {kind}, dl int, posts array<struct<term: string, places: array<int>>>"))
+    texts = grouped.select("id", "dl")
+    postings = grouped.select("id", "dl", F.explode("posts").alias("p")).select("id", F.col("p.term").alias("term"), "dl", F.size("p.places").alias("tf"), F.col("p.places").alias("places"))
     words = texts.agg(F.sum("dl")).first()[0] or 0
     files = max(1, words // (BUCKETS * FILE) + 1)
     dealt = postings.withColumn("bucket", _bucket(F.col("term"))).repartition(BUCKETS * files, "bucket", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "term", "id")
     nth = len(_segments(spark, root))
     number = versions.publish(spark, root, {f"postings{nth}": dealt, f"texts{nth}": texts}, {f"postings{nth}": ["bucket"]})
-    discard(texts)
+    discard(grouped)
     return number
 
 

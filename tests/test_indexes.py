@@ -99,3 +99,18 @@ def test_nearest_holds_slices_and_k_rows(spark, monkeypatch):
     for a in range(0, 3000, 100):
         best.add(np.arange(2), np.arange(a, a + 100), rng.random((2, 100)))
     assert len(best.id) == 6
+
+
+def test_words_are_grouped_where_the_text_is(spark, tmp_path, monkeypatch):
+    """Postings of each text as counted by hand, null and empty texts too, whatever the slice; no shuffle of words comes before them."""
+    from quillon.operators import textindex as X
+
+    monkeypatch.setattr(X, "TEXTS", 2)
+    texts = {1: "b a b", 2: None, 3: "", 4: "A a c", 5: "b"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    X.add_texts(str(tmp_path / "t"), df)
+    got = {(r.term, r.id, r.dl, r.tf, tuple(r.places)) for r in X.postings_of(spark, str(tmp_path / "t"), ["a", "b", "c"]).collect()}
+    assert got == {("a", 1, 3, 1, (1,)), ("b", 1, 3, 2, (0, 2)), ("a", 4, 3, 2, (0, 1)), ("c", 4, 3, 1, (2,)), ("b", 5, 1, 1, (0,))}
+    schema = "id long, dl int, posts array<struct<term: string, places: array<int>>>"
+    toks = spark.createDataFrame([(1, 2, ["a", None])], "id long, dl int, toks array<string>")
+    assert [[(p.term, p.places) for p in r.posts] for r in toks.mapInArrow(X._grouped, schema).collect()] == [[("a", [0])]]

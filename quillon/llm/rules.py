@@ -8,13 +8,13 @@ they are, as shares (symbols and repeats) and as a mean (word length), at the
 scale of their square roots. Each tree holds a few good rows; its splits are
 drawn at random over the whole range that the statistics have among all
 documents, so what lies outside of where good rows are is parted early and has
-a short path. The anomaly threshold is calibrated on labelled rows: the one
-that separates best among those that reject at most a given share of the good
-ones. The rows of the trees and the calibration come from at most LABELLED
-labelled rows; ranges come from all documents.
+a short path. A tree's rows are drawn from all good labelled rows; where there
+are enough, no two trees share a row. The anomaly threshold is calibrated on all
+labelled rows: the one that separates best among those that reject at most a
+given share of the good ones. Ranges come from all documents.
 
-A null text has no words. Without good labelled rows the trees hold a sample of
-all rows and nothing beyond the base rules is rejected. Equal statistics have
+A null text has no words. Without good labelled rows the trees' rows are drawn
+from all rows and nothing beyond the base rules is rejected. Equal statistics have
 equal path lengths, so ties and repeated rows are judged alike. A very long
 text is taken whole, in arrays of about a hundred bytes a word. Rows and other
 columns pass through; columns named like an output are replaced.
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm._labels import hash_sample
-from quillon.llm._store import written
+from quillon.llm._order import running
+from quillon.llm._store import scratch, written
 from quillon.llm._text import SPACE, Places, batch_bytes, hash_runs, mix, runs, slices, windows_hash, with_columns
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: The forest: trees, rows a tree, their depth at most; labelled rows at most.
-TREES, TREE_ROWS, DEPTH, LABELLED = 128, 256, 12, 20_000
+#: The forest: trees, rows a tree, their depth at most.
+TREES, TREE_ROWS, DEPTH = 128, 256, 12
 MOST_GOOD_REJECTED = 0.002
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines"]
@@ -132,7 +133,7 @@ class Forest:
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     rows: int
-    threshold: float = 1.0
+    threshold: float = np.inf
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; higher is more anomalous."""
@@ -149,13 +150,14 @@ class Forest:
 
 
 def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 0) -> Forest:
-    """Trees over rows of x; low, high: the box that splits are drawn in, narrowed by each."""
+    """Trees over rows of x, dealt out if there are enough for all; low, high: the box that splits are drawn in, narrowed by each."""
     rng = np.random.default_rng(seed)
     rows = min(rows, len(x))
+    dealt = len(x) >= trees * rows
     out = []
-    for _ in range(trees if rows else 0):
+    for t in range(trees if rows else 0):
         nodes: list[list[float]] = [[0, 0, 0, -1]]
-        todo = [(0, rng.choice(len(x), rows, replace=False), 0, low, high)]
+        todo = [(0, np.arange(t * rows, (t + 1) * rows) if dealt else rng.choice(len(x), rows, replace=False), 0, low, high)]
         while todo:
             node, own, deep, least, most = todo.pop()
             free = np.flatnonzero(most > least)
@@ -187,26 +189,47 @@ def threshold(scores: np.ndarray, good: np.ndarray, most: float = MOST_GOOD_REJE
     return float((steps[best] + below.max()) / 2) if len(below) else float(steps[best])
 
 
-def _columns(rows: list, names: list[str]) -> dict[str, np.ndarray]:
-    return {c: np.array([r[c] for r in rows], float) for c in names}
+def calibrated(scored: DataFrame, most: float = MOST_GOOD_REJECTED) -> float:
+    """threshold over rows (anomaly, good boolean), as many as there are: counts at each score and their running sums from the highest. Infinite where no score will do."""
+    counts = written(scored.groupBy((-F.col("anomaly")).alias("low")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")))
+    total = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not total["good"] or not total["bad"]:
+        return np.inf
+    sums = running(counts, None, ["low"], {"good_before": "good", "bad_before": "bad"})
+    good, bad = F.col("good_before") + F.col("good"), F.col("bad_before") + F.col("bad")
+    gain = (bad * F.lit(total["good"]) - good * F.lit(total["bad"])).alias("gain")
+    best = sums.where(good <= most * total["good"]).agg(F.max(F.struct(gain, "low")).alias("best")).first()["best"]
+    if best is None or best["gain"] < 0:
+        return np.inf
+    below = counts.where(F.col("low") > best["low"]).agg(F.min("low").alias("low")).first()["low"]
+    return -best["low"] if below is None else -(best["low"] + below) / 2
+
+
+def _scored(forest: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {c: batch.column(batch.schema.get_field_index(c)).to_numpy().astype(float) for c in [*STATISTICS, *EXTRA]}
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(features(x))), batch.column(batch.schema.get_field_index("good"))], names=["anomaly", "good"])
+
+    return run
 
 
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id") -> Forest:
-    """Grow the forest on good rows of a bounded hash sample of labelled ones, over the ranges of all documents that pass the base rules; set its threshold on the same sample."""
+    """Grow the forest on rows drawn from all good ones that pass the base rules, over the ranges of all documents that do; set its threshold on all labelled ones."""
     names = [*STATISTICS, *EXTRA]
     passing = measured.where(~F.col("base_failed")).select(F.col(doc_id).cast("long").alias("doc_id"), *names)
     ranges = passing.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}{i}") for i, c in enumerate(feature_columns()) for k, f in (("low", F.min), ("high", F.max)))).first()
     if not ranges["n"]:
         return Forest([], 0)
     low, high = (np.array([ranges[f"{k}{i}"] for i in range(len(SHARES))]) for k in ("low", "high"))
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label)).alias("good"))
-    rows = hash_sample(passing.join(known, "doc_id"), LABELLED, known.count(), "doc_id", *names).collect()
-    good = np.array([r["good"] == 1 for r in rows], bool)
-    if not good.any():
-        return grow(features(_columns(hash_sample(passing, LABELLED, ranges["n"], "doc_id", *names).collect(), names)), low, high)
-    x = features(_columns(rows, names))
-    forest = grow(x[good], low, high)
-    forest.threshold = threshold(forest.score(x), good)
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg((F.max(F.col(label)) == 1).alias("good"))
+    with scratch():
+        labelled = written(passing.join(known, "doc_id"))
+        n = labelled.agg(F.count_if("good").alias("good")).first()["good"]
+        drawn = hash_sample(labelled.where("good") if n else passing, TREES * TREE_ROWS, n or ranges["n"], "doc_id", *names).collect()
+        forest = grow(features({c: np.array([r[c] for r in drawn], float) for c in names}), low, high)
+        if n:
+            forest.threshold = calibrated(labelled.mapInArrow(_scored(forest), "anomaly double, good boolean"))
     return forest
 
 

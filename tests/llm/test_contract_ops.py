@@ -395,6 +395,35 @@ def test_rules_follow_path_lengths(spark, labels):
     assert quality_rules(table, marks.limit(0)).where("not kept").count() == 0
 
 
+def test_threshold_comes_from_all_labelled_rows(spark):
+    """Trees hold rows of the whole table, none of them twice; the threshold is that of all labelled rows, which were 20,000 at most."""
+    from pyspark.sql import functions as F
+
+    from quillon.llm import rules as Q
+
+    rnd = lambda k, n: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(n))
+    bad = F.col("doc_id") % 50 == 0
+    rows = spark.range(60_000).withColumnRenamed("id", "doc_id")
+    rows = rows.withColumns({"n_words": 200 + rnd(1, 100), "n_lines": F.lit(10), "n_dup_lines": rnd(2, 3), "n_repeat_words": rnd(3, 20), "n_symbols": F.when(bad, 20 + rnd(4, 200)).otherwise(rnd(5, 40)), "base_failed": F.lit(False)})
+    measured = rows.withColumn("word_chars", F.col("n_words") * 4 + rnd(6, 200))
+    labels = rows.select("doc_id", (~bad).cast("int").alias("quality"))
+    forest = Q.fit(measured, labels)
+    got = measured.select("doc_id", *Q.STATISTICS, *Q.EXTRA).toPandas()
+    scores = forest.score(Q.features({c: got[c].to_numpy(float) for c in [*Q.STATISTICS, *Q.EXTRA]}))
+    good = got["doc_id"].to_numpy() % 50 != 0
+    want = Q.threshold(scores, good)
+    assert abs(forest.threshold - want) < 1e-12
+    assert 0 < (scores[good] >= want).mean() <= Q.MOST_GOOD_REJECTED and (scores[~good] >= want).mean() > 0.3
+    # rows enough for all trees: each its own
+    x = np.arange(40, dtype=float)[:, None]
+    one = Q.grow(x, x.min(axis=0), x.max(axis=0), trees=2, rows=20, depth=40, seed=1)
+    two = Q.grow(x[:20], x.min(axis=0), x.max(axis=0), trees=1, rows=20, depth=40, seed=1)
+    assert all((a == b).all() for a, b in zip(one.trees[0], two.trees[0], strict=True))
+    # one good row gives every row the same path: nothing is rejected
+    alone = measured.where("doc_id in (0, 1)")
+    assert Q.fit(alone, labels).threshold == np.inf
+
+
 # Notices as they are published, with their own line breaks.
 NOTICES = {
     "Apache-2.0": """   Copyright [yyyy] [name of copyright owner]

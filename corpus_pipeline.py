@@ -47,7 +47,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @aside
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group linked by 0.8 or more of five-word shingles; of several rows with that id, one."""
+    """Keeps the document with the smallest doc_id of each group linked by 0.8 or more of five-word shingles (SimHash and min-hash candidates, verified); of several rows with that id, one."""
     rows = docs.where("doc_id is not null").withColumn("row_hash", F.xxhash64(*docs.columns))
     first = rows.groupBy("doc_id").agg(F.min("row_hash").alias("row_hash")).join(group_leaders(docs), "doc_id", "left_semi")
     # equal rows become one before they are shuffled

@@ -143,17 +143,21 @@ def _postings(radius: int):
     return run
 
 
+def print_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a long, b long), written: links between distinct fingerprints (simhash long) that connect all within radius."""
+    entries = prints.select(F.explode(F.array(*(F.lit(m).cast("long") for m in masks(radius)))).alias("mask"), "simhash").select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("simhash"))).alias("posting"), "simhash")
+    return written(entries.repartition(shuffles(prints.sparkSession), "posting").sortWithinPartitions("posting", "simhash").mapInArrow(_postings(radius), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """(doc_id, simhash long, component_id, n_links): one row per row of docs.
 
     n_links counts the links that join the row's fingerprint to others in the
     spanning index links (0: no other fingerprint within radius).
     """
-    spark = docs.sparkSession
     prints = written(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", shingle))
     nodes = written(prints.groupBy("simhash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
-    entries = nodes.select(F.explode(F.array(*(F.lit(m).cast("long") for m in masks(radius)))).alias("mask"), "simhash").select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("simhash"))).alias("posting"), "simhash")
-    links = written(entries.repartition(shuffles(spark), "posting").sortWithinPartitions("posting", "simhash").mapInArrow(_postings(radius), "a long, b long").distinct())
+    links = print_links(nodes, radius)
     component = connected_components(links).withColumnRenamed("node", "simhash")
     degree = links.select(F.col("a").alias("simhash")).union(links.select("b")).groupBy("simhash").agg(F.count(F.lit(1)).alias("n_links"))
     found = written(nodes.join(component, "simhash", "left").join(degree, "simhash", "left").fillna(0, ["n_links"]))

@@ -1,11 +1,13 @@
 """Groups of documents whose sets of word shingles are alike.
 
 Two documents are near copies if the exact Jaccard similarity of their sets of
-five-word shingles is 0.8 or more. Candidates come from min-hash bands: a pair
-at 0.8 shares none of the 32 bands of four once in twenty million times, and
-more similar pairs less often. A 64-bit SimHash cannot stand in here: pairs at
-0.8 differ in ten bits on average and in up to 24, where its multi-index no
-longer parts anything. Every candidate is verified on the whole sets of shingle hashes.
+five-word shingles is 0.8 or more. Candidates come from a SimHash index first:
+64-bit fingerprints of the sets, linked within four bits by their positional
+bytes. It cannot find every pair: those at 0.8 differ in ten bits on average and
+in up to 24, where a multi-index no longer parts anything. So min-hash bands give
+candidates as well: a pair at 0.8 shares none of the 32 bands of four once in
+twenty million times, and more similar pairs less often. Every candidate of
+either is verified on the whole sets of shingle hashes.
 
 Each band's group is first compared with one of its members, so a large group
 of near copies costs about one pass over it; then what is not yet connected is
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._graph import connected_components
 from quillon.llm._store import shuffles, spread_join, written
+from quillon.llm.simhash import _lanes, fingerprint, print_links
 from quillon.llm._text import LOWER, Places, hashed_words, lowered_slices, mix, sequence_hash, windows_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -70,7 +73,7 @@ def band_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = Places()
+    kept, lanes = Places(), _lanes()
     for batch in batches:
         for i, j, data, offsets in lowered_slices(batch.column(1)):
             hashes, at = shingle_sets(data, offsets, kept)
@@ -79,7 +82,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(hashes, np.append(at[some], len(hashes))) if len(some) else np.empty((0, BANDS), np.uint64)
             off = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(off), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_ids(hashes, at).view(np.int64)), pa.array(n.astype(np.int32)), bands], names=["doc_id", "node", "n", "bands"])
+            prints = np.fromiter((fingerprint(hashes[a:b], lanes) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.uint64, len(n)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_ids(hashes, at).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(prints), bands], names=["doc_id", "node", "n", "simhash", "bands"])
 
 
 def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,16 +171,27 @@ def _able(n: str, m: str) -> str:
     return f"least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m}) - 1e-9"
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), written: pairs of sets (node, n, simhash) that the SimHash index links: those of one fingerprint with one of them, and that one with those of fingerprints within four bits."""
+    prints = written(nodes.where("n > 0").groupBy("simhash").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("rows")))
+    same = spread_join(nodes.select("simhash", "node", "n"), prints.where("rows > 1"), "simhash", "rows").where(f"node != lead.node and {_able('n', 'lead.n')}")
+    side = lambda c: prints.select(F.col("simhash").alias(c), F.col("lead").alias(f"lead_{c}"))
+    near = print_links(prints).join(side("a"), "a").join(side("b"), "b").where(_able("lead_a.n", "lead_b.n"))
+    return written(same.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).union(near.select("lead_a.node", "lead_b.node")))
+
+
 def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, least, component): one row per distinct shingle set, the smallest doc_id that has it, and its group."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    nodes = written(own.mapInArrow(_sketches, "doc_id long, node long, n int, bands array<long>").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = written(own.mapInArrow(_sketches, "doc_id long, node long, n int, simhash long, bands array<long>").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("simhash").alias("simhash"), F.first("bands").alias("bands")))
+    printed = print_pairs(nodes)
     entries = nodes.select(F.explode("bands").alias("key"), "node", "n")
     # another member leads in each band, so an odd one does not lead in all of them
     leads = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")).alias("lead")).where("many > 1")
     met = written(entries.join(leads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "key"))
-    first = written(met.where(f"node != lead and {_able('n', 'lead_n')}").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    sets = written(own.select("text").mapInArrow(_hash_sets, "node long, hashes array<long>").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    led = met.where(f"node != lead and {_able('n', 'lead_n')}").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    first = written(printed.union(led).distinct())
+    sets = written(own.select("text").mapInArrow(_hash_sets, "node long, hashes array<long>").join(met.select("node").union(printed.select("a")).union(printed.select("b")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
     links = _verified(first, sets)
     component = written(connected_components(links))
     grouped = met.join(component, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))

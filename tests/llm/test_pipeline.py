@@ -152,6 +152,33 @@ def test_near_copies_at_every_similarity(spark, small, monkeypatch):
     assert kept == {find(i) for i in rows}
 
 
+def test_simhash_alone_finds_near_copies(spark, monkeypatch):
+    """The SimHash index gives candidates of its own: without any band in common, copies within four bits still go, if they are at 0.8."""
+    import corpus_pipeline as P
+    from quillon.llm import similar as S
+    from quillon.llm._text import Places
+    from quillon.llm.simhash import _lanes, fingerprint
+
+    rng = np.random.default_rng(5)
+    rows = {}
+    for i in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 50_000, 400)]
+        rows[i] = " ".join(w)
+        w[int(rng.integers(400))] = "edited"
+        rows[100 + i] = " ".join(w)
+
+    def own(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return fingerprint(S.shingle_sets(data, np.array([0, len(data)]), Places())[0], _lanes())
+
+    near = {i for i in range(40) if (own(rows[i]) ^ own(rows[100 + i])).bit_count() <= 4}
+    assert 20 < len(near)
+    monkeypatch.setattr(S, "band_keys", lambda hashes, at: (hashes[at[:-1]] * np.uint64(3) + S.set_ids(hashes, at))[:, None] + np.arange(S.BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.drop_near_duplicates(spark, table, "").collect()}
+    assert kept == set(rows) - {100 + i for i in near}
+
+
 def test_search_of_a_large_group():
     """Chained and separate members of one group, against all pairs."""
     from quillon.llm.similar import link_group

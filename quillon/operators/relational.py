@@ -7,6 +7,15 @@ from pyspark.sql.window import Window
 from quillon.operators.store import free_names, written
 
 
+#: Rows that a task takes at most where rows are dealt by tasks_for.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for a shuffle of df, a plain table: the session's number, or more if each would have over TASK_ROWS rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-df.count() // TASK_ROWS))
+
+
 def distinct_on(df: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; ties need a last column that breaks them."""
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

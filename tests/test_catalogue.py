@@ -61,6 +61,28 @@ def test_plans_push_down(spark, sf):
     assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in plan("by_year_month")
 
 
+def test_pivot_join_deals_rows_by_their_number(spark, tmp_path, monkeypatch):
+    """Tasks follow the number of lines; keys that occur twice or are null count as in the SQL."""
+    from quillon.operators import relational as R
+    from quillon.plans import QUERIES, SQL
+
+    made = {
+        "orders": ("o_orderkey long, o_orderpriority string", [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, None), (None, "a"), (4, "b")]),
+        "lineitem": ("l_orderkey long, l_partkey long", [(1, 1), (1, 1), (1, 2), (2, 9), (2, None), (None, 1), (4, 3)] * 9),
+        "part": ("p_partkey long, p_brand string", [(1, "x"), (1, "x"), (1, "y"), (2, "y"), (3, None), (None, "z")]),
+    }
+    c = duckdb.connect()
+    for name, (kind, rows) in made.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    monkeypatch.setattr(R, "TASK_ROWS", 5)
+    df = QUERIES["pivot_join"](spark, str(tmp_path))
+    assert "hashpartitioning(l_orderkey" in (plan := df._jdf.queryExecution().toString()) and ", 13), REPARTITION_BY_NUM" in plan
+    key = lambda r: tuple(map(str, r))
+    want = c.sql(SQL["pivot_join"]).select("o_orderpriority", "p_brand", "n", "orders").fetchall()
+    assert sorted(map(key, df.select("o_orderpriority", "p_brand", "n", "orders").collect())) == sorted(map(key, want))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -1,11 +1,12 @@
 """Chunkers: one text to several passages."""
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = re.compile(r"(?<=[.!?;:])\s+")
 
@@ -51,15 +52,39 @@ def pack_sentences(text: str | None, target: int, overlap: int, strict: bool = F
 PRESETS = {"statutes": (180, 45, False, 0), "records": (150, 40, False, 0), "batches": (150, 40, True, 0), "rebuilt": (200, 40, False, 200)}
 
 
-def sentence_chunker(preset: str) -> Callable[[Column], Column]:
-    """A column function from text to array<string>."""
-    target, overlap, strict, cut = PRESETS[preset]
+#: Bytes of chunks that a worker holds before it passes them on; a single text may be longer.
+HELD = 1 << 20
+
 
-    @F.pandas_udf("array<string>")
-    def chunks(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: pack_sentences(x, target, overlap, strict, cut))
+def _sentences(preset: str):
+    """A mapInArrow step: the last column's texts to a row a chunk, passed on as they come, with the other columns repeated."""
+    target, overlap, strict, cut = PRESETS[preset]
 
-    return chunks
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *keep, texts = batch.columns
+            names = [*batch.schema.names[:-1], "chunk_no", "chunk"]
+            at, places, chunks, held = [], [], [], 0
+            for i in range(batch.num_rows):
+                own = pack_sentences(texts[i].as_py(), target, overlap, strict, cut)
+                at += [i] * len(own)
+                places += range(1, len(own) + 1)
+                chunks += own
+                held += sum(map(len, own))
+                if chunks and (held >= HELD or i == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in keep), pa.array(places, pa.int32()), pa.array(chunks, pa.string())], names=names)
+                    at, places, chunks, held = [], [], [], 0
+            if chunks:  # the last texts had none
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in keep), pa.array(places, pa.int32()), pa.array(chunks, pa.string())], names=names)
+
+    return run
+
+
+def explode_sentences(df: DataFrame, preset: str, text: str, *keep: str) -> DataFrame:
+    """One row per chunk of whole sentences with its place from 1. A worker holds a few chunks at a time, not those of a batch."""
+    rows = df.select(*keep, text)
+    kinds = [*rows.schema.fields[:-1], T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())]
+    return rows.mapInArrow(_sentences(preset), T.StructType(kinds))
 
 
 def explode_chunks(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.chunking import sentence_chunker
+from quillon.functions.chunking import explode_sentences
 from quillon.functions.text import normalize_key, null_if_empty, squeeze, uuid5
 from quillon.operators.relational import distinct_on
 from quillon.operators.resolve import DNS
@@ -124,7 +124,8 @@ def load_norms(docs: DataFrame, depth: int = 6, sources: DataFrame | None = None
 
     trees = _last(_nodes(v, depth), "nodo_id", [F.desc("place")])
     nodes = trees.unionByName(_whole_texts(v)).withColumn("texto_normalizado", normalize_key(F.col("texto")))
-    chunks = nodes.where("texto is not null").select("documento_id", "version_id", "nodo_id", "tipo_nodo", F.coalesce("etiqueta", "titulo", "tipo_nodo").alias("anchor"), F.posexplode(sentence_chunker("statutes")(F.col("texto"))).alias("pos", "trozo"))
+    texts = nodes.where("texto is not null").withColumn("anchor", F.coalesce("etiqueta", "titulo", "tipo_nodo"))
+    chunks = explode_sentences(texts, "statutes", "texto", "documento_id", "version_id", "nodo_id", "tipo_nodo", "anchor").select("*", (F.col("chunk_no") - 1).alias("pos"), F.col("chunk").alias("trozo"))
     label = F.when((F.col("anchor") == "") | F.startswith("trozo", "anchor"), F.col("trozo")).otherwise(F.concat("anchor", F.lit(". "), "trozo"))
     tipo = F.concat(F.lit("nodo_"), "tipo_nodo")
     passages = chunks.select(uuid5(DNS, F.lit("norma_fragmento"), F.col("nodo_id"), F.col("pos") + 1, tipo).alias("fragmento_id"), "documento_id", "version_id", "nodo_id", tipo.alias("tipo_fragmento"), label.alias("contenido"), (F.col("pos") + 1).alias("orden"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.chunking import explode_chunks, sentence_chunker, sliding_chunks
+from quillon.functions.chunking import explode_chunks, explode_sentences, sliding_chunks
 from quillon.functions.extract import between, card, certificate_parts, thesaurus
 from quillon.functions.rules import first_rule
 from quillon.functions.text import clean_full_text, clean_text, near_key, parse_date, sanitize, tokens, uuid5
@@ -56,7 +56,7 @@ def decompose(records: DataFrame, path: str | None = None) -> dict[str, DataFram
     said = F.transform("tesauros", lambda t: F.struct(F.lit("consideraciones_sala").alias("tipo"), t["consideraciones"].alias("texto")))
     sections = F.concat(said, F.array(*(F.struct(F.lit(c).alias("tipo"), F.col(c).alias("texto")) for c in FRAGMENTS)))
     parts = records.dropDuplicates(["id"]).select("id", F.posexplode(sections).alias("parte", "f")).select("id", "parte", "f.*").where("texto is not null and texto != ''")
-    chunks = explode_chunks(parts.withColumn("texto", sanitize(F.col("texto"))), sentence_chunker("batches")(F.col("texto")), "id", "parte", "tipo")
+    chunks = explode_sentences(parts.withColumn("texto", sanitize(F.col("texto"))), "batches", "texto", "id", "parte", "tipo")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("parte", "chunk_no"))  # a record's own passages
     out["fragmentos_texto"] = chunks.select("id", "tipo", "chunk", nth.alias("orden")).select(uuid5(DNS, F.lit("fragmento"), F.col("id"), F.col("orden")).alias("fragmento_id"), F.col("id").alias("sentencia_id"), "tipo", "orden", F.col("chunk").alias("contenido"))
     if path:

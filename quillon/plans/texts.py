@@ -233,7 +233,7 @@ def chunk_sliding(t: Tables) -> DataFrame:
 
 def _chunks(preset: str):
     def plan(t: Tables) -> DataFrame:
-        return C.explode_chunks(t.documents.select("doc_id", "text"), C.sentence_chunker(preset)(F.col("text")), "doc_id")
+        return C.explode_sentences(t.documents, preset, "text", "doc_id")
 
     plan.__name__ = f"chunk_sentences_{preset}"
     return plan

@@ -138,3 +138,18 @@ def test_shingle_hashes(spark):
     for text in ("Hello, wörld_1 -- a  b c d e f g a b c d e", "", "...", "one two", "a b c d e a b c d e a b c d e"):
         hashes = one(spark, N.shingle_hashes(N.tokens(c)), text)
         assert len(hashes) == len(one(spark, N.shingles(N.tokens(c)), text)) and all(isinstance(h, int) for h in hashes)
+
+
+def test_sentence_chunks_are_passed_on_as_they_come():
+    """A worker holds about HELD characters of chunks, not those of a whole batch; texts without chunks give no rows."""
+    import pyarrow as pa
+
+    from quillon.functions import chunking as C
+
+    texts = [None, "", *(f"Sentence number {i} says this. " * (i % 900) for i in range(700)), "  "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for preset, parameters in C.PRESETS.items():
+        out = list(C._sentences(preset)([batch]))
+        assert len(out) > 5 and all(sum(map(len, b.column(2).to_pylist())) < 2 * C.HELD for b in out)
+        got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+        assert got == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(C.pack_sentences(t, *parameters), 1)]

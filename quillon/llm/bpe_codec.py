@@ -3,7 +3,7 @@
 A rolling hash over the UTF-8 bytes cuts every text into chunks whose borders
 depend on content alone, so passages shared by documents give equal chunks. A
 chunk is encoded once and its ids are kept for the other documents that a
-Python worker meets. A border may fall inside a word: such a join is repaired
+task meets. A border may fall inside a word: such a join is repaired
 by encoding the whole word anew, from the white space before the border to
 that after it. No merge, normalisation or special token of the tokenizer
 reaches over ASCII white space, so what the join and the chunks beside it give
@@ -13,8 +13,8 @@ encoded once and kept, too.
 Whether a tokenizer splits at white space is read from its file; with one that
 is not known to, texts are encoded whole.
 
-The two stores are bounded per Python worker, hold the bytes themselves as
-keys and only save time; results never depend on them. Null and empty texts
+The two stores are bounded per Python worker, emptied at the end of a task, hold
+the bytes themselves as keys and only save time; results never depend on them. Null and empty texts
 give no ids and an empty decoded text. A very long text is one run of chunks
 and held whole, in about ten times its bytes. Rows and their other columns
 pass through; columns named like an output are replaced.
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm._text import SPACE, mix, runs, slices, with_columns
+from quillon.llm._text import SPACE, mix, release, runs, slices, with_columns
 
 ROLL, CHUNK = 16, 128
 #: Kept in each of the two generations of a store; words encoded at once; bytes of text taken at once.
-MAX_WORDS, MAX_CHUNKS, TOGETHER, RUN_BYTES = 150_000, 50_000, 256, 1 << 20
+MAX_WORDS, MAX_CHUNKS, TOGETHER, RUN_BYTES = 150_000, 50_000, 256, 1 << 18
 #: Normalisers and splitters that never join what white space parts.
 PLAIN = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
 SPLITTERS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
@@ -81,6 +81,9 @@ class Store:
         if len(self.now) > self.most:
             self.old, self.now = self.now, {}
 
+    def clear(self) -> None:
+        self.now, self.old = {}, {}
+
 
 class Codec:
     """One tokenizer and its stores of chunks and words in one Python worker."""
@@ -105,6 +108,12 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             self.parted = splits_at_space(json.load(f))
 
+    def forget(self) -> None:
+        """Empty the stores: a worker is kept after a task, for steps that need its memory."""
+        self.words.clear()
+        self.chunks.clear()
+        release()
+
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in turn, how many each has): plain words many at a time, offsets telling whose an id is."""
         odd = [k for k, w in enumerate(words) if ODD(w)]
@@ -211,9 +220,12 @@ def _codec(path: str | None) -> Codec:
 def _encoder(text: str, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for batch in batches:
-            for i, j, data, offsets in slices(batch.column(batch.schema.get_field_index(text)), RUN_BYTES):
-                yield with_columns(batch.slice(i, j - i), {text}, codec.columns(data, offsets))
+        try:
+            for batch in batches:
+                for i, j, data, offsets in slices(batch.column(batch.schema.get_field_index(text)), RUN_BYTES):
+                    yield with_columns(batch.slice(i, j - i), {text}, codec.columns(data, offsets))
+        finally:
+            codec.forget()
 
     return run
 

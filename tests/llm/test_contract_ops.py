@@ -71,6 +71,17 @@ def test_bpe_tells_words_apart_that_polynomial_hashes_do_not(spark):
     assert got == {n: tk.encode(t, add_special_tokens=False).ids for n, t in rows}
 
 
+def test_bpe_stores_are_empty_after_a_task():
+    import pyarrow as pa
+
+    from quillon.llm import bpe_codec as B
+
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text", "some words", None]})
+    assert sum(x.num_rows for x in B._encoder("text", None)(iter([batch]))) == 3
+    codec = B._codec(None)
+    assert not any((codec.words.now, codec.words.old, codec.chunks.now, codec.chunks.old))
+
+
 def test_bpe_with_tokens_that_span_white_space(texts):
     """Such a tokenizer is found out from its file and texts are encoded whole."""
     import public_tokenizers

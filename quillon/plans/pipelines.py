@@ -39,7 +39,8 @@ def decompose(records: DataFrame, path: str | None = None) -> dict[str, DataFram
     out, facts = {}, records
     for name in ("tipo_proceso", "magistrado", "tribunal", "materia"):
         key = F.upper(F.trim(name))
-        out[name] = records.where(F.col(name).isNotNull()).groupBy(uuid5(DNS, F.lit(name), key).alias("id")).agg(F.min(name).alias("nombre"))
+        named = records.groupBy(key.alias("key")).agg(F.min(name).alias("nombre")).where("key is not null")
+        out[name] = named.select(uuid5(DNS, F.lit(name), F.col("key")).alias("id"), "nombre")
         facts = facts.withColumn(f"{name}_id", F.when(F.col(name).isNotNull(), uuid5(DNS, F.lit(name), key)))
     people = records.select(F.explode(F.array(*(F.struct(F.col(c).alias("nombre"), F.lit(c).alias("rol_habitual")) for c in ("recurrente", "recurrido")))).alias("p")).select("p.*").where("nombre is not null")
     public = F.col("nombre").rlike("(?iu)tribunal|corte")

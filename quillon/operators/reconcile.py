@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.extract import article_hint, law_name
-from quillon.operators.relational import distinct_on
+from quillon.operators.relational import distinct_on, tasks_for
 from quillon.operators.resolve import VERIFIED, resolve
 from quillon.operators.store import discard, written
 from quillon.sources import versions
@@ -32,12 +32,15 @@ def reconcile(refs: DataFrame, aliases: DataFrame, articles: DataFrame, ref_id:
     refs: a row a distinct reference; aliases: (ley_id, alias_norm); articles:
     (ley_id, articulo_id, articulo_numero, articulo_etiqueta, es_vigente, orden).
     A law by its name (exact 0.99, else contained or containing 0.75, each only
-    if it is one law's); in a law, an article by number or label (0.98). Names
-    are resolved once each, however many references hold them.
+    if it is one law's); in a law, an article by number or label (0.98). A
+    reference is parsed once, in as many tasks as there are rows for, not in
+    those of its files; names are resolved once each, however many references
+    hold them.
     """
     values = [F.col(c) for c in fields]
-    hints = refs.select(F.col(ref_id).alias("legislacion_id"), law_name(*values).alias("alias_detectado"), article_hint(*values).alias("hint"))
-    names = hints.select(F.col("alias_detectado").alias("name"), F.col("alias_detectado").alias("norm")).where("name is not null").distinct()
+    dealt = refs.select(ref_id, *fields).repartition(tasks_for(refs.select(ref_id)), ref_id)
+    hints = written(dealt.select(F.col(ref_id).alias("legislacion_id"), law_name(*values).alias("alias_detectado"), article_hint(*values).alias("hint")))
+    names = written(hints.select(F.col("alias_detectado").alias("name"), F.col("alias_detectado").alias("norm")).where("name is not null").distinct())
     laws = resolve(names, aliases, "name", "norm", "ley_id").select("name", "ley_id", "confidence").where("ley_id is not null")
     known = hints.join(laws, F.col("alias_detectado") == F.col("name"), "left").drop("name")
     found = known.join(_article_keys(articles), ["ley_id", "hint"], "left")

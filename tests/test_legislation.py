@@ -29,6 +29,33 @@ def test_reference_to_law_to_article(spark):
     }
 
 
+def test_references_are_read_once_and_dealt_by_their_number(spark, monkeypatch):
+    """Whatever files they come from, references are parsed once, in tasks that follow their number."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators import relational
+
+    read, plans, real = spark.sparkContext.accumulator(0), [], R.written
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return real(df)
+
+    monkeypatch.setattr(R, "written", kept)
+    monkeypatch.setattr(relational, "TASK_ROWS", 8)
+    refs = spark.range(90).coalesce(1).select(F.col("id").alias("legislacion_id"), seen(F.concat(F.lit("Ley "), (F.col("id") % 3).cast("string"))).alias("nombre_ley"), F.lit("5").alias("articulo"), F.lit(None).cast("string").alias("sub_indice"))
+    aliases = spark.createDataFrame([(10, "ley 0"), (20, "ley 1"), (30, "ley 2 del agua")], "ley_id long, alias_norm string")
+    articles = spark.createDataFrame([(10, 100, "5", None, True, 1)], "ley_id long, articulo_id long, articulo_numero string, articulo_etiqueta string, es_vigente boolean, orden int")
+    got = {r.legislacion_id: (r.ley_id, r.articulo_id, r.confianza) for r in R.reconcile(refs, aliases, articles).collect()}
+    assert got == {i: [(10, 100, 0.99), (20, None, 0.99), (30, None, 0.75)][i % 3] for i in range(90)}
+    assert read.value == 90 and "hashpartitioning(legislacion_id" in plans[0] and ", 12), REPARTITION_BY_NUM" in plans[0]
+
+
 def test_a_later_run_changes_only_what_got_better(spark, tmp_path):
     old = [(1, 5, 50, "a", 0.99, R.FOUND, None), (2, 5, None, "b", 0.75, R.LAW, None), (3, None, None, None, 0.0, R.PENDING, None), (4, 6, None, "d", 0.99, R.LAW, "old")]
     new = [(1, 5, None, "x", 0.99, R.LAW, None), (2, 5, None, "y", 0.99, R.LAW, None), (3, 7, 70, "z", 0.98, R.FOUND, None), (4, 6, None, "w", 0.99, R.LAW, "new"), (5, 8, None, "v", 0.75, R.LAW, None)]

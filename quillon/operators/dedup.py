@@ -9,8 +9,11 @@ from pyspark.sql.window import Window
 from quillon.functions.text import clean_text, jaccard, near_key, shingle_hashes, tokens
 from quillon.operators.components import components
 from quillon.operators.search import QUERY_BLOCK
+from quillon.operators.store import discard, written
 
 MOST_IN_BUCKET, TOKEN_GAP, JACCARD = 40, 5, 0.90
+#: Just under all similarities that round to JACCARD; texts of one shingle that are chained before they are compared, and texts of it in a task.
+LEAST, CROWD, BLOCK = JACCARD - 1e-6, 64, 2048
 
 
 def prepared(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,10 +38,81 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", most: int | None = MOST_IN
     return pairs.select("a", "b", F.round(jaccard(F.col("sh_a"), F.col("sh_b")), 6).alias("similarity")).where(F.col("similarity") >= JACCARD)
 
 
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, id_a, id_b) of the pairs of texts that are near."""
+    for x in "ab":
+        pairs = pairs.join(texts.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "near_key", "n_tokens", "sh")), F.col("t").alias(x)), x)
+    alike = (F.col("near_key_a") == F.col("near_key_b")) & (F.abs(F.col("n_tokens_a") - F.col("n_tokens_b")) <= TOKEN_GAP)
+    return pairs.where(alike).where(F.round(jaccard(F.col("sh_a"), F.col("sh_b")), 6) >= JACCARD).select("a", "b", "id_a", "id_b")
+
+
+def filed(texts: DataFrame) -> DataFrame:
+    """(g, t, n, n_tokens, at, next, tight): a text under those of its shingles, rarest of the bucket first, of which a near one has one.
+
+    Of two near texts the smaller has a common shingle among its tight ones, the
+    larger among all that are filed. Shingles of one text only hold their place
+    (at) and are not filed.
+    """
+    words = texts.select("t", "n_tokens", F.size("sh").alias("n"), "near_key", F.explode("sh").alias("s")).select("t", "n_tokens", "n", F.xxhash64("near_key", "s").alias("g"))
+    seen = words.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ranked = words.join(seen, "g").groupBy("t", "n_tokens", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("gs"))
+    n, alone = F.col("n"), F.col("n") - F.size("gs")
+    most = (n - F.ceil(n * LEAST) + 1).cast("int")
+    placed = ranked.select("t", "n", "n_tokens", alone.alias("alone"), F.slice("gs", F.lit(1), F.greatest(most - alone, F.lit(0))).alias("gs"))
+    out = placed.select("t", "n", "n_tokens", "alone", "gs", F.posexplode("gs.g").alias("pos", "g"))
+    at = F.col("alone") + F.col("pos") + 1
+    return out.select("g", "t", "n", "n_tokens", at.alias("at"), F.get("gs.g", F.col("pos") + 1).alias("next"), (at <= n - F.ceil(n * (2 * LEAST / (1 + LEAST))) + 1).alias("tight"))
+
+
+def chained(crowds: DataFrame) -> DataFrame:
+    """(a, b): neighbours among the texts of a shingle, by the shingle that comes next; dealt in pieces, the pieces' first ones chained too."""
+    dealt = crowds.withColumn("piece", F.pmod(F.xxhash64("t"), F.ceil(F.col("members") / BLOCK)))
+    last = F.lag("t").over(Window.partitionBy("g", "piece").orderBy("next", "t"))
+    dealt = dealt.select("g", "piece", F.col("t").alias("a"), last.alias("b"))
+    heads = dealt.where("b is null").select("a", F.lag("a").over(Window.partitionBy("g").orderBy("piece")).alias("b"))
+    return dealt.select("a", "b").union(heads).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def met(entries: DataFrame) -> DataFrame:
+    """(a, b): texts of different components that may be near, each smaller one with each larger; a shingle's smaller ones are dealt in blocks."""
+    groups = entries.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("tight").alias("any"))
+    rows = entries.join(groups.where("any and low < high").select("g", F.ceil(F.col("members") / BLOCK).alias("blocks")), "g")
+    named = lambda x: (F.col(c).alias(f"{c}_{x}") for c in ("n", "n_tokens", "at", "component"))
+    small = rows.where("tight").select("g", F.pmod(F.xxhash64("t"), "blocks").alias("block"), F.col("t").alias("a"), *named("a"))
+    large = rows.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("t").alias("b"), *named("b"))
+    ordered = "(n_a < n_b or n_a = n_b and a < b) and component_a != component_b"
+    common = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # at most, if this is their first common one
+    able = (F.abs(F.col("n_tokens_a") - F.col("n_tokens_b")) <= TOKEN_GAP) & (common >= (F.col("n_a") + F.col("n_b")) * (LEAST / (1 + LEAST)))
+    return small.join(large, ["g", "block"]).where(ordered).where(able).select("a", "b").distinct()
+
+
+def near_links(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(a, b): links that connect what near_pairs with no limit connects.
+
+    Different texts of a bucket meet on their rarest shingles. A shingle of very
+    many texts has its neighbours compared first, and then only those texts
+    that these links leave in different components. df is read several times: give it written.
+    """
+    rows = df.where(F.col("n_tokens") > 0)
+    first = rows.groupBy("near_key", "clean_hash").agg(F.min(id_col).alias(id_col))
+    several = first.groupBy("near_key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("near_key")
+    kept = written(first.join(several, "near_key").select("clean_hash", id_col))
+    texts = rows.join(kept, ["clean_hash", id_col]).dropDuplicates(["clean_hash", id_col])
+    texts = written(texts.select(F.xxhash64("clean_hash").alias("t"), F.col(id_col).alias("id"), "near_key", "n_tokens", "sh"))
+    entries = written(filed(texts))
+    crowds = entries.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD)
+    chain = written(verified(chained(entries.join(crowds, "g")), texts))
+    label = components(texts.select("t"), chain, "t").withColumnRenamed("node", "t") if chain.limit(1).count() else texts.select("t", F.col("t").alias("component"))
+    links = written(chain.union(verified(met(entries.join(label, "t")), texts)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    for done in (kept, texts, entries, chain):
+        discard(done)
+    return links
+
+
 def duplicate_components(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, component): exact and near links joined transitively; the representative is the smallest id."""
+    """(id, component): exact and near links joined transitively, in buckets of any size; the representative is the smallest id. df is read several times: give it written."""
     exact = exact_groups(df, id_col).where(F.col(id_col) != F.col("duplicate_of")).select(F.col(id_col).alias("a"), F.col("duplicate_of").alias("b"))
-    return components(df.select(id_col), exact.union(near_pairs(df, id_col).select("a", "b")), id_col).withColumnRenamed("node", id_col)
+    return components(df.select(id_col), exact.union(near_links(df, id_col)), id_col).withColumnRenamed("node", id_col)
 
 
 def greedy(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

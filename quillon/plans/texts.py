@@ -272,8 +272,11 @@ def shingle_jaccard(t: Tables) -> DataFrame:
     return p.join(nxt, "doc_id").select("doc_id", F.size("sh").cast("long").alias("n_shingles"), F.round(N.jaccard(F.col("sh"), F.col("next")), 6).alias("similarity"))
 
 
+_PREP_WHOLE = _PREP.replace(" WHERE a.rn <= 40 AND b.rn <= 40 AND ", " WHERE ")  # no limit on a bucket
+
+
 @query(
-    f"WITH RECURSIVE {_PREP}, l AS (SELECT a, b FROM e WHERE similarity >= 0.9 UNION SELECT x.doc_id, y.m FROM d x JOIN (SELECT clean_hash, min(doc_id) AS m FROM d GROUP BY 1) y USING (clean_hash) WHERE x.doc_id <> y.m), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l), "
+    f"WITH RECURSIVE {_PREP_WHOLE}, l AS (SELECT a, b FROM e WHERE similarity >= 0.9 UNION SELECT x.doc_id, y.m FROM d x JOIN (SELECT clean_hash, min(doc_id) AS m FROM d GROUP BY 1) y USING (clean_hash) WHERE x.doc_id <> y.m), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l), "
     "w AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT w.node, s.b FROM w JOIN s ON w.reach = s.a) SELECT node AS doc_id, min(reach) AS component FROM w GROUP BY node"
 )
 def dup_components(t: Tables) -> DataFrame:

@@ -67,6 +67,52 @@ def test_dedup_cases(spark):
     assert of[1] is None and of[2] == 1 and of[4] is None and of[6] == 5
 
 
+def test_components_of_buckets_beyond_the_limit(spark, monkeypatch):
+    """All near texts of one key are linked, whether few meet on a shingle or many, and none that only share a template."""
+    import random
+
+    rng = random.Random(4)
+    head, tail = [f"h{i}" for i in range(12)], [f"t{i}" for i in range(12)]
+    body = lambda k, n: [f"m{k}x{i}" for i in range(n)]
+    texts = [head + body(k, 95) + tail for k in range(60)]  # alone in the key, all of them first
+    for k in range(60):
+        for _ in range(2):  # one to six words changed: about where the threshold lies
+            words = body(k, 95)
+            for i in rng.sample(range(95), rng.randint(1, 6)):
+                words[i] = f"c{rng.randrange(10**6)}"
+            texts.append(head + words + tail)
+    drift = body("d", 95)
+    for i in range(0, 90, 3):  # each near the one before, not the first
+        drift = drift[:i] + [f"e{i}"] + drift[i + 1 :]
+        texts.append(head + drift + tail)
+    texts += [head + body("s", 40) + [f"u{k}"] + body("z", 54) + tail for k in range(90)]  # all near all others
+    texts += [head + body("a", 20) + [f"v{k % 9}"] + body("b", 40) + [f"w{k // 9}"] + body("c", 33) + tail for k in range(81)]  # near if one slot agrees
+    texts += [head + [f"m{k % 7}x{i}" for i in range(30)] + [f"only{k}x{i}" for i in range(65)] + tail for k in range(70)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string")
+    p = D.prepared(docs).cache()
+    assert p.select("near_key").distinct().count() == 1
+    sets = [set(zip(*(t[i:] for i in range(5)), strict=False)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= D.JACCARD:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    want = {i: root(i % len(texts)) for i in range(len(texts) + 50)}
+    assert 150 < len(set(want.values())) < 250
+    monkeypatch.setattr(D, "CROWD", 3, raising=False)
+    monkeypatch.setattr(D, "BLOCK", 16, raising=False)
+    assert {r.doc_id: r.component for r in D.duplicate_components(p).collect()} == want
+
+
 def test_spanning_links():
     rng = np.random.default_rng(0)
     near = rng.random((40, 60)) > 0.95

@@ -62,6 +62,37 @@ def test_stream_dedup_agrees_with_batch(spark, sf, tmp_path):
     assert got == {r.doc_id: r.duplicate_of for r in greedy(prepared(docs)).collect()}
 
 
+def test_stream_dedup_beyond_forty_representatives(spark, tmp_path):
+    """A row is compared with every representative of its key, in one run and in the next."""
+    head, tail = " ".join(f"h{i}" for i in range(12)), " ".join(f"t{i}" for i in range(12))
+    middle = lambda k, own: " ".join([f"m{k}x{i}" for i in range(48)] + own + [f"m{k}x{i}" for i in range(48, 95)])
+    make = lambda start, own: spark.createDataFrame([(start + k, f"{head} {middle(k, [f'{own}{k}'])} {tail}") for k in range(70)], "doc_id long, text string").coalesce(1)
+    got = {}
+    for run, rows in enumerate([make(0, "a").unionByName(make(100, "b")).coalesce(1), make(200, "c")]):
+        rows.write.mode("append").parquet(str(tmp_path / "src"))
+        found = jobs.incremental_dedup(jobs.stream(spark, str(tmp_path / "src"), rows.schema))
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        got = {r.doc_id: r.duplicate_of for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert len(got) == 140 + 70 * run
+    assert got == {k: None for k in range(70)} | {100 + k: k for k in range(70)} | {200 + k: k for k in range(70)}
+
+
+def test_leaders_find_the_first_near_one():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63 - 1, (6, 100), np.int64)
+    leaders, sets = jobs.Leaders([], []), []
+    for i in range(400):
+        sh = base[i % 6].copy()
+        sh[rng.choice(100, i % 9, replace=False)] = rng.integers(-(2**63), 2**63 - 1, i % 9, np.int64)
+        n, own = 104 + i % 13, set(sh.tolist())
+        want = next((j for j, (m, s) in enumerate(sets) if abs(m - n) <= 5 and len(own & s) / len(own | s) >= 0.9), None)
+        assert leaders.first(n, sh) == want
+        leaders.add(n, sh)
+        sets.append((n, own))
+
+
 def test_failure_runs(spark):
     df = spark.createDataFrame([(1, i, i in (2, 3, 4, 8)) for i in range(10)], "group int, at int, bad boolean")
     assert [tuple(r) for r in jobs.failure_runs(df, "at", "bad", 3).collect()] == [(1, 2, 4, 3)]

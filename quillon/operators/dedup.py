@@ -86,6 +86,16 @@ def met(entries: DataFrame) -> DataFrame:
     return small.join(large, ["g", "block"]).where(ordered).where(able).select("a", "b").distinct()
 
 
+def among(rows: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose columns are among those kept, and a few more: tested in 2**26 bits, a broadcast of 8 MB at any size, so that wide rows are not shuffled to be dropped."""
+    at = F.pmod(F.xxhash64(*on), F.lit(2**26)) + 1
+    bits = kept.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(__bits, __place div 8 + 1, 1)")), 16, 10).cast("int")
+    tested = rows.withColumns({"__bucket": F.bitmap_bucket_number(at), "__place": place}).join(F.broadcast(bits), "__bucket")
+    return tested.where(byte.bitwiseAND(F.expr("shiftleft(1, __place % 8)")) != 0).select(rows.columns)
+
+
 def near_links(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(a, b): links that connect what near_pairs with no limit connects.
 
@@ -97,7 +107,7 @@ def near_links(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     first = rows.groupBy("near_key", "clean_hash").agg(F.min(id_col).alias(id_col))
     several = first.groupBy("near_key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("near_key")
     kept = written(first.join(several, "near_key").select("clean_hash", id_col))
-    texts = rows.join(kept, ["clean_hash", id_col]).dropDuplicates(["clean_hash", id_col])
+    texts = among(rows, kept, ["clean_hash", id_col]).join(kept, ["clean_hash", id_col]).dropDuplicates(["clean_hash", id_col])
     texts = written(texts.select(F.xxhash64("clean_hash").alias("t"), F.col(id_col).alias("id"), "near_key", "n_tokens", "sh"))
     entries = written(filed(texts))
     crowds = entries.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD)
